@@ -11,6 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 NAMES = {
     "op1_best_fit_packing": "packing",
+    "op6_quality_classifier": "quality_trees",
+    "op7_quality_rules": "quality_rules",
+    "op9_language_id": "langid",
 }
 
 
