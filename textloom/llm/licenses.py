@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, materialize, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE = 24
@@ -66,8 +66,19 @@ def build_index() -> tuple[dict[str, float], list[tuple[str, int, int]], list[in
 
 RARITY, POSTINGS, LOOKED_UP = build_index()
 INDEXED = sorted({w for w, _, _ in POSTINGS})
-#: A text that holds a plain phrase or all key phrases of a template holds one of these: the longest word of each.
-ANCHORS = sorted({max(p.split(), key=lambda w: (len(w), w)) for p in [*BASE, *(t[2][0] for t in TEMPLATES)]})
+
+
+def build_anchors() -> list[str]:
+    """Strings such that a text with a plain phrase, or with all key phrases of a template, holds one: for each phrase the longest
+    word, unless one that was chosen before serves it."""
+    chosen: list[str] = []
+    for phrase in [*BASE, *(t[2][0] for t in TEMPLATES)]:
+        if not any(a in w for a in chosen for w in phrase.split()):
+            chosen.append(max(phrase.split(), key=lambda w: (len(w), w)))
+    return chosen
+
+
+ANCHORS = build_anchors()
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -122,6 +133,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     places = F.concat(*[F.coalesce(base[label], F.array().cast("array<int>")) for label in BASE.values()])
     labels = F.array_compact(F.array(*[F.when(F.size(base[label]) > 0, F.lit(label)) for label in sorted(BASE.values())]))
     rows = rows.select("__row", *keys, "n_words", places.alias("__places"), labels.alias("__base"), F.col("__read.keyed").alias("__keyed"), F.col("__read.hits").alias("__hits"))
+    rows = materialize(rows, "licences")  # a row for each text, without the text; its row numbers are then fixed
     # Votes: only rows that hold a word of the index and a key phrase take part; the others keep one row without a template.
     some = F.when(F.exists(F.coalesce("__keyed", F.array().cast("array<boolean>")), lambda x: x), F.col("__hits"))
     hits = rows.select("__row", *keys, "n_words", "__places", "__base", "__keyed", F.explode_outer(some).alias("__hit"))
