@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAMES = {
     "op1_best_fit_packing": "packing",
     "op3_license_scan": "licenses",
+    "op5_ngram_jaccard_join": "jaccard_join",
     "op6_quality_classifier": "quality_trees",
     "op7_quality_rules": "quality_rules",
     "op9_language_id": "langid",
