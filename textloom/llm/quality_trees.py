@@ -2,8 +2,8 @@
 
 One pass computes the statistics of every whole text; they are stored, as both training and scoring read them. Trees grow level by
 level on quantile bins, with histograms of gradients and second derivatives, and are flattened into arrays, so that a batch of
-rows walks all trees by index arithmetic. The model is fitted on at most `most_rows` labelled rows (those with the smallest hash
-of doc_id); statistics and scores cover all rows.
+rows walks all trees by index arithmetic. The model is fitted on about `most_rows` labelled rows at most (those with the smallest
+hashes of doc_id); statistics and scores cover all rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, materialize, remainder, table
 
 THRESHOLD = 0.3
-MOST_ROWS = 40_000
+MOST_ROWS = 20_000
 FEATURES = (
     "log_bytes", "log_words", "word_length", "lower", "upper", "digit", "space", "newline", "stops", "commas", "exclaims", "bars", "symbols", "other",
     "high", "unique_words", "top_word", "short_words", "long_words", "shouted", "line_length", "dup_lines", "dup_triples", "entropy", "end_marks", "top_symbol",
@@ -134,10 +134,13 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
 
 
 def train(measured: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Forest:
-    """Fits on the labelled rows of `measured` (doc_id, statistics), at most `most_rows`; null labels are left out, and a
+    """Fits on the labelled rows of `measured` (doc_id, statistics), about `most_rows` at most; null labels are left out, and a
     doc_id with several labels or texts counts once for each."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label"))
-    rows = measured.select("doc_id", "statistics").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__label", "statistics").limit(most_rows).collect()
+    total = known.count()
+    if total > most_rows:  # by hash, so that what reaches the driver doesn't grow with the tables
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / total))
+    rows = sorted(measured.select("doc_id", "statistics").join(known, "doc_id").collect(), key=lambda r: (r["doc_id"], r["__label"], r["statistics"]))
     x = np.array([r["statistics"] for r in rows], np.float32).reshape(-1, len(FEATURES))
     return grow(x, np.array([r["__label"] for r in rows], float))
 

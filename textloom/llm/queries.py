@@ -15,7 +15,9 @@ NAMES = {
     "op5_ngram_jaccard_join": "jaccard_join",
     "op6_quality_classifier": "quality_trees",
     "op7_quality_rules": "quality_rules",
+    "op8_html_extraction": "html_extract",
     "op9_language_id": "langid",
+    "op10_collision_neighbours": "neighbours",
 }
 
 
