@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 NAMES = {
     "op1_best_fit_packing": "packing",
+    "op2_language_model": "language_model",
     "op3_license_scan": "licenses",
     "op5_ngram_jaccard_join": "jaccard_join",
     "op6_quality_classifier": "quality_trees",
