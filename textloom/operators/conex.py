@@ -1,0 +1,75 @@
+"""Concept expansion: words that co-occur with seed words, and words that co-occur with those, by linear scores.
+
+A hop takes source words to all words c of their sentences, with k(c) the number of distinct sources that c meets and
+n(c) the sum over sources and their sentences of how often c is there. The score is df * g + k * a + n * b, and words
+that reach the threshold survive; sources aren't left out.
+
+n needs no pairs: it is the sum over sentences of (sources there) * tf. Only k does, and its pairs are counted with partial
+aggregation before the shuffle.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KEY = ["doc_id", "spos"]
+
+
+@dataclass(frozen=True)
+class ConexParams:
+    """Weights of the two hops (a: sources met, b: co-occurrences, g: sentences with the word) and their thresholds."""
+
+    a1: float = 50.0
+    b1: float = 0.0
+    g1: float = -1.0
+    t1: float = 100.0
+    a2: float = 50.0
+    b2: float = 0.0
+    g2: float = -1.0
+    t2: float = 100.0
+
+    @classmethod
+    def from_vector(cls, v, threshold: float = 0.0) -> ConexParams:
+        """Six weights in the order of a particle's position; both thresholds are fixed."""
+        a1, b1, g1, a2, b2, g2 = map(float, v)
+        return cls(a1, b1, g1, threshold, a2, b2, g2, threshold)
+
+    def to_vector(self) -> list[float]:
+        return [self.a1, self.b1, self.g1, self.a2, self.b2, self.g2]
+
+
+#: The weights of the shipped configuration.
+SHIPPED = ConexParams(-13.0, 23.0, -15.0, 0.0, 15.0, 13.0, -40.0, 0.0)
+
+
+def cooccurrences_for_word(posts: DataFrame, word: str) -> DataFrame:
+    """word, n: how often each word is in the sentences that hold `word`, itself included."""
+    here = posts.where(F.col("word") == word).select(*KEY)
+    return posts.join(here, KEY, "left_semi").groupBy("word").agg(F.sum("tf").alias("n"))
+
+
+def cooccurrence(posts: DataFrame, sources: DataFrame) -> DataFrame:
+    """word, k, n for every word that shares a sentence with a source (column word; repeats and unknown words drop out)."""
+    found = posts.select(*KEY, F.col("word").alias("source")).join(sources.select(F.col("word").alias("source")).distinct(), "source", "left_semi")
+    pairs = found.join(posts.select(*KEY, "word", "tf"), KEY).groupBy("word", "source").agg(F.sum("tf").alias("n"))
+    return pairs.groupBy("word").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+
+
+def hop(posts: DataFrame, df: DataFrame, sources: DataFrame, a: float, b: float, g: float) -> DataFrame:
+    """word, df, k, n, fitness of one hop."""
+    found = cooccurrence(posts, sources).join(df, "word")
+    return found.select("word", "df", "k", "n", (F.col("df") * F.lit(g) + F.col("k") * F.lit(a) + F.col("n") * F.lit(b)).alias("fitness"))
+
+
+def survivors(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.where(F.col("fitness") >= threshold)
+
+
+def expand_concept(posts: DataFrame, seeds: DataFrame, params: ConexParams, df: DataFrame | None = None) -> DataFrame:
+    """The surviving words of the second hop with their features and fitness."""
+    df = posts.groupBy("word").agg(F.count("*").alias("df")) if df is None else df
+    first = survivors(hop(posts, df, seeds, params.a1, params.b1, params.g1), params.t1)
+    return survivors(hop(posts, df, first.select("word"), params.a2, params.b2, params.g2), params.t2)

@@ -1,0 +1,113 @@
+"""Relation extraction from seed word pairs: infix patterns of the pairs' sentences, and the pairs that good patterns yield.
+
+Input pairs are a small table (pair_idx, w1, w2); a pair that is listed twice counts twice. Pairs of a word with itself, and words
+that the corpus lacks, are errors.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+KEY = ["doc_id", "spos"]
+#: Scores and thresholds of patterns and pairs.
+PATTERN_SHORT, PATTERN_LONG, PATTERN_BAD_SIZE = 1, 5, -40
+PATTERN_PER_PAIR, PATTERN_PER_MATCH, PATTERN_THRESHOLD = 10, -2, 12
+PAIR_PER_PATTERN, PAIR_FREQUENCY, PAIR_THRESHOLD = 10, -0.1, 20
+
+
+def seed_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    if any(a == b for a, b in pairs):
+        raise ValueError("a pair needs two different words")
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair_idx int, w1 string, w2 string")
+
+
+def check_known(posts: DataFrame, pairs: DataFrame) -> None:
+    words = pairs.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
+    unknown = [r["word"] for r in words.join(posts.select("word"), "word", "left_anti").limit(20).collect()]
+    if unknown:
+        raise ValueError(f"words that the corpus lacks: {unknown}")
+
+
+def pair_sentences(toks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_idx, w1, w2, doc_id, spos with the last position of each word, for sentences that hold both."""
+    words = pairs.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
+    last = toks.join(words, "word", "left_semi").groupBy(*KEY, "word").agg(F.max("pos").alias("last"))
+    left = last.select(*KEY, F.col("word").alias("w1"), F.col("last").alias("p1")).join(pairs, "w1")
+    right = last.select(*KEY, F.col("word").alias("w2"), F.col("last").alias("p2"))
+    return left.join(right, [*KEY, "w2"]).select("pair_idx", "w1", "w2", *KEY, "p1", "p2")
+
+
+def patterns(sents: DataFrame, found: DataFrame) -> DataFrame:
+    """One pattern for each pair and sentence: the tokens around and between the last places of its words."""
+    rows = found.join(sents.select(*KEY, "words"), KEY)
+    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
+    return rows.select(
+        "pair_idx",
+        *KEY,
+        F.get("words", low - 1).alias("prefix"),
+        F.slice("words", low + 2, high - low - 1).alias("infix"),
+        F.get("words", high + 1).alias("suffix"),
+        (F.col("p1") < F.col("p2")).alias("forward"),
+    )
+
+
+def score_patterns(found: DataFrame) -> DataFrame:
+    """By infix: k (pairs), n (matches), fitness, prefix and suffix where all matches agree, and the direction of the first match in
+    the order of pair, document and sentence."""
+    agreed = lambda c: F.when(F.countDistinct(F.coalesce(F.col(c), F.lit("\0"))) == 1, F.min(c)).alias(c)
+    grouped = found.groupBy("infix").agg(
+        F.countDistinct("pair_idx").alias("k"),
+        F.count("*").alias("n"),
+        agreed("prefix"),
+        agreed("suffix"),
+        F.min_by("forward", F.struct("pair_idx", *KEY)).alias("forward"),
+    )
+    size = F.when((F.size("infix") <= PATTERN_SHORT) | (F.size("infix") >= PATTERN_LONG), PATTERN_BAD_SIZE).otherwise(0)
+    return grouped.withColumn("fitness", (size + PATTERN_PER_PAIR * F.col("k") + PATTERN_PER_MATCH * F.col("n")).cast("long"))
+
+
+def pattern_survivors(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("fitness") >= PATTERN_THRESHOLD)
+
+
+def pattern_matches(sents: DataFrame, posts: DataFrame, found: DataFrame) -> DataFrame:
+    """infix, doc_id, spos, w1, w2 for sentences where the pattern stands at the first place of its first token. A right word "the"
+    gives way to the next token. Matches without a word on either side drop out, and patterns without a token match nothing."""
+    first = found.where(F.size("infix") > 0).select("infix", "forward", F.get("infix", 0).alias("word"))
+    places = posts.select(*KEY, "word", "first_pos").join(first, "word")
+    rows = places.join(sents.select(*KEY, "words"), KEY).where(F.slice("words", F.col("first_pos") + 1, F.greatest(F.size("infix"), F.lit(1))) == F.col("infix"))
+    after = F.col("first_pos") + F.size("infix")
+    left = F.get("words", F.col("first_pos") - 1)
+    right = F.when(F.get("words", after) == "the", F.get("words", after + 1)).otherwise(F.get("words", after))
+    rows = rows.select("infix", *KEY, F.when(F.col("forward"), left).otherwise(right).alias("w1"), F.when(F.col("forward"), right).otherwise(left).alias("w2"))
+    return rows.where("w1 is not null and w2 is not null")
+
+
+def score_pairs(matches: DataFrame, df: DataFrame, n_sentences: int) -> DataFrame:
+    """w1, w2, patterns, fitness. The frequency term is truncated to a whole number, which makes it 0 for all words."""
+    grouped = matches.groupBy("w1", "w2").agg(F.countDistinct("infix").alias("patterns"))
+    term = lambda c: (F.col(c) * F.lit(PAIR_FREQUENCY / n_sentences)).cast("float").cast("smallint").cast("long")
+    known = grouped.join(df.select(F.col("word").alias("w1"), F.col("df").alias("df1")), "w1").join(df.select(F.col("word").alias("w2"), F.col("df").alias("df2")), "w2")
+    return known.select("w1", "w2", "patterns", (term("df1") + term("df2") + PAIR_PER_PATTERN * F.col("patterns")).alias("fitness"))
+
+
+def pair_survivors(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("fitness") >= PAIR_THRESHOLD)
+
+
+def grouped(pairs: DataFrame) -> DataFrame:
+    """w1 with its w2 in order of falling fitness, then word."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("fitness")).alias("f"), "w2")))
+    return pairs.groupBy("w1").agg(F.transform(ordered, lambda x: x["w2"]).alias("w2s"))
+
+
+def relate(sents: DataFrame, toks: DataFrame, posts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All stages once: surviving pairs with fitness."""
+    df = posts.groupBy("word").agg(F.count("*").alias("df"))
+    good = pattern_survivors(score_patterns(patterns(sents, pair_sentences(toks, pairs))))
+    return pair_survivors(score_pairs(pattern_matches(sents, posts, good), df, sents.count()))
+
+
+def ranked(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fitness"), "w1", "w2")))

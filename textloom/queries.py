@@ -1,11 +1,520 @@
-"""The queries over the reference operators."""
+"""The queries over the operators, and the same in DuckDB SQL. Arrays are joined to text, counts are bigint, doubles come from whole
+numbers or are rounded, so that both sides can be compared by value."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, strip_markup
+from textloom.operators import conex, corpus, metrics, pareto, relex
+from textloom.operators.conex import SHIPPED, ConexParams
+from textloom.plans import swarm, training
+from textloom.session import ship
+from textloom.sources import inputs, runs
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+SEEDS = ("oren", "schtz", "threat", "thonnd", "heenwh")
+TERMS = ("the", "of", "Frankfurt", "oren", "Quezon City", "threat", "oren")
+PAIRS = (("the", "of"), ("of", "the"), ("the", "and"), ("and", "the"), ("the", "to"))
+DEMO = ConexParams(50.0, 0.0, -1.0, 0.0, 10.0, 1.0, -2.0, 0.0)
+BOUNDS6 = [(-100.0, 100.0), (-100.0, 100.0), (-1000.0, 1000.0)] * 2
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sents(spark, d):
+    return corpus.sentences(_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _toks(spark, d):
+    return corpus.tokens(_sents(spark, d))
+
+
+def _posts(spark, d):
+    return corpus.postings(_toks(spark, d))
+
+
+def _words(spark, words):
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
+# ------------------------------------------------------------------------------------------------ segmentation and index
+BASE = r"""
+WITH s0 AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \t\n\f\r]+|\n+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ss FROM documents),
+s AS (SELECT doc_id, unnest(range(len(ss))) AS spos, unnest(ss) AS sent FROM s0),
+w0 AS (SELECT doc_id, spos, sent, regexp_extract_all(sent, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]', 0) AS words FROM s),
+t AS (SELECT doc_id, spos, unnest(range(len(words))) AS pos, unnest(words) AS word FROM w0),
+p AS (SELECT doc_id, spos, word, count(*) AS tf, min(pos) AS first_pos FROM t GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM p GROUP BY word)
+"""
+
+
+def _list(words) -> str:
+    return "(VALUES " + ", ".join(f"('{w}')" for w in words) + ") v(word)"
+
+
+@query("doc_sentences", BASE + "SELECT doc_id, spos::BIGINT AS spos, sent FROM s")
+def doc_sentences(spark, d):
+    return _sents(spark, d).select("doc_id", F.col("spos").cast("long").alias("spos"), "sent")
+
+
+@query("doc_tokens", BASE + "SELECT doc_id, spos::BIGINT AS spos, pos::BIGINT AS pos, word FROM t")
+def doc_tokens(spark, d):
+    return _toks(spark, d).select("doc_id", F.col("spos").cast("long").alias("spos"), F.col("pos").cast("long").alias("pos"), "word")
+
+
+@query("token_counts", BASE + "SELECT word, count(*) AS n FROM t GROUP BY word")
+def token_counts(spark, d):
+    return _toks(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("vocab_first_seen", BASE + ", f AS (SELECT word, min((doc_id, spos, pos)) AS m FROM t GROUP BY word) SELECT row_number() OVER (ORDER BY m) - 1 AS word_id, word FROM f")
+def vocab_first_seen(spark, d):
+    return corpus.vocabulary(_toks(spark, d)).select(F.col("word_id").cast("long").alias("word_id"), "word")
+
+
+@query("postings_tf", BASE + "SELECT doc_id, spos::BIGINT AS spos, word, tf FROM p")
+def postings_tf(spark, d):
+    return _posts(spark, d).select("doc_id", F.col("spos").cast("long").alias("spos"), "word", "tf")
+
+
+@query("doc_freq", BASE + "SELECT word, df FROM df")
+def doc_freq(spark, d):
+    return corpus.doc_freq(_posts(spark, d))
+
+
+@query("corpus_counts", BASE + "SELECT (SELECT count(*) FROM s) AS n_sentences, count(DISTINCT word) AS n_words, count(*) AS n_postings FROM p")
+def corpus_counts(spark, d):
+    sents = _sents(spark, d)
+    return corpus.corpus_counts(sents, corpus.postings(corpus.tokens(sents)))
+
+
+@query("sentence_decode", BASE + "SELECT doc_id, spos::BIGINT AS spos, string_agg(word, ' ' ORDER BY pos) AS sentence FROM t GROUP BY ALL")
+def sentence_decode(spark, d):
+    return corpus.decode(_toks(spark, d)).select("doc_id", F.col("spos").cast("long").alias("spos"), "sentence")
+
+
+@query("soundness_antijoin", BASE + "SELECT (SELECT count(DISTINCT word) FROM t) AS n_vocab, (SELECT count(*) FROM (SELECT DISTINCT word FROM t) v ANTI JOIN p USING (word)) AS n_unsound")
+def soundness_antijoin(spark, d):
+    toks = _toks(spark, d)
+    vocab = toks.select("word").distinct()
+    bad = corpus.unsound(vocab, corpus.postings(toks)).agg(F.count("*").alias("n_unsound")).withColumn("k", F.lit(1))
+    return vocab.agg(F.count("*").alias("n_vocab")).withColumn("k", F.lit(1)).join(bad, "k").drop("k")
+
+
+@query("doc_limit_compat", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 9")
+def doc_limit_compat(spark, d):
+    return corpus.limited(_table(spark, d, "documents").select("doc_id"), 10, compat_limit=True)
+
+
+@query("word_postings", BASE + "SELECT doc_id, spos::BIGINT AS spos FROM p WHERE word = 'oren'")
+def word_postings(spark, d):
+    return _posts(spark, d).where(F.col("word") == SEEDS[0]).select("doc_id", F.col("spos").cast("long").alias("spos"))
+
+
+def _sql_markup(column: str) -> str:
+    out = column
+    for old, new in MARKUP_LITERALS:
+        out = f"replace({out}, '{old.replace(chr(39), chr(39) * 2)}', '{new}')"
+    for pattern, new in MARKUP_PATTERNS:
+        pattern = pattern.replace("(?md)", "(?m)").replace("(?d)", "").replace("'", "''")
+        out = f"regexp_replace({out}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return out
+
+
+@query("strip_markup_pages", f"SELECT page_id, {_sql_markup('html')} AS text FROM pages")
+def strip_markup_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
+
+
+@query("word_coverage", BASE + f"SELECT word, count(*) AS n FROM {_list(TERMS)} SEMI JOIN df USING (word) GROUP BY word")
+def word_coverage(spark, d):
+    return corpus.lookup(_words(spark, TERMS), _toks(spark, d).select("word").distinct()).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("missing_words", BASE + f"SELECT word FROM {_list(TERMS)} ANTI JOIN df USING (word)")
+def missing_words(spark, d):
+    return corpus.missing(_words(spark, TERMS), _toks(spark, d).select("word").distinct())
+
+
+@query("set_request_words", "SELECT unnest(['oren', 'threat', 'oren']) AS word")
+def set_request_words(spark, d):
+    return inputs.set_request(spark.createDataFrame([('{"set": ["oren", "threat", "oren"]}',)], "value string"))
+
+
+# ----------------------------------------------------------------------------------------------------------- expansion
+def _hop_sql(name: str, sources: str, a: float, b: float, g: float) -> str:
+    return f""", {name}_pairs AS (SELECT o.word, x.word AS source, sum(o.tf)::BIGINT AS n FROM p x JOIN (SELECT DISTINCT word FROM {sources}) q ON x.word = q.word JOIN p o ON o.doc_id = x.doc_id AND o.spos = x.spos GROUP BY ALL),
+{name} AS (SELECT c.word, df, k, n, df * {g} + k * {a} + n * {b} AS fitness FROM (SELECT word, count(*) AS k, sum(n)::BIGINT AS n FROM {name}_pairs GROUP BY word) c JOIN df ON c.word = df.word)"""
+
+
+def _conex_sql(m: ConexParams, select: str) -> str:
+    one = _hop_sql("h1", _list(SEEDS), m.a1, m.b1, m.g1)
+    two = _hop_sql("h2", f"(SELECT word FROM h1 WHERE fitness >= {m.t1})", m.a2, m.b2, m.g2)
+    return BASE + one + two + " " + select
+
+
+@query("cooc_word", BASE + "SELECT o.word, sum(o.tf)::BIGINT AS n FROM p o SEMI JOIN (SELECT doc_id, spos FROM p WHERE word = 'oren') x ON o.doc_id = x.doc_id AND o.spos = x.spos GROUP BY o.word")
+def cooc_word(spark, d):
+    return conex.cooccurrences_for_word(_posts(spark, d), SEEDS[0])
+
+
+@query("conex_hop1", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
+def conex_hop1(spark, d):
+    posts = _posts(spark, d)
+    return conex.hop(posts, corpus.doc_freq(posts), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
+
+
+@query("conex_hop1_survivors", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
+def conex_hop1_survivors(spark, d):
+    return conex.survivors(conex_hop1(spark, d), DEMO.t1)
+
+
+def _expand(spark, d, m: ConexParams) -> DataFrame:
+    return conex.expand_concept(_posts(spark, d), _words(spark, SEEDS), m)
+
+
+@query("conex_hop2", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
+def conex_hop2(spark, d):
+    posts = _posts(spark, d)
+    return conex.hop(posts, corpus.doc_freq(posts), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
+
+
+@query("conex_result", _conex_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
+def conex_result(spark, d):
+    return _expand(spark, d, DEMO)
+
+
+@query("conex_default_params", _conex_sql(ConexParams(), "SELECT word FROM h2 WHERE fitness >= 100"))
+def conex_default_params(spark, d):
+    return _expand(spark, d, ConexParams()).select("word")
+
+
+@query("conex_config_params", _conex_sql(SHIPPED, "SELECT word FROM h2 WHERE fitness >= 0"))
+def conex_config_params(spark, d):
+    return _expand(spark, d, SHIPPED).select("word")
+
+
+REFERENCE = (*SEEDS, "the", "of", "stering", "eaument", "nothere")
+_PR = ", r AS (SELECT DISTINCT word FROM h2 WHERE fitness >= 0), g AS (SELECT DISTINCT word FROM " + _list(REFERENCE) + "), c AS (SELECT (SELECT count(*) FROM r) AS n_ret, (SELECT count(*) FROM g) AS n_ref, (SELECT count(*) FROM r SEMI JOIN g USING (word)) AS tp), q AS (SELECT *, CASE WHEN n_ret = 0 THEN 0 ELSE tp / n_ret END::DOUBLE AS precision, CASE WHEN n_ret = 0 THEN 0 ELSE tp / n_ref END::DOUBLE AS recall FROM c)"
+
+
+def _pr(spark, d):
+    return metrics.precision_recall(_expand(spark, d, DEMO).select("word"), _words(spark, REFERENCE))
+
+
+@query("precision_recall", _conex_sql(DEMO, "SELECT 1") .removesuffix(" SELECT 1") + _PR + " SELECT n_ret, n_ref, tp, precision, recall FROM q")
+def precision_recall(spark, d):
+    return _pr(spark, d)
+
+
+@query("f1_score", _conex_sql(DEMO, "SELECT 1").removesuffix(" SELECT 1") + _PR + " SELECT round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM q")
+def f1_score(spark, d):
+    return metrics.f1(_pr(spark, d), nan_as_zero=True).select(F.round("f1", 9).alias("f1"))
+
+
+# ----------------------------------------------------------------------------------------------------------- relations
+RELEX = (
+    BASE
+    + ", sp AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(PAIRS))
+    + """) v(pair_idx, w1, w2)),
+l AS (SELECT doc_id, spos, word, max(pos) AS last FROM t WHERE word IN (SELECT w1 FROM sp UNION SELECT w2 FROM sp) GROUP BY ALL),
+m AS (SELECT pair_idx, sp.w1, sp.w2, a.doc_id, a.spos, a.last AS p1, b.last AS p2 FROM sp JOIN l a ON a.word = sp.w1 JOIN l b ON b.word = sp.w2 AND a.doc_id = b.doc_id AND a.spos = b.spos),
+pt AS (SELECT pair_idx, m.doc_id, m.spos, words[least(p1, p2)] AS prefix, words[least(p1, p2) + 2 : greatest(p1, p2)] AS infix, words[greatest(p1, p2) + 2] AS suffix, p1 < p2 AS forward FROM m JOIN w0 ON m.doc_id = w0.doc_id AND m.spos = w0.spos),
+px AS (SELECT pair_idx, doc_id, spos, CASE WHEN prefix = '' THEN NULL ELSE prefix END AS prefix, infix, suffix, forward FROM pt),
+ps AS (SELECT infix, len(infix) AS l, count(DISTINCT pair_idx) AS k, count(*) AS n, CASE WHEN count(DISTINCT coalesce(prefix, chr(1))) = 1 THEN min(prefix) END AS prefix, CASE WHEN count(DISTINCT coalesce(suffix, chr(1))) = 1 THEN min(suffix) END AS suffix, arg_min(forward, (pair_idx, doc_id, spos)) AS forward FROM px GROUP BY infix),
+pf AS (SELECT *, (CASE WHEN l <= 1 OR l >= 5 THEN -40 ELSE 0 END + 10 * k - 2 * n)::BIGINT AS fitness FROM ps),
+pg AS (SELECT * FROM pf WHERE fitness >= 12),
+fm AS (SELECT pg.infix, pg.forward, p.doc_id, p.spos, p.first_pos, w0.words FROM pg JOIN p ON p.word = pg.infix[1] JOIN w0 ON w0.doc_id = p.doc_id AND w0.spos = p.spos WHERE len(pg.infix) > 0 AND w0.words[p.first_pos + 1 : p.first_pos + len(pg.infix)] = pg.infix),
+fx AS (SELECT infix, forward, doc_id, spos, CASE WHEN first_pos = 0 THEN NULL ELSE words[first_pos] END AS lw, CASE WHEN words[first_pos + len(infix) + 1] = 'the' THEN words[first_pos + len(infix) + 2] ELSE words[first_pos + len(infix) + 1] END AS rw FROM fm),
+fp AS (SELECT infix, doc_id, spos, CASE WHEN forward THEN lw ELSE rw END AS w1, CASE WHEN forward THEN rw ELSE lw END AS w2 FROM fx WHERE lw IS NOT NULL AND rw IS NOT NULL),
+fs AS (SELECT w1, w2, count(DISTINCT infix) AS patterns, (10 * count(DISTINCT infix))::BIGINT AS fitness FROM fp GROUP BY ALL)
+"""
+)
+
+
+def _found(spark, d):
+    return relex.pair_sentences(_toks(spark, d), relex.seed_pairs(spark, list(PAIRS)))
+
+
+def _scored(spark, d):
+    return relex.score_patterns(relex.patterns(_sents(spark, d), _found(spark, d)))
+
+
+def _matches(spark, d):
+    return relex.pattern_matches(_sents(spark, d), _posts(spark, d), relex.pattern_survivors(_scored(spark, d)))
+
+
+def _pairs(spark, d):
+    sents = _sents(spark, d)
+    return relex.score_pairs(_matches(spark, d), corpus.doc_freq(_posts(spark, d)), sents.count())
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("infix", F.array_join("infix", " "))
+
+
+@query("relex_pair_sentences", RELEX + "SELECT pair_idx, w1, w2, doc_id, spos::BIGINT AS spos, p1::BIGINT AS p1, p2::BIGINT AS p2 FROM m")
+def relex_pair_sentences(spark, d):
+    return _found(spark, d).select("pair_idx", "w1", "w2", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("spos", "p1", "p2")])
+
+
+@query("relex_patterns", RELEX + "SELECT pair_idx, doc_id, spos::BIGINT AS spos, prefix, array_to_string(infix, ' ') AS infix, suffix, forward FROM px")
+def relex_patterns(spark, d):
+    return _flat(relex.patterns(_sents(spark, d), _found(spark, d))).withColumn("spos", F.col("spos").cast("long"))
+
+
+@query("relex_pattern_scores", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, prefix, suffix, forward, fitness FROM pf")
+def relex_pattern_scores(spark, d):
+    return _flat(_scored(spark, d))
+
+
+@query("relex_pattern_survivors", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, fitness FROM pg")
+def relex_pattern_survivors(spark, d):
+    return _flat(relex.pattern_survivors(_scored(spark, d))).select("infix", "k", "n", "fitness")
+
+
+@query("relex_pattern_matches", RELEX + "SELECT array_to_string(infix, ' ') AS infix, doc_id, spos::BIGINT AS spos, w1, w2 FROM fp")
+def relex_pattern_matches(spark, d):
+    return _flat(_matches(spark, d)).withColumn("spos", F.col("spos").cast("long"))
+
+
+@query("relex_pair_scores", RELEX + "SELECT w1, w2, patterns, fitness FROM fs")
+def relex_pair_scores(spark, d):
+    return _pairs(spark, d)
+
+
+@query("relex_pair_survivors", RELEX + "SELECT w1, w2, patterns, fitness FROM fs WHERE fitness >= 20")
+def relex_pair_survivors(spark, d):
+    return relex.pair_survivors(_pairs(spark, d))
+
+
+@query("relex_pairs_grouped", RELEX + "SELECT w1, string_agg(w2, ' ' ORDER BY fitness DESC, w2) AS w2s FROM fs WHERE fitness >= 20 GROUP BY w1")
+def relex_pairs_grouped(spark, d):
+    return relex.grouped(relex.pair_survivors(_pairs(spark, d))).select("w1", F.array_join("w2s", " ").alias("w2s"))
+
+
+@query("relex_counters", RELEX + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
+def relex_counters(spark, d):
+    one = F.lit(1).alias("k")
+    a = relex.patterns(_sents(spark, d), _found(spark, d)).agg(F.count("*").alias("pattern_count")).select("*", one)
+    return a.join(_matches(spark, d).agg(F.count("*").alias("wpair_count")).select("*", one), "k").drop("k")
+
+
+# ------------------------------------------------------------------------------------------------------- fronts and swarms
+POINTS = "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS f1, embedding[2]::DOUBLE AS f2, embedding[3]::DOUBLE AS f3 FROM embeddings)"
+_DOM3 = "y.f1 >= x.f1 AND y.f2 >= x.f2 AND y.f3 >= x.f3 AND (y.f1 > x.f1 OR y.f2 > x.f2 OR y.f3 > x.f3)"
+FRONT3 = POINTS + f", fr AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE {_DOM3}))"
+CROWD = (
+    FRONT3
+    + ", cr AS (SELECT *, "
+    + " OR ".join(f"lag(f{i}) OVER (ORDER BY f{i}, vec_id) IS NULL OR lead(f{i}) OVER (ORDER BY f{i}, vec_id) IS NULL" for i in (1, 2, 3))
+    + " AS ends, "
+    + " + ".join(f"coalesce((lead(f{i}) OVER (ORDER BY f{i}, vec_id) - lag(f{i}) OVER (ORDER BY f{i}, vec_id)) / 2.0, 0)" for i in (1, 2, 3))
+    + " AS gap FROM fr), cd AS (SELECT vec_id, CASE WHEN ends THEN 1.7976931348623157e308 ELSE gap END AS distance FROM cr)"
+)
+
+
+def _points(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(f"f{i + 1}") for i in range(3)])
+
+
+@query("pareto_front_2d", "SELECT p_partkey, p_size::DOUBLE AS f1, p_retailprice AS f2 FROM part x WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_size >= x.p_size AND y.p_retailprice >= x.p_retailprice AND (y.p_size > x.p_size OR y.p_retailprice > x.p_retailprice))")
+def pareto_front_2d(spark, d):
+    part = _table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("f1"), F.col("p_retailprice").alias("f2"))
+    return pareto.pareto_front(part, ["f1", "f2"], [True, True])
+
+
+@query("pareto_front_minmax", "SELECT p_partkey, p_size::DOUBLE AS f1, p_retailprice AS f2 FROM part x WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_size >= x.p_size AND y.p_retailprice <= x.p_retailprice AND (y.p_size > x.p_size OR y.p_retailprice < x.p_retailprice))")
+def pareto_front_minmax(spark, d):
+    part = _table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("f1"), F.col("p_retailprice").alias("f2"))
+    return pareto.pareto_front(part, ["f1", "f2"], [True, False])
+
+
+def _front3(spark, d):
+    return pareto.pareto_front(_points(spark, d), ["f1", "f2", "f3"], [True] * 3)
+
+
+@query("pareto_front_3d", FRONT3 + " SELECT vec_id, f1, f2, f3 FROM fr")
+def pareto_front_3d(spark, d):
+    return _front3(spark, d)
+
+
+@query("archive_update", POINTS + f", a AS (SELECT * FROM e x WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.vec_id % 2 = 0 AND {_DOM3})), u AS (SELECT * FROM a UNION ALL SELECT * FROM e WHERE vec_id % 3 = 0) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE {_DOM3})")
+def archive_update(spark, d):
+    e = _points(spark, d)
+    old = pareto.pareto_front(e.where("vec_id % 2 = 0"), ["f1", "f2", "f3"], [True] * 3)
+    return pareto.pareto_front(old.unionByName(e.where("vec_id % 3 = 0")), ["f1", "f2", "f3"], [True] * 3)
+
+
+def _crowded(spark, d):
+    return pareto.crowding_distance(_front3(spark, d), ["f1", "f2", "f3"], [(-1.0, 1.0)] * 3, "vec_id")
+
+
+@query("crowding_distance", CROWD + " SELECT vec_id, distance > 1e300 AS is_end, CASE WHEN distance < 1e300 THEN round(distance, 9) END AS gap FROM cd")
+def crowding_distance(spark, d):
+    return _crowded(spark, d).select("vec_id", (F.col("distance") > 1e300).alias("is_end"), F.when(F.col("distance") < 1e300, F.round("distance", 9)).alias("gap"))
+
+
+@query("leader_rank_weights", CROWD + ", rk AS (SELECT vec_id, row_number() OVER (ORDER BY distance, vec_id) AS rank, count(*) OVER () AS n FROM cd) SELECT vec_id, rank, round(rank * 2.0::DOUBLE / (n * (n + 1)), 12) AS weight FROM rk")
+def leader_rank_weights(spark, d):
+    return pareto.leader_weights(_crowded(spark, d), "vec_id").select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("weight", 12).alias("weight"))
+
+
+SWARM = """WITH q AS (SELECT vec_id AS particle, list_transform(range(1, 7), lambda i: embedding[i]::DOUBLE * 100) AS pos, list_transform(range(7, 13), lambda i: embedding[i]::DOUBLE) AS vel, list_transform(range(13, 19), lambda i: embedding[i]::DOUBLE * 100) AS pbest,
+CASE WHEN vec_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE (vec_id * 37 % 101) / 100.0::DOUBLE END AS fitness, (vec_id * 53 % 101) / 100.0::DOUBLE AS pbest_fitness FROM embeddings)"""
+LEADER = ", ld AS (SELECT coalesce(arg_max(particle, (fitness, particle)), 0) AS leader FROM q WHERE NOT isnan(fitness))"
+
+
+def _swarm(spark, d):
+    part = lambda a, k: F.transform(F.slice("embedding", a, 6), lambda x: x.cast("double") * k)
+    i = F.col("vec_id")
+    return _table(spark, d, "embeddings").select(i.alias("particle"), part(1, 100.0).alias("pos"), part(7, 1.0).alias("vel"), part(13, 100.0).alias("pbest"), F.when(i % 7 == 0, float("nan")).otherwise((i * 37 % 101) / F.lit(100.0)).alias("fitness"), ((i * 53 % 101) / F.lit(100.0)).alias("pbest_fitness"))
+
+
+def _show(c: str):
+    return F.array_join(F.transform(c, lambda x: F.round(x * 1000000).cast("long").cast("string")), " ").alias(c)
+
+
+def _show_sql(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda x: round(x * 1000000)::BIGINT::VARCHAR), ' ') AS {c}"
+
+
+@query("pso_personal_best", SWARM + f", b AS (SELECT particle, CASE WHEN NOT isnan(fitness) AND fitness >= pbest_fitness THEN pos ELSE pbest END AS pbest, CASE WHEN NOT isnan(fitness) AND fitness >= pbest_fitness THEN fitness ELSE pbest_fitness END AS pbest_fitness FROM q) SELECT particle, {_show_sql('pbest')}, pbest_fitness FROM b")
+def pso_personal_best(spark, d):
+    return swarm.personal_best(_swarm(spark, d)).select("particle", _show("pbest"), "pbest_fitness")
+
+
+@query("pso_leader", SWARM + LEADER + " SELECT leader FROM ld")
+def pso_leader(spark, d):
+    return swarm.leader(_swarm(spark, d))
+
+
+_R = lambda k: f"((particle * {k} + (i - 1) * 11) % 97) / 97.0::DOUBLE"
+_LO = "CASE WHEN i IN (3, 6) THEN -1000.0 ELSE -100.0 END"
+MOVE = (
+    SWARM + LEADER + ", lp AS (SELECT pos AS lpos FROM q JOIN ld ON particle = leader), "
+    f"v AS (SELECT particle, pos, list_transform(range(1, 7), lambda i: 0.02::DOUBLE * vel[i] + 0.2::DOUBLE * ({_R(13)}) * (pbest[i] - pos[i]) + 0.2::DOUBLE * ({_R(29)}) * (lpos[i] - pos[i])) AS vel FROM q CROSS JOIN lp), "
+    f"mv AS (SELECT particle, vel, list_transform(range(1, 7), lambda i: greatest({_LO}, least(-({_LO}), pos[i] + vel[i]))) AS pos FROM v)"
+)
+
+
+@query("pso_move_step", MOVE + f" SELECT particle, {_show_sql('vel')}, {_show_sql('pos')} FROM mv")
+def pso_move_step(spark, d):
+    rows = _swarm(spark, d)
+    best = swarm.leader(rows)
+    lpos = rows.join(F.broadcast(best), F.col("particle") == F.col("leader")).select(F.col("pos").alias("lpos"))
+    r = lambda k: F.array(*[((F.col("particle") * k + i * 11) % 97) / F.lit(97.0) for i in range(6)])
+    return swarm.move(rows, lpos, swarm.Coefficients(), BOUNDS6, r(13), r(29)).select("particle", _show("vel"), _show("pos"))
+
+
+@query("mopso_personal_best", "WITH q AS (SELECT vec_id AS particle, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings) SELECT particle, NOT (c >= a AND d >= b AND (c > a OR d > b)) AS moved FROM q")
+def mopso_personal_best(spark, d):
+    f = lambda i: F.get("embedding", i).cast("double")
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").alias("particle"), F.array(F.lit(1.0)).alias("pos"), F.array(F.lit(0.0)).alias("pbest"), F.array(f(0), f(1)).alias("fitness"), F.array(f(2), f(3)).alias("pbest_fitness"))
+    return swarm.personal_best_pareto(rows, [True, True]).select("particle", (F.get("pbest", 0) == 1.0).alias("moved"))
+
+
+@query("pso_train_smoke")
+def pso_train_smoke(spark, d):
+    posts = _posts(spark, d).persist()
+    out = training.train_pso(spark, posts, _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    return runs.from_log(out.log, spark, 0, 0)
+
+
+@query("mopso_train_smoke")
+def mopso_train_smoke(spark, d):
+    posts = _posts(spark, d).persist()
+    out = training.train_mopso(spark, posts, _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    return runs.from_log(out.log, spark, 0, 0)
+
+
+# ------------------------------------------------------------------------------------------------------------- run store
+DAT = """WITH dat AS (SELECT (CASE o_orderkey % 8 WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 12 WHEN 3 THEN 2 WHEN 4 THEN 14 WHEN 5 THEN 15 WHEN 6 THEN 16 ELSE 99 END)::INT AS batch_id, (o_orderkey // 8 % 5)::INT AS irun, (o_orderkey // 40 % 11)::INT AS icycle, (o_orderkey // 440)::INT AS iparticle,
+CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE (o_orderkey * 31 % 1009) / 1024.0 END::DOUBLE AS fitness FROM orders)"""
+BATCH = "bt AS (SELECT * FROM (VALUES " + ", ".join(f"({b[0]}, {b[4]})" for b in runs.BATCHES) + ") v(batch_id, ncorpus))"
+
+
+def _dat(spark, d, raw: bool = False):
+    k = F.col("o_orderkey")
+    ids = F.get(F.array(*[F.lit(i) for i in (10, 11, 12, 2, 14, 15, 16, 99)]), (k % 8).cast("int"))
+    fitness = F.when(F.col("o_custkey") % 10 == 0, float("nan")).otherwise((k * 31 % 1009) / F.lit(1024.0))
+    whole = lambda n, m: (F.floor(k / n) % m if m else F.floor(k / n)).cast("int")
+    pos = [((k * (i + 1)) % 201 - 100).cast("double").alias(f"pos{i}") for i in range(1, 7)]
+    return _table(spark, d, "orders").select(ids.alias("batch_id"), whole(8, 5).alias("irun"), whole(40, 11).alias("icycle"), whole(440, 0).alias("iparticle"), *pos, (fitness if raw else runs.nan_to_zero(fitness)).alias("fitness"), F.lit(0.5).alias("precision"), F.lit(0.25).alias("recall"))
+
+
+@query("run_avg_by_cycle", DAT + " SELECT icycle, round(avg(fitness), 9) AS avg_fitness FROM dat GROUP BY icycle")
+def run_avg_by_cycle(spark, d):
+    return runs.avg_by_cycle(_dat(spark, d)).select("icycle", F.round("avg_fitness", 9).alias("avg_fitness"))
+
+
+@query("run_max_by_run", DAT + " SELECT irun, max(fitness) AS max_fitness FROM dat WHERE icycle = 10 GROUP BY irun")
+def run_max_by_run(spark, d):
+    return runs.max_by_run(_dat(spark, d), 10)
+
+
+@query("run_left_join_batch", DAT + ", " + BATCH + " SELECT dat.batch_id, max(ncorpus) AS ncorpus, arg_max(irun, (fitness, irun)) AS irun, max(fitness) AS max_fitness FROM dat LEFT JOIN bt ON dat.batch_id = bt.batch_id WHERE dat.batch_id IN (10, 11, 12, 2, 14, 15, 16, 17, 99) AND icycle = 10 GROUP BY dat.batch_id")
+def run_left_join_batch(spark, d):
+    return runs.best_by_batch(_dat(spark, d), runs.batches(spark), [10, 11, 12, 2, 14, 15, 16, 17, 99], 10)
+
+
+@query("run_histogram", DAT + " SELECT floor(fitness / 0.0625) * 0.0625 + 0.03125 AS bin, round(count(*) / (SELECT count(*) FROM dat)::DOUBLE, 9) AS share FROM dat GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1"))
+def run_histogram(spark, d):
+    return runs.histogram(_dat(spark, d), width=0.0625).select("bin", F.round("share", 9).alias("share"))
+
+
+@query("run_winner_last_block", DAT + ", l AS (SELECT *, max(icycle) OVER (PARTITION BY irun) AS m FROM dat), b AS (SELECT irun, max((fitness, iparticle)) AS x FROM l WHERE icycle = m GROUP BY irun) SELECT irun, x[2] AS iparticle, x[1] AS fitness FROM b")
+def run_winner_last_block(spark, d):
+    return runs.winner(_dat(spark, d)).select("irun", "iparticle", "fitness")
+
+
+@query("run_nan_to_zero", DAT + " SELECT count(*) FILTER (WHERE fitness = 0) AS n_zero, count(*) AS n FROM dat")
+def run_nan_to_zero(spark, d):
+    return _dat(spark, d, raw=True).select(runs.nan_to_zero(F.col("fitness")).alias("f")).agg(F.count_if(F.col("f") == 0).alias("n_zero"), F.count("*").alias("n"))
+
+
+@query("run_log_reshape", "SELECT (o_orderkey // 50)::INT AS icycle, (o_orderkey % 50)::INT AS iparticle, (o_orderkey % 7)::DOUBLE AS fitness, (o_orderkey % 3)::DOUBLE AS precision, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1.5 END::DOUBLE AS recall FROM orders")
+def run_log_reshape(spark, d):
+    k = F.col("o_orderkey")
+    text = F.array(*[F.lit("0")] * 6, (k % 7).cast("string"), *[F.lit("1")] * 13, (k % 3).cast("string"), F.when(k % 5 == 0, "NaN").otherwise("1.5"))
+    return runs.reshape_log(_table(spark, d, "orders").select((k + 1).alias("nr"), text.alias("f")), 50).select("icycle", "iparticle", "fitness", "precision", "recall")
+
+
+@query("run_positions", DAT + " SELECT icycle, iparticle, fitness FROM dat WHERE batch_id = 10 AND irun = 0 AND icycle IN (0, 5, 10)")
+def run_positions(spark, d):
+    rows = _dat(spark, d)
+    return rows.where((F.col("batch_id") == 10) & (F.col("irun") == 0) & F.col("icycle").isin(0, 5, 10)).select("icycle", "iparticle", "fitness")
+
+
+@query("run_batches", "SELECT * FROM (VALUES " + ", ".join(str(b) for b in runs.BATCHES) + ") v(batch_id, tpso, tfitness, tcorpus, ncorpus, nparticles, ncycles, nseed, tseed, nruns)")
+def run_batches(spark, d):
+    return runs.batches(spark)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
