@@ -13,6 +13,7 @@ NAMES = {
     "op1_best_fit_packing": "packing",
     "op2_language_model": "language_model",
     "op3_license_scan": "licenses",
+    "op4_sentencepiece": "pieces",
     "op5_ngram_jaccard_join": "jaccard_join",
     "op6_quality_classifier": "quality_trees",
     "op7_quality_rules": "quality_rules",
