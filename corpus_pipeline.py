@@ -16,6 +16,7 @@ from textloom.llm import jaccard_join, langid, packing, quality_rules
 from textloom.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SHINGLE, SIMILARITY = 5, 80  # words of a shingle, and percent from which two documents are near duplicates
 LEAST_SCORE = 0.3  # language scores under this are guesses among several languages
 BROADCAST_ROWS = 200_000
 
@@ -44,7 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates; rows that repeat it are one."""
-    verdicts = materialize(jaccard_join.near_duplicates(docs, ["doc_id"]), "near")
+    verdicts = materialize(jaccard_join.near_duplicates(docs, ["doc_id"], SIMILARITY, SHINGLE), "near")
     kept = _without(docs, verdicts.where(F.col("component_id") != F.col("doc_id")))
     repeated = materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():

@@ -15,8 +15,8 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, percent):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent, k=4):
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -201,7 +201,8 @@ def test_pipeline_stages(spark):
             assert gone == {r["doc_id"] for r in corpus_pipeline.quality_rules.check_rules(kept, ["doc_id"]).where("not kept").collect()}
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in kept.dropDuplicates(["doc_id"]).collect()]
-            want = sorted({c for _, n, c in brute(rows, 85) if n} | {i for i, n, _ in brute(rows, 85) if not n})
+            groups = brute(rows, corpus_pipeline.SIMILARITY, corpus_pipeline.SHINGLE)
+            want = sorted({c for _, n, c in groups if n} | {i for i, n, _ in groups if not n})
             assert sorted(r["doc_id"] for r in after.collect()) == want
         kept = after
     packed = corpus_pipeline.pack(spark, kept, sf).toPandas()
