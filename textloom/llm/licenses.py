@@ -170,3 +170,41 @@ def _all_of(holds: Column, which: list[int]) -> Column:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL."""
+
+    def stands(phrase: str) -> str:
+        return " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1))
+
+    def starts(phrase: str) -> str:
+        return f"list_filter(range(len(w)), lambda i: coalesce({stands(phrase)}, false))"
+
+    base = ", ".join(f"{starts(phrase)} AS b{k}" for k, phrase in enumerate(BASE))
+    keyed = ", ".join(" AND ".join(f"len({starts(p)}) > 0" for p in t[2]) + f" AS key{k}" for k, t in enumerate(TEMPLATES))
+    names = list(BASE.values())
+    labels = ", ".join(f"CASE WHEN len(b{names.index(label)}) > 0 THEN '{label}' END" for label in sorted(names))
+    index = ", ".join(f"('{w}', {t}, {q})" for w, t, q in POSTINGS)
+    rarity = ", ".join(f"('{w}', {RARITY[w]!r}::DOUBLE)" for w in INDEXED)
+    templates = ", ".join(f"({k}, '{t[0]}', {LOOKED_UP[k]})" for k, t in enumerate(TEMPLATES))
+    keys = " UNION ALL ".join(f"SELECT rid, {k} AS t FROM l_keyed WHERE key{k}" for k in range(len(TEMPLATES)))
+    return rf"""
+WITH l_words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}') AS w FROM documents),
+l_base AS (SELECT rid, doc_id, len(w) AS n_words, {base} FROM l_words),
+l_rows AS (SELECT rid, doc_id, n_words, {" || ".join(f"b{k}" for k in range(len(BASE)))} AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM l_base),
+l_keyed AS (SELECT rid, {keyed} FROM l_words),
+l_keys AS ({keys}),
+l_index AS (SELECT * FROM (VALUES {index}) v(x, t, q)),
+l_rarity AS (SELECT * FROM (VALUES {rarity}) v(x, r)),
+l_each AS (SELECT rid, unnest(range(len(w))) AS p, unnest(w) AS x FROM l_words WHERE rid IN (SELECT rid FROM l_keys)),
+l_rare AS (SELECT rid, x FROM (SELECT DISTINCT rid, x, r FROM l_each JOIN l_rarity USING (x)) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY r DESC, x) <= {RARE}),
+l_votes AS (SELECT rid, t, q, floor((p - q) / {SLACK}.0)::BIGINT AS block FROM l_each JOIN l_rare USING (rid, x) JOIN l_index USING (x) JOIN l_keys USING (rid, t)),
+l_agreed AS (SELECT rid, t, block, count(DISTINCT q) AS n FROM (SELECT rid, t, q, block FROM l_votes UNION ALL SELECT rid, t, q, block + 1 FROM l_votes) GROUP BY ALL),
+l_found AS (SELECT rid, list(DISTINCT label) AS labels, max(least(1.0, n / total::DOUBLE)) AS share FROM l_agreed JOIN (VALUES {templates}) v(t, label, total) USING (t) WHERE least(1.0, n / total::DOUBLE) >= {LEAST_SHARE} GROUP BY rid)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(round(share, 6), 0.0) END::DOUBLE AS score
+FROM l_rows LEFT JOIN l_found USING (rid)"""
+
+
+ORACLE_SQL = _sql()
