@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm import jaccard_join, langid, packing, quality_rules
 from textloom.llm.common import materialize, table
+from textloom.session import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, SIMILARITY = 5, 80  # words of a shingle, and percent from which two documents are near duplicates
 LEAST_SCORE = 0.3  # language scores under this are guesses among several languages
 BROADCAST_ROWS = 200_000
@@ -31,6 +31,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose language can't be told."""
+    ship(spark)
     model = langid.train(docs)
     found = langid.identify(docs, model, list(docs.columns))
     known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
@@ -39,12 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or whose distributions are far from their language's."""
+    ship(spark)
     verdicts = quality_rules.check_rules(docs, ["doc_id"])
     return _without(docs, verdicts.where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates; rows that repeat it are one."""
+    ship(spark)
     verdicts = materialize(jaccard_join.near_duplicates(docs, ["doc_id"], SIMILARITY, SHINGLE), "near")
     kept = _without(docs, verdicts.where(F.col("component_id") != F.col("doc_id")))
     repeated = materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
@@ -56,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 
