@@ -2,7 +2,8 @@
 
 Each whole text yields two histograms: of its characters by class, and of its words by groups of common words. They are compared
 with the reference of the document's language, the sums of the same histograms over all documents of that language, by the
-Jensen-Shannon distance. Texts under a minimum length aren't compared, as their histograms say little. Plain counts (words,
+Jensen-Shannon distance. The reference of all documents counts too, and the nearer of the two decides, as a text may be in another
+language than its row says. Texts under a minimum length aren't compared, as their histograms say little. Plain counts (words,
 symbols, repeated lines and repeated word triples) come beside.
 
 One pass reads the texts; counts and histograms are stored, summed by language, and joined back. All work on a text happens
@@ -139,7 +140,8 @@ def judge(measured: DataFrame, keep: list[str]) -> DataFrame:
     n = F.col("n_words")
     base_failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     long_enough = (n >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
-    distance = lambda own_, ref, any_: F.when(long_enough, F.round(js_distance(F.col(own_), F.coalesce(ref, any_)), 4))
+    nearer = lambda own_, ref, any_: F.least(js_distance(F.col(own_), F.coalesce(ref, any_)), js_distance(F.col(own_), any_))
+    distance = lambda own_, ref, any_: F.when(long_enough, F.round(nearer(own_, ref, any_), 4))
     rows = rows.withColumns({"base_failed": base_failed, "char_distance": distance("__chars", F.col("__ref__chars"), F.col("__any_chars")), "word_distance": distance("__common", F.col("__ref__common"), F.col("__any_common"))})
     far = F.coalesce((F.col("char_distance") > MOST_CHAR_DISTANCE) | (F.col("word_distance") > MOST_WORD_DISTANCE), F.lit(False))
     return rows.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
@@ -182,11 +184,11 @@ q_hist AS (SELECT * EXCLUDE (t, words, up, dg, mk, hi, cmn), [up, dg, mk, hi, n_
   list_append(cmn, greatest(n_words - list_sum(cmn), 0)::BIGINT) AS co FROM q_counts),
 q_refs AS (SELECT lang AS ref_lang, {sums('ch', 6)} AS rc, {sums('co', k)} AS ro FROM q_hist WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_DOCUMENTS}),
 q_any AS (SELECT {sums('ch', 6)} AS ac, {sums('co', k)} AS ao FROM q_hist),
-q_far AS (SELECT q_hist.*, {share('ch')} AS p, {share('coalesce(rc, ac)')} AS q, {share('co')} AS pw, {share('coalesce(ro, ao)')} AS qw
+q_far AS (SELECT q_hist.*, {share('ch')} AS p, {share('coalesce(rc, ac)')} AS q, {share('co')} AS pw, {share('coalesce(ro, ao)')} AS qw, {share('ac')} AS qa, {share('ao')} AS qo
   FROM q_hist LEFT JOIN q_refs ON lang = ref_lang CROSS JOIN q_any),
-q_dist AS (SELECT * EXCLUDE (p, q, pw, qw, ch, co), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  CASE WHEN n_words >= {LEAST_WORDS} AND word_chars >= {LEAST_CHARS} THEN round({js('p', 'q')}, 4) END AS char_distance,
-  CASE WHEN n_words >= {LEAST_WORDS} AND word_chars >= {LEAST_CHARS} THEN round({js('pw', 'qw')}, 4) END AS word_distance FROM q_far),
+q_dist AS (SELECT * EXCLUDE (p, q, pw, qw, qa, qo, ch, co), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words >= {LEAST_WORDS} AND word_chars >= {LEAST_CHARS} THEN round(least({js('p', 'q')}, {js('p', 'qa')}), 4) END AS char_distance,
+  CASE WHEN n_words >= {LEAST_WORDS} AND word_chars >= {LEAST_CHARS} THEN round(least({js('pw', 'qw')}, {js('pw', 'qo')}), 4) END AS word_distance FROM q_far),
 judged AS (SELECT *, NOT base_failed AND NOT coalesce(char_distance > {MOST_CHAR_DISTANCE} OR word_distance > {MOST_WORD_DISTANCE}, false) AS kept FROM q_dist)
 {tail}"""
 
