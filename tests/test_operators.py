@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import conex, corpus, metrics, pareto, relex
+from textloom.operators import corpus, expansion, metrics, pareto, relations
 
 DOCS = [
     (0, "Rome is the capital of Italy. Paris is the capital of France!\nBerlin, the capital of Germany"),
@@ -71,20 +71,20 @@ def hop_model(sents, sources, a, b, g):
     return {w: (df[w], len(k[w]), n[w], df[w] * g + len(k[w]) * a + n[w] * b) for w in n}
 
 
-@pytest.mark.parametrize("params", [conex.ConexParams(5, 1, -1, 3, 2, 1, -3, 0), conex.ConexParams(), conex.SHIPPED])
+@pytest.mark.parametrize("params", [expansion.ExpansionParams(5, 1, -1, 3, 2, 1, -3, 0), expansion.ExpansionParams(), expansion.SHIPPED])
 def test_expansion(spark, built, sents, params):
     seeds = spark.createDataFrame([("Rome",), ("Paris",), ("nowhere",), ("Rome",)], "word string")
     first = hop_model(sents, {"Rome", "Paris"}, params.a1, params.b1, params.g1)
     alive = {w for w, x in first.items() if x[3] >= params.t1}
     second = {w: x for w, x in hop_model(sents, alive, params.a2, params.b2, params.g2).items() if x[3] >= params.t2}
-    got = {r["word"]: (r["df"], r["k"], r["n"], r["fitness"]) for r in conex.expand_concept(built.postings, seeds, params).collect()}
+    got = {r["word"]: (r["df"], r["k"], r["n"], r["fitness"]) for r in expansion.expand_concept(built.postings, seeds, params).collect()}
     assert got == second
-    one = {r["word"]: r["n"] for r in conex.cooccurrences_for_word(built.postings, "Rome").collect()}
+    one = {r["word"]: r["n"] for r in expansion.cooccurrences_for_word(built.postings, "Rome").collect()}
     assert one == {w: x[2] for w, x in hop_model(sents, {"Rome"}, 0, 0, 0).items()}
 
 
 def test_params():
-    p = conex.ConexParams.from_vector([1, 2, 3, 4, 5, 6], 0.5)
+    p = expansion.ExpansionParams.from_vector([1, 2, 3, 4, 5, 6], 0.5)
     assert p.to_vector() == [1, 2, 3, 4, 5, 6] and p.t1 == p.t2 == 0.5
 
 
@@ -108,33 +108,33 @@ def relex_model(sents, pairs):
 
 def test_relations(spark, built, sents):
     pairs = [("Rome", "Italy"), ("Paris", "France"), ("Berlin", "Germany")]
-    table = relex.seed_pairs(spark, pairs)
-    relex.check_known(built.postings, table)
+    table = relations.seed_pairs(spark, pairs)
+    relations.check_known(built.postings, table)
     patterns, scores = relex_model(sents, pairs)
-    found = relex.patterns(built.sentences, relex.pair_sentences(built.tokens, table))
+    found = relations.patterns(built.sentences, relations.pair_sentences(built.tokens, table))
     assert sorted((r["pair_idx"], r["doc_id"], r["spos"], tuple(r["infix"]), r["forward"]) for r in found.collect()) == sorted((p[0], *p[1], p[3], p[5]) for p in patterns)
-    scored = relex.score_patterns(found)
+    scored = relations.score_patterns(found)
     assert {tuple(r["infix"]): (r["fitness"], r["forward"]) for r in scored.collect()} == scores
-    good = relex.pattern_survivors(scored)
+    good = relations.pattern_survivors(scored)
     assert {tuple(r["infix"]) for r in good.collect()} == {k for k, v in scores.items() if v[0] >= 12}
-    matches = relex.pattern_matches(built.sentences, built.postings, good)
+    matches = relations.pattern_matches(built.sentences, built.postings, good)
     got = {(r["w1"], r["w2"]) for r in matches.collect()}
     assert ("Oslo", "Norway") in got and ("Madrid", "Spain") in got
     assert ("Lisbon", "republic") in got  # "the" behind the pattern gives way
     assert not any("the" in p for p in got)
     with pytest.raises(ValueError):
-        relex.seed_pairs(spark, [("a", "a")])
+        relations.seed_pairs(spark, [("a", "a")])
     with pytest.raises(ValueError):
-        relex.check_known(built.postings, relex.seed_pairs(spark, [("Rome", "Atlantis")]))
+        relations.check_known(built.postings, relations.seed_pairs(spark, [("Rome", "Atlantis")]))
 
 
 def test_relation_pairs(spark):
     matches = spark.createDataFrame([(["a", "b"], "x", "y"), (["c", "d"], "x", "y"), (["a", "b"], "x", "z"), (["a", "b"], "x", "z"), (["c"], "x", "w"), (["d"], "x", "w"), (["e"], "x", "w")], "infix array<string>, w1 string, w2 string")
     df = spark.createDataFrame([(w, 5) for w in "xyzw"], "word string, df long")
-    scored = relex.score_pairs(matches, df, 10)
+    scored = relations.score_pairs(matches, df, 10)
     assert {(r["w1"], r["w2"]): r["fitness"] for r in scored.collect()} == {("x", "y"): 20, ("x", "z"): 10, ("x", "w"): 30}
-    assert [tuple(r) for r in relex.grouped(relex.pair_survivors(scored)).collect()] == [("x", ["w", "y"])]
-    assert [r["w2"] for r in relex.ranked(scored).orderBy("rank").collect()] == ["w", "y", "z"]
+    assert [tuple(r) for r in relations.grouped(relations.pair_survivors(scored)).collect()] == [("x", ["w", "y"])]
+    assert [r["w2"] for r in relations.ranked(scored).orderBy("rank").collect()] == ["w", "y", "z"]
 
 
 def test_precision_recall(spark):

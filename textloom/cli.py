@@ -7,7 +7,7 @@ import json
 import logging
 from pathlib import Path
 
-from textloom.operators import conex, corpus, relex
+from textloom.operators import corpus, expansion, relations
 from textloom.plans import training
 from textloom.session import local_session
 from textloom.sources import inputs, runs
@@ -49,15 +49,15 @@ def main(arguments: list[str] | None = None) -> None:
         corpus.check_sound(c.vocab, c.postings)
     elif a.pairs:
         pairs = inputs.pairs_request(spark, Path(a.pairs).read_text())
-        relex.check_known(c.postings, pairs)
-        for row in relex.grouped(relex.relate(c.sentences, c.tokens, c.postings, pairs)).orderBy("w1").toLocalIterator():
+        relations.check_known(c.postings, pairs)
+        for row in relations.grouped(relations.relate(c.sentences, c.tokens, c.postings, pairs)).orderBy("w1").toLocalIterator():
             print(json.dumps({row["w1"]: row["w2s"]}, ensure_ascii=False))
     elif a.config:
         terms, params = inputs.read_config(Path(a.config).read_text())
         seeds = spark.createDataFrame([(t,) for t in terms], "word string")
         for row in corpus.missing(seeds, c.vocab).collect():
             log.warning("not in the corpus: %s", row["word"])
-        for row in conex.expand_concept(c.postings, corpus.lookup(seeds, c.vocab), params).orderBy("word").toLocalIterator():
+        for row in expansion.expand_concept(c.postings, corpus.lookup(seeds, c.vocab), params).orderBy("word").toLocalIterator():
             print(row["word"])
     elif a.reference:
         reference = corpus.lookup(inputs.read_words(spark, a.reference), c.vocab)

@@ -19,7 +19,7 @@ KEY = ["doc_id", "spos"]
 
 
 @dataclass(frozen=True)
-class ConexParams:
+class ExpansionParams:
     """Weights of the two hops (a: sources met, b: co-occurrences, g: sentences with the word) and their thresholds."""
 
     a1: float = 50.0
@@ -32,7 +32,7 @@ class ConexParams:
     t2: float = 100.0
 
     @classmethod
-    def from_vector(cls, v, threshold: float = 0.0) -> ConexParams:
+    def from_vector(cls, v, threshold: float = 0.0) -> ExpansionParams:
         """Six weights in the order of a particle's position; both thresholds are fixed."""
         a1, b1, g1, a2, b2, g2 = map(float, v)
         return cls(a1, b1, g1, threshold, a2, b2, g2, threshold)
@@ -42,7 +42,7 @@ class ConexParams:
 
 
 #: The weights of the shipped configuration.
-SHIPPED = ConexParams(-13.0, 23.0, -15.0, 0.0, 15.0, 13.0, -40.0, 0.0)
+SHIPPED = ExpansionParams(-13.0, 23.0, -15.0, 0.0, 15.0, 13.0, -40.0, 0.0)
 
 
 def cooccurrences_for_word(posts: DataFrame, word: str) -> DataFrame:
@@ -68,7 +68,7 @@ def survivors(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("fitness") >= threshold)
 
 
-def expand_concept(posts: DataFrame, seeds: DataFrame, params: ConexParams, df: DataFrame | None = None) -> DataFrame:
+def expand_concept(posts: DataFrame, seeds: DataFrame, params: ExpansionParams, df: DataFrame | None = None) -> DataFrame:
     """The surviving words of the second hop with their features and fitness."""
     df = posts.groupBy("word").agg(F.count("*").alias("df")) if df is None else df
     first = survivors(hop(posts, df, seeds, params.a1, params.b1, params.g1), params.t1)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import conex, metrics
+from textloom.operators import expansion, metrics
 
 from .optimise import Callback, Result, mopso, pso
 from .swarm import Coefficients
@@ -32,16 +32,16 @@ class TrainingOptions:
     random_seed: int = 0
 
 
-class ConexFitness:
+class ExpansionFitness:
     """(particle, pos) to (particle, precision, recall, fitness = F1); NaN where nothing right is found."""
 
     def __init__(self, posts: DataFrame, seeds: DataFrame, reference: DataFrame, threshold: float = 0.0):
         self.threshold, self.reference = threshold, reference.select("word").distinct().persist()
         df = posts.groupBy("word").agg(F.count("*").alias("df"))
         self.df = df.persist()
-        self.first = conex.cooccurrence(posts, seeds).join(self.df, "word").persist()
-        sources = posts.select(*conex.KEY, F.col("word").alias("source")).join(self.first.select(F.col("word").alias("source")), "source", "left_semi")
-        self.pairs = sources.join(posts.select(*conex.KEY, "word", "tf"), conex.KEY).groupBy("source", "word").agg(F.sum("tf").alias("n")).persist()
+        self.first = expansion.cooccurrence(posts, seeds).join(self.df, "word").persist()
+        sources = posts.select(*expansion.KEY, F.col("word").alias("source")).join(self.first.select(F.col("word").alias("source")), "source", "left_semi")
+        self.pairs = sources.join(posts.select(*expansion.KEY, "word", "tf"), expansion.KEY).groupBy("source", "word").agg(F.sum("tf").alias("n")).persist()
 
     def __call__(self, particles: DataFrame) -> DataFrame:
         w = lambda d: F.get("pos", d)
@@ -67,13 +67,19 @@ def sample_seeds(reference: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def train_pso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None) -> Result:
     """Maximises F1. The result holds the winner's weights, the log of all particles and cycles, and the words that it expands to."""
-    fitness = ConexFitness(posts, seeds, reference, options.threshold)
-    out = pso(spark, fitness, BOUNDS, options.particles, options.iterations, Coefficients(), FITNESS_BOUNDS[0], options.random_seed, ("precision", "recall"), callback)
-    out.replay = conex.expand_concept(posts, seeds, conex.ConexParams.from_vector(out.position, options.threshold))
+    fitness = ExpansionFitness(posts, seeds, reference, options.threshold)
+    try:
+        out = pso(spark, fitness, BOUNDS, options.particles, options.iterations, Coefficients(), FITNESS_BOUNDS[0], options.random_seed, ("precision", "recall"), callback)
+    finally:
+        fitness.close()
+    out.replay = expansion.expand_concept(posts, seeds, expansion.ExpansionParams.from_vector(out.position, options.threshold))
     return out
 
 
 def train_mopso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None, objectives: Sequence[str] = ("precision", "recall")) -> Result:
     """The Pareto front of precision and recall; the log holds the archive of every cycle."""
-    fitness = ConexFitness(posts, seeds, reference, options.threshold)
-    return mopso(spark, fitness, objectives, BOUNDS, [(0.0, 1.0)] * len(objectives), [True] * len(objectives), options.particles, options.iterations, Coefficients(), options.random_seed, callback=callback)
+    fitness = ExpansionFitness(posts, seeds, reference, options.threshold)
+    try:
+        return mopso(spark, fitness, objectives, BOUNDS, [(0.0, 1.0)] * len(objectives), [True] * len(objectives), options.particles, options.iterations, Coefficients(), options.random_seed, callback=callback)
+    finally:
+        fitness.close()

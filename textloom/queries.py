@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, strip_markup
-from textloom.operators import conex, corpus, metrics, pareto, relex
-from textloom.operators.conex import SHIPPED, ConexParams
+from textloom.operators import corpus, expansion, metrics, pareto, relations
+from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.plans import swarm, training
 from textloom.session import ship
 from textloom.sources import inputs, runs
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEEDS = ("oren", "schtz", "threat", "thonnd", "heenwh")
 TERMS = ("the", "of", "Frankfurt", "oren", "Quezon City", "threat", "oren")
 PAIRS = (("the", "of"), ("of", "the"), ("the", "and"), ("and", "the"), ("the", "to"))
-DEMO = ConexParams(50.0, 0.0, -1.0, 0.0, 10.0, 1.0, -2.0, 0.0)
+DEMO = ExpansionParams(50.0, 0.0, -1.0, 0.0, 10.0, 1.0, -2.0, 0.0)
 BOUNDS6 = [(-100.0, 100.0), (-100.0, 100.0), (-1000.0, 1000.0)] * 2
 
 QUERIES: dict[str, Query] = {}
@@ -167,7 +167,7 @@ def _hop_sql(name: str, sources: str, a: float, b: float, g: float) -> str:
 {name} AS (SELECT c.word, df, k, n, df * {g} + k * {a} + n * {b} AS fitness FROM (SELECT word, count(*) AS k, sum(n)::BIGINT AS n FROM {name}_pairs GROUP BY word) c JOIN df ON c.word = df.word)"""
 
 
-def _conex_sql(m: ConexParams, select: str) -> str:
+def _conex_sql(m: ExpansionParams, select: str) -> str:
     one = _hop_sql("h1", _list(SEEDS), m.a1, m.b1, m.g1)
     two = _hop_sql("h2", f"(SELECT word FROM h1 WHERE fitness >= {m.t1})", m.a2, m.b2, m.g2)
     return BASE + one + two + " " + select
@@ -175,28 +175,28 @@ def _conex_sql(m: ConexParams, select: str) -> str:
 
 @query("cooc_word", BASE + "SELECT o.word, sum(o.tf)::BIGINT AS n FROM p o SEMI JOIN (SELECT doc_id, spos FROM p WHERE word = 'oren') x ON o.doc_id = x.doc_id AND o.spos = x.spos GROUP BY o.word")
 def cooc_word(spark, d):
-    return conex.cooccurrences_for_word(_posts(spark, d), SEEDS[0])
+    return expansion.cooccurrences_for_word(_posts(spark, d), SEEDS[0])
 
 
 @query("conex_hop1", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
 def conex_hop1(spark, d):
     posts = _posts(spark, d)
-    return conex.hop(posts, corpus.doc_freq(posts), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
+    return expansion.hop(posts, corpus.doc_freq(posts), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
 
 
 @query("conex_hop1_survivors", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
 def conex_hop1_survivors(spark, d):
-    return conex.survivors(conex_hop1(spark, d), DEMO.t1)
+    return expansion.survivors(conex_hop1(spark, d), DEMO.t1)
 
 
-def _expand(spark, d, m: ConexParams) -> DataFrame:
-    return conex.expand_concept(_posts(spark, d), _words(spark, SEEDS), m)
+def _expand(spark, d, m: ExpansionParams) -> DataFrame:
+    return expansion.expand_concept(_posts(spark, d), _words(spark, SEEDS), m)
 
 
 @query("conex_hop2", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
 def conex_hop2(spark, d):
     posts = _posts(spark, d)
-    return conex.hop(posts, corpus.doc_freq(posts), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
+    return expansion.hop(posts, corpus.doc_freq(posts), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
 
 
 @query("conex_result", _conex_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
@@ -204,9 +204,9 @@ def conex_result(spark, d):
     return _expand(spark, d, DEMO)
 
 
-@query("conex_default_params", _conex_sql(ConexParams(), "SELECT word FROM h2 WHERE fitness >= 100"))
+@query("conex_default_params", _conex_sql(ExpansionParams(), "SELECT word FROM h2 WHERE fitness >= 100"))
 def conex_default_params(spark, d):
-    return _expand(spark, d, ConexParams()).select("word")
+    return _expand(spark, d, ExpansionParams()).select("word")
 
 
 @query("conex_config_params", _conex_sql(SHIPPED, "SELECT word FROM h2 WHERE fitness >= 0"))
@@ -254,20 +254,20 @@ fs AS (SELECT w1, w2, count(DISTINCT infix) AS patterns, (10 * count(DISTINCT in
 
 
 def _found(spark, d):
-    return relex.pair_sentences(_toks(spark, d), relex.seed_pairs(spark, list(PAIRS)))
+    return relations.pair_sentences(_toks(spark, d), relations.seed_pairs(spark, list(PAIRS)))
 
 
 def _scored(spark, d):
-    return relex.score_patterns(relex.patterns(_sents(spark, d), _found(spark, d)))
+    return relations.score_patterns(relations.patterns(_sents(spark, d), _found(spark, d)))
 
 
 def _matches(spark, d):
-    return relex.pattern_matches(_sents(spark, d), _posts(spark, d), relex.pattern_survivors(_scored(spark, d)))
+    return relations.pattern_matches(_sents(spark, d), _posts(spark, d), relations.pattern_survivors(_scored(spark, d)))
 
 
 def _pairs(spark, d):
     sents = _sents(spark, d)
-    return relex.score_pairs(_matches(spark, d), corpus.doc_freq(_posts(spark, d)), sents.count())
+    return relations.score_pairs(_matches(spark, d), corpus.doc_freq(_posts(spark, d)), sents.count())
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def relex_pair_sentences(spark, d):
 
 @query("relex_patterns", RELEX + "SELECT pair_idx, doc_id, spos::BIGINT AS spos, prefix, array_to_string(infix, ' ') AS infix, suffix, forward FROM px")
 def relex_patterns(spark, d):
-    return _flat(relex.patterns(_sents(spark, d), _found(spark, d))).withColumn("spos", F.col("spos").cast("long"))
+    return _flat(relations.patterns(_sents(spark, d), _found(spark, d))).withColumn("spos", F.col("spos").cast("long"))
 
 
 @query("relex_pattern_scores", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, prefix, suffix, forward, fitness FROM pf")
@@ -291,7 +291,7 @@ def relex_pattern_scores(spark, d):
 
 @query("relex_pattern_survivors", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, fitness FROM pg")
 def relex_pattern_survivors(spark, d):
-    return _flat(relex.pattern_survivors(_scored(spark, d))).select("infix", "k", "n", "fitness")
+    return _flat(relations.pattern_survivors(_scored(spark, d))).select("infix", "k", "n", "fitness")
 
 
 @query("relex_pattern_matches", RELEX + "SELECT array_to_string(infix, ' ') AS infix, doc_id, spos::BIGINT AS spos, w1, w2 FROM fp")
@@ -306,18 +306,18 @@ def relex_pair_scores(spark, d):
 
 @query("relex_pair_survivors", RELEX + "SELECT w1, w2, patterns, fitness FROM fs WHERE fitness >= 20")
 def relex_pair_survivors(spark, d):
-    return relex.pair_survivors(_pairs(spark, d))
+    return relations.pair_survivors(_pairs(spark, d))
 
 
 @query("relex_pairs_grouped", RELEX + "SELECT w1, string_agg(w2, ' ' ORDER BY fitness DESC, w2) AS w2s FROM fs WHERE fitness >= 20 GROUP BY w1")
 def relex_pairs_grouped(spark, d):
-    return relex.grouped(relex.pair_survivors(_pairs(spark, d))).select("w1", F.array_join("w2s", " ").alias("w2s"))
+    return relations.grouped(relations.pair_survivors(_pairs(spark, d))).select("w1", F.array_join("w2s", " ").alias("w2s"))
 
 
 @query("relex_counters", RELEX + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
 def relex_counters(spark, d):
     one = F.lit(1).alias("k")
-    a = relex.patterns(_sents(spark, d), _found(spark, d)).agg(F.count("*").alias("pattern_count")).select("*", one)
+    a = relations.patterns(_sents(spark, d), _found(spark, d)).agg(F.count("*").alias("pattern_count")).select("*", one)
     return a.join(_matches(spark, d).agg(F.count("*").alias("wpair_count")).select("*", one), "k").drop("k")
 
 

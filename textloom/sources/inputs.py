@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.conex import ConexParams
+from textloom.operators.expansion import ExpansionParams
 
 _MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>]+)[^>]*?(/?)>", re.S)
 
@@ -101,11 +101,11 @@ def set_request(requests: DataFrame, column: str = "value") -> DataFrame:
     return requests.select(F.explode(parsed["set"]).alias("word"))
 
 
-def read_config(text: str) -> tuple[list[str], ConexParams]:
+def read_config(text: str) -> tuple[list[str], ExpansionParams]:
     """Seed terms and weights of a TOML configuration."""
     config = tomllib.loads(text)
     h = config["hyper_parameter"]
     names = ("word_frequency_boost", "set_frequency_boost", "global_term_frequency_boost_per_sentence", "survivor_threshold")
     first = [float(h[f"cooc1_{n}"]) for n in names]
     second = [float(h["cooc2_cooc1_frequency_boost"]), *[float(h[f"cooc2_{n}"]) for n in names[1:]]]
-    return list(config["seed_terms"]), ConexParams(*first, *second)
+    return list(config["seed_terms"]), ExpansionParams(*first, *second)
