@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,3 +95,36 @@ def slices(sizes: list[int], most: int, rows: int = 1 << 30):
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task under a name. Only the last name is kept, as workers serve operators in turn."""
+    if name not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        return
+
+
+def lean(run):
+    """A function over Arrow batches that gives its task's memory back at the end, as workers live on."""
+
+    @wraps(run)
+    def inner(batches, *args, **kwargs):
+        yield from run(batches, *args, **kwargs)
+        trim()
+
+    return inner

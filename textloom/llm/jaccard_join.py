@@ -15,7 +15,10 @@ those that link have its answers. Only members of a list that are still in diffe
 other, as a set's links to its pivot's links change no component. The result is exact: classes end in one component exactly if a
 chain of links joins them.
 
-Pairs are verified on whole sets, fetched for classes that are in a pair. Only counts reach the driver.
+Parities. Each class has a bit string of fixed size in which each member of the set flips one bit. Two sets differ in at least as many
+members as their strings differ in bits, so most pairs that don't link are dropped without their sets, and dropping them is exact.
+
+Pairs that are left are verified on whole sets, fetched for classes that are in a pair. Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, table
+from .common import as_bytes, held, lean, materialize, table
 
 BUCKETS = 1 << 18
 BLOCK = 64
 BROADCAST_ROWS = 400_000
-WORDS = 400_000
+PARITY_BITS = 512
+FLUSH = 200_000
+WORDS = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -47,15 +52,12 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def shingle_set(text: bytes, k: int = 4) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words one hash of them all; without a word none."""
     words = text.lower().split()  # of bytes: A-Z, and white space as in [\x20\x09-\x0D]
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(held("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
     width = min(k, len(words))
     n = len(words) - width + 1
     with np.errstate(over="ignore"):
@@ -73,6 +75,12 @@ def signature(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)))))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of members fall on it."""
+    flips = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -83,15 +91,17 @@ def needed(a, b, percent: int):
 
 
 # ------------------------------------------------------------------------------------------------- sets, sketch and index
+@lean
 def _signatures(batches, k: int, names: list[str]):
     """Rows of the documents; at the end one row with the loads that the task's classes put on the sketch's buckets."""
     loads, seen, kinds = np.zeros(BUCKETS, np.int64), set(), None
     for batch in batches:
-        size, sig, put = [], [], []
+        size, sig, put, bits = [], [], [], []
         for text in as_bytes(batch.column(len(names))):
             s = shingle_set(text, k)
             size.append(len(s))
             sig.append(signature(s))
+            bits.append(parity(s))
             if sig[-1] not in seen:
                 if len(seen) < 1_000_000:  # beyond, some copies add to the loads, which only order the shingles
                     seen.add(sig[-1])
@@ -100,9 +110,9 @@ def _signatures(batches, k: int, names: list[str]):
             loads += np.bincount(np.concatenate(put), minlength=BUCKETS)
         kept = [batch.column(i) for i in range(len(names))]
         kinds = [c.type for c in kept]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(size), pa.binary())], [*names, "n_shingles", "sig", "loads"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(size), pa.binary())], [*names, "n_shingles", "sig", "bits", "loads"])
     if kinds is not None:
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([loads.astype("<i8").tobytes()], pa.binary())], [*names, "n_shingles", "sig", "loads"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([loads.astype("<i8").tobytes()], pa.binary())], [*names, "n_shingles", "sig", "bits", "loads"])
 
 
 def _add_loads(batches):
@@ -113,6 +123,7 @@ def _add_loads(batches):
     yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["loads"])
 
 
+@lean
 def _prefixes(batches, k: int, percent: int, rank: np.ndarray):
     seen: set[int] = set()
     for batch in batches:
@@ -136,6 +147,7 @@ def _prefixes(batches, k: int, percent: int, rank: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shingle, sig, size, place)], ["shingle", "sig", "n", "pos"])
 
 
+@lean
 def _shared(batches):
     """Of entries sorted by shingle: those of lists with two classes or more, each once."""
     names = ["shingle", "sig", "n", "pos"]
@@ -165,42 +177,55 @@ def _shared_of(columns, names):
 
 
 # ------------------------------------------------------------------------------------------------- pairs and verification
-def list_pairs(sig, n, pos, component, percent: int):
-    """Pairs of one list, sorted by size and position, that are in different components and may overlap enough."""
+def list_pairs(sig, n, pos, component, bits, percent: int):
+    """Pairs of one list, sorted by size and position, that are in different components and may link. bits: rows of uint64."""
     blocks = range(0, len(sig), BLOCK)
     least_pos = [pos[b : b + BLOCK].min() for b in blocks]
     top_size = [n[min(b + BLOCK, len(n)) - 1] for b in blocks]
     for i in range(len(sig) - 1):
         limit = np.searchsorted(n, n[i] * 100 // percent, "right")
+        parts = []
         for k in range((i + 1) // BLOCK, -(-limit // BLOCK)):
             low, high = max(i + 1, k * BLOCK), min(limit, (k + 1) * BLOCK)
             if low >= high or 1 + min(n[i] - pos[i] - 1, top_size[k] - least_pos[k] - 1) < needed(n[i], n[low], percent):
                 continue  # no set of the block leaves enough behind this position
-            j = np.arange(low, high)
-            left = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-            j = j[(left >= needed(n[i], n[j], percent)) & (component[j] != component[i])]
-            if len(j):
-                yield np.full(len(j), sig[i]), sig[j]
-
-
+            parts.append(np.arange(low, high))
+        if not parts:
+            continue
+        j = np.concatenate(parts)
+        need = needed(n[i], n[j], percent)
+        left = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+        keep = (left >= need) & (component[j] != component[i])
+        j, need = j[keep], need[keep]
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[i] + n[j] - 2 * need]
+        if len(j):
+            yield np.full(len(j), sig[i]), sig[j]
+
+
+@lean
 def _join_lists(batches, percent: int):
-    """Entries (shingle, n, pos, sig, component) sorted by shingle, n, pos, sig: pairs within each list. A list may span batches."""
+    """Entries (shingle, n, pos, sig, component, bits) sorted by shingle, n, pos, sig: pairs within each list. A list may span
+    batches."""
     held: list[np.ndarray] = []
 
     def run(columns):
-        a, b = [], []
+        a, b, size = [], [], 0
         starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
         for lo, hi in zip(starts, [*starts[1:], len(columns[0])], strict=True):
-            n, pos, sig, component = (c[lo:hi] for c in columns[1:])
-            for x, y in list_pairs(sig, n.astype(np.int64), pos.astype(np.int64), component, percent):
+            n, pos, sig, component, bits = (c[lo:hi] for c in columns[1:])
+            for x, y in list_pairs(sig, n.astype(np.int64), pos.astype(np.int64), component, bits, percent):
                 a.append(np.minimum(x, y))
                 b.append(np.maximum(x, y))
-        if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                size += len(x)
+                if size > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(5)]
+        bits = np.frombuffer(b"".join(as_bytes(batch.column(5))), np.uint64).reshape(-1, PARITY_BITS // 64)
+        now = [*[batch.column(i).to_numpy() for i in range(5)], bits]
         if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = np.searchsorted(now[0], now[0][-1], "left")
@@ -211,12 +236,33 @@ def _join_lists(batches, percent: int):
         yield from run(held)
 
 
+@lean
+def _may_link(batches, percent: int):
+    """Pairs (a, b, na, nb, x, y) whose parities leave enough overlap."""
+    for batch in batches:
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        x, y = (np.frombuffer(b"".join(as_bytes(batch.column(i))), np.uint64).reshape(-1, PARITY_BITS // 64) for i in (4, 5))
+        keep = np.bitwise_count(x ^ y).sum(axis=1) <= na + nb - 2 * needed(na, nb, percent)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+
+@lean
 def _sets(batches, k: int):
+    seen: set[int] = set()
     for batch in batches:
-        sets = [shingle_set(t, k) for t in as_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "members"])
+        sig, members = [], []
+        for text in as_bytes(batch.column(0)):
+            s = shingle_set(text, k)
+            own = signature(s)
+            if own not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(own)
+                sig.append(own)
+                members.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.binary())], ["sig", "members"])
 
 
+@lean
 def _verify(batches, percent: int):
     for batch in batches:
         a, b = as_bytes(batch.column(2)), as_bytes(batch.column(3))
@@ -258,6 +304,11 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {steps} steps on {spark.sparkContext.appName}")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows of a few long columns, to broadcast if a count finds at most BROADCAST_ROWS of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 class Join:
     """One run of the join over `docs`: rows, links and classes. `percent`: a pair links from this Jaccard similarity on."""
 
@@ -267,12 +318,13 @@ class Join:
         self.percent, self.k, self.keep, self.spark = percent, k, keep, docs.sparkSession
         long = T.LongType()
         self.texts = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in keep]).alias("key"), F.col(f"`{text}`").alias("body"))
-        schema = T.StructType([*[T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("n_shingles", long), T.StructField("sig", long), T.StructField("loads", T.BinaryType())])
+        schema = T.StructType([*[T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("n_shingles", long), T.StructField("sig", long), T.StructField("bits", T.BinaryType()), T.StructField("loads", T.BinaryType())])
         names = [f"k{i}" for i in range(len(keep))]
         source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
         both = materialize(source.mapInArrow(partial(_signatures, k=k, names=names), schema), "signatures")
         self.names = names
         self.rows = both.where(F.col("sig").isNotNull()).drop("loads")
+        self._classes: DataFrame | None = None
         loads = both.where(F.col("loads").isNotNull()).select("loads").mapInArrow(_add_loads, "loads binary").coalesce(1).mapInArrow(_add_loads, "loads binary").collect()
         self.loads = np.frombuffer(loads[0][0], "<i8") if loads else np.zeros(BUCKETS, np.int64)
 
@@ -287,19 +339,35 @@ class Join:
     def _parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes with linked, by their whole sets."""
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
-        owners = self.rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.xxhash64(*self.names)).alias("key"))
-        owners = materialize(owners, "owners")
-        keys = owners.select("key").distinct()
-        if owners.count() <= BROADCAST_ROWS:  # a checked size: 8 bytes a row
-            keys = F.broadcast(keys)
+    def classes(self) -> DataFrame:
+        """sig, key (of one of its rows), n, bits, one row for each class."""
+        if self._classes is None:
+            picked = F.min(F.struct(F.xxhash64(*self.names).alias("key"), F.col("n_shingles").alias("n"), "bits"))
+            grouped = self.rows.where("n_shingles > 0").groupBy("sig").agg(picked.alias("c")).select("sig", "c.key", "c.n", "c.bits")
+            self._classes = materialize(grouped, "classes")
+        return self._classes
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their parities let link."""
+        side = lambda s, n, x: self.classes().select(F.col("sig").alias(s), F.col("n").alias(n), F.col("bits").alias(x))
+        both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+        return both.mapInArrow(partial(_may_link, percent=self.percent), "a long, b long")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link, by their whole sets."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        owners = materialize(self.classes().join(small(wanted), "sig", "left_semi").select("sig", "key"), "owners")
+        keys, sigs = small(owners.select("key").distinct()), small(owners.select("sig"))
         found = self.texts.join(keys, "key", "left_semi").select("body").mapInArrow(partial(_sets, k=self.k), "sig long, members binary")
-        sets = materialize(found.join(owners.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-        one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a")
-        two = one.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-        return materialize(two.mapInArrow(partial(_verify, percent=self.percent), "a long, b long, linked boolean"), "verified")
+        sets = materialize(found.join(sigs, "sig", "left_semi"), "sets")
+
+        def side(name: str, members: str) -> DataFrame:
+            """The sets that stand on this side of a pair; no others are shuffled for it."""
+            return sets.join(small(pairs.select(F.col(name).alias("sig")).distinct()), "sig", "left_semi").select(F.col("sig").alias(name), F.col("members").alias(members))
+
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+        checked = both.mapInArrow(partial(_verify, percent=self.percent), "a long, b long, linked boolean")
+        return materialize(checked.where("linked").select("a", "b").distinct(), "linked")
 
     def may_link(self, a: str, b: str):
         """Size and position conditions on two entries of one list, as columns."""
@@ -309,29 +377,33 @@ class Join:
         left = 1 + F.least(na - field(a, "pos") - 1, nb - field(b, "pos") - 1)
         return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)) & (left >= need)
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between classes that join every two classes which a chain of links joins."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) between classes that join every two classes which a chain of links joins, and their components."""
         lists = self.lists()
         pivots = lists.groupBy("shingle").agg(F.min(F.struct("pos", "sig", "n")).alias("u"))
         star = lists.withColumn("v", F.struct("pos", "sig", "n")).join(pivots, "shingle").where((F.col("v.sig") != F.col("u.sig")) & self.may_link("u", "v"))
         star = materialize(star.select(F.least("u.sig", "v.sig").alias("a"), F.greatest("u.sig", "v.sig").alias("b")).distinct(), "star")
-        first = self.verified(star)
-        found = first.where("linked").select("a", "b")
+        found = self.linked(materialize(self.possible(star), "possible"))
         labels = components(found)
-        named = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        entries = named.select("shingle", "n", "pos", "sig", "component").repartition(self._parts(), "shingle").sortWithinPartitions("shingle", "n", "pos", "sig")
-        rest = entries.mapInArrow(partial(_join_lists, percent=self.percent), "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+        named = lists.join(small(labels.withColumnRenamed("node", "sig")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        named = materialize(named, "named")
+        apart = named.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
+        entries = named.join(apart, "shingle", "left_semi").join(self.classes().select("sig", "bits"), "sig").select("shingle", "n", "pos", "sig", "component", "bits")
+        entries = entries.repartition(self._parts(), "shingle").sortWithinPartitions("shingle", "n", "pos", "sig")
+        rest = entries.mapInArrow(partial(_join_lists, percent=self.percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
         rest = materialize(rest, "rest")
-        if rest.isEmpty():
-            return found
-        return materialize(found.union(self.verified(rest).where("linked").select("a", "b")), "links")
+        more = None if rest.isEmpty() else self.linked(rest)
+        if more is None or more.isEmpty():
+            return found, labels
+        every = materialize(found.union(more), "links")
+        return every, components(every)
 
     def classified(self, doc_id: str = "doc_id") -> DataFrame:
         """The columns `keep` with n_shingles and component_id, the smallest doc_id reachable by links (own if there are none).
         Rows without a word link with nothing. Rows with the same doc_id are separate documents."""
         own = F.col(self.names[self.keep.index(doc_id)])
-        filled = self.rows.where("n_shingles > 0")
-        labels = components(self.links()).withColumnRenamed("node", "sig")
+        filled = self.rows.where("n_shingles > 0").drop("bits")
+        labels = self.links()[1].withColumnRenamed("node", "sig")
         classes = filled.groupBy("sig").agg(F.min(own).alias("least")).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         classes = materialize(classes, "classes")
         ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -347,3 +419,14 @@ def near_duplicates(docs: DataFrame, keep: list[str], percent: int = 85, k: int
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same in DuckDB SQL, by all pairs that share a shingle; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE j_words AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+j_sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM j_words),
+j_each AS (SELECT rid, len(g) AS n, unnest(g) AS x FROM j_sets),
+j_pairs AS (SELECT a.rid AS ra, b.rid AS rb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM j_each a JOIN j_each b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+j_links AS (SELECT ra, rb FROM j_pairs WHERE 100 * c >= 85 * (na + nb - c)),
+j_reach AS (SELECT rid AS r, rid AS o FROM j_sets UNION SELECT r, rb AS o FROM j_reach JOIN j_links ON o = ra)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM j_sets s JOIN j_reach ON s.rid = r JOIN j_sets t ON t.rid = o GROUP BY s.rid, s.doc_id, s.g"""
