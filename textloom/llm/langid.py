@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, remainder, slices, table
+from .common import as_bytes, lean, remainder, slices, table
 
 DIMENSIONS = 8192
 BATCH_BYTES = 2_000_000
@@ -124,6 +124,7 @@ def training_rows(docs: DataFrame, training: Column, per_language: int) -> tuple
     return [r["text"].encode() for r in found], [r["lang"] for r in found]
 
 
+@lean
 def _predict(batches, model: Model | None, names: list[str]):
     for batch in batches:
         texts = as_bytes(batch.column(len(names)))

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, table
+from .common import as_bytes, held, lean, materialize, table
 
 ROWS_PER_PART = 250_000
-CACHE = 400_000
+CACHE = 250_000
 #: The pre-tokeniser's pattern and the one special token of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
@@ -77,13 +77,9 @@ class ChunkCache(dict):
         return self.pack(first) + b"".join(map(self.__getitem__, chunks))
 
 
-_CACHES: dict[str, ChunkCache] = {}
-
-
+@lean
 def _pieces(batches, path: str, end: int, capacity: int):
-    if path not in _CACHES:
-        _CACHES[path] = ChunkCache(path)
-    cache = _CACHES[path]
+    cache = held(f"chunks of {path}", lambda: ChunkCache(path))
     tail, width = np.asarray([end], "<u4").tobytes(), 4 * capacity
     for batch in batches:
         if len(cache) >= CACHE:

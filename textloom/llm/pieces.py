@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words: a run of spaces opens a word and is written in meta symbols, and a line feed is one by itself; no piece
-holds a meta symbol behind another character, or a line feed. Words over LONG characters are also cut between two characters that no piece holds side by side. Pieces don't cross
+A text is cut into words: a run of spaces opens a word and is written in meta symbols, and words end between two characters that no
+piece holds side by side, as before most punctuation. No piece holds a meta symbol behind another character. Pieces don't cross
 these cuts, so the best segmentation of a text is that of its words, and each distinct word is segmented once.
 
 Lattice. Substrings of a word, up to the longest piece, are exploded and equi-joined with the table of pieces; single characters
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, let, materialize, table
-from .language_model import head_of
+from .common import as_bytes, lean, materialize, table
+from .language_model import least_of_head
 
 META = "▁"
-HEAD = 300_000
+HEAD = 150_000
 FLUSH = 300_000
-LONG = 64
+CHUNKS = 200_000
 WORDS_PER_PART = 40_000
 MODULUS = (1 << 31) - 1
 CHUNK = re.compile(f"{META}+[^{META}\n]*|\n|[^{META}\n]+")
@@ -63,44 +64,56 @@ class Model:
         self.beside = {a + b for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False)}
 
 
+def runs(text: str) -> bool:
+    """Whether meta symbols stand side by side, so that the text can't be cut at each space alone."""
+    return "  " in text or text[:1] == " " or META in text
+
+
+def parts(word: str, beside: set[str]) -> list[str]:
+    """A word cut between characters that no piece holds side by side."""
+    out, begin = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1] not in beside:
+            out.append(word[begin:i])
+            begin = i
+    out.append(word[begin:])
+    return out
+
+
 def cut(text: str, beside: set[str]) -> list[str]:
     """Words of a text, which joined give the text with meta symbols for spaces and one before it; none of an empty text."""
-    if not text:
-        return []
-    words = CHUNK.findall(META + text.replace(" ", META))
-    if max(map(len, words)) <= LONG:
-        return words
-    out = []
-    for w in words:
-        if len(w) <= LONG:
-            out.append(w)
-            continue
-        begin = 0
-        for i in range(1, len(w)):
-            if w[i - 1 : i + 1] not in beside:
-                out.append(w[begin:i])
-                begin = i
-        out.append(w[begin:])
-    return out
+    return [p for w in CHUNK.findall(META + text.replace(" ", META)) for p in parts(w, beside)] if text else []
 
 
 def _read(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+@lean
 def _count(batches, beside: set[str]):
-    counts: Counter = Counter()
+    chunks: Counter = Counter()  # between single spaces; cut when they are written
+    others: Counter = Counter()
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts = others
+        for chunk, n in chunks.items():
+            for w in cut(chunk, beside) if chunk else [META]:
+                counts[w] += n
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        chunks.clear()
+        counts.clear()
+        return batch
 
     for batch in batches:
         for raw in as_bytes(batch.column(0)):
-            counts.update(cut(_read(raw), beside))
-            if len(counts) > FLUSH:
+            text = _read(raw)
+            if runs(text):
+                others.update(cut(text, beside))
+            elif text:
+                chunks.update(text.split(" "))
+            if len(chunks) + len(others) > FLUSH:
                 yield rows()
-                counts.clear()
-    if counts:
+    if chunks or others:
         yield rows()
 
 
@@ -111,25 +124,28 @@ def count_words(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def _best_path(edges: Column) -> Column:
-    """Edges (e, s, score, id) sorted by end and start, as the best path's edges (s, e, id), from the last to the first."""
-    start = F.struct(F.lit(0).alias("e"), F.lit(0.0).cast("double").alias("best"), F.lit(0).alias("s"), F.lit(-1).alias("id"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<struct<s:int,id:int>>").alias("back"))
+    """Edges (e, s, score, id) sorted by end and start, as the best path's edges (s, e, id), from the last to the first.
+
+    The state holds the best score so far of the current end, and of the ends before it their scores and edges (start and id in
+    one number)."""
+    pack = lambda t: F.shiftleft(t["s"].cast("long"), 32) + t["id"].cast("long") + 1
+    start = F.struct(F.lit(0).alias("e"), F.lit(0.0).cast("double").alias("best"), F.lit(0).alias("s"), F.lit(-1).alias("id"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<long>").alias("back"))
 
     def step(acc: Column, x: Column) -> Column:
-        back = F.struct(acc["s"].alias("s"), acc["id"].alias("id"))
-        scores = F.when(x["e"] > acc["e"], F.array_append(acc["scores"], acc["best"])).otherwise(acc["scores"])
-        at = lambda t: F.struct(x["e"].alias("e"), (F.get(t["scores"], x["s"]) + x["score"]).alias("best"), x["s"].alias("s"), x["id"].alias("id"), t["scores"].alias("scores"), t["back"].alias("back"))
-        grown = let(F.struct(scores.alias("scores"), F.array_append(acc["back"], back).alias("back")), at)
-        better = F.get(acc["scores"], x["s"]) + x["score"] > acc["best"]
-        replaced = F.struct(acc["e"].alias("e"), (F.get(acc["scores"], x["s"]) + x["score"]).alias("best"), x["s"].alias("s"), x["id"].alias("id"), acc["scores"].alias("scores"), acc["back"].alias("back"))
-        return F.when(x["e"] > acc["e"], grown).when(better, replaced).otherwise(acc)
+        new = x["e"] > acc["e"]
+        score = F.when(x["s"] == acc["e"], acc["best"]).otherwise(F.get(acc["scores"], x["s"])) + x["score"]
+        scores = F.when(new, F.array_append(acc["scores"], acc["best"])).otherwise(acc["scores"])
+        back = F.when(new, F.array_append(acc["back"], pack(acc))).otherwise(acc["back"])
+        taken = F.struct(x["e"].alias("e"), score.alias("best"), x["s"].alias("s"), x["id"].alias("id"), scores.alias("scores"), back.alias("back"))
+        return F.when(new | (score > acc["best"]), taken).otherwise(acc)
 
     def walk(acc: Column) -> Column:
         first = F.struct(acc["e"].alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("path"))
 
         def up(state: Column, place: Column) -> Column:
-            edge = F.get(acc["back"], place)
-            whole = F.when(place == acc["e"], F.struct(acc["s"].alias("s"), acc["id"].alias("id"))).otherwise(edge)
-            taken = let(whole, lambda w: F.struct(w["s"].alias("at"), F.array_append(state["path"], F.struct(w["s"].alias("s"), place.alias("e"), w["id"].alias("id"))).alias("path")))
+            edge = F.when(place == acc["e"], pack(acc)).otherwise(F.get(acc["back"], place))
+            s, i = F.shiftright(edge, 32).cast("int"), (edge.bitwiseAND(F.lit((1 << 32) - 1)) - 1).cast("int")
+            taken = F.struct(s.alias("at"), F.array_append(state["path"], F.struct(s.alias("s"), place.alias("e"), i.alias("id"))).alias("path"))
             return F.when(place == state["at"], taken).otherwise(state)
 
         return F.aggregate(F.sequence(acc["e"], F.lit(1), F.lit(-1)), first, up, lambda s: s["path"])
@@ -175,6 +191,7 @@ def _key(word: str) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42))))
 
 
+@lean
 def _parts(batches, head: dict, beside: set[str], names: list[str]):
     """ids with -1 for each word that isn't in the head, and those words."""
     for batch in batches:
@@ -193,6 +210,7 @@ def _parts(batches, head: dict, beside: set[str], names: list[str]):
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], [*names, "own", "rest"])
 
 
+@lean
 def _fill(batches, names: list[str]):
     for batch in batches:
         out = []
@@ -208,8 +226,8 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
     words = count_words(docs.select(F.col(f"`{text}`").alias("body")), model)
     encoded = materialize(encode_words(words, model), "encoded")
-    frequent = spark_rows(words.sparkSession, [r["word"] for r in head_of(words, head)])
-    known = {r["word"]: r["ids"] for r in encoded.join(frequent, "word").collect()}
+    known = frequent(encoded, words, head)
+    known = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True))
     own = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.StringType()))])
     rows = materialize(source.mapInArrow(partial(_parts, head=known, beside=model.beside, names=names), own).withColumn("row", F.monotonically_increasing_id()), "parts")
     tails = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(encoded, "word")
@@ -219,8 +237,12 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     return filled.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")
 
 
-def spark_rows(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string")
+def frequent(encoded: DataFrame, words: DataFrame, head: int) -> pa.Table:
+    """Rows of `encoded` for the most frequent words, at most `head`, on the driver."""
+    least = least_of_head(words, head)
+    if least is None:
+        return encoded.limit(0).toArrow()
+    return encoded.join(words.where(F.col("n") >= least).select("word"), "word", "left_semi").toArrow()
 
 
 def word_digest(ids: Column) -> Column:
@@ -228,21 +250,50 @@ def word_digest(ids: Column) -> Column:
     return F.xxhash64(F.array_join(ids, ",")).bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def _digests(batches, head: dict, beside: set[str], names: list[str]):
+class Places(dict):
+    """For a chunk between single spaces the numbers of its words: places in the head, or for other words -1 and less, by which they
+    stand in `others`."""
+
+    def __init__(self, head: dict[str, int], beside: set[str]):
+        self.head, self.cuts, self.others = head, beside, []
+
+    def of(self, words: list[str]) -> list[int]:
+        out = []
+        for w in words:
+            at = self.head.get(w)
+            if at is None:
+                self.others.append(w)
+                at = -len(self.others)
+            out.append(at)
+        return out
+
+    def __missing__(self, chunk: str) -> list[int]:
+        out = self.of(cut(chunk, self.cuts) if chunk else [META])
+        if len(self) < CHUNKS and min(out) >= 0:
+            self[chunk] = out
+        return out
+
+
+@lean
+def _digests(batches, table: pa.Table, beside: set[str], names: list[str]):
+    words = table["word"].to_pylist()
+    places = Places({w: i for i, w in enumerate(words)}, beside)
+    values = np.vstack([np.stack([table[c].to_numpy() for c in ("w_ids", "w_digest", "w_same")], axis=1), [[0, 0, 1]]])
     for batch in batches:
-        n_words, n_ids, digest, bad, keys, places = [], [], [], [], [], []
+        n_words, n_ids, digest, bad, keys, where = [], [], [], [], [], []
         for raw in as_bytes(batch.column(len(names))):
-            words = cut(_read(raw), beside)
-            found = [head.get(w) for w in words]
-            own = np.array([f if f else (0, 0, 1) for f in found], np.int64).reshape(-1, 3)
-            n_words.append(len(words))
+            text = _read(raw)
+            places.others.clear()
+            at = places.of(cut(text, beside)) if runs(text) else list(chain.from_iterable(map(places.__getitem__, text.split(" ")))) if text else []
+            at = np.array(at, np.int64)
+            own = values[np.maximum(at, -1)]  # the last row for words that aren't in the head
+            n_words.append(len(at))
             n_ids.append(int(own[:, 0].sum()))
-            digest.append(int((np.arange(1, len(words) + 1) * own[:, 1] % MODULUS).sum()))
+            digest.append(int((np.arange(1, len(at) + 1) * own[:, 1] % MODULUS).sum()))
             bad.append(int((own[:, 2] == 0).sum()))
-            rest = [i for i, f in enumerate(found) if f is None]
-            places.append([i + 1 for i in rest])
-            keys.append([_key(words[i]) for i in rest])
-        arrays = [pa.array(x, pa.int64()) for x in (n_words, n_ids, digest, bad)] + [pa.array(x, pa.list_(pa.int64())) for x in (keys, places)]
+            where.append((np.flatnonzero(at < 0) + 1).tolist())
+            keys.append([_key(w) for w in places.others])
+        arrays = [pa.array(x, pa.int64()) for x in (n_words, n_ids, digest, bad)] + [pa.array(x, pa.list_(pa.int64())) for x in (keys, where)]
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *arrays], [*names, "n_words", "n_ids", "digest", "bad", "keys", "places"])
 
 
@@ -260,13 +311,10 @@ def digest(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     same = back == F.when(plain.startswith(" "), F.substr(plain, F.lit(2))).otherwise(plain)
     encoded = encode_words(words, model).select("word", F.size("ids").cast("long").alias("w_ids"), word_digest(F.col("ids")).alias("w_digest"), F.when(same, 1).otherwise(0).cast("long").alias("w_same"))
     encoded = materialize(encoded, "encoded")
-    frequent = head_of(words, head)
-    least = frequent[-1]["n"] if frequent else None
-    top = encoded.join(words.where(F.col("n") >= least).select("word"), "word", "left_semi").collect() if frequent else []  # at most `head` and a band
-    known = {r["word"]: (r["w_ids"], r["w_digest"], r["w_same"]) for r in top}
+    top = frequent(encoded, words, head)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], *[T.StructField(c, long) for c in ("n_words", "n_ids", "digest", "bad")], T.StructField("keys", longs), T.StructField("places", longs)])
-    rows = materialize(source.mapInArrow(partial(_digests, head=known, beside=model.beside, names=names), schema).withColumn("row", F.monotonically_increasing_id()), "digests")
+    rows = materialize(source.mapInArrow(partial(_digests, table=top, beside=model.beside, names=names), schema).withColumn("row", F.monotonically_increasing_id()), "digests")
     tails = rows.select("row", F.explode(F.arrays_zip("keys", "places")).alias("t")).select("row", F.col("t.keys").alias("key"), F.col("t.places").alias("place"))
     rare = encoded.select(F.xxhash64("word").alias("key"), "w_ids", "w_digest", "w_same")
     found = tails.join(rare, "key").groupBy("row").agg(F.sum("w_ids").alias("t_ids"), F.sum(F.col("place") * F.col("w_digest") % MODULUS).alias("t_digest"), F.sum(1 - F.col("w_same")).alias("t_bad"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, remainder, table
+from .common import as_bytes, lean, materialize, remainder, table
 
 THRESHOLD = 0.3
 MOST_ROWS = 20_000
@@ -54,6 +54,7 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+@lean
 def _measure(batches, names: list[str]):
     for batch in batches:
         values = np.array([statistics(t) for t in as_bytes(batch.column(len(names)))], np.float32).reshape(-1, len(FEATURES))
@@ -145,6 +146,7 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality", most_r
     return grow(x, np.array([r["__label"] for r in rows], float))
 
 
+@lean
 def _score(batches, forest: Forest, names: list[str]):
     for batch in batches:
         x = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, len(FEATURES))
