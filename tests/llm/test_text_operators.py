@@ -126,6 +126,20 @@ def test_licences(spark):
     assert licenses.scan(odd(spark), ["doc_id"]).count() == len(ODD)
 
 
+def test_licences_among_many_index_words(spark):
+    notice = {t[0]: t[1] for t in reversed(licenses.TEMPLATES)}
+    line = notice["apache-2.0"].split()
+    prose = " ".join(w for w in licenses.INDEXED if w not in line)
+    docs = [
+        (1, prose + " " + notice["apache-2.0"], {"apache-2.0"}),
+        (2, notice["mit"] + " " + notice["bsd"], {"mit", "bsd"}),
+        (3, " ".join(notice[k] for k in ("mit", "apache-2.0", "gpl-3.0")), {"mit", "apache-2.0", "gpl-3.0"}),
+    ]
+    got = licenses.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), ["doc_id"]).collect()
+    labels = {r["doc_id"]: set(r["labels"].split(",")) for r in got}
+    assert {i: want - labels[i] for i, _, want in docs} == {1: set(), 2: set(), 3: set()}
+
+
 def r9(got):
     """Apart words may agree in position or not; the plain phrase stands in any case."""
     labels = next(r["labels"] for r in got if r["doc_id"] == 9)

@@ -1,11 +1,11 @@
 """License scans by a positional rare-token index, in DataFrame functions alone.
 
 The index holds each word of a few licence templates with its positions, and its rarity: the logarithm of templates over templates
-that hold it. For each text, the words that the index knows are listed with their positions, and its RARE rarest distinct ones
-are looked up. A posting votes for (template, position in the text less position in the template); votes of the same relative
-position (within blocks of SLACK words, each vote in its own block and the next) intersect into a match. A match counts if enough
-of the template's rare words agree and the template's mandatory key phrases stand in the text. The words' own consecutive
-matches of plain phrases (BASE) come beside.
+that hold it. For each text, the words that the index knows are listed with their positions, and all of them are looked up, so that
+prose or other notices in a text take nothing from a notice. A posting votes for (template, position in the text less position in
+the template); votes of the same relative position (within blocks of SLACK words, each vote in its own block and the next) intersect
+into a match. A match counts if enough of the template's rare words agree and the template's mandatory key phrases stand in the
+text. The words' own consecutive matches of plain phrases (BASE) come beside.
 
 Most texts hold no word of the index and end after one scan. The others list a few rows for each rare word; what is shuffled is
 keyed by the row of the input, so a hot source gathers nowhere.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import let, materialize, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 24
+RARE = 24  # rarest words of a text that ORACLE_SQL looks up; the scan looks up all of them
 SLACK = 8
 LEAST_SHARE = 0.6  # of the looked-up words of a template that agree in position
 #: Plain phrases and their labels.
@@ -121,12 +121,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         phrases = sorted({p for t in TEMPLATES for p in t[2]})
         holds = F.array(*[F.size(_starts(ws, p)) > 0 for p in phrases])
         hits = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: x["w"].isin(INDEXED))
-        rarity = F.create_map(*[F.lit(v) for w in INDEXED for v in (w, RARITY[w])])
-        order = F.sort_array(F.transform(F.array_distinct(F.transform(hits, lambda x: x["w"])), lambda w: F.struct((-F.element_at(rarity, w)).alias("r"), w.alias("w"))))
-        rare = F.transform(F.slice(order, 1, RARE), lambda x: x["w"])
-        looked = let(rare, lambda some: F.filter(hits, lambda x: F.array_contains(some, x["w"])))
         keyed = let(holds, lambda h: F.array(*[_all_of(h, [phrases.index(p) for p in t[2]]) for t in TEMPLATES]))
-        return F.struct(found.alias("base"), keyed.alias("keyed"), looked.alias("hits"))
+        return F.struct(found.alias("base"), keyed.alias("keyed"), hits.alias("hits"))
 
     rows = rows.withColumn("__read", F.when(F.size("__words") > 0, let(F.col("__words"), read)))
     base = F.col("__read.base")
