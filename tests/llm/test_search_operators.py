@@ -1,5 +1,6 @@
 import html
 import math
+import random
 
 import numpy as np
 import pytest
@@ -184,6 +185,26 @@ def test_tree_matching_is_the_largest():
     assert html_extract.matching(a, tree("q", tree("a"))) == 0
 
 
+def test_long_and_deep_pages_align_as_short_ones_do():
+    body = lambda k, n: "<div class='x'>Read more here</div>" + "<span></span>" * (k % 2) + "<hr>" + f"<div>own {k}</div><hr>" * n + "<div class='z'>All rights</div>"
+    wrapper = html_extract.induce([body(k, 8) for k in range(5)])
+    assert html_extract.main_text(body(9, 1500), wrapper) == " ".join(["own 9"] * 1500)
+    deep = lambda k: "<div>" * 400 + f"<div class='z'>All rights</div><p>own {k}</p>"
+    assert html_extract.main_text(deep(9), html_extract.induce([deep(k) for k in range(5)])) == "own 9"
+
+
+def test_split_matching_is_as_large(monkeypatch):
+    rng = random.Random(5)
+    tree = lambda depth: [rng.choice("ab"), None, [tree(depth - 1) for _ in range(rng.randrange(6) if depth else 0)]]
+    pairs = [(["r", None, [tree(2) for _ in range(9)]], ["r", None, [tree(2) for _ in range(12)]]) for _ in range(20)]
+    for a, b in pairs:
+        html_extract.shape(a), html_extract.shape(b)
+    whole = [html_extract.matching(a, b) for a, b in pairs]
+    html_extract._SIZES.clear()
+    monkeypatch.setattr(html_extract, "CELLS", 4)
+    assert [html_extract.matching(a, b) for a, b in pairs] == whole == [sum(1 for _ in html_extract.aligned(a, b)) for a, b in pairs]
+
+
 # ---------------------------------------------------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"

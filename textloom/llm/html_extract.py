@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are aligned by simple tree matching: two nodes match if their labels (tag and first class) agree, and their children are
-matched in order by dynamic programming for the largest number of matching nodes. A host's wrapper is the tree of the
+matched in order by dynamic programming for the largest number of matching nodes, at every size and depth. A host's wrapper is the tree of the
 reference page that matches the others best, where a node is constant if the nodes that it matches have the same text in two
 thirds of the other reference pages, and in two at least; all else is slots.
 Each page is then aligned with its host's wrapper: blocks at constant nodes belong to the template, blocks in slots are content.
@@ -22,6 +22,7 @@ import re
 import zlib
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, materialize, table
 
 REFERENCES = 5
-DEEPEST = 60  # levels that are aligned; deeper nodes are slots
-CELLS = 20_000  # children of one pair of nodes that are matched by dynamic programming; beyond, in step
+CELLS = 20_000  # cells of a table of children that are held at once; larger ones are split, with the same best matching
 BROADCAST_BYTES = 16_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -57,7 +57,7 @@ class Page:
     """A parsed page: nodes in document order, with label, children, own text by block, and where they stand."""
 
     def __init__(self, source: str):
-        self.label, self.children, self.tag, self.depth = ["#"], [[]], ["#"], [0]
+        self.label, self.children, self.tag = ["#"], [[]], ["#"]
         self.out, self.inside, self.headings = [False], [False], [False]  # left out, within an article or main part, headings only
         self.blocks: list[tuple[int, list[str]]] = []  # node, pieces of text
         self.text: dict[int, list[str]] = {}
@@ -147,7 +147,6 @@ class Page:
         self.tag.append(name)
         self.children.append([])
         self.children[parent].append(node)
-        self.depth.append(self.depth[parent] + 1)
         out = self.out[parent] or name in NEVER
         if not out and name not in WHOLE and name not in HEADINGS:
             out = bool(found) and (found.get("role", "").lower() in ROLES or bool(kind.strip()) and bool(MARKED.search(kind)) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower())
@@ -165,24 +164,33 @@ class Page:
     def signature(self) -> tuple:
         """The tree for a wrapper: label, text of its own blocks as a number, children."""
 
-        def tree(node: int):
+        trees = []
+        for node, label in enumerate(self.label):
             own = self.text.get(node)
-            deeper = [] if self.depth[node] >= DEEPEST else [tree(c) for c in self.children[node]]
-            return [self.label[node], zlib.crc32("\n".join(own).encode("utf-8", "surrogatepass")) if own else None, deeper]
-
-        return tree(0)
+            trees.append([label, zlib.crc32("\n".join(own).encode("utf-8", "surrogatepass")) if own else None, []])
+        for tree, children in zip(trees, self.children, strict=True):
+            tree[2] = [trees[c] for c in children]
+        return trees[0]
 
 
 # ------------------------------------------------------------------------------------------------------------- alignment
 _SHAPES: dict[tuple, int] = {}
+_NODES: list[int] = []  # nodes of a tree of each shape
 _SIZES: dict[tuple[int, int], int] = {}
 
 
 def shape(tree) -> int:
-    """Numbers a tree of labels; equal trees have equal numbers. Adds the number to the tree as its fourth entry."""
-    if len(tree) == 3:
-        key = (tree[0], tuple(shape(c) for c in tree[2]))
-        tree.append(_SHAPES.setdefault(key, len(_SHAPES)))
+    """Numbers a tree of labels; equal trees have equal numbers. Adds the number to each node as its fourth entry."""
+    order = [tree]
+    for node in order:
+        order += node[2]
+    for node in reversed(order):
+        if len(node) == 3:
+            key = (node[0], tuple(c[3] for c in node[2]))
+            number = _SHAPES.setdefault(key, len(_SHAPES))
+            if number == len(_NODES):
+                _NODES.append(1 + sum(_NODES[c] for c in key[1]))
+            node.append(number)
     return tree[3]
 
 
@@ -190,23 +198,36 @@ def matching(a, b) -> int:
     """Nodes in the largest simple matching of two trees: roots match, children match in order."""
     if a[0] != b[0]:
         return 0
-    key = (a[3], b[3])
-    found = _SIZES.get(key)
-    if found is None:
-        found = _SIZES[key] = 1 + (table_of(a, b)[-1][-1] if a[2] and b[2] else 0)
-    return found
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = (x[3], y[3])
+        if key in _SIZES:
+            todo.pop()
+            continue
+        if x[3] == y[3]:
+            _SIZES[key] = _NODES[x[3]]
+            continue
+        ours, theirs = {c[3]: c for c in x[2]}.values(), {c[3]: c for c in y[2]}.values()
+        lacking = [(c, d) for c in ours for d in theirs if c[0] == d[0] and (c[3], d[3]) not in _SIZES]
+        if lacking:
+            todo += lacking
+            continue
+        if len(x[2]) * len(y[2]) > CELLS:
+            _SIZES[key] = 1 + int(last_row(x[2], y[2])[-1])
+        else:
+            _SIZES[key] = 1 + (table_of(x[2], y[2])[-1][-1] if x[2] and y[2] else 0)
+    return _SIZES[(a[3], b[3])]
 
 
 def table_of(a, b) -> list[list[int]]:
-    """Best matches of the first i children of a with the first j of b."""
-    above = [0] * (len(b[2]) + 1)
+    """Best matches of the first i nodes of a with the first j of b."""
+    above = [0] * (len(b) + 1)
     out = [above]
-    if len(a[2]) * len(b[2]) > CELLS:
-        return [[sum(matching(x, y) for x, y in zip(a[2], b[2], strict=False))]]
-    for x in a[2]:
+    for x in a:
         row = [0]
         left = 0
-        for j, y in enumerate(b[2]):
+        for j, y in enumerate(b):
             best = above[j + 1]
             if left > best:
                 best = left
@@ -221,19 +242,47 @@ def table_of(a, b) -> list[list[int]]:
     return out
 
 
-def aligned(a, b):
-    """Pairs of nodes in the largest matching of two trees with shapes."""
-    todo = [(a, b)] if a[0] == b[0] else []
+def last_row(a, b) -> np.ndarray:
+    """Best matches of all nodes of a with the first j of b, in memory of one row."""
+    kinds = {}
+    at = np.array([kinds.setdefault(y[3], (len(kinds), y))[0] for y in b], np.int64)
+    row, weights = np.zeros(len(b) + 1, np.int64), {}
+    for x in a:
+        w = weights.get(x[3])
+        if w is None:
+            w = weights[x[3]] = np.array([matching(x, y) for _, y in kinds.values()], np.int64)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w[at]))
+    return row
+
+
+def in_order(a, b):
+    """Pairs of the largest matching of two lists of nodes in order. Lists whose table is too large are halved where the best
+    matchings of both halves add up to the most (Hirschberg), once their equal beginnings and ends are off."""
+    todo = [(a, b)]
     while todo:
-        x, y = todo.pop()
-        yield x, y
-        if not x[2] or not y[2]:
+        a, b = todo.pop()
+        if len(a) * len(b) > CELLS:
+            least = min(len(a), len(b))
+            head = next((i for i in range(least) if a[i][3] != b[i][3]), least)
+            tail = next((i for i in range(least - head) if a[-1 - i][3] != b[-1 - i][3]), least - head)
+            if head or tail:
+                yield from zip(a[:head], b[:head], strict=True)
+                yield from zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)
+                todo.append((a[head : len(a) - tail], b[head : len(b) - tail]))
+                continue
+            if len(a) == 1:
+                j = max(range(len(b)), key=lambda j: matching(a[0], b[j]))
+                if a[0][0] == b[j][0]:
+                    yield a[0], b[j]
+                continue
+            half = len(a) // 2
+            k = int(np.argmax(last_row(a[:half], b) + last_row(a[half:][::-1], b[::-1])[::-1]))
+            todo += [(a[:half], b[:k]), (a[half:], b[k:])]
             continue
-        if len(x[2]) * len(y[2]) > CELLS:
-            todo += [(c, d) for c, d in zip(x[2], y[2], strict=False) if c[0] == d[0]]
+        if not a or not b:
             continue
-        best = table_of(x, y)
-        i, j = len(x[2]), len(y[2])
+        best = table_of(a, b)
+        i, j = len(a), len(b)
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -241,12 +290,22 @@ def aligned(a, b):
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((x[2][i], y[2][j]))
+                yield a[i], b[j]
+
+
+def aligned(a, b):
+    """Pairs of nodes in the largest matching of two trees with shapes."""
+    todo = [(a, b)] if a[0] == b[0] else []
+    while todo:
+        x, y = todo.pop()
+        yield x, y
+        todo += zip(x[2], y[2], strict=True) if x[3] == y[3] else in_order(x[2], y[2])
 
 
 def _fresh() -> None:
     if len(_SHAPES) > 200_000 or len(_SIZES) > 1_000_000:
         _SHAPES.clear()
+        _NODES.clear()
         _SIZES.clear()
 
 
@@ -269,15 +328,34 @@ def induce(sources: list[str]) -> list | None:
             if x[1] is not None and x[1] == y[1]:
                 agree[id(x)] = agree.get(id(x), 0) + 1
 
-    def tree(node):
-        children = [tree(c) for c in node[2]]
-        return [node[0], node[1] if agree.get(id(node), 0) >= enough else None, children]
+    return unflatten([[x[0], x[1] if agree.get(id(x), 0) >= enough else None, len(x[2])] for x in nodes(first)])
+
+
+def nodes(tree):
+    """The nodes of a tree in document order."""
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node[2])
 
-    return tree(first)
 
+def flatten(tree) -> list:
+    """[label, text, number of children] of each node in document order, for JSON of any depth."""
+    return [[x[0], x[1], len(x[2])] for x in nodes(tree)]
 
-def _constant(tree) -> bool:
-    return tree[1] is not None or any(_constant(c) for c in tree[2])
+
+def unflatten(flat: list) -> list:
+    """A tree of its own, without shape numbers, which hold only until the tables are cleared."""
+    top: list = []
+    todo = [(top, 1)]
+    for label, text, n in flat:
+        while len(todo[-1][0]) == todo[-1][1]:
+            todo.pop()
+        children: list = []
+        todo[-1][0].append([label, text, children])
+        todo.append((children, n))
+    return top[0]
 
 
 def main_text(source: str, wrapper: list | None = None) -> str:
@@ -323,9 +401,9 @@ def _decode(raw: bytes) -> str:
 def _induce(group: pa.Table) -> pa.Table:
     sources = sorted({_decode(x) for x in as_bytes(group.column("html"))}, key=lambda s: (zlib.crc32(s.encode()), s))
     wrapper = induce(sources)
-    useful = wrapper is not None and _constant(wrapper)
+    useful = wrapper is not None and any(x[1] is not None for x in nodes(wrapper))
     host = group.column("host").slice(0, 1 if useful else 0)
-    return pa.table({"host": host.cast(pa.string()), "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))] if useful else [], pa.string())})
+    return pa.table({"host": host.cast(pa.string()), "wrapper": pa.array([json.dumps(flatten(wrapper), separators=(",", ":"))] if useful else [], pa.string())})
 
 
 def _extract(batches, names: list[str]):
@@ -338,15 +416,10 @@ def _extract(batches, names: list[str]):
                     known.clear()
                 known[wrapper] = json.loads(wrapper)
             tree = known.get(wrapper) if wrapper is not None else None
-            texts.append(main_text(_decode(raw), _plain(tree)))
+            texts.append(main_text(_decode(raw), None if tree is None else unflatten(tree)))
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
 
-def _plain(tree):
-    """A copy without shape numbers, which hold only until the tables are cleared."""
-    return None if tree is None else [tree[0], tree[1], [_plain(c) for c in tree[2]]]
-
-
 def extract(pages: DataFrame, keep: list[str], url: str = "url", source: str = "html") -> DataFrame:
     """The columns `keep` with text (empty if there is none) and n_chars, one row for each row of pages. A null page counts as
     empty; pages without a host share one."""
