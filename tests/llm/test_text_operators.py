@@ -54,6 +54,22 @@ def test_language_model_odd_rows(spark, monkeypatch):
     assert language_model.score_documents(odd(spark).limit(0), F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_language_model_learns_every_document_whole(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b c " * (1 + i % 40)) for i in range(90)], "doc_id long, text string")
+    counts = language_model.count_words(docs.select("text"))
+    assert language_model.train(docs, language_model.vocabulary(counts)).seen == sum(3 * (1 + i % 40) + 1 for i in range(90))
+
+    class Begins:
+        n = 0
+
+        def learn(self, ids, keep, target, state, rate):
+            self.n += int((keep == 0).sum())
+            return state
+
+    net = Begins()
+    assert language_model.train_on(net, [np.zeros(2000, np.int32)], 0.01) == 2000 and net.n == 1
+
+
 def test_network_is_a_distribution_and_its_gradient_right():
     net = language_model.Network(200)
     state = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)

@@ -7,8 +7,8 @@ corpus is broadcast.
 Model. A gated recurrent unit reads symbols: the WORDS most frequent words, the end of a text, and a bucket for the spelling of any other
 word. The output is factored: a softmax over CLASSES classes of MEMBERS symbols, then one within the class. A word of a bucket has the
 probability of the bucket times its smoothed share of the bucket's count, so the model is a proper distribution over all words.
-Weights are trained by backpropagation truncated to WINDOW steps, first on a bounded sample in one task, then in ROUNDS rounds
-in which every task trains on its own slice of the training documents and the weights are averaged.
+Weights are trained by backpropagation truncated to WINDOW steps: they start from a bounded sample in one task, then ROUNDS rounds
+share out all training documents, each of which is learnt whole in one round, by the task that holds it; weights are averaged.
 
 Scoring. Documents are laid end to end in slots that are read in step; the state is carried from window to window and reset where
 a document begins, so each document is scored whole.
@@ -43,11 +43,9 @@ HIDDEN = 24
 WINDOW = 32
 SLOTS = 512
 ROUNDS = 2
-SLICE = 24  # each round trains on one training document in so many
 WARM_DOCUMENTS = 1_000
 WARM_TOKENS = 1_600_000
 GROUP_BYTES = 40_000_000
-SEGMENT = 384  # tokens; documents are cut so for training, never for scoring
 FLUSH = 400_000
 
 
@@ -320,8 +318,7 @@ def windows(target: np.ndarray, begins: np.ndarray):
 
 
 def train_on(net: Network, docs: list[np.ndarray], rate: float, slots: int = 128) -> int:
-    """One pass over the documents, in segments; gives the number of tokens."""
-    docs = [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+    """One pass over the documents, the state carried through each; gives the number of tokens."""
     if not docs:
         return 0
     target, begins, _ = lay_out(docs, slots)
@@ -406,30 +403,30 @@ def _add(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 
 
-def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, slice_: int = SLICE) -> Network:
+def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Trains on the single text column `text` of `training`, which also has doc_id: first on about WARM_DOCUMENTS texts in one
-    task, then in parallel on one document in `slice_` a round."""
+    task, then in parallel on all of them, each in one of the rounds; `seen` counts the tokens of these."""
     encoder, known = Encoder(vocab), len(vocab.words)
     net = Network(known)
     frequency = np.bincount(encoder.symbols[:-1], vocab.counts, SYMBOLS).astype(float)
     frequency[END] = vocab.ends
     frequency[END + 1 : END + 1 + BUCKETS] += np.maximum(vocab.bucket_mass - np.bincount(encoder.symbols[:-1][WORDS:] - END - 1, vocab.counts[WORDS:], BUCKETS), 0)
     net.start_from(frequency)
+    net.seen = 0
     blob = pickle.dumps(vocab)
     share = min(1.0, WARM_DOCUMENTS / max(vocab.ends, 1))
     place = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30))
     warm = training.where(place < int(share * (1 << 30))).select("text").repartition(1)  # a bounded sample in one task
     for r in warm.mapInArrow(partial(_warm_up, vocab=blob, weights=net.p, known=known), "weights binary, tokens long").collect():
         net.load(np.frombuffer(r["weights"], np.float64))
-    if vocab.ends <= 2 * WARM_DOCUMENTS:
-        return net
     for k in range(rounds):
-        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(slice_)) == k).select("text")
+        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text")
         run = partial(_train_round, vocab=blob, weights=net.p, known=known, rate=0.002 / (k + 1))
         sums = materialize(part.mapInArrow(run, "weights binary, tokens long"), "weights")
         merged = sums.mapInArrow(_add, "weights binary, tokens long").coalesce(1).mapInArrow(_add, "weights binary, tokens long").collect()
         if merged:
             net.load(np.frombuffer(merged[0]["weights"], np.float64) / merged[0]["tokens"])
+            net.seen += merged[0]["tokens"]
     return net
 
 
