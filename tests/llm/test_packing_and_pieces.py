@@ -144,3 +144,16 @@ def test_digest_follows_from_the_ids(spark):
         assert (got[i]["n_words"], got[i]["n_ids"]) == (len(ws), sum(len(brute(w)) for w in ws)) and got[i]["round_trip"]
         assert got[i]["digest"] == sum((k + 1) * value[w] % pieces.MODULUS for k, w in enumerate(ws))
     assert pieces.digest(docs.limit(0), MODEL, ["doc_id"]).count() == 0
+
+
+def test_query_follows_from_whole_documents(spark, tmp_path):
+    texts = [*TEXTS, "a\u2581b", " \u2581 x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pieces.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    whole = pieces.encode(docs, MODEL, ["doc_id"]).select("doc_id", "ids", pieces.decode(F.col("ids"), MODEL).alias("back"), pieces.word_digest(F.col("ids")).alias("d")).collect()
+    assert len(got) == len(whole) == len(texts)
+    for r in whole:
+        text, own = texts[r["doc_id"]] or "", got[r["doc_id"]]
+        assert (own["n_ids"], own["digest"], own["round_trip"]) == (len(r["ids"]), r["d"] if r["ids"] else 0, r["back"] == text)
+        assert own["round_trip"] == (pieces.META not in text) and own["n_words"] == len(pieces.cut(text, MODEL.beside))

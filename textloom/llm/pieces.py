@@ -193,12 +193,14 @@ def _key(word: str) -> int:
 
 @lean
 def _parts(batches, head: dict, beside: set[str], names: list[str]):
-    """ids with -1 for each word that isn't in the head, and those words."""
+    """The number of words, ids with -1 for each word that isn't in the head, and those words."""
     for batch in batches:
-        ids, rest = [], []
+        n_words, ids, rest = [], [], []
         for raw in as_bytes(batch.column(len(names))):
             own, tail = [], []
-            for w in cut(_read(raw), beside):
+            words = cut(_read(raw), beside)
+            n_words.append(len(words))
+            for w in words:
                 known = head.get(w)
                 if known is None:
                     own.append(-1)
@@ -207,7 +209,7 @@ def _parts(batches, head: dict, beside: set[str], names: list[str]):
                     own += known
             ids.append(own)
             rest.append(tail)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], [*names, "own", "rest"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(n_words, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], [*names, "n_words", "own", "rest"])
 
 
 @lean
@@ -220,21 +222,41 @@ def _fill(batches, names: list[str]):
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(out, pa.list_(pa.int32()))], [*names, "ids"])
 
 
-def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
-    """The columns `keep` with ids (array<int>) of each whole text; a null or empty text has none. One row for each row of docs."""
+def _encoded(docs: DataFrame, model: Model, keep: list[str], text: str, head: int) -> DataFrame:
+    """The columns `keep` as k0, k1 and so on, with n_words and ids of each whole text."""
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
     words = count_words(docs.select(F.col(f"`{text}`").alias("body")), model)
     encoded = materialize(encode_words(words, model), "encoded")
     known = frequent(encoded, words, head)
     known = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True))
-    own = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.StringType()))])
+    own = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("n_words", T.LongType()), T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.StringType()))])
     rows = materialize(source.mapInArrow(partial(_parts, head=known, beside=model.beside, names=names), own).withColumn("row", F.monotonically_increasing_id()), "parts")
     tails = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(encoded, "word")
     found = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
     schema = T.StructType([*own.fields[:-2], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    filled = rows.join(found, "row", "left").select(*names, "own", "found").mapInArrow(partial(_fill, names=names), schema)
-    return filled.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")
+    return rows.join(found, "row", "left").select(*names, "n_words", "own", "found").mapInArrow(partial(_fill, names=[*names, "n_words"]), schema)
+
+
+def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
+    """The columns `keep` with ids (array<int>) of each whole text; a null or empty text has none. One row for each row of docs."""
+    found = _encoded(docs, model, keep, text, head)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
+
+
+def encode_and_decode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
+    """The columns `keep` with n_words, n_ids, digest and round_trip of each whole text, from the ids that encode() gives.
+
+    digest is 31 bits of a hash of the text's ids in order, 0 if it has none; round_trip says that the ids decode to the text (by
+    the SHA-256 of both, so that texts aren't shuffled). A null text counts as empty."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], body.alias("text"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    found = _encoded(source, model, [*names, "sha"], "text", head)
+    n_ids = F.size("ids").cast("long")
+    same = F.unhex(F.sha2(decode(F.col("ids"), model), 256)) == F.col(f"k{len(keep)}")
+    value = F.when(n_ids > 0, word_digest(F.col("ids"))).otherwise(F.lit(0)).cast("long")
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", n_ids.alias("n_ids"), value.alias("digest"), F.coalesce(same, F.lit(False)).alias("round_trip"))
 
 
 def frequent(encoded: DataFrame, words: DataFrame, head: int) -> pa.Table:
@@ -332,4 +354,4 @@ def load(path: str | None = None) -> Model:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(table(spark, sf_dir, "documents"), load(), ["doc_id"])
+    return encode_and_decode(table(spark, sf_dir, "documents"), load(), ["doc_id"])
