@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import corpus
+from textloom.operators import corpus, expansion
 from textloom.plans import optimise, swarm, training
 from textloom.sources import runs
 
@@ -28,6 +28,11 @@ def test_mopso_keeps_a_front(spark):
     assert not any((f >= x).all(axis=1)[i] and (f > x).any(axis=1)[i] for x in f for i in range(len(f)))
     tops = [g[["a", "b"]].sum(axis=1).max() for _, g in out.log.groupby("icycle")]
     assert tops == sorted(tops)
+    far = optimise.mopso(spark, identity, ["a", "b"], [(-100, 100)] * 2, [(-100, 100)] * 2, [True, True], 20, 6, swarm.Coefficients(1.5, 1.5, 0.9), seed=3).log
+    moved = far[(far[["vel1", "vel2"]] != 0).any(axis=1)]
+    assert len(moved) and (far[far.icycle == 0][["vel1", "vel2"]] == 0).all().all()
+    assert np.allclose(far[["pbest1", "pbest2"]], far[["pbest_a", "pbest_b"]])  # the identity of the best position
+    assert not np.allclose(moved[["vel1", "vel2"]], moved[["pos1", "pos2"]])
 
 
 def test_steps(spark):
@@ -51,6 +56,23 @@ def test_steps(spark):
     assert [r["pbest"] for r in swarm.personal_best_pareto(p, [True, True]).orderBy("particle").collect()] == [[1.0], [1.0], [0.0]]
 
 
+def test_scores_of_words_in_several_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 12))) for i in range(60)]
+    posts = corpus.postings(corpus.tokens(corpus.sentences(spark.createDataFrame(docs, "doc_id long, text string")))).persist()
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    pos = rng.uniform(*np.array(training.BOUNDS).T, (40, 6)) * [1, 1, 0.02, 1, 1, 0.02]
+    whole = training.ExpansionFitness(posts, words("w1", "w2"), words("w3", "w4", "none")).values(pos)
+    monkeypatch.setattr(training, "CHUNK", 5)
+    split = training.ExpansionFitness(posts, words("w1", "w2"), words("w3", "w4", "none"))
+    assert split.several and np.array_equal(split.values(pos), whole, equal_nan=True)
+    for p, (f1, precision, recall) in list(zip(pos, whole))[:4]:
+        got = {r["word"] for r in expansion.expand_concept(posts, words("w1", "w2"), expansion.ExpansionParams.from_vector(p)).collect()}
+        tp = len(got & {"w3", "w4"})
+        assert (precision, recall) == pytest.approx((tp / len(got) if got else 0, tp / 3))
+        assert np.isnan(f1) if not tp else f1 == pytest.approx(2 * tp / (len(got) + 3))
+
+
 def test_training(spark, tmp_path):
     docs = spark.createDataFrame([(0, "red green blue. red green one. two three. blue four"), (1, "green blue red. one two. five six")], "doc_id long, text string")
     posts = corpus.postings(corpus.tokens(corpus.sentences(docs))).persist()
@@ -67,3 +89,9 @@ def test_training(spark, tmp_path):
     rows = runs.from_log(two.log, spark, 4, 0)
     runs.append(rows, str(tmp_path / "dat"), reset=True)
     assert spark.read.parquet(str(tmp_path / "dat")).where("fitness = -1 and iparticle = -1").count() == len(two.log)
+    full = runs.full_log(two.log, spark)
+    assert len(full.columns) == 23 and full.count() == len(two.log)
+    runs.write_log(out.log, str(tmp_path / "swarm.tsv"))
+    back = runs.read_swarm_log(spark, str(tmp_path / "swarm.tsv"), 6).orderBy("icycle", "iparticle").toPandas()
+    assert len(runs.full_log(out.log, spark).columns) == 24 and np.allclose(back[runs.POSITIONS], out.log[runs.POSITIONS]) and back.icycle.tolist() == out.log.icycle.tolist()
+    assert np.allclose(back.fitness, out.log.fitness.fillna(0))

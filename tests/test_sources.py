@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom import cli
 from textloom.operators import corpus
@@ -70,6 +71,19 @@ def test_run_store(spark, tmp_path):
         runs.append(spark.createDataFrame([(*rows[0][:2], None, *rows[0][3:])], runs.DAT_SCHEMA), str(tmp_path / "dat"))
 
 
+def test_keys_and_summaries(spark):
+    batch = runs.batches(spark)
+    assert runs.checked_batches(batch).count() == len(runs.BATCHES)
+    with pytest.raises(ValueError, match="unique"):
+        runs.checked_batches(batch.union(batch.limit(1)))
+    with pytest.raises(ValueError, match="null"):
+        runs.checked_batches(batch.withColumn("nseed", F.lit(None).cast("int")))
+    dat = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, 6.0), (1, 1, None)], "irun int, icycle int, fitness double")
+    assert tuple(runs.summary(dat).first())[:2] == (3, 3.0) and runs.summary(dat).first()["middle"] == 2.0
+    assert runs.summary(dat.limit(0)).first()["records"] == 0
+    assert [tuple(r) for r in runs.blocks(dat).orderBy("irun").collect()] == [(0, 2, 2), (1, 1, 2)]
+
+
 def test_log(spark, tmp_path):
     line = lambda f: "\t".join(["1", "2", "3", "4", "5", "6", f, *["0"] * 13, "0.5", "NaN"])
     (tmp_path / "log").write_text("\n".join([line("0.1"), line("NaN"), "", "", line("0.3"), line("0.4"), ""]))

@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", dest="config", help="expand a concept by a TOML configuration")
     p.add_argument("-r", dest="pairs", help="extract relations by a JSON file of pairs")
     p.add_argument("-t", dest="reference", help="train against a file of words")
+    p.add_argument("--tstdin", action="store_true", help="read the seed words of the training from standard input")
+    p.add_argument("--flat", action="store_true", help="import: elements hold escaped text only, so that large files can be split")
     p.add_argument("--tmopso", action="store_true", help="train by two objectives")
     p.add_argument("--to", dest="out", default="train_swarm", help="folder of the training log")
     p.add_argument("--tnparticles", type=int, default=100)
@@ -38,13 +40,15 @@ def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = local_session("textloom-cli")
     if a.xml:
-        docs = inputs.read_xml(spark, a.xml, a.tag)
+        docs = (inputs.read_xml_rows if a.flat else inputs.read_xml)(spark, a.xml, a.tag)
         built = corpus.build(docs, a.preprocessor, corpus.parse_limit(a.limit), compat_limit=True)
         built.save(a.index)
         saved = corpus.Corpus.load(spark, a.index)
         corpus.check_sound(saved.vocab, saved.postings)
         return
     c = corpus.Corpus.load(spark, a.index)
+    counts = corpus.corpus_counts(c.sentences, c.postings).first()
+    log.info("%s sentences, %s words, %s postings", counts["n_sentences"], counts["n_words"], counts["n_postings"])
     if a.sound:
         corpus.check_sound(c.vocab, c.postings)
     elif a.pairs:
@@ -61,10 +65,11 @@ def main(arguments: list[str] | None = None) -> None:
             print(row["word"])
     elif a.reference:
         reference = corpus.lookup(inputs.read_words(spark, a.reference), c.vocab)
-        seeds = training.sample_seeds(reference, a.tnbwords)
+        seeds = inputs.words_from(spark, None, c.vocab) if a.tstdin else training.sample_seeds(reference, a.tnbwords)
         options = training.TrainingOptions(a.tnparticles, a.tniter, a.tnbwords)
         out = (training.train_mopso if a.tmopso else training.train_pso)(spark, c.postings, seeds, reference, options)
         runs.append(runs.from_log(out.log, spark, 0, 0), a.out, reset=True)
+        runs.full_log(out.log, spark).write.mode("overwrite").partitionBy("icycle").parquet(f"{a.out.rstrip('/')}.log")
         if out.replay is not None:
             for row in out.replay.orderBy("word").toLocalIterator():
                 print(row["word"])

@@ -4,15 +4,15 @@ A hop takes source words to all words c of their sentences, with k(c) the number
 n(c) the sum over sources and their sentences of how often c is there. The score is df * g + k * a + n * b, and words
 that reach the threshold survive; sources aren't left out.
 
-n needs no pairs: it is the sum over sentences of (sources there) * tf. Only k does, and its pairs are counted with partial
-aggregation before the shuffle.
+The sources of a sentence are gathered into one array, so that the join has a row for each posting; the pairs that it unfolds to are
+summed by word and source before the shuffle, and give both k and n.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["doc_id", "spos"]
@@ -41,6 +41,12 @@ class ExpansionParams:
         return [self.a1, self.b1, self.g1, self.a2, self.b2, self.g2]
 
 
+def params_column(v: Column, threshold: float = 0.0) -> Column:
+    """As ExpansionParams.from_vector, of an array column: a struct of the same names."""
+    weights = [F.get(v, i).alias(n) for i, n in enumerate(("a1", "b1", "g1", "a2", "b2", "g2"))]
+    return F.struct(*weights, F.lit(float(threshold)).alias("t1"), F.lit(float(threshold)).alias("t2"))
+
+
 #: The weights of the shipped configuration.
 SHIPPED = ExpansionParams(-13.0, 23.0, -15.0, 0.0, 15.0, 13.0, -40.0, 0.0)
 
@@ -53,8 +59,10 @@ def cooccurrences_for_word(posts: DataFrame, word: str) -> DataFrame:
 
 def cooccurrence(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """word, k, n for every word that shares a sentence with a source (column word; repeats and unknown words drop out)."""
-    found = posts.select(*KEY, F.col("word").alias("source")).join(sources.select(F.col("word").alias("source")).distinct(), "source", "left_semi")
-    pairs = found.join(posts.select(*KEY, "word", "tf"), KEY).groupBy("word", "source").agg(F.sum("tf").alias("n"))
+    wanted = sources.select("word").distinct()
+    there = posts.select(*KEY, "word").join(wanted, "word", "left_semi").groupBy(*KEY).agg(F.collect_list("word").alias("sources"))
+    met = posts.select(*KEY, "word", "tf").join(there, KEY).select("word", F.col("tf").alias("n"), F.explode("sources").alias("source"))
+    pairs = met.groupBy("word", "source").agg(F.sum("n").alias("n"))
     return pairs.groupBy("word").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
 
 

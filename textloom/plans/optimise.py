@@ -32,7 +32,9 @@ def _frame(spark: SparkSession, pos: np.ndarray) -> DataFrame:
 
 
 def _evaluate(spark: SparkSession, fitness: Fitness, pos: np.ndarray, names: Sequence[str]) -> np.ndarray:
-    """Values by particle; a particle without a row has zeros."""
+    """Values by particle; a particle without a row has zeros. A fitness that has `values` gives them without a table of particles."""
+    if hasattr(fitness, "values"):
+        return fitness.values(pos, names)
     rows = fitness(_frame(spark, pos)).select("particle", *[F.col(n).cast("double") for n in names]).collect()  # one row a particle
     out = np.zeros((len(pos), len(names)))
     for r in rows:
@@ -80,15 +82,19 @@ def crowding(points: np.ndarray, widths: np.ndarray) -> np.ndarray:
 
 def mopso(spark: SparkSession, fitness: Fitness, objectives: Sequence[str], bounds: Sequence[tuple[float, float]], fitness_bounds: Sequence[tuple[float, float]], maximise: Sequence[bool], size: int = 100, cycles: int = 100, coefficients: Coefficients = Coefficients(), seed: int = 0, dedupe: bool = False, callback: Callback | None = None) -> Result:
     """Keeps an archive of non-dominated particles, from which each particle draws a leader in each dimension, sparse regions first.
-    With dedupe equal members of the archive are kept once."""
+    A member keeps the velocity, best position and best fitness that its particle had when it came in. With dedupe members of equal
+    position and fitness are kept once."""
     rng, lo, hi = np.random.default_rng(seed), *np.array(bounds, float).T
     sign, widths = np.where(maximise, 1.0, -1.0), np.array([b - a for a, b in fitness_bounds], float)
     pos = rng.uniform(lo, hi, (size, len(lo)))
     vel, best = np.zeros_like(pos), np.zeros_like(pos)
     best_fit = np.tile([a if up else b for (a, b), up in zip(fitness_bounds, maximise, strict=True)], (size, 1)).astype(float)
-    archive_pos, archive_fit, logs = np.zeros((0, len(lo))), np.zeros((0, len(objectives))), []
+    dims, k = len(lo), len(objectives)
+    archive, logs = np.zeros((0, 3 * dims + 2 * k)), []  # of each member: position, velocity, best position, fitness, best fitness
+    parts = lambda rows: np.split(rows, [dims, 2 * dims, 3 * dims, 3 * dims + k], axis=1)
     for cycle in range(cycles + 1):
         if cycle:
+            archive_pos, _, _, archive_fit, _ = parts(archive)
             rank = np.empty(len(archive_fit), int)
             rank[np.argsort(crowding(archive_fit, widths), kind="stable")] = np.arange(1, len(archive_fit) + 1)
             drawn = rng.choice(len(rank), pos.shape, p=rank / rank.sum())
@@ -99,13 +105,13 @@ def mopso(spark: SparkSession, fitness: Fitness, objectives: Sequence[str], boun
         a, b = best_fit * sign, fit * sign
         beaten = (a >= b).all(axis=1) & (a > b).any(axis=1)
         best[~beaten], best_fit[~beaten] = pos[~beaten], fit[~beaten]
-        archive_pos, archive_fit = np.vstack([archive_pos, pos]), np.vstack([archive_fit, fit])
-        keep = local_front(archive_fit * sign)
-        archive_pos, archive_fit = archive_pos[keep], archive_fit[keep]
+        archive = np.vstack([archive, np.hstack([pos, vel, best, fit, best_fit])])
+        archive = archive[local_front(parts(archive)[3] * sign)]
         if dedupe:
-            _, first = np.unique(np.hstack([archive_pos, archive_fit]), axis=0, return_index=True)
-            archive_pos, archive_fit = archive_pos[np.sort(first)], archive_fit[np.sort(first)]
-        logs.append(_rows(cycle, archive_pos, np.zeros_like(archive_pos), archive_pos, archive_fit, archive_fit, list(objectives)))
+            _, first = np.unique(np.hstack([parts(archive)[0], parts(archive)[3]]), axis=0, return_index=True)
+            archive = archive[np.sort(first)]
+        at, speed, own, value, own_value = parts(archive)
+        logs.append(_rows(cycle, at, speed, own, value, own_value, list(objectives)))
         if callback:
             callback(cycle, logs[-1])
-    return Result(None, pd.concat(logs, ignore_index=True), _rows(cycles, archive_pos, np.zeros_like(archive_pos), archive_pos, archive_fit, archive_fit, list(objectives)))
+    return Result(None, pd.concat(logs, ignore_index=True), logs[-1])

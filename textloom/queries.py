@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, strip_markup
+from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess, strip_markup, unicode_segments
 from textloom.operators import corpus, expansion, metrics, pareto, relations
 from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.plans import swarm, training
-from textloom.session import ship
+from textloom.session import once, ship
 from textloom.sources import inputs, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sents(spark, d):
-    return corpus.sentences(_table(spark, d, "documents").select("doc_id", "text"))
+    """Sentences of a folder, cut and written once in an application; all queries plan on these, as on a stored index."""
+    return once(spark, "sentences", d, lambda: corpus.sentences(_table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _toks(spark, d):
@@ -50,7 +51,11 @@ def _toks(spark, d):
 
 
 def _posts(spark, d):
-    return corpus.postings(_toks(spark, d))
+    return once(spark, "postings", d, lambda: corpus.postings(_toks(spark, d)))
+
+
+def _df(spark, d):
+    return once(spark, "df", d, lambda: corpus.doc_freq(_posts(spark, d)))
 
 
 def _words(spark, words):
@@ -63,8 +68,8 @@ WITH s0 AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 s AS (SELECT doc_id, unnest(range(len(ss))) AS spos, unnest(ss) AS sent FROM s0),
 w0 AS (SELECT doc_id, spos, sent, regexp_extract_all(sent, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]', 0) AS words FROM s),
 t AS (SELECT doc_id, spos, unnest(range(len(words))) AS pos, unnest(words) AS word FROM w0),
-p AS (SELECT doc_id, spos, word, count(*) AS tf, min(pos) AS first_pos FROM t GROUP BY ALL),
-df AS (SELECT word, count(*) AS df FROM p GROUP BY word)
+p AS MATERIALIZED (SELECT doc_id, spos, word, count(*) AS tf, min(pos) AS first_pos FROM t GROUP BY ALL),
+df AS MATERIALIZED (SELECT word, count(*) AS df FROM p GROUP BY word)
 """
 
 
@@ -99,7 +104,7 @@ def postings_tf(spark, d):
 
 @query("doc_freq", BASE + "SELECT word, df FROM df")
 def doc_freq(spark, d):
-    return corpus.doc_freq(_posts(spark, d))
+    return _df(spark, d)
 
 
 @query("corpus_counts", BASE + "SELECT (SELECT count(*) FROM s) AS n_sentences, count(DISTINCT word) AS n_words, count(*) AS n_postings FROM p")
@@ -162,13 +167,19 @@ def set_request_words(spark, d):
 
 
 # ----------------------------------------------------------------------------------------------------------- expansion
+COMMON_SEEDS = ("from", "with", "this", "that", "for")
+
+
 def _hop_sql(name: str, sources: str, a: float, b: float, g: float) -> str:
-    return f""", {name}_pairs AS (SELECT o.word, x.word AS source, sum(o.tf)::BIGINT AS n FROM p x JOIN (SELECT DISTINCT word FROM {sources}) q ON x.word = q.word JOIN p o ON o.doc_id = x.doc_id AND o.spos = x.spos GROUP BY ALL),
-{name} AS (SELECT c.word, df, k, n, df * {g} + k * {a} + n * {b} AS fitness FROM (SELECT word, count(*) AS k, sum(n)::BIGINT AS n FROM {name}_pairs GROUP BY word) c JOIN df ON c.word = df.word)"""
+    """n by the number of sources in each sentence, k by the distinct pairs of word and source."""
+    return f""", {name}_src AS MATERIALIZED (SELECT doc_id, spos, word FROM p SEMI JOIN (SELECT DISTINCT word FROM {sources}) q USING (word)),
+{name}_n AS (SELECT o.word, sum(o.tf * m.c)::BIGINT AS n FROM p o JOIN (SELECT doc_id, spos, count(*) AS c FROM {name}_src GROUP BY ALL) m ON o.doc_id = m.doc_id AND o.spos = m.spos GROUP BY o.word),
+{name}_k AS (SELECT word, count(*) AS k FROM (SELECT DISTINCT o.word, x.word AS source FROM {name}_src x JOIN p o ON o.doc_id = x.doc_id AND o.spos = x.spos) GROUP BY word),
+{name} AS MATERIALIZED (SELECT c.word, df, k, n, df * {g} + k * {a} + n * {b} AS fitness FROM {name}_n c JOIN {name}_k USING (word) JOIN df ON c.word = df.word)"""
 
 
-def _conex_sql(m: ExpansionParams, select: str) -> str:
-    one = _hop_sql("h1", _list(SEEDS), m.a1, m.b1, m.g1)
+def _conex_sql(m: ExpansionParams, select: str, seeds=SEEDS) -> str:
+    one = _hop_sql("h1", _list(seeds), m.a1, m.b1, m.g1)
     two = _hop_sql("h2", f"(SELECT word FROM h1 WHERE fitness >= {m.t1})", m.a2, m.b2, m.g2)
     return BASE + one + two + " " + select
 
@@ -180,8 +191,7 @@ def cooc_word(spark, d):
 
 @query("conex_hop1", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
 def conex_hop1(spark, d):
-    posts = _posts(spark, d)
-    return expansion.hop(posts, corpus.doc_freq(posts), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
+    return expansion.hop(_posts(spark, d), _df(spark, d), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
 
 
 @query("conex_hop1_survivors", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
@@ -189,14 +199,13 @@ def conex_hop1_survivors(spark, d):
     return expansion.survivors(conex_hop1(spark, d), DEMO.t1)
 
 
-def _expand(spark, d, m: ExpansionParams) -> DataFrame:
-    return expansion.expand_concept(_posts(spark, d), _words(spark, SEEDS), m)
+def _expand(spark, d, m: ExpansionParams, seeds=SEEDS) -> DataFrame:
+    return expansion.expand_concept(_posts(spark, d), _words(spark, seeds), m, _df(spark, d))
 
 
 @query("conex_hop2", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
 def conex_hop2(spark, d):
-    posts = _posts(spark, d)
-    return expansion.hop(posts, corpus.doc_freq(posts), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
+    return expansion.hop(_posts(spark, d), _df(spark, d), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
 
 
 @query("conex_result", _conex_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
@@ -204,9 +213,9 @@ def conex_result(spark, d):
     return _expand(spark, d, DEMO)
 
 
-@query("conex_default_params", _conex_sql(ExpansionParams(), "SELECT word FROM h2 WHERE fitness >= 100"))
+@query("conex_default_params", _conex_sql(ExpansionParams(), "SELECT word FROM h2 WHERE fitness >= 100", COMMON_SEEDS))
 def conex_default_params(spark, d):
-    return _expand(spark, d, ExpansionParams()).select("word")
+    return _expand(spark, d, ExpansionParams(), COMMON_SEEDS).select("word")
 
 
 @query("conex_config_params", _conex_sql(SHIPPED, "SELECT word FROM h2 WHERE fitness >= 0"))
@@ -267,7 +276,7 @@ def _matches(spark, d):
 
 def _pairs(spark, d):
     sents = _sents(spark, d)
-    return relations.score_pairs(_matches(spark, d), corpus.doc_freq(_posts(spark, d)), sents.count())
+    return relations.score_pairs(_matches(spark, d), _df(spark, d), sents.count())
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -360,11 +369,13 @@ def pareto_front_3d(spark, d):
     return _front3(spark, d)
 
 
-@query("archive_update", POINTS + f", a AS (SELECT * FROM e x WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.vec_id % 2 = 0 AND {_DOM3})), u AS (SELECT * FROM a UNION ALL SELECT * FROM e WHERE vec_id % 3 = 0) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE {_DOM3})")
+@query("archive_update", POINTS + f", a AS (SELECT * FROM e x WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.vec_id % 2 = 0 AND {_DOM3})), u AS (SELECT * FROM a UNION ALL SELECT * FROM e WHERE (vec_id % 2 = 0) IS NOT TRUE) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE {_DOM3})")
 def archive_update(spark, d):
+    """The archive is the front of the even ids; all other rows are the new points."""
     e = _points(spark, d)
     old = pareto.pareto_front(e.where("vec_id % 2 = 0"), ["f1", "f2", "f3"], [True] * 3)
-    return pareto.pareto_front(old.unionByName(e.where("vec_id % 3 = 0")), ["f1", "f2", "f3"], [True] * 3)
+    new = e.where(~F.coalesce(F.col("vec_id") % 2 == 0, F.lit(False)))
+    return pareto.pareto_front(old.unionByName(new), ["f1", "f2", "f3"], [True] * 3)
 
 
 def _crowded(spark, d):
@@ -437,18 +448,77 @@ def mopso_personal_best(spark, d):
 
 @query("pso_train_smoke")
 def pso_train_smoke(spark, d):
-    posts = _posts(spark, d).persist()
-    out = training.train_pso(spark, posts, _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    out = training.train_pso(spark, _posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
     return runs.from_log(out.log, spark, 0, 0)
 
 
 @query("mopso_train_smoke")
 def mopso_train_smoke(spark, d):
-    posts = _posts(spark, d).persist()
-    out = training.train_mopso(spark, posts, _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    out = training.train_mopso(spark, _posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
     return runs.from_log(out.log, spark, 0, 0)
 
 
+@query("vector_to_params", "SELECT vec_id, embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS b1, embedding[3]::DOUBLE AS g1, embedding[4]::DOUBLE AS a2, embedding[5]::DOUBLE AS b2, embedding[6]::DOUBLE AS g2, 0.5::DOUBLE AS t FROM embeddings")
+def vector_to_params(spark, d):
+    v = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    p = expansion.params_column(v, 0.5)
+    return _table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", *[f"p.{n}" for n in ("a1", "b1", "g1", "a2", "b2", "g2")], F.col("p.t2").alias("t"))
+
+
+@query("seed_sample", BASE + "SELECT word FROM df ORDER BY md5(word || '#3'), word LIMIT 8")
+def seed_sample(spark, d):
+    return training.sample_seeds(_df(spark, d), 8, 3)
+
+
+@query("pso_scores", BASE + _hop_sql("h1", _list(SEEDS[:2]), 50.0, 0.0, -1.0) + _hop_sql("h2", "(SELECT word FROM h1 WHERE fitness >= 0)", 10.0, 1.0, -2.0) + _PR + " SELECT 0::BIGINT AS particle, precision, recall FROM q")
+def pso_scores(spark, d):
+    """What training measures for one particle, as expand_concept and precision_recall do."""
+    fitness = training.ExpansionFitness(_posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE))
+    particles = spark.createDataFrame([(0, DEMO.to_vector())], "particle long, pos array<double>")
+    return fitness(particles).select("particle", "precision", "recall")
+
+
+# --------------------------------------------------------------------------------------------------------------- sources
+@query("xml_tag_texts", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def xml_tag_texts(spark, d):
+    """Each text in an element of its own, escaped, with a comment, an empty element and other elements around it, and read back."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    content = F.concat(F.lit('<page><title>no</title><text/><!-- <text>no</text> --><text a="1">'), escaped, F.lit("</text></page>"))
+    files = _table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return inputs.parse_xml(files, "text").select(F.col("path").cast("long").alias("doc_id"), "text")
+
+
+@query("xml_doc_numbers", "SELECT (row_number() OVER (ORDER BY doc_id::VARCHAR, i) - 1)::BIGINT AS doc_id, 'text ' || doc_id || ' ' || i AS text FROM documents, range(2) r(i)")
+def xml_doc_numbers(spark, d):
+    """Two elements a file; documents are numbered by path and place."""
+    element = lambda i: F.concat(F.lit("<text>text "), F.col("doc_id").cast("string"), F.lit(f" {i}</text>"))
+    files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.concat(element(0), element(1)), "UTF-8").alias("content"))
+    return inputs.numbered(inputs.parse_xml(files, "text"))
+
+
+@query("word_file_lines", "WITH l AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(range(len(w)))::INT AS place, unnest(w) AS word FROM l) SELECT * FROM e WHERE word <> ''")
+def word_file_lines(spark, d):
+    """Each text as a file of terms, one a line."""
+    return inputs.word_lines(_table(spark, d, "documents").where("text is not null").withColumnRenamed("text", "value"), "doc_id")
+
+
+@query("pairs_request_rows", "SELECT * FROM (VALUES (0, 'a', 'b'), (1, 'c', 'd'), (2, 'a', 'b')) v(pair_idx, w1, w2)")
+def pairs_request_rows(spark, d):
+    return inputs.pairs_request(spark, '{"pairs": [["a", "b"], ["c", "d"], ["a", "b"]]}')
+
+
+@query("preprocessed_pages", f"SELECT page_id, {_sql_markup('html')} AS stripped, html AS unknown FROM pages")
+def preprocessed_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", preprocess(F.col("html"), "wikitext::strip_markup").alias("stripped"), preprocess(F.col("html"), "no::such").alias("unknown"))
+
+
+@query("unicode_profile_counts", r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))::BIGINT AS n_letters FROM documents")
+def unicode_profile_counts(spark, d):
+    """Segmentation by Unicode boundaries loses no letter or digit."""
+    flat = F.array_join(F.flatten(unicode_segments("text")), "")
+    return _table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(flat, r"[^\p{L}\p{N}]", "")).cast("long").alias("n_letters"))
+
+
 # ------------------------------------------------------------------------------------------------------------- run store
 DAT = """WITH dat AS (SELECT (CASE o_orderkey % 8 WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 12 WHEN 3 THEN 2 WHEN 4 THEN 14 WHEN 5 THEN 15 WHEN 6 THEN 16 ELSE 99 END)::INT AS batch_id, (o_orderkey // 8 % 5)::INT AS irun, (o_orderkey // 40 % 11)::INT AS icycle, (o_orderkey // 440)::INT AS iparticle,
 CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE (o_orderkey * 31 % 1009) / 1024.0 END::DOUBLE AS fitness FROM orders)"""
@@ -512,6 +582,33 @@ def run_batches(spark, d):
     return runs.batches(spark)
 
 
+@query("run_summary", DAT + " SELECT count(fitness) AS records, round(avg(fitness), 9) AS mean, round(stddev_pop(fitness), 9) AS std, min(fitness) AS least, max(fitness) AS most, round(quantile_cont(fitness, 0.25), 9) AS lower, round(quantile_cont(fitness, 0.5), 9) AS middle, round(quantile_cont(fitness, 0.75), 9) AS upper FROM dat")
+def run_summary(spark, d):
+    rounded = [F.round(c, 9).alias(c) for c in ("mean", "std", "lower", "middle", "upper")]
+    return runs.summary(_dat(spark, d)).select("records", "least", "most", *rounded)
+
+
+@query("run_blocks", DAT + " SELECT irun, count(DISTINCT icycle) AS blocks, count(*) AS records FROM dat GROUP BY irun")
+def run_blocks(spark, d):
+    return runs.blocks(_dat(spark, d))
+
+
+@query("run_repeated_keys", DAT + " SELECT batch_id, count(*) AS n FROM dat GROUP BY batch_id HAVING count(*) > 1")
+def run_repeated_keys(spark, d):
+    return runs.repeated_keys(_dat(spark, d).select("batch_id"))
+
+
+@query("run_null_rows", "SELECT * FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status, nullif(o_orderpriority, '5-LOW') AS priority FROM orders) WHERE status IS NULL OR priority IS NULL")
+def run_null_rows(spark, d):
+    """Rows that a store without nulls refuses."""
+    return runs.null_rows(_table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority")))
+
+
+@query("run_final_front", DAT + " SELECT fitness FROM dat WHERE batch_id = 10 AND icycle = (SELECT max(icycle) FROM dat WHERE batch_id = 10)")
+def run_final_front(spark, d):
+    return runs.final_front(_dat(spark, d), 10, ["fitness"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,13 +1,19 @@
-"""Session helpers shared by every entry point."""
+"""Session helpers shared by every entry point: local sessions, the folder that driver and executors share, tables written there."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
 def local_session(app: str = "textloom", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -33,3 +39,55 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a temporary one of our own, but only
+    if driver and executors are one process; on a cluster that is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
+        sc.setCheckpointDir(base)
+    return base
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """materialize(make()) the first time that a table of this name is asked for over `source` in an application; the same again later."""
+    key = (spark.sparkContext.applicationId, f"{label} {source}")
+    if key not in _KEPT:
+        _KEPT[key] = materialize(make(), label)
+    return _KEPT[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what materialize() has written for this session; call it when the results have been stored."""
+    jvm = spark.sparkContext._jvm
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+    for session, path in list(_WRITTEN):
+        if session is spark:
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _WRITTEN.remove((session, path))
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        try:
+            if spark.sparkContext._jsc is not None:
+                forget(spark)
+        except Exception:  # the JVM may be gone already
+            return

@@ -57,9 +57,15 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, folder: str, tag: str) -> DataFrame:
-    """doc_id, text of the elements `tag` of the files in a folder (not in folders below), in order of file name."""
+    """doc_id, text of the elements `tag` of the files in a folder (not in folders below), in order of file name. A file is one row,
+    so it may have 2 GB at most; read_xml_rows() splits larger ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
-    return numbered(files.mapInArrow(partial(_parse_xml, tag=tag), "path string, place long, text string"))
+    return numbered(parse_xml(files, tag))
+
+
+def parse_xml(files: DataFrame, tag: str) -> DataFrame:
+    """path, place (from 0), text of the elements `tag` of files (path string, content binary)."""
+    return files.select("path", "content").mapInArrow(partial(_parse_xml, tag=tag), "path string, place long, text string")
 
 
 def read_xml_rows(spark: SparkSession, folder: str, tag: str) -> DataFrame:
@@ -72,8 +78,12 @@ def read_xml_rows(spark: SparkSession, folder: str, tag: str) -> DataFrame:
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """place, word: one term a line, the whole line, order and repeats kept."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "word"))
-    return lines.where("word <> ''")
+    return word_lines(spark.read.text(path, wholetext=True))
+
+
+def word_lines(files: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, place (from 0) and word of the lines that aren't empty of texts (column value)."""
+    return files.select(*keep, F.posexplode(F.split("value", "\r?\n")).alias("place", "word")).where("word <> ''")
 
 
 def words_from(spark: SparkSession, lines: Iterable[str] | None, vocab: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,16 +37,37 @@ def nan_to_zero(c: Column) -> Column:
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """Drops and creates batch and dat, and fills batch. Keys and nulls are checked by append()."""
+    """Drops and creates batch, fills it, and creates dat if there is none. batch_id is the key of batch, no column of either table
+    may be null; dat has no key."""
     spark.sql(f"DROP TABLE IF EXISTS {database}.batch")
-    batches(spark).write.mode("overwrite").saveAsTable(f"{database}.batch")
+    checked_batches(batches(spark)).write.mode("overwrite").saveAsTable(f"{database}.batch")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.dat ({DAT_SCHEMA}) USING parquet")
 
 
+def repeated_keys(batch: DataFrame) -> DataFrame:
+    """batch_id, n of keys that several rows have."""
+    return batch.groupBy("batch_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def null_rows(rows: DataFrame) -> DataFrame:
+    """Rows with a null in any column."""
+    return rows.where(" or ".join(f"`{c}` is null" for c in rows.columns))
+
+
+def checked_batches(batch: DataFrame) -> DataFrame:
+    """batch, if its keys are unique and no column is null; else an error."""
+    twice = [r["batch_id"] for r in repeated_keys(batch).limit(20).collect()]
+    if twice:
+        raise ValueError(f"batch_id is not unique: {twice}")
+    if not null_rows(batch).isEmpty():
+        raise ValueError("a null in the rows of batch")
+    return batch
+
+
 def append(dat: DataFrame, path: str, reset: bool = False) -> None:
     """Adds rows to the store, partitioned by batch, a NaN as 0; a null in any column is an error. With reset the store is replaced."""
     clean = dat.select(*[nan_to_zero(F.col(c)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in dat.dtypes])
-    if not clean.where(" or ".join(f"`{c}` is null" for c in clean.columns)).isEmpty():
+    if not null_rows(clean).isEmpty():
         raise ValueError("a null in the rows of a run")
     clean.write.mode("overwrite" if reset else "append").partitionBy("batch_id").parquet(path)
 
@@ -60,18 +83,42 @@ def from_log(log: pd.DataFrame, spark: SparkSession, batch_id: int, irun: int) -
     return spark.createDataFrame(out[columns], DAT_SCHEMA)
 
 
+LOG_COLUMNS = [*POSITIONS, "fitness", *[f"vel{i}" for i in range(1, 7)], *[f"pbest{i}" for i in range(1, 7)], "pbest_fitness", "precision", "recall"]
+ARCHIVE_COLUMNS = ["icycle", *POSITIONS, "precision", "recall", *[f"vel{i}" for i in range(1, 7)], *[f"pbest{i}" for i in range(1, 7)], "pbest_precision", "pbest_recall"]
+
+
+def full_log(log: pd.DataFrame, spark: SparkSession) -> DataFrame:
+    """All columns of a training log, as a table: cycle and particle with the 22 of a swarm, or the 23 of an archive."""
+    columns = ["icycle", "iparticle", *LOG_COLUMNS] if "fitness" in log else ARCHIVE_COLUMNS
+    whole = ("icycle", "iparticle")
+    schema = ", ".join(f"`{c}` {'int' if c in whole else 'double'}" for c in columns)
+    return spark.createDataFrame([tuple(int(v) if c in whole else float(v) for c, v in zip(columns, r, strict=True)) for r in log[columns].itertuples(index=False)], schema)
+
+
+def write_log(log: pd.DataFrame, path: str) -> None:
+    """A training log as tab-separated text: 22 columns of all particles, or 23 of the archive; two blank lines behind each cycle."""
+    columns = LOG_COLUMNS if "fitness" in log else ARCHIVE_COLUMNS
+    with open(path, "w", encoding="utf-8") as out:
+        for _, cycle in log.groupby("icycle"):
+            for row in cycle[columns].itertuples(index=False):
+                out.write("\t".join("NaN" if v != v else str(v) for v in row) + "\n")
+            out.write("\n\n")
+
+
 def read_swarm_log(spark: SparkSession, path: str, population: int = 50) -> DataFrame:
-    """icycle, iparticle, pos1..6, fitness, precision, recall of a tab-separated log of 22 columns: blank lines drop out, NaN is 0, and
-    cycle and particle follow from the place of the row."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line"), F.lit(0).alias("file"))
-    return reshape_log(lines.withColumn("nr", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id()))).select("nr", F.split("line", "\t").alias("f")), population)
+    """file, icycle, iparticle, pos1..6, fitness, precision, recall of tab-separated logs of 22 columns: blank lines drop out, NaN is 0,
+    and cycle and particle follow from the place of the row in its file. A log is read whole, as one run's is small."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = files.select("file", F.posexplode("lines").alias("at", "line"))
+    return reshape_log(lines.select("file", (F.col("at") + 1).alias("nr"), F.split("line", "\t").alias("f")), population, "file")
 
 
-def reshape_log(rows: DataFrame, population: int) -> DataFrame:
-    """As read_swarm_log, from rows (nr from 1, f array of text)."""
+def reshape_log(rows: DataFrame, population: int, *keep: str) -> DataFrame:
+    """As read_swarm_log, from rows (nr from 1, f array of text); the columns `keep` stay."""
     at = lambda i: nan_to_zero(F.get("f", i - 1).try_cast("double"))
     place = F.col("nr") - 1
     return rows.select(
+        *keep,
         F.floor(place / population).cast("int").alias("icycle"),
         (place % population).cast("int").alias("iparticle"),
         *[at(i).alias(f"pos{i}") for i in range(1, 7)],
@@ -111,13 +158,26 @@ def winner(dat: DataFrame) -> DataFrame:
     return best.select("irun", "b.*")
 
 
+def summary(dat: DataFrame, column: str = "fitness") -> DataFrame:
+    """One row of statistics of a column: records, mean, population standard deviation, smallest, largest, and quartiles (by linear
+    interpolation). Without records all but the count are null."""
+    c = F.col(column)
+    quartile = lambda q, name: F.percentile(c, F.lit(q)).alias(name)
+    return dat.agg(F.count(c).alias("records"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), quartile(0.25, "lower"), quartile(0.5, "middle"), quartile(0.75, "upper"))
+
+
+def blocks(dat: DataFrame) -> DataFrame:
+    """irun, blocks (cycles on record) and records of each run."""
+    return dat.groupBy("irun").agg(F.countDistinct("icycle").alias("blocks"), F.count("*").alias("records"))
+
+
 def positions(dat: DataFrame, batch_id: int, irun: int, cycles: list[int]) -> DataFrame:
     """The swarm's places in some cycles, ready to plot."""
     return dat.where((F.col("batch_id") == batch_id) & (F.col("irun") == irun) & F.col("icycle").isin(cycles)).select("icycle", "iparticle", *POSITIONS)
 
 
-def final_front(dat: DataFrame, batch_id: int) -> DataFrame:
-    """precision and recall of the last cycle of an archive."""
+def final_front(dat: DataFrame, batch_id: int, columns: Sequence[str] = ("precision", "recall")) -> DataFrame:
+    """The columns (precision and recall) of the last cycle of an archive."""
     rows = dat.where(F.col("batch_id") == batch_id)
     last = rows.agg(F.max("icycle").alias("icycle"))
-    return rows.join(F.broadcast(last), "icycle", "left_semi").select("precision", "recall")  # one row
+    return rows.join(F.broadcast(last), "icycle", "left_semi").select(*columns)  # one row
