@@ -123,7 +123,7 @@ def test_same_as_the_library_on_words(spark):
     model.trainer_spec.model_type = 1  # segmentation by the best sum of scores
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     words = ["the", "thanedble", "internationalisation", "Straße", "anea.", "été", "retitioning"]
-    rows = spark.createDataFrame([(pieces.META + w,) for w in words], "word string")
+    rows = spark.createDataFrame([(i, pieces.META + w) for i, w in enumerate(words)], "wid long, word string")
     got = {r["word"][1:]: r["ids"] for r in pieces.encode_words(rows, MODEL).collect()}
     score = lambda ids: sum(model.pieces[i].score for i in ids)
     for w in words:
@@ -131,19 +131,21 @@ def test_same_as_the_library_on_words(spark):
     assert library.decode(got["thanedble"]) == "thanedble"
 
 
-def test_digest_follows_from_the_ids(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pieces.digest(docs, MODEL, ["doc_id"], head=3).collect()}
-    again = {r["doc_id"]: r for r in pieces.digest(docs, MODEL, ["doc_id"], head=0).collect()}
-    assert got == again
-    words = {w for t in TEXTS for w in pieces.cut(t or "", MODEL.beside)}
-    rows = spark.createDataFrame([(w, brute(w)) for w in words], "word string, ids array<int>")
-    value = {r["word"]: r["d"] for r in rows.select("word", pieces.word_digest(F.col("ids")).alias("d")).collect()}
-    for i, t in enumerate(TEXTS):
-        ws = pieces.cut(t or "", MODEL.beside)
-        assert (got[i]["n_words"], got[i]["n_ids"]) == (len(ws), sum(len(brute(w)) for w in ws)) and got[i]["round_trip"]
-        assert got[i]["digest"] == sum((k + 1) * value[w] % pieces.MODULUS for k, w in enumerate(ws))
-    assert pieces.digest(docs.limit(0), MODEL, ["doc_id"]).count() == 0
+def test_cuts_are_where_no_piece_goes_on():
+    for t in [*TEXTS, "x\n▁y", "a▁b", "  ", "1,2;é漢字."]:
+        words = pieces.cut(t or "", MODEL.beside)
+        assert "".join(words) == (pieces.META + t.replace(" ", pieces.META) if t else "")
+        assert all(a[-1] + b[0] not in MODEL.beside or b[0] == pieces.META for a, b in zip(words, words[1:]))
+        assert all(w[i : i + 2] in MODEL.beside for w in words for i in range(len(w) - 1))
+    assert pieces.Cutter(MODEL.beside).cut(["", "ab", "", "c\n"]) == [[], ["ab"], [], ["c", "\n"]]
+
+
+def test_very_long_words(spark):
+    rng = np.random.default_rng(0)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 60_000)) + "x" * 3_000 + "漢" * 300
+    docs = spark.createDataFrame([(1, long), (2, "x" * 200_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.encode(docs, MODEL, ["doc_id"], round_trip=True).collect()}
+    assert got[1]["ids"] == whole(long) and got[1]["round_trip"] and got[2]["ids"] == whole("x" * 200_000)
 
 
 def test_query_follows_from_whole_documents(spark, tmp_path):
@@ -151,9 +153,10 @@ def test_query_follows_from_whole_documents(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in pieces.op4_sentencepiece(spark, str(tmp_path)).collect()}
-    whole = pieces.encode(docs, MODEL, ["doc_id"]).select("doc_id", "ids", pieces.decode(F.col("ids"), MODEL).alias("back"), pieces.word_digest(F.col("ids")).alias("d")).collect()
-    assert len(got) == len(whole) == len(texts)
-    for r in whole:
-        text, own = texts[r["doc_id"]] or "", got[r["doc_id"]]
-        assert (own["n_ids"], own["digest"], own["round_trip"]) == (len(r["ids"]), r["d"] if r["ids"] else 0, r["back"] == text)
-        assert own["round_trip"] == (pieces.META not in text) and own["n_words"] == len(pieces.cut(text, MODEL.beside))
+    assert len(got) == len(texts)
+    for head in (0, 3):
+        for r in pieces.encode(docs, MODEL, ["doc_id"], head=head, round_trip=True).withColumn("back", pieces.decode(F.col("ids"), MODEL)).collect():
+            text, own = texts[r["doc_id"]] or "", got[r["doc_id"]]
+            assert (own["n_ids"], own["ids"], own["round_trip"]) == (len(r["ids"]), r["ids"], r["round_trip"])
+            assert r["round_trip"] == (pieces.META not in text) == (r["back"] == text) and r["ids"] == whole(text)
+    assert pieces.encode(docs.limit(0), MODEL, ["doc_id"], round_trip=True).count() == 0

@@ -63,13 +63,31 @@ def test_language_model_learns_every_document_whole(spark):
         n = 0
 
         def learn(self, ids, keep, target, state, rate):
-            self.n += int((keep == 0).sum())
+            self.n += int(((keep == 0) & (target >= 0)).sum())
             return state
 
+        def update(self, rate):
+            pass
+
     net = Begins()
     assert language_model.train_on(net, [np.zeros(2000, np.int32)], 0.01) == 2000 and net.n == 1
 
 
+def test_layout_keeps_every_document_in_order():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(0, 50, n), language_model.END).astype(np.int32) for n in (0, 1, 700, 3, 64, 63, 5000, 20, 20, 20)]
+    for slots in (1, 3, 50):
+        read = [[] for _ in docs]
+        for ids, keep, here, owner in language_model.windows(language_model.lay_out(docs, slots)):
+            for k in range(ids.shape[1]):
+                for t in range(len(ids)):
+                    if here[t, k] >= 0:
+                        i = owner[t, k]
+                        assert ids[t, k] == (language_model.END if not read[i] else read[i][-1]) and keep[t, k] == (1 if read[i] else 0)
+                        read[i].append(here[t, k])
+        assert all(np.array_equal(r, d) for r, d in zip(read, docs))
+
+
 def test_network_is_a_distribution_and_its_gradient_right():
     net = language_model.Network(200)
     state = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
@@ -79,7 +97,7 @@ def test_network_is_a_distribution_and_its_gradient_right():
     docs = [np.append(np.random.default_rng(k).integers(0, 6, 40), language_model.END).astype(np.int32) for k in range(30)]
     before = language_model.log_likelihoods(net, docs).sum()
     for _ in range(12):
-        language_model.train_on(net, docs, 0.02, 16)
+        language_model.train_on(net, docs, 0.02, 4)
     assert language_model.log_likelihoods(net, docs).sum() > before / 1.5
     alone = [language_model.log_likelihoods(net, [d])[0] for d in docs]  # the layout doesn't matter
     assert language_model.log_likelihoods(net, docs) == pytest.approx(alone, rel=1e-4)
@@ -96,6 +114,7 @@ def test_truncated_backpropagation_against_differences():
 
     base = {k: v.copy() for k, v in net.p.items()}
     net.learn(ids, keep, target, zero, 0.0)
+    net.update(0.0)
     grad = net.moments["state"][0] * 10 * 3  # the first moment after one step is a tenth of the mean gradient
     for at in ((0, 0), (3, 30), (5, 60)):
         net.p = {k: v.copy() for k, v in base.items()}

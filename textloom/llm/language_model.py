@@ -10,8 +10,9 @@ probability of the bucket times its smoothed share of the bucket's count, so the
 Weights are trained by backpropagation truncated to WINDOW steps: they start from a bounded sample in one task, then ROUNDS rounds
 share out all training documents, each of which is learnt whole in one round, by the task that holds it; weights are averaged.
 
-Scoring. Documents are laid end to end in slots that are read in step; the state is carried from window to window and reset where
-a document begins, so each document is scored whole.
+Documents are laid end to end in slots that are read in step, in training and in scoring; slots that have ended drop out of the step, so
+a long document holds none of the others up. The state is carried from window to window and reset where a document begins, so
+each document is read whole.
 """
 
 from __future__ import annotations
@@ -34,19 +35,21 @@ from .common import as_bytes, held, lean, materialize, remainder, slices, table
 
 HEAD = 200_000
 MEMBERS = 64
-CLASSES = 64
+CLASSES = 32
 WORDS = MEMBERS * (CLASSES - 1)  # the last class holds the end and the buckets
 BUCKETS = 32
 END = MEMBERS * (CLASSES - 1)
 SYMBOLS = MEMBERS * CLASSES
 HIDDEN = 24
-WINDOW = 32
-SLOTS = 512
+WINDOW = 64
+SLOTS = 256
+UPDATE_TOKENS = 4_096  # at least, between two updates of the weights
 ROUNDS = 2
 WARM_DOCUMENTS = 1_000
 WARM_TOKENS = 1_600_000
 GROUP_BYTES = 40_000_000
 FLUSH = 400_000
+SHARDS = 16  # of the weights, when those of all tasks are summed
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -84,9 +87,9 @@ def _count(batches):
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """word (binary, empty for the end), bucket, n and its 64-bit key, over the single column of `texts`."""
+    """word (binary, empty for the end), bucket and n, over the single column of `texts`."""
     found = texts.mapInArrow(_count, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
-    return materialize(found.withColumn("key", F.xxhash64("word")), "counts")
+    return materialize(found, "counts")
 
 
 def least_of_head(counts: DataFrame, most: int) -> int | None:
@@ -164,7 +167,7 @@ class Network:
         self.member_mask = np.where(used, 0, -1e9).astype(np.float32).reshape(CLASSES, MEMBERS)
         self.class_mask = np.where(used.reshape(CLASSES, MEMBERS).any(axis=1), 0, -1e9).astype(np.float32)
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        self.step = 0
+        self.step, self.pending, self.waiting = 0, {}, 0
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
@@ -247,98 +250,127 @@ class Network:
         return logp, back
 
     def learn(self, ids: np.ndarray, keep: np.ndarray, target: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
-        """One step of truncated backpropagation over a window; targets under 0 are padding. Gives the state behind it."""
+        """Truncated backpropagation over a window; targets under 0 are padding. Weights change once UPDATE_TOKENS have been read, or by
+        update(). Gives the state behind the window."""
         tape: list = []
-        states, after = self.read(self.p["embed"][ids] @ self.p["input"] + self.p["bias"], keep, state, tape)
+        states, after = self.read(self.inputs()[ids] if ids.size > SYMBOLS else self.p["embed"][ids] @ self.p["input"] + self.p["bias"], keep, state, tape)
         live = target >= 0
-        if not live.any():
+        n = int(live.sum())
+        if not n:
             return after
         grads: dict[str, np.ndarray] = {}
         _, part = self.output(states[live], target[live], grads)
         back = np.zeros_like(states)
         back[live] = part
         H, U = HIDDEN, self.p["state"]
-        dx = np.empty((*ids.shape, 3 * H), np.float32)
-        dU, dh = np.zeros_like(U), np.zeros_like(state)
+        gates, dx = np.empty((*ids.shape, 3 * H), np.float32), np.empty((*ids.shape, 3 * H), np.float32)
+        dh = np.zeros_like(state)
         for t in range(len(ids) - 1, -1, -1):
             before, gc, z, r, c = tape[t]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            dU += before.T @ dg
-            dh = (dh * z + dg @ U.T) * keep[t][:, None]
+            dh += back[t]
+            dc = dh * (1 - z)
+            dc *= 1 - c * c
+            dz = dh * (before - c)
+            dz *= z * (1 - z)
+            dr = dc * gc
+            dr *= r * (1 - r)
+            dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, dc
+            gates[t, :, : 2 * H] = dx[t, :, : 2 * H]
+            np.multiply(dc, r, out=gates[t, :, 2 * H :])
+            dh *= z
+            dh += gates[t] @ U.T
+            dh *= keep[t][:, None]
         flat, symbols = dx.reshape(-1, 3 * H), ids.reshape(-1)
-        grads["state"], grads["bias"] = dU, flat.sum(axis=0)
+        grads["state"], grads["bias"] = np.concatenate([x[0] for x in tape]).T @ gates.reshape(-1, 3 * H), flat.sum(axis=0)
         grads["input"] = self.p["embed"][symbols].T @ flat
         grads["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(grads["embed"], symbols, flat @ self.p["input"].T)
+        for k, g in grads.items():
+            self.pending[k] = self.pending[k] + g if k in self.pending else g
+        self.waiting += n
+        if self.waiting >= UPDATE_TOKENS:
+            self.update(rate)
+        return after
+
+    def update(self, rate: float) -> None:
+        """One step of Adam by the mean gradient of the tokens read since the last."""
+        if not self.waiting:
+            return
         self.step += 1
-        n = live.sum()
-        for k, g in grads.items():  # Adam
-            g = np.clip(g / n, -1, 1)
+        for k, g in self.pending.items():
+            g = np.clip(g / self.waiting, -1, 1)
             m, v = self.moments[k]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             self.p[k] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
-        return after
+        self.pending, self.waiting = {}, 0
+
+
+@dataclass
+class Layout:
+    """Documents end to end in slots, the longest slot first: all slots' symbols in one array, where each begins and how long it is,
+    the places where a document begins, and the document of each place."""
+
+    symbols: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    begins: np.ndarray
+    owner: np.ndarray
 
 
-def lay_out(docs: list[np.ndarray], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents (arrays of symbols that close with END) end to end in slots of about equal length, longest first: target symbols
-    (-1: padding), whether a document begins, and the document of each place, as steps x slots."""
+def lay_out(docs: list[np.ndarray], slots: int = SLOTS) -> Layout:
+    """Documents (arrays of symbols that close with END), the longest first, each into the slot that is shortest so far."""
     sizes = np.array([len(d) for d in docs])
-    width = int(np.clip(sizes.sum() // sizes.max(), 1, slots))
-    heap = [(0, k) for k in range(width)]
-    where: list[tuple[int, int]] = [(0, 0)] * len(docs)
+    heap = [(0, k) for k in range(min(slots, len(docs)))]
+    content: list[list[int]] = [[] for _ in heap]
     for i in np.argsort(-sizes, kind="stable"):
         used, k = heapq.heappop(heap)
-        where[i] = (used, k)
+        content[k].append(int(i))
         heapq.heappush(heap, (used + int(sizes[i]), k))
-    steps = -(-max(u for u, _ in heap) // WINDOW) * WINDOW
-    target, owner, begins = np.full((width, steps), -1, np.int16), np.zeros((width, steps), np.int32), np.zeros((width, steps), bool)
-    for i, (at, k) in enumerate(where):
-        target[k, at : at + len(docs[i])] = docs[i]
-        begins[k, at] = True
-        owner[k, at : at + len(docs[i])] = i
-    return tuple(np.ascontiguousarray(a.T) for a in (target, begins, owner))
-
-
-def windows(target: np.ndarray, begins: np.ndarray):
-    """Steps of each window with its input symbols (the target before, or END where a document begins), keep and target."""
-    before = np.full(target.shape[1], END, np.int64)
-    for t in range(0, len(target), WINDOW):
-        here, first = target[t : t + WINDOW].astype(np.int64), begins[t : t + WINDOW]
-        ids = np.vstack([before, here[:-1]])
-        ids[first | (ids < 0)] = END
-        yield slice(t, t + WINDOW), ids, (~first).astype(np.float32), here
-        before = here[-1]
-
-
-def train_on(net: Network, docs: list[np.ndarray], rate: float, slots: int = 128) -> int:
+    lengths = np.array([sum(sizes[c]) for c in content])
+    content = [content[k] for k in np.argsort(-lengths, kind="stable")]
+    order = [i for c in content for i in c]
+    lengths = -np.sort(-lengths, kind="stable")
+    begins = np.zeros(int(sizes.sum()), bool)
+    begins[np.cumsum(sizes[order]) - sizes[order]] = True
+    return Layout(np.concatenate([docs[i] for i in order]).astype(np.int32), np.cumsum(lengths) - lengths, lengths, begins, np.repeat(order, sizes[order]).astype(np.int32))
+
+
+def windows(laid: Layout):
+    """For each window of steps: input symbols (the one before, or END where a document begins), keep, targets (-1: past the end of the
+    slot) as steps x slots, of the slots that haven't ended, and the documents of the targets."""
+    for t in range(0, int(laid.sizes[0]), WINDOW):
+        width = int(np.searchsorted(-laid.sizes, -t, "left"))
+        steps = t + np.arange(WINDOW)[:, None]
+        live = steps < laid.sizes[None, :width]
+        at = np.where(live, laid.starts[None, :width] + steps, 0)
+        first = laid.begins[at] | ~live
+        ids = np.where(first, END, laid.symbols[at - 1])
+        yield ids, (~first).astype(np.float32), np.where(live, laid.symbols[at], -1), laid.owner[at]
+
+
+def train_on(net: Network, docs: list[np.ndarray], rate: float, slots: int = SLOTS) -> int:
     """One pass over the documents, the state carried through each; gives the number of tokens."""
     if not docs:
         return 0
-    target, begins, _ = lay_out(docs, slots)
-    state = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for _, ids, keep, here in windows(target, begins):
-        state = net.learn(ids, keep, here, state, rate)
-    return int((target >= 0).sum())
+    laid = lay_out(docs, slots)
+    state = np.zeros((len(laid.sizes), HIDDEN), np.float32)
+    for ids, keep, here, _ in windows(laid):
+        state = net.learn(ids, keep, here, state[: ids.shape[1]], rate)
+    net.update(rate)
+    return len(laid.symbols)
 
 
-def log_likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
+def log_likelihoods(net: Network, docs: list[np.ndarray], slots: int = 2 * SLOTS) -> np.ndarray:
     """Natural log probability of the symbols of each document, whole."""
-    target, begins, owner = lay_out(docs)
-    state, total = np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(len(docs))
+    laid = lay_out(docs, slots)
+    state, total = np.zeros((len(laid.sizes), HIDDEN), np.float32), np.zeros(len(docs))
     inputs = net.inputs()
-    for part, ids, keep, here in windows(target, begins):
-        states, state = net.read(inputs[ids], keep, state)
+    for ids, keep, here, owner in windows(laid):
+        states, state = net.read(inputs[ids], keep, state[: ids.shape[1]])
         live = here >= 0
-        if live.any():
-            logp, _ = net.output(states[live], here[live])
-            total += np.bincount(owner[part][live], logp, len(docs))
+        logp, _ = net.output(states[live], here[live])
+        total += np.bincount(owner[live], logp, len(docs))
     return total
 
 
@@ -371,41 +403,52 @@ def _encoder(blob: bytes) -> Encoder:
 
 @lean
 def _train_round(batches, vocab: bytes, weights: dict, known: int, rate: float):
+    """Learns the texts of a task; at the end its weights by the number of tokens, in SHARDS rows."""
     encoder, net, tokens = _encoder(vocab), Network(known), 0
     net.p = {k: v.copy() for k, v in weights.items()}
     for batch in batches:
         texts = as_bytes(batch.column(0))
-        for a, b in slices([len(t) for t in texts], GROUP_BYTES // 4):
+        for a, b in slices([len(t) for t in texts], GROUP_BYTES):
             tokens += train_on(net, [encoder.encode(t)[0] for t in texts[a:b]], rate)
     if tokens:
-        yield pa.RecordBatch.from_arrays([pa.array([(net.flat() * tokens).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
+        parts = np.array_split(net.flat() * tokens, SHARDS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([tokens] * SHARDS, pa.int64())], ["shard", "weights", "tokens"])
 
 
 @lean
 def _warm_up(batches, vocab: bytes, weights: dict, known: int):
-    encoder, net = _encoder(vocab), Network(known)
+    """Learns a sample, some documents at a time; few tokens are read several times."""
+    encoder, net, tokens = _encoder(vocab), Network(known), 0
     net.p = {k: v.copy() for k, v in weights.items()}
-    docs = [encoder.encode(t)[0] for batch in batches for t in as_bytes(batch.column(0))]
-    tokens = sum(map(len, docs))
+    for batch in batches:
+        texts = as_bytes(batch.column(0))
+        for a, b in slices([len(t) for t in texts], GROUP_BYTES):
+            docs = [encoder.encode(t)[0] for t in texts[a:b]]
+            size = sum(map(len, docs))
+            for rate in (0.02, 0.01, 0.005, 0.002)[: max(1, min(4, WARM_TOKENS // size))]:
+                train_on(net, docs, rate, SLOTS // 2)
+            tokens += size
     if tokens:
-        for rate in (0.02, 0.01, 0.005, 0.002)[: max(1, min(4, WARM_TOKENS // tokens))]:
-            train_on(net, docs, rate)
         yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 
 
+@lean
 def _add(batches):
-    total, tokens = None, 0
+    """Sums of rows (shard, weights, tokens) by shard; holds one row a shard."""
+    totals: dict[int, tuple[np.ndarray, int]] = {}
     for batch in batches:
-        for raw, n in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for shard, raw, n in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             part = np.frombuffer(raw, np.float64)
-            total, tokens = part.copy() if total is None else total + part, tokens + n
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
+            total, tokens = totals.get(shard, (0.0, 0))
+            totals[shard] = total + part, tokens + n
+    for shard, (total, tokens) in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["shard", "weights", "tokens"])
 
 
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Trains on the single text column `text` of `training`, which also has doc_id: first on about WARM_DOCUMENTS texts in one
-    task, then in parallel on all of them, each in one of the rounds; `seen` counts the tokens of these."""
+    task (WARM_TOKENS tokens at most, by expectation), then in parallel on all of them, each in one of the rounds; `seen` counts the
+    tokens of these. A round's weights are the means over its tasks, summed by shard."""
     encoder, known = Encoder(vocab), len(vocab.words)
     net = Network(known)
     frequency = np.bincount(encoder.symbols[:-1], vocab.counts, SYMBOLS).astype(float)
@@ -414,18 +457,20 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Netwo
     net.start_from(frequency)
     net.seen = 0
     blob = pickle.dumps(vocab)
-    share = min(1.0, WARM_DOCUMENTS / max(vocab.ends, 1))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30))
+    share = min(1.0, WARM_DOCUMENTS / max(vocab.ends, 1), WARM_TOKENS / max(vocab.total, 1))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("warm")), F.lit(1 << 30))
     warm = training.where(place < int(share * (1 << 30))).select("text").repartition(1)  # a bounded sample in one task
     for r in warm.mapInArrow(partial(_warm_up, vocab=blob, weights=net.p, known=known), "weights binary, tokens long").collect():
         net.load(np.frombuffer(r["weights"], np.float64))
+    schema = "shard int, weights binary, tokens long"
     for k in range(rounds):
-        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text")
-        run = partial(_train_round, vocab=blob, weights=net.p, known=known, rate=0.002 / (k + 1))
-        sums = materialize(part.mapInArrow(run, "weights binary, tokens long"), "weights")
-        merged = sums.mapInArrow(_add, "weights binary, tokens long").coalesce(1).mapInArrow(_add, "weights binary, tokens long").collect()
+        part = training.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == k).select("text")
+        run = partial(_train_round, vocab=blob, weights=net.p, known=known, rate=0.008 / (k + 1))
+        sums = materialize(part.mapInArrow(run, schema), "weights")
+        merged = sums.mapInArrow(_add, schema).repartition(SHARDS, "shard").mapInArrow(_add, schema).collect()  # a row for each shard
         if merged:
-            net.load(np.frombuffer(merged[0]["weights"], np.float64) / merged[0]["tokens"])
+            merged.sort(key=lambda r: r["shard"])
+            net.load(np.concatenate([np.frombuffer(r["weights"], np.float64) for r in merged]) / merged[0]["tokens"])
             net.seen += merged[0]["tokens"]
     return net
 
@@ -451,14 +496,13 @@ def _score(batches, vocab: bytes, weights: dict, known: int, names: list[str]):
                 n_known.append(len(at) - len(others) + (v.ends > 0))
                 base.append(encoder.logc[at].sum() + end_logc - len(symbols) * norm)
                 inner.append(encoder.inner[at].sum() - sum(n * log_mass[bucket(w)] for w, n in tail.items()))
-                keys.append([xxhash.xxh64_intdigest(w, seed=42) for w in tail])
+                keys.append(list(tail))
                 counts.append(list(tail.values()))
             score = log_likelihoods(net, docs) / np.log(10) + np.array(inner)
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.ListArray.from_arrays(pa.array(sizes), pa.array([n for ns in counts for n in ns], pa.int32()))]
+            lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array([w for ws in keys for w in ws], pa.binary())), pa.ListArray.from_arrays(pa.array(sizes), pa.array([n for ns in counts for n in ns], pa.int32()))]
             kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.array(base, float)), pa.array(score), *lists], [*names, "n_tokens", "n_known", "base_score", "score", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.array(base, float)), pa.array(score), *lists], [*names, "n_tokens", "n_known", "base_score", "score", "tail", "counts"])
 
 
 def score_documents(docs: DataFrame, in_training: Column, keep: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -471,19 +515,18 @@ def score_documents(docs: DataFrame, in_training: Column, keep: list[str], text:
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType(
         [*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-        + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+        + [T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
     )
     source = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col(f"`{text}`").alias("body"))
     run = partial(_score, vocab=pickle.dumps(vocab), weights=net.p, known=len(vocab.words), names=names)
-    rows = materialize(source.mapInArrow(run, schema), "scored").withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "rows")
+    rows = materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     least = int(vocab.counts[-1]) if len(vocab.counts) else None
     rare = counts.where(F.length("word") > 0)  # words that the head lacks are no more frequent than its last
-    rare = (rare.where(F.col("n") <= least) if least is not None else rare).select("key", "n")
-    tails = rows.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("t")).select("row", F.col("t.keys").alias("key"), F.col("t.counts").alias("tf"))
-    found = tails.join(rare, "key", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("tail"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = rows.drop("keys", "counts").join(found, "row", "left")
-    more = F.coalesce("tail", F.lit(0.0))
+    rare = (rare.where(F.col("n") <= least) if least is not None else rare).select("word", "n")
+    tails = rows.select("row", F.explode(F.arrays_zip("tail", "counts")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.counts").alias("tf"))
+    found = tails.join(rare, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"))
+    out = rows.drop("tail", "counts").join(found, "row", "left")
+    more = F.coalesce("more", F.lit(0.0))
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
         "n_tokens",

@@ -1,24 +1,23 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words: a run of spaces opens a word and is written in meta symbols, and words end between two characters that no
-piece holds side by side, as before most punctuation. No piece holds a meta symbol behind another character. Pieces don't cross
-these cuts, so the best segmentation of a text is that of its words, and each distinct word is segmented once.
+A text is written with meta symbols for spaces and one before it, and is cut into words between any two characters that no piece holds side
+by side. As no piece holds a meta symbol behind another character, that is at each run of spaces, and before most punctuation. Pieces
+don't cross these cuts, so the best segmentation of a text is that of its words, and each distinct word is segmented once.
 
 Lattice. Substrings of a word, up to the longest piece, are exploded and equi-joined with the table of pieces; single characters
 that aren't a piece stay as unknown edges. Edges are grouped by word, and a higher-order aggregate folds them in order of their
 ends into the best score and edge of each place (Viterbi); a second one walks back. Of equal scores the longer last piece wins.
-Unknown characters become the pieces of their UTF-8 bytes.
+Unknown characters become the pieces of their UTF-8 bytes. What the fold holds of a place is of fixed size, so a word may have any length.
 
-Documents get the ids of the most frequent words (at most HEAD, a bounded table) where they are read, and all others by a join on the
-word. The pieces' scores come from the model file, whatever kind of model wrote it.
+Documents get the ids of the most frequent words (at most HEAD words and HEAD_BYTES bytes, which every task holds) where they are read.
+If there are other words, their ids come by a join on the word, and the documents that hold some are filled in from that. The pieces'
+scores come from the model file, whatever kind of model wrote it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +26,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, materialize, table
+from .common import as_bytes, lean, materialize, slices, table
 from .language_model import least_of_head
 
 META = "▁"
-HEAD = 150_000
+HEAD = 4_000_000  # words
+HEAD_BYTES = 96_000_000  # of words and ids
+HEAD_WORD = 64  # characters; longer words aren't in the head
 FLUSH = 300_000
-CHUNKS = 200_000
+CHUNKS = 400_000  # chunks that a task remembers
 WORDS_PER_PART = 40_000
-MODULUS = (1 << 31) - 1
-CHUNK = re.compile(f"{META}+[^{META}\n]*|\n|[^{META}\n]+")
+TEXT_BLOCK = 256  # characters of a long word that are taken at once
+LIST_BLOCK = 128
+BIAS = 1 << 24  # makes ids and code points under 0 positive
+GAP = 0xFFFF  # stands for a word that the head lacks; ids have 16 bits where they are bytes
+GAP_BYTES = GAP.to_bytes(2, "little")
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
@@ -63,26 +67,56 @@ class Model:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.beside = {a + b for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False)}
 
-
-def runs(text: str) -> bool:
-    """Whether meta symbols stand side by side, so that the text can't be cut at each space alone."""
-    return "  " in text or text[:1] == " " or META in text
-
-
-def parts(word: str, beside: set[str]) -> list[str]:
-    """A word cut between characters that no piece holds side by side."""
-    out, begin = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in beside:
-            out.append(word[begin:i])
-            begin = i
-    out.append(word[begin:])
-    return out
+    def spelled(self) -> list[bytes]:
+        """By id, the bytes that a piece stands for; of other pieces none."""
+        meta = META.encode()
+        by_id = {i: p.encode().replace(meta, b" ") for p, i, _ in self.pieces} | {i: bytes([b]) for b, i in self.bytes.items()}
+        return [by_id.get(i, b"") for i in range(len(self.text))]
+
+
+class Cutter:
+    """Cuts texts into words, many at a time: characters that pieces hold are numbered, and pairs looked up in one table."""
+
+    def __init__(self, beside: set[str]):
+        letters = sorted({c for pair in beside for c in pair})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        place = {c: i for i, c in enumerate(letters, 1)}
+        self.joined = np.sort(np.array([place[p[0]] * self.width + place[p[1]] for p in beside], np.int64))
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """Words of each text, which joined give the text; none of an empty one."""
+        whole = "".join(texts)
+        if not whole:
+            return [[] for _ in texts]
+        codes = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        pairs = codes[:-1] * self.width + codes[1:]
+        at = np.searchsorted(self.joined, pairs)
+        beside = (at < len(self.joined)) & (self.joined[np.minimum(at, len(self.joined) - 1)] == pairs) if len(self.joined) else np.zeros(len(pairs), bool)
+        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
+        opens = np.ones(len(codes), bool)
+        opens[1:] = ~beside
+        opens[ends[:-1][ends[:-1] < len(codes)]] = True  # each text opens a word
+        starts = np.flatnonzero(opens)
+        counts = np.searchsorted(starts, ends, "left")
+        words = [whole[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(whole)], strict=True)]
+        return [words[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+
+
+def chunks_of(text: str) -> list[str]:
+    """Runs that begin with a meta symbol, of a text written with meta symbols; joined they give it. A text with spaces side by side, or
+    a meta symbol of its own, is one chunk."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or META in text:
+        return [META + text.replace(" ", META)]
+    return [META + c for c in text.split(" ")]
 
 
 def cut(text: str, beside: set[str]) -> list[str]:
     """Words of a text, which joined give the text with meta symbols for spaces and one before it; none of an empty text."""
-    return [p for w in CHUNK.findall(META + text.replace(" ", META)) for p in parts(w, beside)] if text else []
+    return [w for ws in Cutter(beside).cut(chunks_of(text)) for w in ws]
 
 
 def _read(raw: bytes) -> str:
@@ -91,258 +125,264 @@ def _read(raw: bytes) -> str:
 
 @lean
 def _count(batches, beside: set[str]):
-    chunks: Counter = Counter()  # between single spaces; cut when they are written
-    others: Counter = Counter()
+    chunks, cutter = Counter(), Cutter(beside)
 
     def rows():
-        counts = others
-        for chunk, n in chunks.items():
-            for w in cut(chunk, beside) if chunk else [META]:
-                counts[w] += n
+        counts: Counter = Counter()
+        keys = list(chunks)
+        for a, b in slices([len(c) for c in keys], 4_000_000):
+            for c, words in zip(keys[a:b], cutter.cut(keys[a:b]), strict=True):
+                n = chunks[c]
+                for w in words:
+                    counts[w] += n
         batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
         chunks.clear()
-        counts.clear()
         return batch
 
     for batch in batches:
         for raw in as_bytes(batch.column(0)):
-            text = _read(raw)
-            if runs(text):
-                others.update(cut(text, beside))
-            elif text:
-                chunks.update(text.split(" "))
-            if len(chunks) + len(others) > FLUSH:
+            chunks.update(chunks_of(_read(raw)))
+            if len(chunks) > FLUSH:
                 yield rows()
-    if chunks or others:
+    if chunks:
         yield rows()
 
 
 def count_words(texts: DataFrame, model: Model) -> DataFrame:
-    """word, n over the single column of texts."""
+    """wid, word, n over the single column of texts."""
     found = texts.mapInArrow(partial(_count, beside=model.beside), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(found, "words")
+    return materialize(found.withColumn("wid", F.monotonically_increasing_id()), "words")
+
+
+def _pushed(blocks: Column, block: Column, value: Column) -> tuple[Column, Column]:
+    """A growing list, as full blocks and one that fills up, so that a long list isn't copied for each value."""
+    full = F.size(block) >= LIST_BLOCK
+    return F.when(full, F.array_append(blocks, block)).otherwise(blocks), F.when(full, F.array(value)).otherwise(F.array_append(block, value))
 
 
-def _best_path(edges: Column) -> Column:
-    """Edges (e, s, score, id) sorted by end and start, as the best path's edges (s, e, id), from the last to the first.
+def _best_path(edges: Column, longest: int) -> Column:
+    """Edges (e, s, score, id) sorted by end and start, as the ids of the best path's edges, from the last to the first.
 
-    The state holds the best score so far of the current end, and of the ends before it their scores and edges (start and id in
-    one number)."""
-    pack = lambda t: F.shiftleft(t["s"].cast("long"), 32) + t["id"].cast("long") + 1
-    start = F.struct(F.lit(0).alias("e"), F.lit(0.0).cast("double").alias("best"), F.lit(0).alias("s"), F.lit(-1).alias("id"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<long>").alias("back"))
+    The state holds the end and best score reached, the best edge to it (length and id in one number), the scores of at least the
+    `longest` ends before, the last first, and the best edges of all ends before."""
+    longs, ints = "array<long>", "array<int>"
+    start = F.struct(
+        F.lit(0).alias("e"), F.lit(0.0).alias("best"), F.lit(0).cast("long").alias("edge"), F.array().cast("array<double>").alias("recent"),
+        F.array().cast(f"array<{longs}>").alias("blocks"), F.array().cast(longs).alias("block"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        new = x["e"] > acc["e"]
-        score = F.when(x["s"] == acc["e"], acc["best"]).otherwise(F.get(acc["scores"], x["s"])) + x["score"]
-        scores = F.when(new, F.array_append(acc["scores"], acc["best"])).otherwise(acc["scores"])
-        back = F.when(new, F.array_append(acc["back"], pack(acc))).otherwise(acc["back"])
-        taken = F.struct(x["e"].alias("e"), score.alias("best"), x["s"].alias("s"), x["id"].alias("id"), scores.alias("scores"), back.alias("back"))
-        return F.when(new | (score > acc["best"]), taken).otherwise(acc)
+        score = F.when(x["s"] == acc["e"], acc["best"]).otherwise(F.get(acc["recent"], acc["e"] - 1 - x["s"])) + x["score"]
+        edge = F.shiftleft((x["e"] - x["s"]).cast("long"), 32) + x["id"].cast("long") + BIAS
+        recent = F.when(F.size(acc["recent"]) >= 4 * longest, F.slice(acc["recent"], 1, longest)).otherwise(acc["recent"])
+        blocks, block = _pushed(acc["blocks"], acc["block"], acc["edge"])
+        further = F.struct(x["e"].alias("e"), score.alias("best"), edge.alias("edge"), F.array_prepend(recent, acc["best"]).alias("recent"), blocks.alias("blocks"), block.alias("block"))
+        better = F.struct(acc["e"].alias("e"), score.alias("best"), edge.alias("edge"), acc["recent"].alias("recent"), acc["blocks"].alias("blocks"), acc["block"].alias("block"))
+        return F.when(x["e"] > acc["e"], further).when(score > acc["best"], better).otherwise(acc)
 
     def walk(acc: Column) -> Column:
-        first = F.struct(acc["e"].alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("path"))
+        first = F.struct(acc["e"].alias("at"), F.array().cast(f"array<{ints}>").alias("blocks"), F.array().cast(ints).alias("block"))
+        ends = F.concat(acc["blocks"], F.array(F.array_append(acc["block"], acc["edge"])))  # the edge to place k stands at k
 
         def up(state: Column, place: Column) -> Column:
-            edge = F.when(place == acc["e"], pack(acc)).otherwise(F.get(acc["back"], place))
-            s, i = F.shiftright(edge, 32).cast("int"), (edge.bitwiseAND(F.lit((1 << 32) - 1)) - 1).cast("int")
-            taken = F.struct(s.alias("at"), F.array_append(state["path"], F.struct(s.alias("s"), place.alias("e"), i.alias("id"))).alias("path"))
+            edge = F.get(F.get(ends, F.floor(place / F.lit(LIST_BLOCK)).cast("int")), place % LIST_BLOCK)
+            blocks, block = _pushed(state["blocks"], state["block"], (edge.bitwiseAND(F.lit((1 << 32) - 1)) - BIAS).cast("int"))
+            taken = F.struct((place - F.shiftright(edge, 32).cast("int")).alias("at"), blocks.alias("blocks"), block.alias("block"))
             return F.when(place == state["at"], taken).otherwise(state)
 
-        return F.aggregate(F.sequence(acc["e"], F.lit(1), F.lit(-1)), first, up, lambda s: s["path"])
+        return F.aggregate(F.sequence(acc["e"], F.lit(1), F.lit(-1)), first, up, lambda state: F.flatten(F.array_append(state["blocks"], state["block"])))
 
     return F.aggregate(edges, start, step, walk)
 
 
+def lattice(words: DataFrame, model: Model, parts: int) -> DataFrame:
+    """wid, s, e, piece: all substrings, up to the longest piece, of words (wid long, word), spread over `parts` by wid. A long word is
+    taken in blocks, and no row but the first carries it."""
+    rows = words.select("wid", "word").repartition(parts, "wid")
+    blocks = rows.select("wid", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(TEXT_BLOCK))).alias("b"))
+    blocks = blocks.select("wid", "b", F.least(F.length("word") - F.col("b"), F.lit(TEXT_BLOCK)).alias("n"), F.substring("word", F.col("b") + 1, F.lit(TEXT_BLOCK + model.longest)).alias("part"))
+    places = blocks.select("wid", "b", "part", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    tails = places.select("wid", (F.col("b") + F.col("i") - 1).alias("s"), F.substring("part", F.col("i"), F.lit(model.longest)).alias("tail"))
+    sized = tails.select("wid", "s", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
+    return sized.select("wid", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("tail", F.lit(1), F.col("l")).alias("piece"))
+
+
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """word and ids (array<int>) of distinct words of one character or more."""
+    """word and ids (array<int>) of distinct words (wid long, word) of one character or more."""
     spark = words.sparkSession
     pieces = spark.createDataFrame(model.pieces, "piece string, id int, score double")  # of the model's fixed size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS_PER_PART))
-    w, n = F.col("word"), F.length("word")
-
-    def from_place(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i + 1)), lambda l: F.struct((i - 1).alias("s"), (i - 1 + l).alias("e"), F.substring(w, i, l).alias("piece")))
-
-    lattice = words.select("word").repartition(parts, "word").select("word", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), n), from_place))))
-    edges = lattice.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    path = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("word", _best_path(F.col("edges")).alias("path"))
+    edges = lattice(words, model, parts).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
+    unknown = -1 - F.ascii("piece")  # a character that isn't a piece, by its code point
+    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", unknown).alias("id"))
+    path = edges.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("wid", _best_path(F.col("edges"), model.longest).alias("path"))
     table_ = F.array(*[F.lit(model.bytes[b]) for b in range(256)]) if len(model.bytes) == 256 else F.array(*[F.lit(0)] * 256)
 
-    def ids(p: Column) -> Column:
-        hexed = F.hex(F.encode(F.substring(w, p["s"] + 1, F.lit(1)), "UTF-8"))
-        as_bytes_ = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: F.get(table_, F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(p["id"] >= 0, F.array(p["id"])).otherwise(as_bytes_)
+    def bytes_of(i: Column) -> Column:
+        """Pieces of the UTF-8 bytes of a code point."""
+        c = -1 - i
+        more = lambda k: F.shiftright(c, 6 * k).bitwiseAND(F.lit(63)) + 128
+        utf8 = F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 192, more(0)))
+        utf8 = utf8.when(c < 0x10000, F.array(F.shiftright(c, 12) + 224, more(1), more(0))).otherwise(F.array(F.shiftright(c, 18) + 240, more(2), more(1), more(0)))
+        return F.transform(utf8, lambda b: F.get(table_, b))
 
-    return path.select("word", F.flatten(F.transform(F.reverse("path"), ids)).alias("ids"))
+    known = F.reverse("path")
+    ids = F.when(F.exists(known, lambda i: i < 0), F.flatten(F.transform(known, lambda i: F.when(i >= 0, F.array(i)).otherwise(bytes_of(i))))).otherwise(known)
+    return path.select("wid", ids.alias("ids")).join(words.select("wid", "word"), "wid").select("word", "ids")
 
 
 def decode(ids: Column, model: Model) -> Column:
     """Text of an array of ids: bytes of pieces joined, the meta symbol as a space, without the space before the text."""
-    meta = META.encode()
-    by_id = {i: p.encode().replace(meta, b" ") for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in model.bytes.items()}
-    hexes = F.split(F.lit(",".join(by_id.get(i, b"").hex() for i in range(len(model.text)))), ",")
+    hexes = F.split(F.lit(",".join(b.hex() for b in model.spelled())), ",")
     whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
     return F.when(whole.startswith(" "), F.substr(whole, F.lit(2))).otherwise(whole)
 
 
+def decoded(ids: list[int], spelled: list[bytes]) -> bytes:
+    """As decode(), of one list of ids."""
+    return b"".join(map(spelled.__getitem__, ids)).removeprefix(b" ")
+
+
 # ------------------------------------------------------------------------------------------------------------- documents
-def _key(word: str) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42))))
+class Head:
+    """Ids of words, in arrays that a task can hold: words by the order of their hashes, each compared in full when it is looked up."""
+
+    def __init__(self, found: pa.Table):
+        words, ids = found["word"].combine_chunks(), found["ids"].combine_chunks()
+        texts = as_bytes(words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.words, self.word_ends = b"".join(texts[i] for i in order), np.cumsum([0, *(len(texts[i]) for i in order)]).astype(np.uint32)
+        blobs = as_bytes(ids)
+        self.ids, self.id_ends = b"".join(blobs[i] for i in order), np.cumsum([0, *(len(blobs[i]) for i in order)]).astype(np.uint32)
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids (little-endian, 16 bits each) of each word, None of a word that isn't there."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        out: list[bytes | None] = []
+        for w, h, at in zip(words, hashes.tolist(), np.searchsorted(self.hashes, hashes).tolist(), strict=True):
+            ids = None
+            while at < len(self.hashes) and int(self.hashes[at]) == h:  # words of equal hash stand side by side
+                if self.words[self.word_ends[at] : self.word_ends[at + 1]] == w:
+                    ids = self.ids[self.id_ends[at] : self.id_ends[at + 1]]
+                    break
+                at += 1
+            out.append(ids)
+        return out
+
+
+class Encoder:
+    """Ids of texts, by chunks that are remembered."""
+
+    def __init__(self, head: Head, beside: set[str]):
+        self.head, self.cutter = head, Cutter(beside)
+        self.known: dict[str, bytes] = {}  # ids of a chunk, GAP for a word that the head lacks
+        self.gaps: dict[str, list[str]] = {}  # those words of a chunk
+
+    def read(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
+        """Ids of each text, with GAPs, and the words that belong there."""
+        cut = [chunks_of(t) for t in texts]
+        if len(self.known) > CHUNKS:
+            self.known.clear(), self.gaps.clear()
+        fresh = list({c for chunks in cut for c in chunks}.difference(self.known))
+        for a, b in slices([len(c) for c in fresh], 4_000_000):
+            words = self.cutter.cut(fresh[a:b])
+            distinct = list({w for ws in words for w in ws})
+            found = dict(zip(distinct, self.head.find([w.encode("utf-8", "surrogatepass") for w in distinct]), strict=True))
+            for chunk, ws in zip(fresh[a:b], words, strict=True):
+                lacking = [w for w in ws if found[w] is None]
+                if lacking:
+                    self.gaps[chunk] = lacking
+                self.known[chunk] = b"".join([found[w] if found[w] is not None else GAP_BYTES for w in ws])
+        get = self.known.__getitem__
+        return [(b"".join(map(get, chunks)), [w for c in chunks if c in self.gaps for w in self.gaps[c]] if self.gaps else []) for chunks in cut]
+
+
+def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes] | None, spelled: list[bytes] | None) -> list[pa.Array]:
+    """Columns of the result: the first n of the batch, ids, and with texts whether the ids decode to them."""
+    flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
+    ends = np.cumsum([0, *(len(x) // 2 for x in ids)]).astype(np.int32)
+    arrays = [*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+    if texts is not None:
+        lists = flat.tolist()
+        arrays.append(pa.array([decoded(lists[a:b], spelled) == t for a, b, t in zip(ends.tolist(), ends[1:].tolist(), texts, strict=False)], pa.bool_()))
+    return arrays
 
 
 @lean
-def _parts(batches, head: dict, beside: set[str], names: list[str]):
-    """The number of words, ids with -1 for each word that isn't in the head, and those words."""
+def _encode(batches, head: Head, beside: set[str], names: list[str], spelled: list[bytes] | None, gaps: bool):
+    """Documents with ids; with `gaps` as bytes with GAPs, and the words that belong there."""
+    encoder = Encoder(head, beside)
     for batch in batches:
-        n_words, ids, rest = [], [], []
-        for raw in as_bytes(batch.column(len(names))):
-            own, tail = [], []
-            words = cut(_read(raw), beside)
-            n_words.append(len(words))
-            for w in words:
-                known = head.get(w)
-                if known is None:
-                    own.append(-1)
-                    tail.append(w)
-                else:
-                    own += known
-            ids.append(own)
-            rest.append(tail)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(n_words, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], [*names, "n_words", "own", "rest"])
+        raws = as_bytes(batch.column(len(names)))
+        for a, b in slices([len(r) for r in raws], 8_000_000):
+            part = batch.slice(a, b - a)
+            found = encoder.read([_read(r) for r in raws[a:b]])
+            if gaps:
+                arrays = [*[part.column(i) for i in range(len(names) + 1)], pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "body", "own", "rest"])
+            else:
+                yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws[a:b] if spelled else None, spelled), [*names, "ids", *["round_trip"] * bool(spelled)])
 
 
 @lean
-def _fill(batches, names: list[str]):
+def _fill(batches, names: list[str], spelled: list[bytes] | None):
+    """Puts the ids of words (found: by their order) in the place of GAPs."""
     for batch in batches:
         out = []
-        for own, found in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-            gaps = iter(found or [])
-            out.append([i for x in own for i in (next(gaps)["ids"] if x < 0 else (x,))])
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(out, pa.list_(pa.int32()))], [*names, "ids"])
-
-
-def _encoded(docs: DataFrame, model: Model, keep: list[str], text: str, head: int) -> DataFrame:
-    """The columns `keep` as k0, k1 and so on, with n_words and ids of each whole text."""
+        for own, found in zip(as_bytes(batch.column(len(names) + 1)), batch.column(len(names) + 2).to_pylist(), strict=True):
+            at = np.flatnonzero(np.frombuffer(own, "<u2") == GAP).tolist()
+            if at:
+                places = [0, *(2 * k + 2 for k in at)]
+                own = b"".join([own[a : 2 * k] + bytes(x["ids"]) for a, k, x in zip(places, at, found, strict=False)]) + own[places[-1] :]
+            out.append(own)
+        texts = as_bytes(batch.column(len(names))) if spelled else None
+        yield pa.RecordBatch.from_arrays(_finished(batch, len(names), out, texts, spelled), [*names, "ids", *["round_trip"] * bool(spelled)])
+
+
+def _packed(ids: Column) -> Column:
+    """An array of ids as bytes, little-endian, 16 bits each."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8)), 2, "0"))), ""))
+
+
+def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, round_trip: bool = False) -> DataFrame:
+    """The columns `keep` with ids (array<int>) of each whole text, one row for each row of docs; a null or empty text has none. With
+    `round_trip` also whether the ids decode to the text: each text's ids are decoded as decode() does. A text that holds a
+    meta symbol itself doesn't come back."""
+    if len(model.text) >= 1 << 16:
+        raise ValueError("the model has more than 65535 pieces")
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
-    words = count_words(docs.select(F.col(f"`{text}`").alias("body")), model)
-    encoded = materialize(encode_words(words, model), "encoded")
+    words = count_words(source.select("body"), model)
+    encoded = encode_words(words.select("wid", "word"), model).select("word", _packed(F.col("ids")).alias("ids"))
+    encoded = materialize(encoded, "encoded")
     known = frequent(encoded, words, head)
-    known = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True))
-    own = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("n_words", T.LongType()), T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.StringType()))])
-    rows = materialize(source.mapInArrow(partial(_parts, head=known, beside=model.beside, names=names), own).withColumn("row", F.monotonically_increasing_id()), "parts")
-    tails = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(encoded, "word")
-    found = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    schema = T.StructType([*own.fields[:-2], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.join(found, "row", "left").select(*names, "n_words", "own", "found").mapInArrow(partial(_fill, names=[*names, "n_words"]), schema)
-
-
-def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
-    """The columns `keep` with ids (array<int>) of each whole text; a null or empty text has none. One row for each row of docs."""
-    found = _encoded(docs, model, keep, text, head)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
-
-
-def encode_and_decode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
-    """The columns `keep` with n_words, n_ids, digest and round_trip of each whole text, from the ids that encode() gives.
-
-    digest is 31 bits of a hash of the text's ids in order, 0 if it has none; round_trip says that the ids decode to the text (by
-    the SHA-256 of both, so that texts aren't shuffled). A null text counts as empty."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], body.alias("text"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    found = _encoded(source, model, [*names, "sha"], "text", head)
-    n_ids = F.size("ids").cast("long")
-    same = F.unhex(F.sha2(decode(F.col("ids"), model), 256)) == F.col(f"k{len(keep)}")
-    value = F.when(n_ids > 0, word_digest(F.col("ids"))).otherwise(F.lit(0)).cast("long")
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", n_ids.alias("n_ids"), value.alias("digest"), F.coalesce(same, F.lit(False)).alias("round_trip"))
+    spelled = model.spelled() if round_trip else None
+    table_ = Head(known)
+    own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
+    result = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("round_trip", T.BooleanType())] * round_trip])
+    run = partial(_encode, head=table_, beside=model.beside, names=names)
+    if known.num_rows == words.count():
+        found = source.mapInArrow(partial(run, spelled=spelled, gaps=False), result)
+    else:
+        schema = T.StructType([*own, T.StructField("body", T.StringType()), T.StructField("own", T.BinaryType()), T.StructField("rest", T.ArrayType(T.StringType()))])
+        rows = materialize(source.mapInArrow(partial(run, spelled=None, gaps=True), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
+        tails = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(encoded, "word")
+        tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
+        found = rows.join(tails, "row", "left").select(*names, "body", "own", "found").mapInArrow(partial(_fill, names=names, spelled=spelled), result)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", *["round_trip"] * round_trip)
 
 
 def frequent(encoded: DataFrame, words: DataFrame, head: int) -> pa.Table:
-    """Rows of `encoded` for the most frequent words, at most `head`, on the driver."""
-    least = least_of_head(words, head)
+    """Rows of `encoded` for the most frequent words of up to HEAD_WORD characters, at most `head` and HEAD_BYTES, on the driver."""
+    short = words.where(F.length("word") <= HEAD_WORD)
+    size = short.agg(F.count("*"), F.sum(4 * F.octet_length("word") + 24)).first()  # words, ids, and what the arrays need
+    share = min(1.0, HEAD_BYTES / size[1]) if size[1] else 1.0
+    least = least_of_head(short, min(head, int(size[0] * share)))
     if least is None:
         return encoded.limit(0).toArrow()
-    return encoded.join(words.where(F.col("n") >= least).select("word"), "word", "left_semi").toArrow()
-
-
-def word_digest(ids: Column) -> Column:
-    """31 bits of a hash of a word's ids."""
-    return F.xxhash64(F.array_join(ids, ",")).bitwiseAND(F.lit((1 << 31) - 1))
-
-
-class Places(dict):
-    """For a chunk between single spaces the numbers of its words: places in the head, or for other words -1 and less, by which they
-    stand in `others`."""
-
-    def __init__(self, head: dict[str, int], beside: set[str]):
-        self.head, self.cuts, self.others = head, beside, []
-
-    def of(self, words: list[str]) -> list[int]:
-        out = []
-        for w in words:
-            at = self.head.get(w)
-            if at is None:
-                self.others.append(w)
-                at = -len(self.others)
-            out.append(at)
-        return out
-
-    def __missing__(self, chunk: str) -> list[int]:
-        out = self.of(cut(chunk, self.cuts) if chunk else [META])
-        if len(self) < CHUNKS and min(out) >= 0:
-            self[chunk] = out
-        return out
-
-
-@lean
-def _digests(batches, table: pa.Table, beside: set[str], names: list[str]):
-    words = table["word"].to_pylist()
-    places = Places({w: i for i, w in enumerate(words)}, beside)
-    values = np.vstack([np.stack([table[c].to_numpy() for c in ("w_ids", "w_digest", "w_same")], axis=1), [[0, 0, 1]]])
-    for batch in batches:
-        n_words, n_ids, digest, bad, keys, where = [], [], [], [], [], []
-        for raw in as_bytes(batch.column(len(names))):
-            text = _read(raw)
-            places.others.clear()
-            at = places.of(cut(text, beside)) if runs(text) else list(chain.from_iterable(map(places.__getitem__, text.split(" ")))) if text else []
-            at = np.array(at, np.int64)
-            own = values[np.maximum(at, -1)]  # the last row for words that aren't in the head
-            n_words.append(len(at))
-            n_ids.append(int(own[:, 0].sum()))
-            digest.append(int((np.arange(1, len(at) + 1) * own[:, 1] % MODULUS).sum()))
-            bad.append(int((own[:, 2] == 0).sum()))
-            where.append((np.flatnonzero(at < 0) + 1).tolist())
-            keys.append([_key(w) for w in places.others])
-        arrays = [pa.array(x, pa.int64()) for x in (n_words, n_ids, digest, bad)] + [pa.array(x, pa.list_(pa.int64())) for x in (keys, where)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *arrays], [*names, "n_words", "n_ids", "digest", "bad", "keys", "places"])
-
-
-def digest(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
-    """The columns `keep` with n_words, n_ids, digest and round_trip of the encoding of each whole text.
-
-    digest is the sum over words (from 1) of place * word_digest modulo 2**31 - 1; round_trip says that every word's ids decode to
-    the word. Both follow from the words' ids alone, so no ids are gathered by document. A null or empty text has zeros and true.
-    """
-    names = [f"k{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
-    words = count_words(docs.select(F.col(f"`{text}`").alias("body")), model)
-    plain = F.replace("word", F.lit(META), F.lit(" "))
-    back = decode(F.col("ids"), model)
-    same = back == F.when(plain.startswith(" "), F.substr(plain, F.lit(2))).otherwise(plain)
-    encoded = encode_words(words, model).select("word", F.size("ids").cast("long").alias("w_ids"), word_digest(F.col("ids")).alias("w_digest"), F.when(same, 1).otherwise(0).cast("long").alias("w_same"))
-    encoded = materialize(encoded, "encoded")
-    top = frequent(encoded, words, head)
-    long, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], *[T.StructField(c, long) for c in ("n_words", "n_ids", "digest", "bad")], T.StructField("keys", longs), T.StructField("places", longs)])
-    rows = materialize(source.mapInArrow(partial(_digests, table=top, beside=model.beside, names=names), schema).withColumn("row", F.monotonically_increasing_id()), "digests")
-    tails = rows.select("row", F.explode(F.arrays_zip("keys", "places")).alias("t")).select("row", F.col("t.keys").alias("key"), F.col("t.places").alias("place"))
-    rare = encoded.select(F.xxhash64("word").alias("key"), "w_ids", "w_digest", "w_same")
-    found = tails.join(rare, "key").groupBy("row").agg(F.sum("w_ids").alias("t_ids"), F.sum(F.col("place") * F.col("w_digest") % MODULUS).alias("t_digest"), F.sum(1 - F.col("w_same")).alias("t_bad"))
-    out = rows.drop("keys", "places").join(found, "row", "left")
-    more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_words", more("n_ids", "t_ids").alias("n_ids"), more("digest", "t_digest").alias("digest"), (more("bad", "t_bad") == 0).alias("round_trip"))
+    return encoded.join(short.where(F.col("n") >= least).select("word"), "word", "left_semi").toArrow()
 
 
 def load(path: str | None = None) -> Model:
@@ -354,4 +394,6 @@ def load(path: str | None = None) -> Model:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_and_decode(table(spark, sf_dir, "documents"), load(), ["doc_id"])
+    """doc_id, the ids of each whole text, their number and a hash of them, and whether they decode to the text."""
+    found = encode(table(spark, sf_dir, "documents"), load(), ["doc_id"], round_trip=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.hash("ids").alias("ids_hash"), "round_trip", "ids")
