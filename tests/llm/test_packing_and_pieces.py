@@ -91,13 +91,18 @@ SCORES = {p: (i, s) for p, i, s in MODEL.pieces}
 
 
 def brute(word):
-    best = [(0.0, ())] + [None] * len(word)
+    best, back = [0.0] + [None] * len(word), [None] * (len(word) + 1)
     for e in range(1, len(word) + 1):
         for s in range(max(0, e - MODEL.longest), e):
             i, score = SCORES.get(word[s:e], (-1 if e - s == 1 else None, MODEL.unknown))
-            if i is not None and (best[e] is None or best[s][0] + score > best[e][0]):
-                best[e] = (best[s][0] + score, (*best[s][1], *((i,) if i >= 0 else (MODEL.bytes[b] for b in word[s:e].encode()))))
-    return list(best[-1][1])
+            if i is not None and (best[e] is None or best[s] + score > best[e]):
+                best[e], back[e] = best[s] + score, (s, i)
+    out, e = [], len(word)
+    while e:
+        s, i = back[e]
+        out += [i] if i >= 0 else [MODEL.bytes[b] for b in reversed(word[s:e].encode())]
+        e = s
+    return out[::-1]
 
 
 TEXTS = ["Hello  world, the été\nfoo", "漢字 😀 x", None, "", " lead trail ", "a" * 90 + "字" + "b" * 40, "The and attion to thanedble the, anea.", "\n\n a \t b", "a     b", "x" * 300]

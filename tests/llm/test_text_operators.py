@@ -169,10 +169,16 @@ def test_licences_among_many_index_words(spark):
         (1, prose + " " + notice["apache-2.0"], {"apache-2.0"}),
         (2, notice["mit"] + " " + notice["bsd"], {"mit", "bsd"}),
         (3, " ".join(notice[k] for k in ("mit", "apache-2.0", "gpl-3.0")), {"mit", "apache-2.0", "gpl-3.0"}),
+        (4, " ".join(notice[k] for k in ("mit", "bsd", "isc", "mpl-2.0", "unlicense")), {"mit", "bsd", "isc", "mpl-2.0", "unlicense"}),
+        (5, "\n\n".join(t[1] for t in licenses.TEMPLATES), {t[0] for t in licenses.TEMPLATES}),
+        *[(10 + k, f"Copyright 2020 someone. {prose} {t[1].upper()}. The end.", {t[0]}) for k, t in enumerate(licenses.TEMPLATES)],
     ]
     got = licenses.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), ["doc_id"]).collect()
     labels = {r["doc_id"]: set(r["labels"].split(",")) for r in got}
-    assert {i: want - labels[i] for i, _, want in docs} == {1: set(), 2: set(), 3: set()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([d[:2] for d in docs], columns=["doc_id", "text"]))
+    assert {i: set(x.split(",")) for i, x in con.execute("SELECT doc_id, labels FROM (" + licenses.ORACLE_SQL + ")").fetchall()} == labels
+    assert {i: want - labels[i] for i, _, want in docs} == {d[0]: set() for d in docs}
 
 
 def r9(got):

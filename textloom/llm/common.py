@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import wraps
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import ship
+from textloom.arrow import lean, slices, trim
+from textloom.session import forget, materialize, shared_dir, ship
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+__all__ = ["as_bytes", "forget", "held", "lean", "let", "materialize", "remainder", "shared_dir", "slices", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,47 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (local runs)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="textloom-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes what materialize() has written for this session; call it when the results have been stored."""
-    jvm = spark.sparkContext._jvm
-    for session, path in list(_WRITTEN):
-        if session is spark:
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-            _WRITTEN.remove((session, path))
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark in {id(s): s for s, _ in _WRITTEN}.values():
-        try:
-            if spark.sparkContext._jsc is not None:
-                forget(spark)
-        except Exception:  # the JVM may be gone already
-            return
-
-
 def remainder(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -80,18 +34,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in values] if column.null_count else values
 
 
-def slices(sizes: list[int], most: int, rows: int = 1 << 30):
-    """(begin, end) of consecutive runs of at most `most` in total, one element at least and `rows` at most."""
-    begin, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > begin and (total + n > most or i - begin >= rows):
-            yield begin, i
-            begin, total = i, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -107,24 +49,3 @@ def held(name: str, make: Callable[[], Any]) -> Any:
         trim()
         _HELD[name] = make()
     return _HELD[name]
-
-
-def trim() -> None:
-    """Gives freed memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not with this C library
-        return
-
-
-def lean(run):
-    """A function over Arrow batches that gives its task's memory back at the end, as workers live on."""
-
-    @wraps(run)
-    def inner(batches, *args, **kwargs):
-        yield from run(batches, *args, **kwargs)
-        trim()
-
-    return inner

@@ -23,6 +23,7 @@ Pairs that are left are verified on whole sets, fetched for classes that are in
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, held, lean, materialize, table
 
 BUCKETS = 1 << 18
+SHARDS = 16  # of the sketch, when the tasks' loads are summed
 BLOCK = 64
 BROADCAST_ROWS = 400_000
 PARITY_BITS = 512
@@ -93,7 +95,7 @@ def needed(a, b, percent: int):
 # ------------------------------------------------------------------------------------------------- sets, sketch and index
 @lean
 def _signatures(batches, k: int, names: list[str]):
-    """Rows of the documents; at the end one row with the loads that the task's classes put on the sketch's buckets."""
+    """Rows of the documents; at the end SHARDS rows with the loads that the task's classes put on the sketch's buckets."""
     loads, seen, kinds = np.zeros(BUCKETS, np.int64), set(), None
     for batch in batches:
         size, sig, put, bits = [], [], [], []
@@ -112,15 +114,20 @@ def _signatures(batches, k: int, names: list[str]):
         kinds = [c.type for c in kept]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(size), pa.binary())], [*names, "n_shingles", "sig", "bits", "loads"])
     if kinds is not None:
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([loads.astype("<i8").tobytes()], pa.binary())], [*names, "n_shingles", "sig", "bits", "loads"])
+        nulls = [pa.nulls(SHARDS, t) for t in [*kinds, pa.int64()]]
+        parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(loads, SHARDS)]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SHARDS), pa.int64()), pa.nulls(SHARDS, pa.binary()), pa.array(parts, pa.binary())], [*names, "n_shingles", "sig", "bits", "loads"])
 
 
+@lean
 def _add_loads(batches):
-    total = np.zeros(BUCKETS, np.int64)
+    """Sums of rows (shard, loads) by shard; holds one row a shard."""
+    totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for raw in as_bytes(batch.column(0)):
-            total += np.frombuffer(raw, "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["loads"])
+        for shard, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            totals[shard] = totals.get(shard, 0) + np.frombuffer(zlib.decompress(raw), "<i8")
+    for shard, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["shard", "loads"])
 
 
 @lean
@@ -323,10 +330,12 @@ class Join:
         source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
         both = materialize(source.mapInArrow(partial(_signatures, k=k, names=names), schema), "signatures")
         self.names = names
-        self.rows = both.where(F.col("sig").isNotNull()).drop("loads")
+        self.rows = both.where(F.col("loads").isNull()).drop("loads")
         self._classes: DataFrame | None = None
-        loads = both.where(F.col("loads").isNotNull()).select("loads").mapInArrow(_add_loads, "loads binary").coalesce(1).mapInArrow(_add_loads, "loads binary").collect()
-        self.loads = np.frombuffer(loads[0][0], "<i8") if loads else np.zeros(BUCKETS, np.int64)
+        put = both.where(F.col("loads").isNotNull()).select(F.col("sig").alias("shard"), "loads")
+        summed = put.mapInArrow(_add_loads, "shard long, loads binary").repartition(SHARDS, "shard").mapInArrow(_add_loads, "shard long, loads binary").collect()
+        summed = [np.frombuffer(zlib.decompress(r["loads"]), "<i8") for r in sorted(summed, key=lambda r: r["shard"])]  # a row for each shard
+        self.loads = np.concatenate(summed) if summed else np.zeros(BUCKETS, np.int64)
 
     def lists(self) -> DataFrame:
         """The inverted lists with two classes or more: shingle, sig, n, pos."""

@@ -6,7 +6,7 @@ texts, whitened by the landmarks' own kernel matrix; one-versus-rest ridge regre
 language. As the kernel is a dot product of presence vectors, landmarks, whitening and weights fold into one matrix of
 DIMENSIONS x languages, and a batch of texts is scored by one matrix product.
 
-The model is fitted on at most `per_language` rows of each language (those with the smallest hashes of doc_id). Everything else
+The model is fitted on about `per_language` rows of each language, chosen by hash, and on about SAMPLE_BYTES of text at most. Everything else
 reads whole texts of all rows, in one pass without a shuffle.
 """
 
@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from .common import as_bytes, lean, remainder, slices, table
 DIMENSIONS = 8192
 BATCH_BYTES = 2_000_000
 BATCH_ROWS = 512
+SAMPLE_BYTES = 32_000_000
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -111,15 +112,17 @@ def fit(texts: list[bytes], languages: list[str], landmarks: int = 24, ridge: fl
 
 
 def training_rows(docs: DataFrame, training: Column, per_language: int) -> tuple[list[bytes], list[str]]:
-    """At most `per_language` texts of each language among the rows where `training` holds, by the smallest hash of doc_id.
-
-    The choice is made on ids alone, with a limit for each language before the shuffle; texts are fetched for the chosen ids.
-    """
-    usable = training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.where(usable).select("doc_id", "lang").withColumn("__rank", order).where(F.col("__rank") <= per_language)
-    ids = chosen.select("doc_id").distinct()
-    rows = docs.where(usable).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # per_language rows of a language
+    """About `per_language` distinct texts of each language and SAMPLE_BYTES of text at most (by expectation), among the rows where
+    `training` holds: those whose hash lies under a share of all hashes that follows from the language's count of rows and bytes.
+
+    Counts are sums by language, so a hot one gathers nowhere; each row decides for itself, and no ids travel."""
+    usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    total = counts.agg(F.sum("bytes").alias("all_bytes"), F.sum(F.col("bytes") * F.least(F.lit(1.0), per_language / F.col("n"))).alias("taken")).first()
+    fewer = min(1.0, SAMPLE_BYTES / total["taken"]) if total["taken"] else 1.0
+    shares = counts.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), per_language / F.col("n")) * fewer * float(1 << 30)).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    rows = usable.join(shares, F.col("lang") == F.col("l")).where(place < F.col("share")).select("doc_id", "lang", "text").distinct()
     found = sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return [r["text"].encode() for r in found], [r["lang"] for r in found]
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import let, materialize, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 24  # rarest words of a text that ORACLE_SQL looks up; the scan looks up all of them
+RAREST = 40  # words of a template, by rarity, that are looked up, besides those of its key phrases
 SLACK = 8
 LEAST_SHARE = 0.6  # of the looked-up words of a template that agree in position
 #: Plain phrases and their labels.
@@ -44,13 +44,21 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("substantial portions of the software", "noninfringement")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("www apache org licenses license 2 0", "unless required by applicable law")),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "free software foundation", "either version 3 of the license")),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "free software foundation", "either version 2 of the license")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license", "free software foundation")),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages", ("the author disclaims all warranties",)),
 )
 
 
 def build_index() -> tuple[dict[str, float], list[tuple[str, int, int]], list[int]]:
     """Rarity of each word; postings (word, template, position) of the words that are looked up; how many those are by template.
 
-    A template looks up its words that at most a third of the templates hold, and those of its key phrases."""
+    A template looks up the words of its key phrases, and of its words that at most a third of the templates hold the RAREST
+    rarest, ties by the first place. All templates are looked up in every text, whatever else it holds."""
     words = [t[1].split() for t in TEMPLATES]
     holds = defaultdict(set)
     for k, ws in enumerate(words):
@@ -60,7 +68,8 @@ def build_index() -> tuple[dict[str, float], list[tuple[str, int, int]], list[in
     postings = []
     for k, (_, _, keys) in enumerate(TEMPLATES):
         key_words = {w for phrase in keys for w in phrase.split()}
-        postings += [(w, k, i) for i, w in enumerate(words[k]) if 3 * len(holds[w]) <= len(TEMPLATES) or w in key_words]
+        rare = sorted((w for w in dict.fromkeys(words[k]) if 3 * len(holds[w]) <= len(TEMPLATES)), key=lambda w: -rarity[w])[:RAREST]
+        postings += [(w, k, i) for i, w in enumerate(words[k]) if w in rare or w in key_words]
     return rarity, postings, [len({i for _, t, i in postings if t == k}) for k in range(len(TEMPLATES))]
 
 
@@ -182,7 +191,6 @@ def _sql() -> str:
     names = list(BASE.values())
     labels = ", ".join(f"CASE WHEN len(b{names.index(label)}) > 0 THEN '{label}' END" for label in sorted(names))
     index = ", ".join(f"('{w}', {t}, {q})" for w, t, q in POSTINGS)
-    rarity = ", ".join(f"('{w}', {RARITY[w]!r}::DOUBLE)" for w in INDEXED)
     templates = ", ".join(f"({k}, '{t[0]}', {LOOKED_UP[k]})" for k, t in enumerate(TEMPLATES))
     keys = " UNION ALL ".join(f"SELECT rid, {k} AS t FROM l_keyed WHERE key{k}" for k in range(len(TEMPLATES)))
     return rf"""
@@ -192,10 +200,8 @@ l_rows AS (SELECT rid, doc_id, n_words, {" || ".join(f"b{k}" for k in range(len(
 l_keyed AS (SELECT rid, {keyed} FROM l_words),
 l_keys AS ({keys}),
 l_index AS (SELECT * FROM (VALUES {index}) v(x, t, q)),
-l_rarity AS (SELECT * FROM (VALUES {rarity}) v(x, r)),
 l_each AS (SELECT rid, unnest(range(len(w))) AS p, unnest(w) AS x FROM l_words WHERE rid IN (SELECT rid FROM l_keys)),
-l_rare AS (SELECT rid, x FROM (SELECT DISTINCT rid, x, r FROM l_each JOIN l_rarity USING (x)) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY r DESC, x) <= {RARE}),
-l_votes AS (SELECT rid, t, q, floor((p - q) / {SLACK}.0)::BIGINT AS block FROM l_each JOIN l_rare USING (rid, x) JOIN l_index USING (x) JOIN l_keys USING (rid, t)),
+l_votes AS (SELECT rid, t, q, floor((p - q) / {SLACK}.0)::BIGINT AS block FROM l_each JOIN l_index USING (x) JOIN l_keys USING (rid, t)),
 l_agreed AS (SELECT rid, t, block, count(DISTINCT q) AS n FROM (SELECT rid, t, q, block FROM l_votes UNION ALL SELECT rid, t, q, block + 1 FROM l_votes) GROUP BY ALL),
 l_found AS (SELECT rid, list(DISTINCT label) AS labels, max(least(1.0, n / total::DOUBLE)) AS share FROM l_agreed JOIN (VALUES {templates}) v(t, label, total) USING (t) WHERE least(1.0, n / total::DOUBLE) >= {LEAST_SHARE} GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,

@@ -16,6 +16,7 @@ scores come from the model file, whatever kind of model wrote it.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import partial
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, materialize, slices, table
+from .common import as_bytes, lean, let, materialize, slices, table
 from .language_model import least_of_head
 
 META = "▁"
@@ -34,12 +35,14 @@ HEAD = 4_000_000  # words
 HEAD_BYTES = 96_000_000  # of words and ids
 HEAD_WORD = 64  # characters; longer words aren't in the head
 FLUSH = 300_000
-CHUNKS = 400_000  # chunks that a task remembers
+CHUNKS = 200_000  # chunks that a task remembers
+AT_ONCE = 1_000_000  # characters of chunks that are cut at once
 WORDS_PER_PART = 40_000
 TEXT_BLOCK = 256  # characters of a long word that are taken at once
-LIST_BLOCK = 128
-BIAS = 1 << 24  # makes ids and code points under 0 positive
+LIST_BLOCK = 64
+UNKNOWN = 1 << 22  # and more: code points of characters that aren't pieces
 GAP = 0xFFFF  # stands for a word that the head lacks; ids have 16 bits where they are bytes
+RUN = re.compile(f"{META}+[^{META}\n]*|\n|[^{META}\n]+")
 GAP_BYTES = GAP.to_bytes(2, "little")
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
@@ -65,6 +68,8 @@ class Model:
         if any(META in p.lstrip(META) or "\n" in p for p, _, _ in self.pieces):
             raise ValueError("the model has pieces across words")
         self.longest = max(len(p) for p, _, _ in self.pieces)
+        if self.longest > 127 or len(self.text) >= UNKNOWN:
+            raise ValueError("the model has pieces of more than 127 characters, or too many")
         self.beside = {a + b for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False)}
 
     def spelled(self) -> list[bytes]:
@@ -105,13 +110,22 @@ class Cutter:
 
 
 def chunks_of(text: str) -> list[str]:
-    """Runs that begin with a meta symbol, of a text written with meta symbols; joined they give it. A text with spaces side by side, or
-    a meta symbol of its own, is one chunk."""
+    """A text written with meta symbols in pieces that end at some of its cuts: runs that begin with a meta symbol or a line feed's end,
+    and line feeds. Joined they give the text."""
     if not text:
         return []
     if "  " in text or text[0] == " " or META in text:
-        return [META + text.replace(" ", META)]
-    return [META + c for c in text.split(" ")]
+        return RUN.findall(META + text.replace(" ", META))
+    first, *lines = text.split("\n")
+    out = [META + c for c in first.split(" ")]
+    for line in lines:
+        out.append("\n")
+        if line:
+            head, *rest = line.split(" ")
+            if head:
+                out.append(head)
+            out += [META + c for c in rest]
+    return out
 
 
 def cut(text: str, beside: set[str]) -> list[str]:
@@ -124,73 +138,84 @@ def _read(raw: bytes) -> str:
 
 
 @lean
-def _count(batches, beside: set[str]):
-    chunks, cutter = Counter(), Cutter(beside)
+def _count(batches):
+    counts: Counter = Counter()
 
     def rows():
-        counts: Counter = Counter()
-        keys = list(chunks)
-        for a, b in slices([len(c) for c in keys], 4_000_000):
-            for c, words in zip(keys[a:b], cutter.cut(keys[a:b]), strict=True):
-                n = chunks[c]
-                for w in words:
-                    counts[w] += n
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        chunks.clear()
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["chunk", "n"])
+        counts.clear()
         return batch
 
     for batch in batches:
         for raw in as_bytes(batch.column(0)):
-            chunks.update(chunks_of(_read(raw)))
-            if len(chunks) > FLUSH:
+            counts.update(chunks_of(_read(raw)))
+            if len(counts) > FLUSH:
                 yield rows()
-    if chunks:
+    if counts:
         yield rows()
 
 
+@lean
+def _cut(batches, beside: set[str]):
+    cutter = Cutter(beside)
+    for batch in batches:
+        chunks, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for a, b in slices([len(c) for c in chunks], AT_ONCE):
+            found = cutter.cut(chunks[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([w for ws in found for w in ws], pa.string()), pa.array(np.repeat(n[a:b], [len(ws) for ws in found]))], ["word", "n"])
+
+
 def count_words(texts: DataFrame, model: Model) -> DataFrame:
-    """wid, word, n over the single column of texts."""
-    found = texts.mapInArrow(partial(_count, beside=model.beside), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """wid, word, n over the single column of texts. Each distinct chunk is cut once."""
+    chunks = texts.mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    found = chunks.mapInArrow(partial(_cut, beside=model.beside), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return materialize(found.withColumn("wid", F.monotonically_increasing_id()), "words")
 
 
-def _pushed(blocks: Column, block: Column, value: Column) -> tuple[Column, Column]:
-    """A growing list, as full blocks and one that fills up, so that a long list isn't copied for each value."""
+def _int_at(done: Column, block: Column, place: Column) -> Column:
+    """Of a list of _pushed()."""
+    n = F.shiftright(F.octet_length(done), 2)
+    return F.when(place < n, F.conv(F.hex(F.substring(done, 4 * place + 1, F.lit(4))), 16, 10).cast("int")).otherwise(F.get(block, place - n))
+
+
+def _pushed(done: Column, block: Column, value: Column) -> tuple[Column, Column]:
+    """A growing list of integers, the last in an array and all before as bytes, four each: an aggregate copies arrays in its state at
+    each step, but not bytes."""
     full = F.size(block) >= LIST_BLOCK
-    return F.when(full, F.array_append(blocks, block)).otherwise(blocks), F.when(full, F.array(value)).otherwise(F.array_append(block, value))
+    packed = F.unhex(F.array_join(F.transform(block, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+    return F.when(full, F.concat(done, packed)).otherwise(done), F.when(full, F.array(value)).otherwise(F.array_append(block, value))
 
 
 def _best_path(edges: Column, longest: int) -> Column:
-    """Edges (e, s, score, id) sorted by end and start, as the ids of the best path's edges, from the last to the first.
+    """Edges (e, s, score, code) sorted by end and start, as the codes of the best path's edges in order.
 
-    The state holds the end and best score reached, the best edge to it (length and id in one number), the scores of at least the
+    The state holds the end and best score reached, the best edge to it (length and code in one number), the scores of at least the
     `longest` ends before, the last first, and the best edges of all ends before."""
-    longs, ints = "array<long>", "array<int>"
-    start = F.struct(
-        F.lit(0).alias("e"), F.lit(0.0).alias("best"), F.lit(0).cast("long").alias("edge"), F.array().cast("array<double>").alias("recent"),
-        F.array().cast(f"array<{longs}>").alias("blocks"), F.array().cast(longs).alias("block"),
-    )
+    none, ints = F.lit(b""), F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("e"), F.lit(0.0).alias("best"), F.lit(0).alias("edge"), F.array().cast("array<double>").alias("recent"), none.alias("done"), ints.alias("block"))
 
     def step(acc: Column, x: Column) -> Column:
         score = F.when(x["s"] == acc["e"], acc["best"]).otherwise(F.get(acc["recent"], acc["e"] - 1 - x["s"])) + x["score"]
-        edge = F.shiftleft((x["e"] - x["s"]).cast("long"), 32) + x["id"].cast("long") + BIAS
-        recent = F.when(F.size(acc["recent"]) >= 4 * longest, F.slice(acc["recent"], 1, longest)).otherwise(acc["recent"])
-        blocks, block = _pushed(acc["blocks"], acc["block"], acc["edge"])
-        further = F.struct(x["e"].alias("e"), score.alias("best"), edge.alias("edge"), F.array_prepend(recent, acc["best"]).alias("recent"), blocks.alias("blocks"), block.alias("block"))
-        better = F.struct(acc["e"].alias("e"), score.alias("best"), edge.alias("edge"), acc["recent"].alias("recent"), acc["blocks"].alias("blocks"), acc["block"].alias("block"))
+        edge = F.shiftleft(x["e"] - x["s"], 24) + x["code"]
+        recent = F.when(F.size(acc["recent"]) >= 2 * longest, F.slice(acc["recent"], 1, longest)).otherwise(acc["recent"])
+        done, block = _pushed(acc["done"], acc["block"], acc["edge"])
+        further = F.struct(x["e"].alias("e"), score.alias("best"), edge.alias("edge"), F.array_prepend(recent, acc["best"]).alias("recent"), done.alias("done"), block.alias("block"))
+        better = F.struct(acc["e"].alias("e"), score.alias("best"), edge.alias("edge"), acc["recent"].alias("recent"), acc["done"].alias("done"), acc["block"].alias("block"))
         return F.when(x["e"] > acc["e"], further).when(score > acc["best"], better).otherwise(acc)
 
     def walk(acc: Column) -> Column:
-        first = F.struct(acc["e"].alias("at"), F.array().cast(f"array<{ints}>").alias("blocks"), F.array().cast(ints).alias("block"))
-        ends = F.concat(acc["blocks"], F.array(F.array_append(acc["block"], acc["edge"])))  # the edge to place k stands at k
+        first = F.struct(acc["e"].alias("at"), none.alias("done"), ints.alias("block"))
 
         def up(state: Column, place: Column) -> Column:
-            edge = F.get(F.get(ends, F.floor(place / F.lit(LIST_BLOCK)).cast("int")), place % LIST_BLOCK)
-            blocks, block = _pushed(state["blocks"], state["block"], (edge.bitwiseAND(F.lit((1 << 32) - 1)) - BIAS).cast("int"))
-            taken = F.struct((place - F.shiftright(edge, 32).cast("int")).alias("at"), blocks.alias("blocks"), block.alias("block"))
-            return F.when(place == state["at"], taken).otherwise(state)
+            edge = F.when(place == acc["e"], acc["edge"]).otherwise(_int_at(acc["done"], acc["block"], place))
+            done, block = _pushed(state["done"], state["block"], edge.bitwiseAND(F.lit((1 << 24) - 1)))
+            return F.when(place == state["at"], F.struct((place - F.shiftright(edge, 24)).alias("at"), done.alias("done"), block.alias("block"))).otherwise(state)
+
+        def codes(state: Column) -> Column:
+            before = F.transform(F.sequence(F.shiftright(F.octet_length(state["done"]), 2) - 1, F.lit(0), F.lit(-1)), lambda k: _int_at(state["done"], state["block"], k))
+            return F.concat(F.reverse(state["block"]), F.when(F.octet_length(state["done"]) > 0, before).otherwise(ints))
 
-        return F.aggregate(F.sequence(acc["e"], F.lit(1), F.lit(-1)), first, up, lambda state: F.flatten(F.array_append(state["blocks"], state["block"])))
+        return F.aggregate(F.sequence(acc["e"], F.lit(1), F.lit(-1)), first, up, codes)
 
     return F.aggregate(edges, start, step, walk)
 
@@ -213,21 +238,21 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     pieces = spark.createDataFrame(model.pieces, "piece string, id int, score double")  # of the model's fixed size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS_PER_PART))
     edges = lattice(words, model, parts).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    unknown = -1 - F.ascii("piece")  # a character that isn't a piece, by its code point
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", unknown).alias("id"))
+    unknown = UNKNOWN + F.ascii("piece")  # a character that isn't a piece, by its code point
+    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", unknown).alias("code"))
     path = edges.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("wid", _best_path(F.col("edges"), model.longest).alias("path"))
     table_ = F.array(*[F.lit(model.bytes[b]) for b in range(256)]) if len(model.bytes) == 256 else F.array(*[F.lit(0)] * 256)
 
-    def bytes_of(i: Column) -> Column:
+    def bytes_of(code: Column) -> Column:
         """Pieces of the UTF-8 bytes of a code point."""
-        c = -1 - i
+        c = code - UNKNOWN
         more = lambda k: F.shiftright(c, 6 * k).bitwiseAND(F.lit(63)) + 128
         utf8 = F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 192, more(0)))
         utf8 = utf8.when(c < 0x10000, F.array(F.shiftright(c, 12) + 224, more(1), more(0))).otherwise(F.array(F.shiftright(c, 18) + 240, more(2), more(1), more(0)))
         return F.transform(utf8, lambda b: F.get(table_, b))
 
-    known = F.reverse("path")
-    ids = F.when(F.exists(known, lambda i: i < 0), F.flatten(F.transform(known, lambda i: F.when(i >= 0, F.array(i)).otherwise(bytes_of(i))))).otherwise(known)
+    known = F.col("path")
+    ids = F.when(F.exists(known, lambda i: i >= UNKNOWN), F.flatten(F.transform(known, lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(bytes_of(i))))).otherwise(known)
     return path.select("wid", ids.alias("ids")).join(words.select("wid", "word"), "wid").select("word", "ids")
 
 
@@ -286,7 +311,7 @@ class Encoder:
         if len(self.known) > CHUNKS:
             self.known.clear(), self.gaps.clear()
         fresh = list({c for chunks in cut for c in chunks}.difference(self.known))
-        for a, b in slices([len(c) for c in fresh], 4_000_000):
+        for a, b in slices([len(c) for c in fresh], AT_ONCE):
             words = self.cutter.cut(fresh[a:b])
             distinct = list({w for ws in words for w in ws})
             found = dict(zip(distinct, self.head.find([w.encode("utf-8", "surrogatepass") for w in distinct]), strict=True))
@@ -316,7 +341,7 @@ def _encode(batches, head: Head, beside: set[str], names: list[str], spelled: li
     encoder = Encoder(head, beside)
     for batch in batches:
         raws = as_bytes(batch.column(len(names)))
-        for a, b in slices([len(r) for r in raws], 8_000_000):
+        for a, b in slices([len(r) for r in raws], 2 * AT_ONCE):
             part = batch.slice(a, b - a)
             found = encoder.read([_read(r) for r in raws[a:b]])
             if gaps:

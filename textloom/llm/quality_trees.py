@@ -135,13 +135,14 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
 
 
 def train(measured: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Forest:
-    """Fits on the labelled rows of `measured` (doc_id, statistics), about `most_rows` at most; null labels are left out, and a
-    doc_id with several labels or texts counts once for each."""
+    """Fits on the labelled rows of `measured` (doc_id, statistics), about `most_rows` at most; null labels are left out, a doc_id with
+    several labels or texts counts once for each, and equal rows count once."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label"))
-    total = known.count()
-    if total > most_rows:  # by hash, so that what reaches the driver doesn't grow with the tables
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / total))
-    rows = sorted(measured.select("doc_id", "statistics").join(known, "doc_id").collect(), key=lambda r: (r["doc_id"], r["__label"], r["statistics"]))
+    joined = measured.select("doc_id", "statistics").join(known, "doc_id")
+    total = joined.count()
+    if total > most_rows:  # by hash of the whole row, so that what reaches the driver grows neither with the tables nor with a repeated doc_id
+        joined = joined.where(F.pmod(F.xxhash64("doc_id", "statistics", "__label"), F.lit(1 << 30)) < int((1 << 30) * most_rows / total))
+    rows = sorted(joined.distinct().collect(), key=lambda r: (r["doc_id"], r["__label"], r["statistics"]))
     x = np.array([r["statistics"] for r in rows], np.float32).reshape(-1, len(FEATURES))
     return grow(x, np.array([r["__label"] for r in rows], float))
 
