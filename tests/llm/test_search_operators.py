@@ -118,6 +118,22 @@ def test_neighbours_recall_and_scores(spark):
     assert hit >= 0.9 * 5 * 30
 
 
+@pytest.mark.parametrize(("rows", "spread"), [(4000, None), (8000, None), (3000, 0.7)])
+def test_neighbours_verify_a_part_and_find_most(rows, spread):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((rows, 64))
+    if spread:
+        x = spread * x + rng.standard_normal((10, 64))[rng.integers(0, 10, rows)]
+    block, hits = neighbours.Block(np.arange(rows), x), 0
+    unit = neighbours.unit(x)
+    for q in range(0, rows, 50):
+        best = unit @ unit[q]
+        best[q] = -9
+        hits += len(set(np.argsort(-best)[:5]) & set(block.search(q, x[q], 5)[0].tolist()))
+    print(rows, spread, "recall", hits / (5 * block.searches), "verified", block.verified / block.searches / rows)
+    assert hits >= 0.9 * 5 * block.searches and block.verified <= 0.2 * rows * block.searches
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, 1.0]), (7, [-1.0, 0.0]), (8, []), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (6, [1.0, 1.0]), (50, [2.0, 0.0])]
@@ -126,6 +142,8 @@ def test_neighbours_odd_rows(spark):
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 50), (0, 2, 6), (0, 3, 7), (50, 1, 0), (50, 2, 6), (50, 3, 7)]
     assert [s for *_, s in got[:3]] == pytest.approx([1, math.sqrt(0.5), -1])
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    far = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(far, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 0.707107), (2, 0.0)]
 
 
 # -------------------------------------------------------------------------------------------------------------------- html

@@ -16,6 +16,7 @@ scores come from the model file, whatever kind of model wrote it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from functools import partial
@@ -32,11 +33,11 @@ from .language_model import least_of_head
 
 META = "▁"
 HEAD = 4_000_000  # words
-HEAD_BYTES = 96_000_000  # of words and ids
+HEAD_BYTES = 128_000_000  # of words, ids and what finds them, at most
 HEAD_WORD = 64  # characters; longer words aren't in the head
 FLUSH = 300_000
-CHUNKS = 200_000  # chunks that a task remembers
-AT_ONCE = 1_000_000  # characters of chunks that are cut at once
+CHUNKS = 100_000  # chunks that a task remembers
+AT_ONCE = 500_000  # characters of chunks that are cut at once
 WORDS_PER_PART = 40_000
 TEXT_BLOCK = 256  # characters of a long word that are taken at once
 LIST_BLOCK = 64
@@ -324,14 +325,19 @@ class Encoder:
         return [(b"".join(map(get, chunks)), [w for c in chunks if c in self.gaps for w in self.gaps[c]] if self.gaps else []) for chunks in cut]
 
 
-def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes] | None, spelled: list[bytes] | None) -> list[pa.Array]:
-    """Columns of the result: the first n of the batch, ids, and with texts whether the ids decode to them."""
+def _mark(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes] | None, spelled: list[bytes] | None, marks: bool = False) -> list[pa.Array]:
+    """Columns of the result: the first n of the batch, ids, and with texts (or marks of them) whether the ids decode to them."""
     flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
     ends = np.cumsum([0, *(len(x) // 2 for x in ids)]).astype(np.int32)
     arrays = [*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
     if texts is not None:
         lists = flat.tolist()
-        arrays.append(pa.array([decoded(lists[a:b], spelled) == t for a, b, t in zip(ends.tolist(), ends[1:].tolist(), texts, strict=False)], pa.bool_()))
+        same = (lambda d, t: _mark(d) == t) if marks else (lambda d, t: d == t)
+        arrays.append(pa.array([same(decoded(lists[a:b], spelled), t) for a, b, t in zip(ends.tolist(), ends[1:].tolist(), texts, strict=False)], pa.bool_()))
     return arrays
 
 
@@ -345,8 +351,8 @@ def _encode(batches, head: Head, beside: set[str], names: list[str], spelled: li
             part = batch.slice(a, b - a)
             found = encoder.read([_read(r) for r in raws[a:b]])
             if gaps:
-                arrays = [*[part.column(i) for i in range(len(names) + 1)], pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "body", "own", "rest"])
+                arrays = [*[part.column(i) for i in range(len(names))], pa.array([_mark(r) for r in raws[a:b]], pa.binary()), pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "mark", "own", "rest"])
             else:
                 yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws[a:b] if spelled else None, spelled), [*names, "ids", *["round_trip"] * bool(spelled)])
 
@@ -363,7 +369,7 @@ def _fill(batches, names: list[str], spelled: list[bytes] | None):
                 own = b"".join([own[a : 2 * k] + bytes(x["ids"]) for a, k, x in zip(places, at, found, strict=False)]) + own[places[-1] :]
             out.append(own)
         texts = as_bytes(batch.column(len(names))) if spelled else None
-        yield pa.RecordBatch.from_arrays(_finished(batch, len(names), out, texts, spelled), [*names, "ids", *["round_trip"] * bool(spelled)])
+        yield pa.RecordBatch.from_arrays(_finished(batch, len(names), out, texts, spelled, True), [*names, "ids", *["round_trip"] * bool(spelled)])
 
 
 def _packed(ids: Column) -> Column:
@@ -391,18 +397,18 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     if known.num_rows == words.count():
         found = source.mapInArrow(partial(run, spelled=spelled, gaps=False), result)
     else:
-        schema = T.StructType([*own, T.StructField("body", T.StringType()), T.StructField("own", T.BinaryType()), T.StructField("rest", T.ArrayType(T.StringType()))])
+        schema = T.StructType([*own, T.StructField("mark", T.BinaryType()), T.StructField("own", T.BinaryType()), T.StructField("rest", T.ArrayType(T.StringType()))])
         rows = materialize(source.mapInArrow(partial(run, spelled=None, gaps=True), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
         tails = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(encoded, "word")
         tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-        found = rows.join(tails, "row", "left").select(*names, "body", "own", "found").mapInArrow(partial(_fill, names=names, spelled=spelled), result)
+        found = rows.join(tails, "row", "left").select(*names, "mark", "own", "found").mapInArrow(partial(_fill, names=names, spelled=spelled), result)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", *["round_trip"] * round_trip)
 
 
 def frequent(encoded: DataFrame, words: DataFrame, head: int) -> pa.Table:
     """Rows of `encoded` for the most frequent words of up to HEAD_WORD characters, at most `head` and HEAD_BYTES, on the driver."""
     short = words.where(F.length("word") <= HEAD_WORD)
-    size = short.agg(F.count("*"), F.sum(4 * F.octet_length("word") + 24)).first()  # words, ids, and what the arrays need
+    size = short.agg(F.count("*"), F.sum(3 * F.octet_length("word") + 16)).first()  # an id of two bytes for each byte of a word at most
     share = min(1.0, HEAD_BYTES / size[1]) if size[1] else 1.0
     least = least_of_head(short, min(head, int(size[0] * share)))
     if least is None:
