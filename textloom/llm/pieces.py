@@ -33,8 +33,8 @@ from .language_model import least_of_head
 
 META = "▁"
 HEAD = 4_000_000  # words
-HEAD_BYTES = 128_000_000  # of words, ids and what finds them, at most
-HEAD_WORD = 64  # characters; longer words aren't in the head
+HEAD_BYTES = 160_000_000  # of words, ids and what finds them, at most
+HEAD_WORD = 10_000  # characters; longer words aren't in the head
 FLUSH = 300_000
 CHUNKS = 100_000  # chunks that a task remembers
 AT_ONCE = 500_000  # characters of chunks that are cut at once
