@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, let, materialize, slices, table
+from .common import as_bytes, lean, let, materialize, slices, table, trim
 from .language_model import least_of_head
 
 META = "▁"
@@ -274,14 +274,24 @@ class Head:
     """Ids of words, in arrays that a task can hold: words by the order of their hashes, each compared in full when it is looked up."""
 
     def __init__(self, found: pa.Table):
-        words, ids = found["word"].combine_chunks(), found["ids"].combine_chunks()
-        texts = as_bytes(words)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+        words = found["word"].combine_chunks().cast(pa.binary())
+        hashes = np.empty(len(words), np.uint64)
+        for a in range(0, len(words), 100_000):  # as objects only some at a time
+            part = as_bytes(words.slice(a, 100_000))
+            hashes[a : a + len(part)] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.words, self.word_ends = b"".join(texts[i] for i in order), np.cumsum([0, *(len(texts[i]) for i in order)]).astype(np.uint32)
-        blobs = as_bytes(ids)
-        self.ids, self.id_ends = b"".join(blobs[i] for i in order), np.cumsum([0, *(len(blobs[i]) for i in order)]).astype(np.uint32)
+        self.words, self.word_ends = self._joined(words, order)
+        self.ids, self.id_ends = self._joined(found["ids"].combine_chunks(), order)
+
+    @staticmethod
+    def _joined(values: pa.Array, order: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The values in this order in one piece, and where each begins."""
+        if not len(order):
+            return b"", np.zeros(1, np.uint32)
+        values = values.take(pa.array(order))
+        ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(order) + 1]
+        return values.buffers()[2].to_pybytes()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.uint32)
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids (little-endian, 16 bits each) of each word, None of a word that isn't there."""
@@ -390,11 +400,13 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     encoded = materialize(encoded, "encoded")
     known = frequent(encoded, words, head)
     spelled = model.spelled() if round_trip else None
-    table_ = Head(known)
+    n_known, table_ = known.num_rows, Head(known)
+    del known
+    trim()
     own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
     result = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("round_trip", T.BooleanType())] * round_trip])
     run = partial(_encode, head=table_, beside=model.beside, names=names)
-    if known.num_rows == words.count():
+    if n_known == words.count():
         found = source.mapInArrow(partial(run, spelled=spelled, gaps=False), result)
     else:
         schema = T.StructType([*own, T.StructField("mark", T.BinaryType()), T.StructField("own", T.BinaryType()), T.StructField("rest", T.ArrayType(T.StringType()))])
