@@ -24,6 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -352,9 +353,9 @@ def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes
 
 
 @lean
-def _encode(batches, head: Head, beside: set[str], names: list[str], spelled: list[bytes] | None, gaps: bool):
+def _encode(batches, head: Broadcast, beside: set[str], names: list[str], spelled: list[bytes] | None, gaps: bool):
     """Documents with ids; with `gaps` as bytes with GAPs, and the words that belong there."""
-    encoder = Encoder(head, beside)
+    encoder = Encoder(head.value, beside)
     for batch in batches:
         raws = as_bytes(batch.column(len(names)))
         for a, b in slices([len(r) for r in raws], 2 * AT_ONCE):
@@ -405,7 +406,9 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     trim()
     own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
     result = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("round_trip", T.BooleanType())] * round_trip])
-    run = partial(_encode, head=table_, beside=model.beside, names=names)
+    shared = docs.sparkSession.sparkContext.broadcast(table_)  # within the function's closure a worker would hold it twice
+    del table_
+    run = partial(_encode, head=shared, beside=model.beside, names=names)
     if n_known == words.count():
         found = source.mapInArrow(partial(run, spelled=spelled, gaps=False), result)
     else:
