@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -165,3 +166,22 @@ def test_query_follows_from_whole_documents(spark, tmp_path):
             assert (own["n_ids"], own["ids"], own["round_trip"]) == (len(r["ids"]), r["ids"], r["round_trip"])
             assert r["round_trip"] == (pieces.META not in text) == (r["back"] == text) and r["ids"] == whole(text)
     assert pieces.encode(docs.limit(0), MODEL, ["doc_id"], round_trip=True).count() == 0
+
+
+def test_head_finds_words_of_equal_hash_and_forgets_chunks(monkeypatch):
+    words = [b"a", b"bb", b"", b"ccc", "é".encode()]
+    table = pa.table({"word": pa.array([w.decode() for w in words]), "ids": pa.array([bytes([i, 0]) * (i + 1) for i in range(len(words))], pa.binary())})
+    expected = [bytes([i, 0]) * (i + 1) for i in range(len(words))]
+    for modulus in (1 << 64, 2, 1):  # ever more words share a hash
+        monkeypatch.setattr(pieces.xxhash, "xxh3_64_intdigest", lambda w, m=modulus: sum(w) % m)
+        head = pieces.Head(table)
+        assert head.find(words + [b"zz", b"b"]) == expected + [None, None]
+    monkeypatch.undo()
+    assert pieces.Head(table.slice(0, 0)).find([b"a"]) == [None]
+    texts = ["a bb ccc x", "bb\nbb  a", "", "é x ccc bb", "a", "x"] * 3
+    ids = pa.array([b"\x07\x00"] * 4, pa.binary())
+    head = pieces.Head(pa.table({"word": pa.array(["▁a", "▁bb", "bb", "▁"]), "ids": ids}))
+    whole = pieces.Encoder(head, set()).read(texts)
+    monkeypatch.setattr(pieces, "CHUNKS", 1)
+    small = pieces.Encoder(head, set())
+    assert [x for t in texts for x in small.read([t])] == whole

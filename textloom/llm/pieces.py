@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -265,9 +266,13 @@ def decode(ids: Column, model: Model) -> Column:
     return F.when(whole.startswith(" "), F.substr(whole, F.lit(2))).otherwise(whole)
 
 
-def decoded(ids: list[int], spelled: list[bytes]) -> bytes:
-    """As decode(), of one list of ids."""
-    return b"".join(map(spelled.__getitem__, ids)).removeprefix(b" ")
+def decoded(ids: pa.Array, ends: np.ndarray, spelled: pa.Array) -> Iterator[bytes]:
+    """As decode(), of the lists of ids between one end and the next."""
+    taken = spelled.take(ids)
+    places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(ids) + 1][ends].tolist() if len(ids) else [0] * len(ends)
+    whole = memoryview(taken.buffers()[2]) if places[-1] else memoryview(b"")
+    for a, b in zip(places, places[1:], strict=False):
+        yield bytes(whole[a:b]).removeprefix(b" ")
 
 
 # ------------------------------------------------------------------------------------------------------------- documents
@@ -296,16 +301,25 @@ class Head:
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids (little-endian, 16 bits each) of each word, None of a word that isn't there."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.hashes):
+            return out
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        out: list[bytes | None] = []
-        for w, h, at in zip(words, hashes.tolist(), np.searchsorted(self.hashes, hashes).tolist(), strict=True):
-            ids = None
-            while at < len(self.hashes) and int(self.hashes[at]) == h:  # words of equal hash stand side by side
-                if self.words[self.word_ends[at] : self.word_ends[at + 1]] == w:
-                    ids = self.ids[self.id_ends[at] : self.id_ends[at + 1]]
-                    break
-                at += 1
-            out.append(ids)
+        at = np.searchsorted(self.hashes, hashes)
+        last = len(self.hashes) - 1
+        todo = np.flatnonzero(self.hashes[np.minimum(at, last)] == hashes)
+        at = at[todo]
+        while len(todo):  # words of equal hash stand side by side
+            places = [self.word_ends[at], self.word_ends[at + 1], self.id_ends[at], self.id_ends[at + 1]]
+            other = []
+            for i, (k, a, b, c, d) in enumerate(zip(todo.tolist(), *(x.tolist() for x in places), strict=True)):
+                if self.words[a:b] == words[k]:
+                    out[k] = self.ids[c:d]
+                else:
+                    other.append(i)
+            todo, at = todo[other], at[other] + 1
+            more = (at <= last) & (self.hashes[np.minimum(at, last)] == hashes[todo])
+            todo, at = todo[more], at[more]
         return out
 
 
@@ -315,19 +329,27 @@ class Encoder:
     def __init__(self, head: Head, beside: set[str]):
         self.head, self.cutter = head, Cutter(beside)
         self.known: dict[str, bytes] = {}  # ids of a chunk, GAP for a word that the head lacks
+        self.older: dict[str, bytes] = {}  # those known before the last CHUNKS; what is met again is known anew
         self.gaps: dict[str, list[str]] = {}  # those words of a chunk
 
     def read(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
         """Ids of each text, with GAPs, and the words that belong there."""
         cut = [chunks_of(t) for t in texts]
         if len(self.known) > CHUNKS:
-            self.known.clear(), self.gaps.clear()
-        fresh = list({c for chunks in cut for c in chunks}.difference(self.known))
+            self.known, self.older = {}, self.known
+            self.gaps = {c: self.gaps[c] for c in self.gaps.keys() & self.older.keys()}
+        lacking = set().union(*cut).difference(self.known)
+        again = lacking.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        fresh = list(lacking.difference(again))
         for a, b in slices([len(c) for c in fresh], AT_ONCE):
             words = self.cutter.cut(fresh[a:b])
             distinct = list({w for ws in words for w in ws})
             found = dict(zip(distinct, self.head.find([w.encode("utf-8", "surrogatepass") for w in distinct]), strict=True))
             for chunk, ws in zip(fresh[a:b], words, strict=True):
+                if len(ws) == 1 and found[ws[0]] is not None:
+                    self.known[chunk] = found[ws[0]]
+                    continue
                 lacking = [w for w in ws if found[w] is None]
                 if lacking:
                     self.gaps[chunk] = lacking
@@ -340,20 +362,19 @@ def _mark(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes] | None, spelled: list[bytes] | None, marks: bool = False) -> list[pa.Array]:
+def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes] | None, spelled: pa.Array | None, marks: bool = False) -> list[pa.Array]:
     """Columns of the result: the first n of the batch, ids, and with texts (or marks of them) whether the ids decode to them."""
-    flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
+    flat = pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32))
     ends = np.cumsum([0, *(len(x) // 2 for x in ids)]).astype(np.int32)
-    arrays = [*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+    arrays = [*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(ends), flat)]
     if texts is not None:
-        lists = flat.tolist()
         same = (lambda d, t: _mark(d) == t) if marks else (lambda d, t: d == t)
-        arrays.append(pa.array([same(decoded(lists[a:b], spelled), t) for a, b, t in zip(ends.tolist(), ends[1:].tolist(), texts, strict=False)], pa.bool_()))
+        arrays.append(pa.array([same(d, t) for d, t in zip(decoded(flat, ends, spelled), texts, strict=True)], pa.bool_()))
     return arrays
 
 
 @lean
-def _encode(batches, head: Broadcast, beside: set[str], names: list[str], spelled: list[bytes] | None, gaps: bool):
+def _encode(batches, head: Broadcast, beside: set[str], names: list[str], spelled: pa.Array | None, gaps: bool):
     """Documents with ids; with `gaps` as bytes with GAPs, and the words that belong there."""
     encoder = Encoder(head.value, beside)
     for batch in batches:
@@ -365,11 +386,11 @@ def _encode(batches, head: Broadcast, beside: set[str], names: list[str], spelle
                 arrays = [*[part.column(i) for i in range(len(names))], pa.array([_mark(r) for r in raws[a:b]], pa.binary()), pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "mark", "own", "rest"])
             else:
-                yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws[a:b] if spelled else None, spelled), [*names, "ids", *["round_trip"] * bool(spelled)])
+                yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws[a:b] if spelled is not None else None, spelled), [*names, "ids", *["round_trip"] * (spelled is not None)])
 
 
 @lean
-def _fill(batches, names: list[str], spelled: list[bytes] | None):
+def _fill(batches, names: list[str], spelled: pa.Array | None):
     """Puts the ids of words (found: by their order) in the place of GAPs."""
     for batch in batches:
         out = []
@@ -379,8 +400,8 @@ def _fill(batches, names: list[str], spelled: list[bytes] | None):
                 places = [0, *(2 * k + 2 for k in at)]
                 own = b"".join([own[a : 2 * k] + bytes(x["ids"]) for a, k, x in zip(places, at, found, strict=False)]) + own[places[-1] :]
             out.append(own)
-        texts = as_bytes(batch.column(len(names))) if spelled else None
-        yield pa.RecordBatch.from_arrays(_finished(batch, len(names), out, texts, spelled, True), [*names, "ids", *["round_trip"] * bool(spelled)])
+        texts = as_bytes(batch.column(len(names))) if spelled is not None else None
+        yield pa.RecordBatch.from_arrays(_finished(batch, len(names), out, texts, spelled, True), [*names, "ids", *["round_trip"] * (spelled is not None)])
 
 
 def _packed(ids: Column) -> Column:
@@ -400,7 +421,7 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     encoded = encode_words(words.select("wid", "word"), model).select("word", _packed(F.col("ids")).alias("ids"))
     encoded = materialize(encoded, "encoded")
     known = frequent(encoded, words, head)
-    spelled = model.spelled() if round_trip else None
+    spelled = pa.array(model.spelled(), pa.large_binary()) if round_trip else None
     n_known, table_ = known.num_rows, Head(known)
     del known
     trim()
