@@ -25,6 +25,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -409,6 +410,21 @@ def _packed(ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8)), 2, "0"))), ""))
 
 
+_SHARED: list[tuple[Broadcast, SparkContext]] = []
+
+
+def _share(spark: SparkSession, head: Head) -> Broadcast:
+    """A broadcast of the head, which within a function's closure a worker would hold twice. The one before leaves the executors; a query
+    that still reads it fetches it again."""
+    while _SHARED:
+        before, context = _SHARED.pop()
+        if context is spark.sparkContext:
+            before.unpersist()
+    shared = spark.sparkContext.broadcast(head)
+    _SHARED.append((shared, spark.sparkContext))
+    return shared
+
+
 def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, round_trip: bool = False) -> DataFrame:
     """The columns `keep` with ids (array<int>) of each whole text, one row for each row of docs; a null or empty text has none. With
     `round_trip` also whether the ids decode to the text: each text's ids are decoded as decode() does. A text that holds a
@@ -427,7 +443,7 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", h
     trim()
     own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
     result = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("round_trip", T.BooleanType())] * round_trip])
-    shared = docs.sparkSession.sparkContext.broadcast(table_)  # within the function's closure a worker would hold it twice
+    shared = _share(docs.sparkSession, table_)
     del table_
     run = partial(_encode, head=shared, beside=model.beside, names=names)
     if n_known == words.count():
