@@ -20,6 +20,9 @@ NAMES = {
     "op8_html_extraction": "html_extract",
     "op9_language_id": "langid",
     "op10_collision_neighbours": "neighbours",
+    "op11_conversation_repair": "conversations",
+    "op12_merkle_fingerprints": "fingerprints",
+    "op13_fill_middle": "fill_middle",
 }
 
 
