@@ -9,8 +9,11 @@ from textloom.llm import queries
 def test_same_as_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = con.execute(queries.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
-    got = queries.queries()[name](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    key = next(c for c in ("doc_id", "conv_id") if c in want)
+    want = want.sort_values(key).reset_index(drop=True)
+    got = queries.queries()[name](spark, sf).toPandas().sort_values(key).reset_index(drop=True)
     assert sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False)

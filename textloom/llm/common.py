@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.arrow import lean, slices, trim
 from textloom.session import forget, materialize, shared_dir, ship
 
-__all__ = ["as_bytes", "forget", "held", "lean", "let", "materialize", "remainder", "shared_dir", "slices", "table", "trim"]
+__all__ = ["as_bytes", "forget", "held", "lean", "let", "materialize", "parts", "remainder", "shared_dir", "slices", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in values] if column.null_count else values
 
 
+def parts(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts (the column at `text`) have at most `most` bytes, one row at least."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
+    for begin, end in slices(sizes, most):
+        yield batch.slice(begin, end - begin)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

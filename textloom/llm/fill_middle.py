@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, table
+from .common import lean, parts, table
 
 CODE_POINT = "(?s:.)"
 WORD = r"\s*\S+"
 LINE = r"[^\n]*\n|[^\n]+"
 LEAF = 512  # code points of a leaf at most, where a unit isn't longer
-BATCH = 8 << 20
 #: The sentinels in front of prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 
@@ -152,9 +151,9 @@ def rearrange(whole: Rope, first: int, second: int, form: str, unit: str = CODE_
     """The transformed rope, its prefix and its middle, of a rope cut behind `first` and `second` units (first <= second)."""
     rest, suffix = split_units(whole, second, unit)
     prefix, middle = split_units(rest, first, unit)
-    parts = ((PREFIX, prefix), (SUFFIX, suffix), (MIDDLE, middle)) if form == "psm" else ((SUFFIX, suffix), (PREFIX, prefix), (MIDDLE, middle))
+    order = ((PREFIX, prefix), (SUFFIX, suffix), (MIDDLE, middle)) if form == "psm" else ((SUFFIX, suffix), (PREFIX, prefix), (MIDDLE, middle))
     out = EMPTY
-    for mark, part in parts:
+    for mark, part in order:
         out = concat(concat(out, leaf(mark, 1)), part)
     return out, prefix, middle
 
@@ -183,11 +182,7 @@ def _strings(column) -> list[str]:
 @lean
 def _transform(batches, kept: int, schema: pa.Schema, rate: int, spm: int, unit: str):
     for batch in batches:
-        if not len(batch):
-            continue
-        sizes = [n or 0 for n in pa.compute.binary_length(batch.column(kept)).to_pylist()]
-        for begin, end in slices(sizes, BATCH):
-            part = batch.slice(begin, end - begin)
+        for part in parts(batch, kept):
             rows = [[] for _ in range(5)]
             for text, *h in zip(_strings(part.column(kept)), *[part.column(kept + 1 + i).to_pylist() for i in range(4)], strict=True):
                 whole = rope(text, unit)
@@ -202,7 +197,7 @@ def _transform(batches, kept: int, schema: pa.Schema, rate: int, spm: int, unit:
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
             made = [pa.array(c, schema.field(kept + i).type) for i, c in enumerate(rows)]
-            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + made, schema=pa.schema([pa.field(f"c{i}", c.type) for i, c in enumerate([*[part.column(i) for i in range(kept)], *made])]))
+            yield pa.RecordBatch.from_arrays(part.columns[:kept] + made, names=[f"c{i}" for i in range(kept + len(made))])
 
 
 def draws(key: Column, seed: int) -> list[Column]:
@@ -232,11 +227,7 @@ def fill_middle(docs: DataFrame, keep: list[str], text: str = "text", key: str =
 @lean
 def _restore(batches, at: int, by: int):
     for batch in batches:
-        if not len(batch):
-            continue
-        sizes = [n or 0 for n in pa.compute.binary_length(batch.column(at)).to_pylist()]
-        for begin, end in slices(sizes, BATCH):
-            part = batch.slice(begin, end - begin)
+        for part in parts(batch, at):
             texts = pa.array(list(map(invert, _strings(part.column(at)), _strings(part.column(by)))), pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[f"c{i}" for i in range(part.num_columns + 1)])
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, table
+from .common import lean, parts, table
 
 LEAF = 240
 BATCH = 8 << 20
@@ -168,19 +168,13 @@ def differences(a: str, b: str) -> list[tuple[int, int]]:
 
 
 # ---------------------------------------------------------------------------------------------------------- operators
-def _cut(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    sizes = [n or 0 for n in pa.compute.binary_length(batch.column(at)).to_pylist()]
-    for begin, end in slices(sizes, BATCH):
-        yield batch.slice(begin, end - begin)
-
-
 @lean
 def _prints(batches, kept: int):
     known = Hashes()
     for batch in batches:
-        for part in _cut(batch, kept) if len(batch) else ():
+        for part in parts(batch, kept):
             texts = [t or "" for t in part.column(kept).to_pylist()]
-            columns = [*[part.column(i) for i in range(kept)], pa.array(map(len, texts), pa.int64()), pa.array([fingerprint(t, known.__getitem__) for t in texts], pa.string())]
+            columns = [*part.columns[:kept], pa.array(map(len, texts), pa.int64()), pa.array([fingerprint(t, known.__getitem__) for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(kept + 2)])
 
 
@@ -220,7 +214,7 @@ def _stream(batches, schema: pa.Schema):
     """Through rows (range, copy, key, text) in order: each row that isn't a copy, with its next."""
     known, before, held, size = Hashes(), None, [], 0
     for batch in batches:
-        for part in _cut(batch, 3) if len(batch) else ():
+        for part in parts(batch, 3):
             for at, copy, key, text in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                 text = text or ""
                 now = (at, copy, key, text, fingerprint(text, known.__getitem__))
@@ -259,8 +253,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{key}`").cast("long"), least).alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(RANGES * parts, MOST_RANGES)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(RANGES * tasks, MOST_RANGES)
     found = rows.select(F.percentile_approx("k", [i / n for i in range(n)], 20 * n)).first()[0]
     starts = sorted(set(found or [0]))
     at = _range_of(F.col("k"), starts).cast("long")
@@ -268,7 +262,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     own, copy = F.struct(at.alias("at"), F.lit(False).alias("copy")), F.struct(F.pmod(at - 1, F.lit(len(starts))).alias("at"), F.lit(True).alias("copy"))
     places = F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own)))
     dealt = rows.select(places.alias("p"), "key", "k", "t").select("p.at", "p.copy", "key", "k", "t")
-    dealt = dealt.repartition(parts, "at").sortWithinPartitions("at", "copy", "k", "t").select("at", "copy", "key", "t")
+    dealt = dealt.repartition(tasks, "at").sortWithinPartitions("at", "copy", "k", "t").select("at", "copy", "key", "t")
     kinds = [("key", docs.schema[key].dataType), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
     schema = T.StructType([T.StructField(c, k) for c, k in kinds])
     from pyspark.sql.pandas.types import to_arrow_schema
