@@ -88,7 +88,7 @@ def test_params():
     assert p.to_vector() == [1, 2, 3, 4, 5, 6] and p.t1 == p.t2 == 0.5
 
 
-def relex_model(sents, pairs):
+def relation_model(sents, pairs):
     patterns, last = [], lambda ws, w: max(i for i, x in enumerate(ws) if x == w)
     for idx, (a, b) in enumerate(pairs):
         for key, ws in sents.items():
@@ -110,7 +110,7 @@ def test_relations(spark, built, sents):
     pairs = [("Rome", "Italy"), ("Paris", "France"), ("Berlin", "Germany")]
     table = relations.seed_pairs(spark, pairs)
     relations.check_known(built.postings, table)
-    patterns, scores = relex_model(sents, pairs)
+    patterns, scores = relation_model(sents, pairs)
     found = relations.patterns(built.sentences, relations.pair_sentences(built.tokens, table))
     assert sorted((r["pair_idx"], r["doc_id"], r["spos"], tuple(r["infix"]), r["forward"]) for r in found.collect()) == sorted((p[0], *p[1], p[3], p[5]) for p in patterns)
     scored = relations.score_patterns(found)

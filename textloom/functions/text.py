@@ -1,13 +1,11 @@
-"""Markup removal and segmentation as column expressions; all JVM-side but the Unicode profile."""
+"""Markup removal and the portable segmentation as column expressions, all JVM-side."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The rules of markup removal, in order. Literals first, then patterns (Java dialect) with replacements.
 MARKUP_LITERALS = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", ""), ("'''''", ""), ("'''", ""), ("''", ""))
@@ -64,19 +62,3 @@ def sentences(text: Column) -> Column:
 def words(sentence: Column) -> Column:
     """Portable profile: runs of letters and digits, and single other characters that aren't white space. Case is kept."""
     return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def unicode_segments(texts: pd.Series) -> pd.Series:
-    """Unicode profile: sentences and their word-bound pieces by the default boundaries; single spaces are dropped, and sentences
-    without a letter or digit. Vectorised by Arrow batches; the one function here that leaves the JVM."""
-    import regex
-
-    sentence = regex.compile(r"[^.!?\n]*[.!?]+[\"')\]]*\s+|[^\n]*?\n+|.+", regex.V1 | regex.S)
-    word = regex.compile(r"(?w)\b", regex.V1)
-
-    def cut(text: str | None) -> list[list[str]]:
-        found = [s for s in sentence.findall(text or "") if any(c.isalnum() for c in s)]
-        return [[w for w in word.split(s) if w and w != " "] for s in found]
-
-    return texts.map(cut)

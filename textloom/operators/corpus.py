@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as text_functions
+from textloom.functions.unicode import unicode_sentences
 
 SENTENCE = ("doc_id", "spos")
 
 
 def sentences(docs: DataFrame, text: str = "text", preprocessor: str | None = None, profile: str = "portable") -> DataFrame:
-    """doc_id, spos (from 0), sent for the portable profile; words too. A null text has no sentence."""
+    """doc_id, spos (from 0), sent and words; with the unicode profile also start, the code points before it. A null text has no
+    sentence."""
     body = text_functions.preprocess(F.col(text), preprocessor)
     if profile == "unicode":
-        return docs.select("doc_id", F.posexplode(text_functions.unicode_segments(body)).alias("spos", "words"))
+        return docs.select("doc_id", F.posexplode(unicode_sentences(body)).alias("spos", "s")).select("doc_id", "spos", "s.start", "s.sent", "s.words")
     cut = docs.select("doc_id", F.posexplode(text_functions.sentences(body)).alias("spos", "sent"))
     return cut.withColumn("words", text_functions.words(F.col("sent")))
 

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess, strip_markup, unicode_segments
+from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess, strip_markup
+from textloom.functions.unicode import unicode_sentences as cut_unicode
 from textloom.operators import corpus, expansion, metrics, pareto, relations
 from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.plans import swarm, training
@@ -178,7 +179,7 @@ def _hop_sql(name: str, sources: str, a: float, b: float, g: float) -> str:
 {name} AS MATERIALIZED (SELECT c.word, df, k, n, df * {g} + k * {a} + n * {b} AS fitness FROM {name}_n c JOIN {name}_k USING (word) JOIN df ON c.word = df.word)"""
 
 
-def _conex_sql(m: ExpansionParams, select: str, seeds=SEEDS) -> str:
+def _expand_sql(m: ExpansionParams, select: str, seeds=SEEDS) -> str:
     one = _hop_sql("h1", _list(seeds), m.a1, m.b1, m.g1)
     two = _hop_sql("h2", f"(SELECT word FROM h1 WHERE fitness >= {m.t1})", m.a2, m.b2, m.g2)
     return BASE + one + two + " " + select
@@ -189,37 +190,37 @@ def cooc_word(spark, d):
     return expansion.cooccurrences_for_word(_posts(spark, d), SEEDS[0])
 
 
-@query("conex_hop1", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
-def conex_hop1(spark, d):
+@query("expand_hop1", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
+def expand_hop1(spark, d):
     return expansion.hop(_posts(spark, d), _df(spark, d), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
 
 
-@query("conex_hop1_survivors", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
-def conex_hop1_survivors(spark, d):
-    return expansion.survivors(conex_hop1(spark, d), DEMO.t1)
+@query("expand_hop1_survivors", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
+def expand_hop1_survivors(spark, d):
+    return expansion.survivors(expand_hop1(spark, d), DEMO.t1)
 
 
 def _expand(spark, d, m: ExpansionParams, seeds=SEEDS) -> DataFrame:
     return expansion.expand_concept(_posts(spark, d), _words(spark, seeds), m, _df(spark, d))
 
 
-@query("conex_hop2", _conex_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
-def conex_hop2(spark, d):
-    return expansion.hop(_posts(spark, d), _df(spark, d), conex_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
+@query("expand_hop2", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
+def expand_hop2(spark, d):
+    return expansion.hop(_posts(spark, d), _df(spark, d), expand_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
 
 
-@query("conex_result", _conex_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
-def conex_result(spark, d):
+@query("expand_result", _expand_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
+def expand_result(spark, d):
     return _expand(spark, d, DEMO)
 
 
-@query("conex_default_params", _conex_sql(ExpansionParams(), "SELECT word FROM h2 WHERE fitness >= 100", COMMON_SEEDS))
-def conex_default_params(spark, d):
+@query("expand_default_params", _expand_sql(ExpansionParams(), "SELECT word FROM h2 WHERE fitness >= 100", COMMON_SEEDS))
+def expand_default_params(spark, d):
     return _expand(spark, d, ExpansionParams(), COMMON_SEEDS).select("word")
 
 
-@query("conex_config_params", _conex_sql(SHIPPED, "SELECT word FROM h2 WHERE fitness >= 0"))
-def conex_config_params(spark, d):
+@query("expand_config_params", _expand_sql(SHIPPED, "SELECT word FROM h2 WHERE fitness >= 0"))
+def expand_config_params(spark, d):
     return _expand(spark, d, SHIPPED).select("word")
 
 
@@ -231,18 +232,18 @@ def _pr(spark, d):
     return metrics.precision_recall(_expand(spark, d, DEMO).select("word"), _words(spark, REFERENCE))
 
 
-@query("precision_recall", _conex_sql(DEMO, "SELECT 1") .removesuffix(" SELECT 1") + _PR + " SELECT n_ret, n_ref, tp, precision, recall FROM q")
+@query("precision_recall", _expand_sql(DEMO, "SELECT 1") .removesuffix(" SELECT 1") + _PR + " SELECT n_ret, n_ref, tp, precision, recall FROM q")
 def precision_recall(spark, d):
     return _pr(spark, d)
 
 
-@query("f1_score", _conex_sql(DEMO, "SELECT 1").removesuffix(" SELECT 1") + _PR + " SELECT round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM q")
+@query("f1_score", _expand_sql(DEMO, "SELECT 1").removesuffix(" SELECT 1") + _PR + " SELECT round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM q")
 def f1_score(spark, d):
     return metrics.f1(_pr(spark, d), nan_as_zero=True).select(F.round("f1", 9).alias("f1"))
 
 
 # ----------------------------------------------------------------------------------------------------------- relations
-RELEX = (
+RELATIONS = (
     BASE
     + ", sp AS (SELECT * FROM (VALUES "
     + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(PAIRS))
@@ -283,48 +284,48 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("infix", F.array_join("infix", " "))
 
 
-@query("relex_pair_sentences", RELEX + "SELECT pair_idx, w1, w2, doc_id, spos::BIGINT AS spos, p1::BIGINT AS p1, p2::BIGINT AS p2 FROM m")
-def relex_pair_sentences(spark, d):
+@query("relation_pair_sentences", RELATIONS + "SELECT pair_idx, w1, w2, doc_id, spos::BIGINT AS spos, p1::BIGINT AS p1, p2::BIGINT AS p2 FROM m")
+def relation_pair_sentences(spark, d):
     return _found(spark, d).select("pair_idx", "w1", "w2", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("spos", "p1", "p2")])
 
 
-@query("relex_patterns", RELEX + "SELECT pair_idx, doc_id, spos::BIGINT AS spos, prefix, array_to_string(infix, ' ') AS infix, suffix, forward FROM px")
-def relex_patterns(spark, d):
+@query("relation_patterns", RELATIONS + "SELECT pair_idx, doc_id, spos::BIGINT AS spos, prefix, array_to_string(infix, ' ') AS infix, suffix, forward FROM px")
+def relation_patterns(spark, d):
     return _flat(relations.patterns(_sents(spark, d), _found(spark, d))).withColumn("spos", F.col("spos").cast("long"))
 
 
-@query("relex_pattern_scores", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, prefix, suffix, forward, fitness FROM pf")
-def relex_pattern_scores(spark, d):
+@query("relation_pattern_scores", RELATIONS + "SELECT array_to_string(infix, ' ') AS infix, k, n, prefix, suffix, forward, fitness FROM pf")
+def relation_pattern_scores(spark, d):
     return _flat(_scored(spark, d))
 
 
-@query("relex_pattern_survivors", RELEX + "SELECT array_to_string(infix, ' ') AS infix, k, n, fitness FROM pg")
-def relex_pattern_survivors(spark, d):
+@query("relation_pattern_survivors", RELATIONS + "SELECT array_to_string(infix, ' ') AS infix, k, n, fitness FROM pg")
+def relation_pattern_survivors(spark, d):
     return _flat(relations.pattern_survivors(_scored(spark, d))).select("infix", "k", "n", "fitness")
 
 
-@query("relex_pattern_matches", RELEX + "SELECT array_to_string(infix, ' ') AS infix, doc_id, spos::BIGINT AS spos, w1, w2 FROM fp")
-def relex_pattern_matches(spark, d):
+@query("relation_pattern_matches", RELATIONS + "SELECT array_to_string(infix, ' ') AS infix, doc_id, spos::BIGINT AS spos, w1, w2 FROM fp")
+def relation_pattern_matches(spark, d):
     return _flat(_matches(spark, d)).withColumn("spos", F.col("spos").cast("long"))
 
 
-@query("relex_pair_scores", RELEX + "SELECT w1, w2, patterns, fitness FROM fs")
-def relex_pair_scores(spark, d):
+@query("relation_pair_scores", RELATIONS + "SELECT w1, w2, patterns, fitness FROM fs")
+def relation_pair_scores(spark, d):
     return _pairs(spark, d)
 
 
-@query("relex_pair_survivors", RELEX + "SELECT w1, w2, patterns, fitness FROM fs WHERE fitness >= 20")
-def relex_pair_survivors(spark, d):
+@query("relation_pair_survivors", RELATIONS + "SELECT w1, w2, patterns, fitness FROM fs WHERE fitness >= 20")
+def relation_pair_survivors(spark, d):
     return relations.pair_survivors(_pairs(spark, d))
 
 
-@query("relex_pairs_grouped", RELEX + "SELECT w1, string_agg(w2, ' ' ORDER BY fitness DESC, w2) AS w2s FROM fs WHERE fitness >= 20 GROUP BY w1")
-def relex_pairs_grouped(spark, d):
+@query("relation_pairs_grouped", RELATIONS + "SELECT w1, string_agg(w2, ' ' ORDER BY fitness DESC, w2) AS w2s FROM fs WHERE fitness >= 20 GROUP BY w1")
+def relation_pairs_grouped(spark, d):
     return relations.grouped(relations.pair_survivors(_pairs(spark, d))).select("w1", F.array_join("w2s", " ").alias("w2s"))
 
 
-@query("relex_counters", RELEX + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
-def relex_counters(spark, d):
+@query("relation_counters", RELATIONS + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
+def relation_counters(spark, d):
     one = F.lit(1).alias("k")
     a = relations.patterns(_sents(spark, d), _found(spark, d)).agg(F.count("*").alias("pattern_count")).select("*", one)
     return a.join(_matches(spark, d).agg(F.count("*").alias("wpair_count")).select("*", one), "k").drop("k")
@@ -515,10 +516,45 @@ def preprocessed_pages(spark, d):
 @query("unicode_profile_counts", r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))::BIGINT AS n_letters FROM documents")
 def unicode_profile_counts(spark, d):
     """Segmentation by Unicode boundaries loses no letter or digit."""
-    flat = F.array_join(F.flatten(unicode_segments("text")), "")
+    flat = F.array_join(F.flatten(F.transform(cut_unicode("text"), lambda s: s["words"])), "")
     return _table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(flat, r"[^\p{L}\p{N}]", "")).cast("long").alias("n_letters"))
 
 
+#: The sentence rules over runs of a text: terminators with closers and spaces, separators, and what is between. Whether a sentence ends
+#: behind a run follows from its neighbours.
+_UNICODE_SQL = r"""
+WITH u0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[.!?][")(}\]\[{\p{Pi}\p{Pf}'']*[ \t\x0b\x0c\p{Zs}]*|\r\n|[\n\r\x{85}\x{2028}\x{2029}]|[^.!?\n\r\x{85}\x{2028}\x{2029}]+') AS rs FROM documents),
+u1 AS (SELECT doc_id, unnest(range(len(rs))) AS i, unnest(rs) AS r FROM u0),
+u2 AS (SELECT *, lag(r) OVER w AS b, lead(r) OVER w AS a FROM u1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u3 AS (SELECT doc_id, i, r, CASE
+  WHEN a IS NULL OR regexp_matches(r, '^[\n\r\x{85}\x{2028}\x{2029}]') THEN true
+  WHEN NOT regexp_matches(r, '^[.!?]') OR regexp_matches(a, '^[.!?\n\r\x{85}\x{2028}\x{2029},:-]') THEN false
+  WHEN r[1] <> '.' THEN true
+  WHEN length(r) = 1 AND (regexp_matches(a, '^\p{Nd}') OR (regexp_matches(coalesce(b, ''), '[\p{Lu}\p{Ll}]$') AND regexp_matches(a, '^\p{Lu}'))) THEN false
+  ELSE NOT regexp_matches(a, '^[^\p{L}]*\p{Ll}') END AS ends FROM u2),
+u4 AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, coalesce(sum(length(r)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM u3),
+u5 AS (SELECT doc_id, s, min(begin)::BIGINT AS start, string_agg(r, '' ORDER BY i) AS sent FROM u4 GROUP BY doc_id, s),
+us AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS spos, start, sent FROM u5 WHERE regexp_matches(sent, '[\p{L}\p{N}]'))
+"""
+_PIECES_SQL = r"\r\n|[\n\r]|[ ]+|_*(?:\p{L}(?:[.:''·]\p{L})*|\p{Nd}(?:[.,;'']\p{Nd})*)+(?:_+(?:\p{L}(?:[.:''·]\p{L})*|\p{Nd}(?:[.,;'']\p{Nd})*)+)*_*|_+|."
+
+
+def _unicode(spark, d):
+    return corpus.sentences(_table(spark, d, "documents").select("doc_id", "text"), profile="unicode")
+
+
+@query("unicode_sentences", _UNICODE_SQL + "SELECT * FROM us")
+def unicode_sentences(spark, d):
+    """Sentences by the Unicode rules, with where they begin."""
+    return _unicode(spark, d).select("doc_id", F.col("spos").cast("long").alias("spos"), F.col("start").cast("long").alias("start"), "sent")
+
+
+@query("unicode_tokens", _UNICODE_SQL + f", uw AS (SELECT doc_id, spos, list_filter(regexp_extract_all(sent, '{_PIECES_SQL}'), lambda w: w <> ' ') AS ws FROM us) SELECT doc_id, spos, unnest(range(len(ws)))::BIGINT AS pos, unnest(ws) AS word FROM uw")
+def unicode_tokens(spark, d):
+    """Pieces between the Unicode word boundaries of each sentence, but single spaces."""
+    return corpus.tokens(_unicode(spark, d)).select("doc_id", F.col("spos").cast("long").alias("spos"), F.col("pos").cast("long").alias("pos"), "word")
+
+
 # ------------------------------------------------------------------------------------------------------------- run store
 DAT = """WITH dat AS (SELECT (CASE o_orderkey % 8 WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 12 WHEN 3 THEN 2 WHEN 4 THEN 14 WHEN 5 THEN 15 WHEN 6 THEN 16 ELSE 99 END)::INT AS batch_id, (o_orderkey // 8 % 5)::INT AS irun, (o_orderkey // 40 % 11)::INT AS icycle, (o_orderkey // 440)::INT AS iparticle,
 CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE (o_orderkey * 31 % 1009) / 1024.0 END::DOUBLE AS fitness FROM orders)"""
