@@ -1,11 +1,15 @@
+import html
+import io
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom import cli
 from textloom.operators import corpus
-from textloom.sources import inputs, runs
+from textloom.sources import inputs, runs, xml_splits
 from textloom.streaming import index
 
 TOML = """
@@ -34,6 +38,58 @@ def test_xml(spark, tmp_path):
     (tmp_path / "below" / "c.xml").write_text("<text>six</text>")
     rows = inputs.read_xml(spark, str(tmp_path), "text").orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"]) for r in rows] == [(0, "one &amp; two"), (1, "three"), (2, "four")]
+    whole = inputs.read_xml_whole(spark, str(tmp_path), "text").orderBy("doc_id").collect()
+    assert whole == rows
+    assert [r["text"] for r in inputs.read_xml(spark, f"file:{tmp_path}", "text", limit=2).orderBy("doc_id").collect()] == ["one &amp; two", "three"]
+
+
+PIECES = ("<text>", "</text>", "<text a='x>y'>", "<text/>", "<!-- <text> -->", "<![CDATA[ <text>no</text> ]]>", "<?pi <text> ?>", "<b>", "</b>", "hello ", "a &amp; b ", "< ", "é漢", "<!DOCTYPE x>", '<text\n b="<" >', "<textual>", "<!-- " + "<text>y</text>" * 6 + " -->", "<!-- ", "-->")
+
+
+def ranges_of(doc, split):
+    """Texts of a document in ranges, each entered where the one before lets it."""
+    texts, resume = [], 0
+    for begin in range(0, len(doc), split):
+        end = min(begin + split, len(doc))
+        first = xml_splits.Bytes(io.BytesIO(doc), len(doc), begin, end).find(b"<", begin)
+        entry = begin if first < 0 or min(first, end) >= resume else max(resume, begin)
+        if entry < end:
+            for resume, text in xml_splits.elements(xml_splits.Bytes(io.BytesIO(doc), len(doc), begin, end), b"text", entry, end):  # noqa: B007
+                texts += [] if text is None else [text]
+    return texts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25), st.integers(1, 60))
+def test_ranges_of_any_size_give_the_same_texts(pieces, split):
+    doc = "".join(pieces).encode()
+    assert ranges_of(doc, split) == ranges_of(doc, max(len(doc), 1))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([p for p in PIECES if "<" not in p[1:] or p.count("-->") > 0 or "[" in p or "?" in p][:-2]), max_size=25))
+def test_ranges_read_what_the_whole_reader_reads(pieces):
+    doc = "".join(pieces)
+    assert [html.unescape(t.decode()) for t in ranges_of(doc.encode(), 7)] == inputs.xml_texts(doc, "text")
+
+
+def test_one_large_file_is_many_tasks(spark, tmp_path):
+    texts = [f"{i} " + "é<&> word " * (i % 50) for i in range(1500)]
+    pages = [f"<p><!-- {'<text>no</text>' * (i % 9)} --><text i='{i}'>{html.escape(t, quote=False)}</text></p>\n" for i, t in enumerate(texts)]
+    pages[700] = "<![CDATA[" + "<text>hidden</text> <!-- " * 3000 + "]]>" + pages[700]  # over several ranges
+    (tmp_path / "big.xml").write_text("<d>" + "".join(pages) + "</d>")
+    (tmp_path / "_SUCCESS").write_text("<text>no</text>")
+    whole = xml_splits.read_xml_splits(spark, str(tmp_path), "text")
+    cut = xml_splits.read_xml_splits(spark, str(tmp_path), "text", 20_000)
+    assert [tuple(r) for r in whole.orderBy("doc_id").collect()] == list(enumerate(texts)) == [tuple(r) for r in cut.orderBy("doc_id").collect()]
+    ranges = xml_splits.scan_ranges(spark, str(tmp_path), "text", 20_000)
+    assert len(ranges) > 20 and sum(r["n"] for r in ranges) == len(texts) and any(r["entry"] > r["begin"] for r in ranges)
+    scan = xml_splits._load(spark, str(tmp_path), "text", 20_000, "read")
+    assert scan.rdd.getNumPartitions() == len(ranges)
+    few = xml_splits.read_xml_splits(spark, str(tmp_path), "text", 20_000, limit=40)
+    assert [r["text"] for r in few.orderBy("doc_id").collect()] == texts[:40]
+    (tmp_path / "none").mkdir()
+    assert xml_splits.read_xml_splits(spark, str(tmp_path / "none"), "text").count() == 0
 
 
 def test_words_and_requests(spark, tmp_path):

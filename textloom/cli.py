@@ -40,8 +40,11 @@ def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = local_session("textloom-cli")
     if a.xml:
-        docs = (inputs.read_xml_rows if a.flat else inputs.read_xml)(spark, a.xml, a.tag)
-        built = corpus.build(docs, a.preprocessor, corpus.parse_limit(a.limit), compat_limit=True)
+        limit = corpus.parse_limit(a.limit)
+        if a.flat:
+            built = corpus.build(inputs.read_xml_rows(spark, a.xml, a.tag), a.preprocessor, limit, compat_limit=True)
+        else:
+            built = corpus.build(inputs.read_xml(spark, a.xml, a.tag, None if limit is None else max(limit - 1, 0)), a.preprocessor)
         built.save(a.index)
         saved = corpus.Corpus.load(spark, a.index)
         corpus.check_sound(saved.vocab, saved.postings)

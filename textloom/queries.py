@@ -13,8 +13,9 @@ from textloom.functions.unicode import unicode_sentences as cut_unicode
 from textloom.operators import corpus, expansion, metrics, pareto, relations
 from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.plans import swarm, training
-from textloom.session import once, ship
+from textloom.session import once, scratch, ship
 from textloom.sources import inputs, runs
+from textloom.sources.xml_splits import read_xml_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -489,6 +490,17 @@ def xml_tag_texts(spark, d):
     return inputs.parse_xml(files, "text").select(F.col("path").cast("long").alias("doc_id"), "text")
 
 
+@query("xml_split_texts", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def xml_split_texts(spark, d):
+    """All texts as elements of large files, with elements in comments and sections between them, read in ranges of 64 kB."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit('<page><!-- <text>no</text> --><text n="a>b">'), F.col("doc_id").cast("string"), F.lit(":"), escaped, F.lit("</text><![CDATA[<text>no]]></page>"))
+    folder = scratch(spark, "xml")
+    _table(spark, d, "documents").where("text is not null").select(page).write.text(folder)
+    parts = F.split(F.col("text"), ":", 2)
+    return read_xml_splits(spark, folder, "text", 1 << 16).select(parts[0].cast("long").alias("doc_id"), parts[1].alias("text"))
+
+
 @query("xml_doc_numbers", "SELECT (row_number() OVER (ORDER BY doc_id::VARCHAR, i) - 1)::BIGINT AS doc_id, 'text ' || doc_id || ' ' || i AS text FROM documents, range(2) r(i)")
 def xml_doc_numbers(spark, d):
     """Two elements a file; documents are numbered by path and place."""

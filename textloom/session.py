@@ -54,12 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for forget() to delete."""
+    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,7 +78,7 @@ def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFr
 
 
 def forget(spark: SparkSession) -> None:
-    """Deletes what materialize() has written for this session; call it when the results have been stored."""
+    """Deletes what materialize() and users of scratch() have written for this session; call it when the results have been stored."""
     jvm = spark.sparkContext._jvm
     for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
         del _KEPT[key]

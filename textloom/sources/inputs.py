@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from textloom.operators.expansion import ExpansionParams
 
-_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>]+)[^>]*?(/?)>", re.S)
+from .xml_splits import read_xml_splits
+
+_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>\"'<]+)(?:[^<>\"'/]|/(?!>)|\"[^\"<]*\"|'[^'<]*')*(/?)>", re.S)
 
 
 def xml_texts(content: str, tag: str) -> list[str]:
@@ -48,6 +50,11 @@ def _parse_xml(batches, tag: str):
         yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(place, pa.int64()), pa.array(text, pa.string())], ["path", "place", "text"])
 
 
+def read_xml(spark: SparkSession, folder: str, tag: str, limit: int | None = None) -> DataFrame:
+    """The same in byte ranges of the files, whatever their size; with a limit the first so many documents."""
+    return read_xml_splits(spark, folder, tag, limit=limit)
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """doc_id (dense, from 0, by path and place) and text."""
     starts = rows.groupBy("path").agg(F.count("*").alias("n"))
@@ -56,9 +63,9 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(starts, "path").select((F.col("start") + F.col("place")).alias("doc_id"), "text")
 
 
-def read_xml(spark: SparkSession, folder: str, tag: str) -> DataFrame:
-    """doc_id, text of the elements `tag` of the files in a folder (not in folders below), in order of file name. A file is one row,
-    so it may have 2 GB at most; read_xml_rows() splits larger ones."""
+def read_xml_whole(spark: SparkSession, folder: str, tag: str) -> DataFrame:
+    """doc_id, text of the elements `tag` of the files in a folder (not in folders below), in order of file name, through Spark's own
+    reader, so from any store that Spark reads. A file is one row and may have 2 GB at most; read_xml() has no such limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
     return numbered(parse_xml(files, tag))
 
