@@ -325,6 +325,12 @@ def relation_pairs_grouped(spark, d):
     return relations.grouped(relations.pair_survivors(_pairs(spark, d))).select("w1", F.array_join("w2s", " ").alias("w2s"))
 
 
+@query("relation_pairs_ranked", RELATIONS + "SELECT w1, w2, fitness, row_number() OVER (ORDER BY fitness DESC, w1, w2) AS rank FROM fs")
+def relation_pairs_ranked(spark, d):
+    """All scored pairs with their rank, without a sort in one task."""
+    return relations.ranked(_pairs(spark, d)).select("w1", "w2", "fitness", "rank")
+
+
 @query("relation_counters", RELATIONS + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
 def relation_counters(spark, d):
     one = F.lit(1).alias("k")
@@ -371,6 +377,16 @@ def pareto_front_3d(spark, d):
     return _front3(spark, d)
 
 
+_DOM6 = " AND ".join(f"y.embedding[{i}] >= x.embedding[{i}]" for i in range(1, 7)) + " AND (" + " OR ".join(f"y.embedding[{i}] > x.embedding[{i}]" for i in range(1, 7)) + ")"
+
+
+@query("pareto_front_6d", f"SELECT vec_id FROM embeddings x WHERE NOT EXISTS (SELECT 1 FROM embeddings y WHERE {_DOM6})")
+def pareto_front_6d(spark, d):
+    """Six objectives: most rows are in the front."""
+    rows = _table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(f"f{i}") for i in range(6)])
+    return pareto.pareto_front(rows, [f"f{i}" for i in range(6)], [True] * 6).select("vec_id")
+
+
 @query("archive_update", POINTS + f", a AS (SELECT * FROM e x WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.vec_id % 2 = 0 AND {_DOM3})), u AS (SELECT * FROM a UNION ALL SELECT * FROM e WHERE (vec_id % 2 = 0) IS NOT TRUE) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE {_DOM3})")
 def archive_update(spark, d):
     """The archive is the front of the even ids; all other rows are the new points."""
