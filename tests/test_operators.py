@@ -117,7 +117,7 @@ def test_relations(spark, built, sents):
     assert {tuple(r["infix"]): (r["fitness"], r["forward"]) for r in scored.collect()} == scores
     good = relations.pattern_survivors(scored)
     assert {tuple(r["infix"]) for r in good.collect()} == {k for k, v in scores.items() if v[0] >= 12}
-    matches = relations.pattern_matches(built.sentences, built.postings, good)
+    matches = relations.pattern_matches(built.sentences, good)
     got = {(r["w1"], r["w2"]) for r in matches.collect()}
     assert ("Oslo", "Norway") in got and ("Madrid", "Spain") in got
     assert ("Lisbon", "republic") in got  # "the" behind the pattern gives way

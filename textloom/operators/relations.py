@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import materialize
+
 from . import ordered
 
 KEY = ["doc_id", "spos"]
@@ -73,17 +75,23 @@ def pattern_survivors(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("fitness") >= PATTERN_THRESHOLD)
 
 
-def pattern_matches(sents: DataFrame, posts: DataFrame, found: DataFrame) -> DataFrame:
+def pattern_matches(sents: DataFrame, found: DataFrame) -> DataFrame:
     """infix, doc_id, spos, w1, w2 for sentences where the pattern stands at the first place of its first token. A right word "the"
-    gives way to the next token. Matches without a word on either side drop out, and patterns without a token match nothing."""
-    first = found.where(F.size("infix") > 0).select("infix", "forward", F.get("infix", 0).alias("word"))
-    places = posts.select(*KEY, "word", "first_pos").join(first, "word")
-    rows = places.join(sents.select(*KEY, "words"), KEY).where(F.slice("words", F.col("first_pos") + 1, F.greatest(F.size("infix"), F.lit(1))) == F.col("infix"))
-    after = F.col("first_pos") + F.size("infix")
-    left = F.get("words", F.col("first_pos") - 1)
-    right = F.when(F.get("words", after) == "the", F.get("words", after + 1)).otherwise(F.get("words", after))
-    rows = rows.select("infix", *KEY, F.when(F.col("forward"), left).otherwise(right).alias("w1"), F.when(F.col("forward"), right).otherwise(left).alias("w2"))
-    return rows.where("w1 is not null and w2 is not null")
+    gives way to the next token. Matches without a word on either side drop out, and patterns without a token match nothing.
+
+    From the first place of each word of a sentence that begins a pattern, runs of as many tokens as patterns have are joined with the
+    patterns by value: a frequent first word costs a row a sentence and length, however many patterns it begins."""
+    found = materialize(found.where(F.size("infix") > 0).select("infix", "forward"), "patterns")
+    lengths = sorted(r[0] for r in found.select(F.size("infix")).distinct().collect())
+    begins = found.select(F.get("infix", 0).alias("word")).distinct()
+    places = sents.select(*KEY, "words", F.posexplode("words").alias("at", "word")).where(F.array_position("words", F.col("word")) == F.col("at") + 1)
+    after = lambda n: F.get("words", F.col("at") + n)
+    right = lambda n: F.when(after(n) == "the", after(n + 1)).otherwise(after(n))
+    run = lambda n: F.struct(F.slice("words", F.col("at") + 1, n).alias("infix"), right(n).alias("right"))
+    runs = F.array(*[F.when(F.size("words") >= F.col("at") + n, run(n)) for n in lengths]) if lengths else F.array().cast("array<struct<infix:array<string>,right:string>>")
+    rows = places.join(begins, "word", "left_semi").select(*KEY, F.get("words", F.col("at") - 1).alias("left"), F.explode(runs).alias("run")).where("left is not null and run.right is not null")
+    rows = rows.select(*KEY, "left", "run.infix", "run.right").join(found, "infix")
+    return rows.select("infix", *KEY, F.when(F.col("forward"), F.col("left")).otherwise(F.col("right")).alias("w1"), F.when(F.col("forward"), F.col("right")).otherwise(F.col("left")).alias("w2"))
 
 
 def score_pairs(matches: DataFrame, df: DataFrame, n_sentences: int) -> DataFrame:
@@ -108,7 +116,7 @@ def relate(sents: DataFrame, toks: DataFrame, posts: DataFrame, pairs: DataFrame
     """All stages once: surviving pairs with fitness."""
     df = posts.groupBy("word").agg(F.count("*").alias("df"))
     good = pattern_survivors(score_patterns(patterns(sents, pair_sentences(toks, pairs))))
-    return pair_survivors(score_pairs(pattern_matches(sents, posts, good), df, sents.count()))
+    return pair_survivors(score_pairs(pattern_matches(sents, good), df, sents.count()))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess
 from textloom.functions.unicode import unicode_sentences as cut_unicode
 from textloom.operators import corpus, expansion, metrics, pareto, relations
 from textloom.operators.expansion import SHIPPED, ExpansionParams
+from textloom.operators.positional import PositionalIndex
 from textloom.plans import swarm, training
 from textloom.session import once, scratch, ship
 from textloom.sources import inputs, runs
@@ -273,7 +274,7 @@ def _scored(spark, d):
 
 
 def _matches(spark, d):
-    return relations.pattern_matches(_sents(spark, d), _posts(spark, d), relations.pattern_survivors(_scored(spark, d)))
+    return relations.pattern_matches(_sents(spark, d), relations.pattern_survivors(_scored(spark, d)))
 
 
 def _pairs(spark, d):
@@ -310,6 +311,33 @@ def relation_pattern_matches(spark, d):
     return _flat(_matches(spark, d)).withColumn("spos", F.col("spos").cast("long"))
 
 
+def _numbered_patterns(spark, d):
+    good = relations.pattern_survivors(_scored(spark, d)).where(F.size("infix") > 1)
+    return good.select(F.xxhash64(F.array_join("infix", " ")).alias("id"), F.col("infix").alias("words"))
+
+
+def _positional(spark, d):
+    return PositionalIndex(once(spark, "positional", d, lambda: PositionalIndex.build(_sents(spark, d)).blocks))
+
+
+@query("pattern_places", RELATIONS + """, w1p AS (SELECT pg.infix, t.doc_id, t.spos, t.pos FROM pg JOIN t ON t.word = pg.infix[1] WHERE len(pg.infix) > 1)
+SELECT array_to_string(infix, ' ') AS phrase, w1p.doc_id, w1p.spos::BIGINT AS spos, w1p.pos::BIGINT AS pos FROM w1p JOIN w0 ON w0.doc_id = w1p.doc_id AND w0.spos = w1p.spos WHERE words[pos + 1 : pos + len(infix)] = infix""")
+def pattern_places(spark, d):
+    """All places of the surviving patterns of two words or more, from the positional index."""
+    patterns = _numbered_patterns(spark, d)
+    found = _positional(spark, d).phrases(patterns)
+    return found.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "doc_id", "spos", "pos")
+
+
+@query("pattern_sentences", RELATIONS + """, w2p AS (SELECT infix, unnest(list_distinct(infix)) AS word FROM pg WHERE len(infix) > 1), w3p AS (SELECT infix, doc_id, spos, count(*) AS c FROM w2p JOIN p USING (word) GROUP BY ALL)
+SELECT array_to_string(infix, ' ') AS phrase, count(*) AS n FROM w3p WHERE c = len(list_distinct(infix)) GROUP BY infix""")
+def pattern_sentences(spark, d):
+    """How many sentences hold all words of each surviving pattern of two words or more."""
+    patterns = _numbered_patterns(spark, d)
+    counts = _positional(spark, d).sentences(patterns).groupBy("id").agg(F.count("*").alias("n"))
+    return counts.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "n")
+
+
 @query("relation_pair_scores", RELATIONS + "SELECT w1, w2, patterns, fitness FROM fs")
 def relation_pair_scores(spark, d):
     return _pairs(spark, d)
