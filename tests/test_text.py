@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -139,12 +139,13 @@ def joined_words(kinds, pictures, at):
     )
 
 
-@settings(max_examples=1500, deadline=None)
-@given(st.text(alphabet="ab.CD!?3,;: _\"')(\n\r\t\u2028א׳ア\u0301\u200d😀🇫🇷-é\xad漢。·‘’", max_size=14))
+@example('3\u200d😀3')
+@settings(max_examples=3000, deadline=None)
+@given(st.text(alphabet="ab.CD!?3,;: _\"')(\n\r\t\u2028א׳ア\u0301\u200d😀ℹ🇫🇷-é\xad漢。·‘’", max_size=14))
 def test_boundaries_follow_each_rule(t):
     for name, cuts in (("Sentence_Break", unicode.sentence_cuts(t)), ("Word_Break", unicode.word_cuts(t))):
         kinds = [chr(k) for k in unicode._letters(t, name)]
-        pictures = [c in "😀" for c in t]
+        pictures = [c in "😀ℹ" for c in t]
         inside = [joined_sentences(kinds, i) if name == "Sentence_Break" else joined_words(kinds, pictures, i) for i in range(1, len(t))]
         assert cuts == [i for i in range(1, len(t)) if not inside[i - 1]] + ([len(t)] if t else [])
 
@@ -171,6 +172,7 @@ def test_words_by_hand():
     cut = lambda t: list(unicode.pieces(t, unicode.word_cuts(t)))
     assert cut("It's 3,000.5 a_b1; can't-do") == ["It's", " ", "3,000.5", " ", "a_b1", ";", " ", "can't", "-", "do"]
     assert cut("a  b\t\r\n") == ["a", "  ", "b", "\t", "\r\n"]
+    assert cut("3\u200d😀3\u200dℹa") == ["3\u200d😀", "3\u200dℹa"]
     assert cut("👩\u200d🔬🇫🇷🇩 ア_ア") == ["👩\u200d🔬", "🇫🇷", "🇩", " ", "ア_ア"]
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import sys
 from pathlib import Path
 
+from textloom.channel import Channel
 from textloom.operators import corpus, expansion, relations
 from textloom.plans import training
 from textloom.session import local_session
@@ -22,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--xt", dest="tag", default="text", help="tag of a document")
     p.add_argument("--xl", dest="limit", help="limit of documents; L takes L - 1")
     p.add_argument("--xp", dest="preprocessor", help="preprocessor of texts")
+    p.add_argument("-v", dest="verbose", action="store_true", help="progress to standard error")
     p.add_argument("-s", dest="sound", action="store_true", help="check the index")
     p.add_argument("-c", dest="config", help="expand a concept by a TOML configuration")
     p.add_argument("-r", dest="pairs", help="extract relations by a JSON file of pairs")
@@ -30,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--flat", action="store_true", help="import: elements hold escaped text only, so that large files can be split")
     p.add_argument("--tmopso", action="store_true", help="train by two objectives")
     p.add_argument("--to", dest="out", default="train_swarm", help="folder of the training log")
+    p.add_argument("--tstate", help="folder for the state of each cycle, to go on from if the training was stopped")
     p.add_argument("--tnparticles", type=int, default=100)
     p.add_argument("--tniter", type=int, default=100)
     p.add_argument("--tnbwords", type=int, default=5)
@@ -49,15 +53,16 @@ def main(arguments: list[str] | None = None) -> None:
         saved = corpus.Corpus.load(spark, a.index)
         corpus.check_sound(saved.vocab, saved.postings)
         return
+    channel = Channel(sys.stderr.write if a.verbose else None)
     c = corpus.Corpus.load(spark, a.index)
     counts = corpus.corpus_counts(c.sentences, c.postings).first()
-    log.info("%s sentences, %s words, %s postings", counts["n_sentences"], counts["n_words"], counts["n_postings"])
+    channel.send(", ".join(f"{counts[f'n_{n}']} {n}" for n in ("sentences", "words", "postings")))
     if a.sound:
         corpus.check_sound(c.vocab, c.postings)
     elif a.pairs:
         pairs = inputs.pairs_request(spark, Path(a.pairs).read_text())
         relations.check_known(c.postings, pairs)
-        for row in relations.grouped(relations.relate(c.sentences, c.tokens, c.postings, pairs)).orderBy("w1").toLocalIterator():
+        for row in relations.grouped(relations.relate(c.sentences, c.tokens, c.postings, pairs, channel, relations.bind_article(c.vocab))).orderBy("w1").toLocalIterator():
             print(json.dumps({row["w1"]: row["w2s"]}, ensure_ascii=False))
     elif a.config:
         terms, params = inputs.read_config(Path(a.config).read_text())
@@ -70,7 +75,7 @@ def main(arguments: list[str] | None = None) -> None:
         reference = corpus.lookup(inputs.read_words(spark, a.reference), c.vocab)
         seeds = inputs.words_from(spark, None, c.vocab) if a.tstdin else training.sample_seeds(reference, a.tnbwords)
         options = training.TrainingOptions(a.tnparticles, a.tniter, a.tnbwords)
-        out = (training.train_mopso if a.tmopso else training.train_pso)(spark, c.postings, seeds, reference, options)
+        out = (training.train_mopso if a.tmopso else training.train_pso)(spark, c.postings, seeds, reference, options, store=a.tstate)
         runs.append(runs.from_log(out.log, spark, 0, 0), a.out, reset=True)
         runs.full_log(out.log, spark).write.mode("overwrite").partitionBy("icycle").parquet(f"{a.out.rstrip('/')}.log")
         if out.replay is not None:

@@ -30,10 +30,13 @@ SENTENCE_END = re.compile(
     r"|(?:(?<![UL])A(?!N)|(?<=[UL])A(?![NU]))K*+P*+(?![JASCFE])(?![^TULCFEAS]*+L)"
 )
 #: A run of letters and digits (WB5 to WB12), or of katakana (WB13); what joins inside needs its like on both sides.
-_RUN = r"(?:(?:[AH](?:[MBQ](?=[AH]))?|(?<=H)D(?=H)|N(?:[UBQ](?=N))?)+|K+)"
-#: A piece between word boundaries: a separator (WB3), spaces (WB3d; w is a space with ignored characters behind it), runs joined by
-#: connectors (WB13a, WB13b), a quote behind a Hebrew letter (WB7a), pairs of regional indicators (WB15, WB16), any other character.
-WORD_PIECE = re.compile(rf"CF|W*w|W+|_*{_RUN}(?:_+{_RUN})*_*(?:(?<=H)Q)?|_+|GG?|.", re.S)
+_RUN = r"(?:(?:[AHa](?:[MBQ](?=[AHa]))?|(?<=H)D(?=H)|N(?:[UBQ](?=N))?)+|K+)"
+#: Runs joined by connectors (WB13a, WB13b), and a quote behind a Hebrew letter (WB7a).
+_RUNS = rf"{_RUN}(?:_+{_RUN})*_*(?:(?<=H)Q)?"
+#: A piece between word boundaries: a separator (WB3), spaces (WB3d; w is a space with ignored characters behind it), runs, pairs of regional
+#: indicators (WB15, WB16), or any other character; and the pictographs behind a joiner (WB3c; g, or a where it is a letter too).
+WORD_PIECE = re.compile(rf"(?:CF|W*w|W+|_*{_RUNS}|_+|GG?|.)(?:g|(?=a){_RUNS})*", re.S)
+GLUED, GLUED_LETTER = "g", "a"
 
 
 @lru_cache
@@ -102,19 +105,19 @@ def word_cuts(text: str) -> list[int]:
     if not text:
         return []
     letters = _letters(text, "Word_Break")
-    joined = (letters == ord(IGNORED)) | (letters == ord("z"))
-    if joined.any():
-        behind = np.concatenate([[False], letters[:-1] == ord("z")])
-        if behind.any():  # WB3c
-            joined |= behind & _pictographs()[_codes(text)]
-        gone = _attached(letters, joined, "CFE")
-        letters = np.where(gone | ~joined, letters, ord(OTHER)).astype(np.uint8)
-        followed = np.append(gone[1:], False)
-        letters[(letters == ord("W")) & followed] = ord("w")
-        at = np.flatnonzero(~gone)
-        ends = np.append(at[1:], len(text))
-        return ends[[m.end() - 1 for m in WORD_PIECE.finditer(letters[at].tobytes().decode("ascii"))]].tolist()
-    return [m.end() for m in WORD_PIECE.finditer(letters.tobytes().decode("ascii"))]
+    ignored = (letters == ord(IGNORED)) | (letters == ord("z"))
+    if not ignored.any():
+        return [m.end() for m in WORD_PIECE.finditer(letters.tobytes().decode("ascii"))]
+    gone = _attached(letters, ignored, "CFE")
+    glued = np.concatenate([[False], letters[:-1] == ord("z")])
+    if glued.any():
+        glued &= _pictographs()[_codes(text)]
+    letters = np.where(ignored & ~gone, ord(OTHER), letters)
+    letters = np.where(glued, np.where(letters == ord("A"), ord(GLUED_LETTER), ord(GLUED)), letters).astype(np.uint8)
+    letters[(letters == ord("W")) & np.append(gone[1:], False)] = ord("w")
+    at = np.flatnonzero(~gone)
+    ends = np.append(at[1:], len(text))
+    return ends[[m.end() - 1 for m in WORD_PIECE.finditer(letters[at].tobytes().decode("ascii"))]].tolist()
 
 
 def pieces(text: str, cuts: list[int]) -> Iterator[str]:

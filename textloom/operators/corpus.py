@@ -6,6 +6,7 @@ themselves, and numbers are given only where a dictionary is asked for.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from textloom.functions.unicode import unicode_sentences
 from .ordered import first_rows
 
 SENTENCE = ("doc_id", "spos")
+BY_WORD = ("postings", "vocab")
 
 
 def sentences(docs: DataFrame, text: str = "text", preprocessor: str | None = None, profile: str = "portable") -> DataFrame:
@@ -100,6 +102,10 @@ def parse_limit(text: str | None) -> int | None:
         return None
 
 
+def _table_name(path: str, table: str) -> str:
+    return f"textloom_{hashlib.md5(path.encode(), usedforsecurity=False).hexdigest()[:16]}_{table}"
+
+
 @dataclass
 class Corpus:
     """The tables of an index."""
@@ -111,18 +117,44 @@ class Corpus:
 
     @property
     def df(self) -> DataFrame:
+        """Frequencies; of a saved index they are counted where its postings lie."""
         return doc_freq(self.postings)
 
-    def save(self, path: str) -> None:
-        """A Parquet folder for each table."""
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """A Parquet folder for each table. Postings and dictionary are in buckets by word and sorted by it, so that a word
+        is found in one file and joins on the word need no shuffle."""
         if not path:
             raise ValueError("an output folder is needed")
+        path, spark = path.rstrip("/"), self.sentences.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{f.name}")
+            rows = getattr(self, f.name)
+            if f.name in BY_WORD:
+                name = _table_name(path, f.name)
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+                write = rows.repartition(n, "word").write.mode("overwrite").format("parquet").option("path", f"{path}/{f.name}")
+                write.bucketBy(n, "word").sortBy("word").saveAsTable(name)
+            else:
+                rows.write.mode("overwrite").parquet(f"{path}/{f.name}")
+        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls(*[spark.read.parquet(f"{path.rstrip('/')}/{f.name}") for f in fields(cls)])
+        """The tables of a saved index. Those in buckets are made known to the session's catalog, by names from the path."""
+        path = path.rstrip("/")
+        n = spark.read.parquet(f"{path}/layout").first()["buckets"]
+        tables = {}
+        for f in fields(cls):
+            plain = spark.read.parquet(f"{path}/{f.name}")
+            if f.name in BY_WORD:
+                name = _table_name(path, f.name)
+                columns = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in plain.schema)
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (word) SORTED BY (word) INTO {n} BUCKETS LOCATION '{path}/{f.name}'")
+                spark.sql(f"REFRESH TABLE {name}")
+                tables[f.name] = spark.table(name)
+            else:
+                tables[f.name] = plain
+        return cls(**tables)
 
     def word(self, word_id: int) -> DataFrame:
         return self.vocab.where(F.col("word_id") == word_id).select("word")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.channel import Channel, Counted
 from textloom.session import materialize
 
 from . import ordered
@@ -18,6 +19,7 @@ KEY = ["doc_id", "spos"]
 PATTERN_SHORT, PATTERN_LONG, PATTERN_BAD_SIZE = 1, 5, -40
 PATTERN_PER_PAIR, PATTERN_PER_MATCH, PATTERN_THRESHOLD = 10, -2, 12
 PAIR_PER_PATTERN, PAIR_FREQUENCY, PAIR_THRESHOLD = 10, -0.1, 20
+ARTICLE = "the"
 
 
 def seed_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -75,9 +77,16 @@ def pattern_survivors(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("fitness") >= PATTERN_THRESHOLD)
 
 
-def pattern_matches(sents: DataFrame, found: DataFrame) -> DataFrame:
-    """infix, doc_id, spos, w1, w2 for sentences where the pattern stands at the first place of its first token. A right word "the"
-    gives way to the next token. Matches without a word on either side drop out, and patterns without a token match nothing.
+def bind_article(vocab: DataFrame, word: str = ARTICLE) -> str:
+    """The word that gives way to the next on the right of a pattern, if the dictionary has it; else an error."""
+    if vocab.where(F.col("word") == word).isEmpty():
+        raise ValueError(f"the dictionary lacks {word!r}, which relations need; build the index from texts that have it, or name another article")
+    return word
+
+
+def pattern_matches(sents: DataFrame, found: DataFrame, article: str = ARTICLE) -> DataFrame:
+    """infix, doc_id, spos, w1, w2 for sentences where the pattern stands at the first place of its first token. A right word that is
+    the article gives way to the next token. Matches without a word on either side drop out, and patterns without a token match nothing.
 
     From the first place of each word of a sentence that begins a pattern, runs of as many tokens as patterns have are joined with the
     patterns by value: a frequent first word costs a row a sentence and length, however many patterns it begins."""
@@ -86,7 +95,7 @@ def pattern_matches(sents: DataFrame, found: DataFrame) -> DataFrame:
     begins = found.select(F.get("infix", 0).alias("word")).distinct()
     places = sents.select(*KEY, "words", F.posexplode("words").alias("at", "word")).where(F.array_position("words", F.col("word")) == F.col("at") + 1)
     after = lambda n: F.get("words", F.col("at") + n)
-    right = lambda n: F.when(after(n) == "the", after(n + 1)).otherwise(after(n))
+    right = lambda n: F.when(after(n) == article, after(n + 1)).otherwise(after(n))
     run = lambda n: F.struct(F.slice("words", F.col("at") + 1, n).alias("infix"), right(n).alias("right"))
     runs = F.array(*[F.when(F.size("words") >= F.col("at") + n, run(n)) for n in lengths]) if lengths else F.array().cast("array<struct<infix:array<string>,right:string>>")
     rows = places.join(begins, "word", "left_semi").select(*KEY, F.get("words", F.col("at") - 1).alias("left"), F.explode(runs).alias("run")).where("left is not null and run.right is not null")
@@ -112,11 +121,21 @@ def grouped(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w1").agg(F.transform(ordered, lambda x: x["w2"]).alias("w2s"))
 
 
-def relate(sents: DataFrame, toks: DataFrame, posts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All stages once: surviving pairs with fitness."""
+def relate(sents: DataFrame, toks: DataFrame, posts: DataFrame, pairs: DataFrame, channel: Channel | None = None, article: str = ARTICLE) -> DataFrame:
+    """All stages once: surviving pairs with fitness. Each stage's counters go to the channel as they are observed."""
+    channel = channel or Channel()
     df = posts.groupBy("word").agg(F.count("*").alias("df"))
-    good = pattern_survivors(score_patterns(patterns(sents, pair_sentences(toks, pairs))))
-    return pair_survivors(score_pairs(pattern_matches(sents, good), df, sents.count()))
+    found = Counted(patterns(sents, pair_sentences(toks, pairs)), "patterns of pairs", F.count("*").alias("pattern_count"))
+    scored = Counted(score_patterns(found.rows), "patterns", F.count("*").alias("distinct"), F.count_if(F.col("fitness") >= PATTERN_THRESHOLD).alias("survivors"))
+    good = materialize(pattern_survivors(scored.rows), "patterns")
+    found.report(channel)
+    scored.report(channel)
+    matches = Counted(pattern_matches(sents, good, article), "matches of patterns", F.count("*").alias("wpair_count"))
+    rated = Counted(score_pairs(matches.rows, df, sents.count()), "pairs", F.count("*").alias("distinct"), F.count_if(F.col("fitness") >= PAIR_THRESHOLD).alias("survivors"))
+    kept = materialize(pair_survivors(rated.rows), "pairs")
+    matches.report(channel)
+    rated.report(channel)
+    return kept
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ particles at once, by a function from a table (particle, pos) to (particle, fitn
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -49,13 +50,52 @@ def _rows(cycle: int, pos, vel, best, fit, best_fit, names) -> pd.DataFrame:
     return pd.DataFrame(d)
 
 
-def pso(spark: SparkSession, fitness: Fitness, bounds: Sequence[tuple[float, float]], size: int = 100, cycles: int = 100, coefficients: Coefficients = Coefficients(), worst: float = -1.0, seed: int = 0, payload: Sequence[str] = (), callback: Callback | None = None) -> Result:
-    """Maximises the column fitness; payload names further columns to keep. The result is the last leader's position."""
+class Cycles:
+    """Where a swarm's state is written after each cycle, a Parquet folder for each, so that a run that was stopped can go on. Numbers
+    are kept exactly, the random numbers' state too, so a resumed run equals an unbroken one."""
+
+    def __init__(self, spark: SparkSession, path: str | None):
+        self.spark, self.path = spark, path and path.rstrip("/")
+
+    def save(self, cycle: int, rng: np.random.Generator, state: dict, rows: pd.DataFrame) -> None:
+        if self.path:
+            arrays = {k: np.asarray(v).tolist() for k, v in state.items()}
+            text = json.dumps({"rng": rng.bit_generator.state, "state": arrays, "rows": rows.to_dict("list")}, default=lambda v: v.item())
+            self.spark.createDataFrame([(cycle, text)], "cycle int, state string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cycle={cycle}")
+
+    def load(self, rng: np.random.Generator) -> tuple[int, dict, list[pd.DataFrame]]:
+        """(last cycle, state, logs of all cycles), the random numbers set to go on from there; (-1, {}, []) if there is none. Cycles
+        behind a missing one don't count."""
+        if not self.path:
+            return -1, {}, []
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return -1, {}, []
+        stored = self.spark.read.schema("cycle int, state string").option("recursiveFileLookup", "true").parquet(self.path)
+        found = {r["cycle"]: r["state"] for r in stored.collect()}  # a swarm for each cycle, as the log
+        logs, last = [], -1
+        while last + 1 in found:
+            last += 1
+            kept = json.loads(found[last])
+            logs.append(pd.DataFrame(kept["rows"]))
+        if last < 0:
+            return -1, {}, []
+        rng.bit_generator.state = kept["rng"]
+        return last, {k: np.array(v) for k, v in kept["state"].items()}, logs
+
+
+def pso(spark: SparkSession, fitness: Fitness, bounds: Sequence[tuple[float, float]], size: int = 100, cycles: int = 100, coefficients: Coefficients = Coefficients(), worst: float = -1.0, seed: int = 0, payload: Sequence[str] = (), callback: Callback | None = None, store: str | None = None) -> Result:
+    """Maximises the column fitness; payload names further columns to keep. The result is the last leader's position. With a store (a
+    folder) each cycle's state is written there, and a run goes on behind the last one that it holds."""
     rng, lo, hi = np.random.default_rng(seed), *np.array(bounds, float).T
     names = ["fitness", *payload]
     pos = rng.uniform(lo, hi, (size, len(lo)))
-    vel, best, best_fit, logs, lead = np.zeros_like(pos), np.zeros_like(pos), np.full((size, 1), worst), [], 0
-    for cycle in range(cycles + 1):
+    vel, best, best_fit, lead = np.zeros_like(pos), np.zeros_like(pos), np.full((size, 1), worst), 0
+    done = Cycles(spark, store)
+    last, kept, logs = done.load(rng)
+    if last >= 0:
+        pos, vel, best, best_fit, lead = *[kept[k].astype(float) for k in ("pos", "vel", "best", "best_fit")], int(kept["lead"])
+    for cycle in range(last + 1, cycles + 1):
         if cycle:
             r1, r2 = rng.random(pos.shape), rng.random(pos.shape)
             vel = coefficients.omega * vel + coefficients.c1 * r1 * (best - pos) + coefficients.c2 * r2 * (pos[lead] - pos)
@@ -66,6 +106,7 @@ def pso(spark: SparkSession, fitness: Fitness, bounds: Sequence[tuple[float, flo
         best[better], best_fit[better, 0] = pos[better], f[better]
         lead = 0 if np.isnan(f).all() else int(np.flatnonzero(f == np.nanmax(f))[-1])
         logs.append(_rows(cycle, pos, vel, best, fit, best_fit, names))
+        done.save(cycle, rng, {"pos": pos, "vel": vel, "best": best, "best_fit": best_fit, "lead": lead}, logs[-1])
         if callback:
             callback(cycle, logs[-1])
     return Result(pos[lead].tolist(), pd.concat(logs, ignore_index=True))
@@ -80,19 +121,23 @@ def crowding(points: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return np.where(end, np.finfo(float).max, total)
 
 
-def mopso(spark: SparkSession, fitness: Fitness, objectives: Sequence[str], bounds: Sequence[tuple[float, float]], fitness_bounds: Sequence[tuple[float, float]], maximise: Sequence[bool], size: int = 100, cycles: int = 100, coefficients: Coefficients = Coefficients(), seed: int = 0, dedupe: bool = False, callback: Callback | None = None) -> Result:
+def mopso(spark: SparkSession, fitness: Fitness, objectives: Sequence[str], bounds: Sequence[tuple[float, float]], fitness_bounds: Sequence[tuple[float, float]], maximise: Sequence[bool], size: int = 100, cycles: int = 100, coefficients: Coefficients = Coefficients(), seed: int = 0, dedupe: bool = False, callback: Callback | None = None, store: str | None = None) -> Result:
     """Keeps an archive of non-dominated particles, from which each particle draws a leader in each dimension, sparse regions first.
     A member keeps the velocity, best position and best fitness that its particle had when it came in. With dedupe members of equal
-    position and fitness are kept once."""
+    position and fitness are kept once; a store works as for pso()."""
     rng, lo, hi = np.random.default_rng(seed), *np.array(bounds, float).T
     sign, widths = np.where(maximise, 1.0, -1.0), np.array([b - a for a, b in fitness_bounds], float)
     pos = rng.uniform(lo, hi, (size, len(lo)))
     vel, best = np.zeros_like(pos), np.zeros_like(pos)
     best_fit = np.tile([a if up else b for (a, b), up in zip(fitness_bounds, maximise, strict=True)], (size, 1)).astype(float)
     dims, k = len(lo), len(objectives)
-    archive, logs = np.zeros((0, 3 * dims + 2 * k)), []  # of each member: position, velocity, best position, fitness, best fitness
+    archive = np.zeros((0, 3 * dims + 2 * k))  # of each member: position, velocity, best position, fitness, best fitness
+    done = Cycles(spark, store)
+    last, kept, logs = done.load(rng)
+    if last >= 0:
+        pos, vel, best, best_fit, archive = (kept[n].astype(float) for n in ("pos", "vel", "best", "best_fit", "archive"))
     parts = lambda rows: np.split(rows, [dims, 2 * dims, 3 * dims, 3 * dims + k], axis=1)
-    for cycle in range(cycles + 1):
+    for cycle in range(last + 1, cycles + 1):
         if cycle:
             archive_pos, _, _, archive_fit, _ = parts(archive)
             rank = np.empty(len(archive_fit), int)
@@ -112,6 +157,7 @@ def mopso(spark: SparkSession, fitness: Fitness, objectives: Sequence[str], boun
             archive = archive[np.sort(first)]
         at, speed, own, value, own_value = parts(archive)
         logs.append(_rows(cycle, at, speed, own, value, own_value, list(objectives)))
+        done.save(cycle, rng, {"pos": pos, "vel": vel, "best": best, "best_fit": best_fit, "archive": archive}, logs[-1])
         if callback:
             callback(cycle, logs[-1])
     return Result(None, pd.concat(logs, ignore_index=True), logs[-1])

@@ -125,15 +125,16 @@ def sample_seeds(reference: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return reference.select("word").distinct().orderBy(F.md5(F.concat("word", F.lit(f"#{seed}"))), "word").limit(n)
 
 
-def train_pso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None) -> Result:
-    """Maximises F1. The result holds the winner's weights, the log of all particles and cycles, and the words that it expands to."""
+def train_pso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None, store: str | None = None) -> Result:
+    """Maximises F1. The result holds the winner's weights, the log of all particles and cycles, and the words that it expands to. With a
+    store a run that was stopped goes on there."""
     fitness = ExpansionFitness(posts, seeds, reference, options.threshold)
-    out = pso(spark, fitness, BOUNDS, options.particles, options.iterations, Coefficients(), FITNESS_BOUNDS[0], options.random_seed, ("precision", "recall"), callback)
+    out = pso(spark, fitness, BOUNDS, options.particles, options.iterations, Coefficients(), FITNESS_BOUNDS[0], options.random_seed, ("precision", "recall"), callback, store)
     out.replay = expansion.expand_concept(posts, seeds, expansion.ExpansionParams.from_vector(out.position, options.threshold))
     return out
 
 
-def train_mopso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None, objectives: Sequence[str] = ("precision", "recall")) -> Result:
-    """The Pareto front of precision and recall; the log holds the archive of every cycle."""
+def train_mopso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference: DataFrame, options: TrainingOptions = TrainingOptions(), callback: Callback | None = None, objectives: Sequence[str] = ("precision", "recall"), store: str | None = None) -> Result:
+    """The Pareto front of precision and recall; the log holds the archive of every cycle. A store works as for train_pso()."""
     fitness = ExpansionFitness(posts, seeds, reference, options.threshold)
-    return mopso(spark, fitness, objectives, BOUNDS, [(0.0, 1.0)] * len(objectives), [True] * len(objectives), options.particles, options.iterations, Coefficients(), options.random_seed, callback=callback)
+    return mopso(spark, fitness, objectives, BOUNDS, [(0.0, 1.0)] * len(objectives), [True] * len(objectives), options.particles, options.iterations, Coefficients(), options.random_seed, callback=callback, store=store)

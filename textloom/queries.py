@@ -3,11 +3,13 @@ numbers or are rounded, so that both sides can be compared by value."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.channel import Channel
 from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess, strip_markup
 from textloom.functions.unicode import unicode_sentences as cut_unicode
 from textloom.operators import corpus, expansion, metrics, pareto, relations
@@ -46,7 +48,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _sents(spark, d):
     """Sentences of a folder, cut and written once in an application; all queries plan on these, as on a stored index."""
-    return once(spark, "sentences", d, lambda: corpus.sentences(_table(spark, d, "documents").select("doc_id", "text")))
+    return once(spark, "sentences", f"{d}/documents.parquet", lambda: corpus.sentences(_table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _toks(spark, d):
@@ -54,11 +56,17 @@ def _toks(spark, d):
 
 
 def _posts(spark, d):
-    return once(spark, "postings", d, lambda: corpus.postings(_toks(spark, d)))
+    return once(spark, "postings", f"{d}/documents.parquet", lambda: corpus.postings(_toks(spark, d)))
 
 
 def _df(spark, d):
-    return once(spark, "df", d, lambda: corpus.doc_freq(_posts(spark, d)))
+    return once(spark, "df", f"{d}/documents.parquet", lambda: corpus.doc_freq(_posts(spark, d)))
+
+
+def build_index(spark: SparkSession, d: str) -> None:
+    """What the queries plan on, made now if it isn't there."""
+    _df(spark, d)
+    _positional(spark, d)
 
 
 def _words(spark, words):
@@ -149,6 +157,16 @@ def _sql_markup(column: str) -> str:
     return out
 
 
+@query("saved_index_words", BASE + ", f AS (SELECT word, min((doc_id, spos, pos)) AS m FROM t GROUP BY word), v AS (SELECT row_number() OVER (ORDER BY m) - 1 AS word_id, word FROM f) SELECT word_id, word, df FROM v JOIN df USING (word)")
+def saved_index_words(spark, d):
+    """Dictionary and frequencies from an index saved in buckets by word; neither the count nor the join shuffles."""
+    folder = scratch(spark, "index")
+    sents = _sents(spark, d)
+    corpus.Corpus(sents.limit(0), corpus.tokens(sents.limit(0)), _posts(spark, d), corpus.vocabulary(_toks(spark, d))).save(folder)
+    saved = corpus.Corpus.load(spark, folder)
+    return saved.vocab.join(saved.df, "word").select(F.col("word_id").cast("long").alias("word_id"), "word", "df")
+
+
 @query("strip_markup_pages", f"SELECT page_id, {_sql_markup('html')} AS text FROM pages")
 def strip_markup_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
@@ -164,9 +182,15 @@ def missing_words(spark, d):
     return corpus.missing(_words(spark, TERMS), _toks(spark, d).select("word").distinct())
 
 
-@query("set_request_words", "SELECT unnest(['oren', 'threat', 'oren']) AS word")
+_FIRST_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[^a-z]+'), lambda x: x <> '')[1:3]"
+
+
+@query("set_request_words", f"SELECT doc_id, unnest({_FIRST_WORDS}) AS word FROM documents")
 def set_request_words(spark, d):
-    return inputs.set_request(spark.createDataFrame([('{"set": ["oren", "threat", "oren"]}',)], "value string"))
+    """A request of the first words of each text, as JSON, and its words."""
+    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[^a-z]+"), lambda x: x != ""), 1, 3)
+    requests = _table(spark, d, "documents").select("doc_id", F.to_json(F.struct(words.alias("set"))).alias("value"))
+    return inputs.set_request(requests, "value", "doc_id")
 
 
 # ----------------------------------------------------------------------------------------------------------- expansion
@@ -317,7 +341,7 @@ def _numbered_patterns(spark, d):
 
 
 def _positional(spark, d):
-    return PositionalIndex(once(spark, "positional", d, lambda: PositionalIndex.build(_sents(spark, d)).blocks))
+    return PositionalIndex(once(spark, "positional", f"{d}/documents.parquet", lambda: PositionalIndex.build(_sents(spark, d)).blocks))
 
 
 @query("pattern_places", RELATIONS + """, w1p AS (SELECT pg.infix, t.doc_id, t.spos, t.pos FROM pg JOIN t ON t.word = pg.infix[1] WHERE len(pg.infix) > 1)
@@ -359,6 +383,16 @@ def relation_pairs_ranked(spark, d):
     return relations.ranked(_pairs(spark, d)).select("w1", "w2", "fitness", "rank")
 
 
+@query("relation_progress", RELATIONS + """SELECT 'pattern_count' AS counter, (SELECT count(*) FROM px) AS n UNION ALL SELECT 'patterns', (SELECT count(*) FROM pf) UNION ALL SELECT 'surviving_patterns', (SELECT count(*) FROM pg)
+UNION ALL SELECT 'wpair_count', (SELECT count(*) FROM fp) UNION ALL SELECT 'pairs', (SELECT count(*) FROM fs) UNION ALL SELECT 'surviving_pairs', (SELECT count(*) FROM fs WHERE fitness >= 20)""")
+def relation_progress(spark, d):
+    """What a whole run tells its channel: the counters that are observed while it works."""
+    lines: list[str] = []
+    relations.relate(_sents(spark, d), _toks(spark, d), _posts(spark, d), relations.seed_pairs(spark, list(PAIRS)), Channel(lines.append))
+    told = [int(n) for line in lines for n in re.findall(r" (\d+)", line)]
+    return spark.createDataFrame(list(zip(("pattern_count", "patterns", "surviving_patterns", "wpair_count", "pairs", "surviving_pairs"), told, strict=True)), "counter string, n long")
+
+
 @query("relation_counters", RELATIONS + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
 def relation_counters(spark, d):
     one = F.lit(1).alias("k")
@@ -559,9 +593,12 @@ def word_file_lines(spark, d):
     return inputs.word_lines(_table(spark, d, "documents").where("text is not null").withColumnRenamed("text", "value"), "doc_id")
 
 
-@query("pairs_request_rows", "SELECT * FROM (VALUES (0, 'a', 'b'), (1, 'c', 'd'), (2, 'a', 'b')) v(pair_idx, w1, w2)")
+@query("pairs_request_rows", "SELECT o_orderkey, 0 AS pair_idx, o_orderstatus AS w1, o_orderpriority AS w2 FROM orders UNION ALL SELECT o_orderkey, 1, o_orderpriority, 'x' || o_custkey FROM orders")
 def pairs_request_rows(spark, d):
-    return inputs.pairs_request(spark, '{"pairs": [["a", "b"], ["c", "d"], ["a", "b"]]}')
+    """A request of two pairs from each order, as JSON, and its rows."""
+    pairs = F.array(F.array("o_orderstatus", "o_orderpriority"), F.array(F.col("o_orderpriority"), F.concat(F.lit("x"), F.col("o_custkey").cast("string"))))
+    requests = _table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(pairs.alias("pairs"))).alias("value"))
+    return inputs.pair_requests(requests, "value", "o_orderkey")
 
 
 @query("preprocessed_pages", f"SELECT page_id, {_sql_markup('html')} AS stripped, html AS unknown FROM pages")
@@ -669,9 +706,55 @@ def run_positions(spark, d):
     return rows.where((F.col("batch_id") == 10) & (F.col("irun") == 0) & F.col("icycle").isin(0, 5, 10)).select("icycle", "iparticle", "fitness")
 
 
-@query("run_batches", "SELECT * FROM (VALUES " + ", ".join(str(b) for b in runs.BATCHES) + ") v(batch_id, tpso, tfitness, tcorpus, ncorpus, nparticles, ncycles, nseed, tseed, nruns)")
+@query("run_batches", DAT + ", bb AS (SELECT * FROM (VALUES " + ", ".join(str(b) for b in runs.BATCHES) + ") v(batch_id, tpso, tfitness, tcorpus, ncorpus, nparticles, ncycles, nseed, tseed, nruns)) SELECT bb.*, count(dat.batch_id) AS n FROM bb LEFT JOIN dat ON bb.batch_id = dat.batch_id GROUP BY ALL")
 def run_batches(spark, d):
-    return runs.batches(spark)
+    """The experiments on record, each with its rows in the store."""
+    counts = _dat(spark, d).groupBy("batch_id").agg(F.count("*").alias("n"))
+    return runs.batches(spark).join(counts, "batch_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+_POS = ", ".join(f"((o_orderkey * {i + 1}) % 201 - 100)::DOUBLE AS pos{i}" for i in range(1, 7))
+WHOLE_DAT = DAT.replace("o_orderkey // 440)::INT AS iparticle,", f"o_orderkey // 440)::INT AS iparticle, {_POS}, 0.5::DOUBLE AS precision, 0.25::DOUBLE AS recall,")
+_SIX = ", ".join(runs.POSITIONS)
+#: By statement of the store: its parameters, and the same in DuckDB.
+_ASKED = {
+    "average_by_cycle": ({"batch": 2}, "SELECT icycle, round(avg(fitness), 9) AS avg_fitness FROM dat WHERE batch_id = 2 GROUP BY icycle"),
+    "best_by_run": ({"batch": 2, "cycle": 10}, "SELECT irun, max(fitness) AS max_fitness FROM dat WHERE batch_id = 2 AND icycle = 10 GROUP BY irun"),
+    "best_by_corpus": ({"batches": [10, 11, 12, 2, 14, 15, 16, 17, 99], "cycle": 10}, "SELECT dat.batch_id, max(ncorpus) AS ncorpus, arg_max(irun, (fitness, irun)) AS irun, max(fitness) AS max_fitness FROM dat LEFT JOIN bt ON dat.batch_id = bt.batch_id WHERE dat.batch_id IN (10, 11, 12, 2, 14, 15, 16, 17, 99) AND icycle = 10 GROUP BY dat.batch_id"),
+    "places_in_cycle": ({"batch": 2, "run": 1, "cycle": 3}, f"SELECT iparticle, {_SIX} FROM dat WHERE batch_id = 2 AND irun = 1 AND icycle = 3"),
+    "path_of_particle": ({"batch": 2, "run": 1, "particle": 1}, f"SELECT icycle, {_SIX} FROM dat WHERE batch_id = 2 AND irun = 1 AND iparticle = 1"),
+    "places_in_run": ({"batch": 2, "run": 1}, f"SELECT icycle, iparticle, {_SIX} FROM dat WHERE batch_id = 2 AND irun = 1"),
+    "front_of_cycle": ({"batch": 2, "cycle": 10}, "SELECT precision, recall FROM dat WHERE batch_id = 2 AND icycle = 10"),
+    "shares": ({"batch": 2, "cycle": 10, "width": 0.0625}, "SELECT floor(fitness / 0.0625::DOUBLE) * 0.0625::DOUBLE + 0.03125 AS bin, round(count(*) / (SELECT count(*) FROM dat WHERE batch_id = 2 AND icycle = 10)::DOUBLE, 9) AS share FROM dat WHERE batch_id = 2 AND icycle = 10 GROUP BY 1"),
+}
+
+
+def _asked(name: str):
+    parameters, sql = _ASKED[name]
+
+    @query(f"ask_{name}", WHOLE_DAT + ", " + BATCH + " " + sql)
+    def ask(spark, d):
+        runs.open_store(spark, _dat(spark, d))
+        rows = runs.ask(spark, name, **parameters)
+        runs.close_store(spark)
+        return rows.withColumns({c: F.round(c, 9) for c in ("avg_fitness", "share") if c in rows.columns})
+
+
+for _name in _ASKED:
+    _asked(_name)
+
+
+@query("run_log_blocks", "WITH r AS (SELECT (o_custkey % 4)::INT AS run, o_orderkey // 50 AS c, o_orderkey AS k FROM orders), n AS (SELECT *, dense_rank() OVER (PARTITION BY run ORDER BY c) - 1 AS icycle, row_number() OVER (PARTITION BY run, c ORDER BY k) - 1 AS iparticle FROM r) SELECT run, icycle::INT AS icycle, iparticle::INT AS iparticle, (k % 7)::DOUBLE AS fitness, (k % 3)::DOUBLE AS precision, CASE WHEN k % 5 = 0 THEN 0 ELSE 1.5 END::DOUBLE AS recall FROM n")
+def run_log_blocks(spark, d):
+    """Logs of four runs as text with cycles of any length, read in blocks."""
+    k = F.col("o_orderkey")
+    line = F.array_join(F.array(*[F.lit("0")] * 6, (k % 7).cast("string"), *[F.lit("1")] * 13, (k % 3).cast("string"), F.when(k % 5 == 0, "NaN").otherwise("1.5")), "\t")
+    rows = _table(spark, d, "orders").select((F.col("o_custkey") % 4).cast("int").alias("run"), F.floor(k / 50).alias("cycle"), k.alias("k"), line.alias("line"))
+    cycles = rows.groupBy("run", "cycle").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("lines"))  # a cycle is a swarm
+    folder = scratch(spark, "logs")
+    blocks = cycles.repartition("run").sortWithinPartitions("run", "cycle").select("run", F.concat("lines", F.lit("\n\n")).alias("value"))
+    blocks.write.partitionBy("run").text(folder)
+    return runs.read_log_blocks(spark, folder).select(F.regexp_extract("file", r"run=(\d+)", 1).cast("int").alias("run"), "icycle", "iparticle", "fitness", "precision", "recall")
 
 
 @query("run_summary", DAT + " SELECT count(fitness) AS records, round(avg(fitness), 9) AS mean, round(stddev_pop(fitness), 9) AS std, min(fitness) AS least, max(fitness) AS most, round(quantile_cont(fitness, 0.25), 9) AS lower, round(quantile_cont(fitness, 0.5), 9) AS middle, round(quantile_cont(fitness, 0.75), 9) AS upper FROM dat")

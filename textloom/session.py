@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -69,9 +70,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_state(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path, through Spark's own file systems."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode(), usedforsecurity=False).hexdigest()
+
+
 def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """materialize(make()) the first time that a table of this name is asked for over `source` in an application; the same again later."""
-    key = (spark.sparkContext.applicationId, f"{label} {source}")
+    """materialize(make()) the first time that a table of this name is asked for over the files at `source` in an application; the same
+    again for as long as those files are the same."""
+    key = (spark.sparkContext.applicationId, f"{label} {source} {file_state(spark, source)}")
     if key not in _KEPT:
         _KEPT[key] = materialize(make(), label)
     return _KEPT[key]

@@ -112,10 +112,19 @@ def pairs_request(spark: SparkSession, body: str) -> DataFrame:
     return spark.createDataFrame(rows, "pair_idx int, w1 string, w2 string")
 
 
-def set_request(requests: DataFrame, column: str = "value") -> DataFrame:
-    """{"set": ["a", ...]} in a column of requests, one row a word."""
+def pair_requests(requests: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """The columns `keep`, pair_idx, w1, w2 of {"pairs": [["a", "b"], ...]} in a column of requests. A request that can't be read, or a
+    pair of other than two words, is an error of the row."""
+    parsed = F.from_json(column, "struct<pairs: array<array<string>>>")["pairs"]
+    rows = requests.select(*keep, F.posexplode(F.when(parsed.isNull(), F.raise_error(F.lit("Unable to parse JSON data."))).otherwise(parsed)).alias("pair_idx", "pair"))
+    word = lambda i: F.when(F.size("pair") == 2, F.get("pair", i)).otherwise(F.raise_error(F.lit("Unable to parse JSON data.")))
+    return rows.select(*keep, "pair_idx", word(0).alias("w1"), word(1).alias("w2"))
+
+
+def set_request(requests: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """The columns `keep` and word of {"set": ["a", ...]} in a column of requests, one row a word."""
     parsed = F.from_json(column, "struct<set: array<string>>")
-    return requests.select(F.explode(parsed["set"]).alias("word"))
+    return requests.select(*keep, F.explode(parsed["set"]).alias("word"))
 
 
 def read_config(text: str) -> tuple[list[str], ExpansionParams]:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.session import materialize
+
+BROADCAST_SPLITS = 200_000
 BATCH_SCHEMA = "batch_id int, tpso int, tfitness int, tcorpus int, ncorpus int, nparticles int, ncycles int, nseed int, tseed int, nruns int"
 #: The experiments on record.
 BATCHES = (
@@ -113,19 +116,65 @@ def read_swarm_log(spark: SparkSession, path: str, population: int = 50) -> Data
     return reshape_log(lines.select("file", (F.col("at") + 1).alias("nr"), F.split("line", "\t").alias("f")), population, "file")
 
 
+def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The same from the blocks of a log, which two blank lines end: the cycle is the number of the block in its file, the particle the
+    line's in its block, whatever the population. Files are split at the ends of blocks, so a log may be of any size; a block is one row."""
+    blocks = spark.read.text(path, lineSep="\n\n\n").where(F.trim(F.col("value"), F.lit(" \n\r\t")) != "")
+    meta = F.col("_metadata")
+    blocks = blocks.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = materialize(blocks, "blocks")  # a split's rows have ids without gaps
+    splits = blocks.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of a file
+    splits = materialize(splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    cycle = (F.col("base") + F.col("at") - F.col("first")).cast("int")
+    lines = blocks.join(splits, ["file", "start"]).select("file", cycle.alias("icycle"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("iparticle", "line"))
+    return _log_columns(lines.withColumn("f", F.split("line", "\t")), "file", "icycle", "iparticle")
+
+
+def _log_columns(rows: DataFrame, *keep) -> DataFrame:
+    """The columns `keep`, and those of a training log from its fields (f array of text); a NaN or no number is 0."""
+    at = lambda i: nan_to_zero(F.get("f", i - 1).try_cast("double"))
+    return rows.select(*keep, *[at(i).alias(f"pos{i}") for i in range(1, 7)], at(7).alias("fitness"), at(21).alias("precision"), at(22).alias("recall"))
+
+
 def reshape_log(rows: DataFrame, population: int, *keep: str) -> DataFrame:
     """As read_swarm_log, from rows (nr from 1, f array of text); the columns `keep` stay."""
-    at = lambda i: nan_to_zero(F.get("f", i - 1).try_cast("double"))
     place = F.col("nr") - 1
-    return rows.select(
-        *keep,
-        F.floor(place / population).cast("int").alias("icycle"),
-        (place % population).cast("int").alias("iparticle"),
-        *[at(i).alias(f"pos{i}") for i in range(1, 7)],
-        at(7).alias("fitness"),
-        at(21).alias("precision"),
-        at(22).alias("recall"),
-    )
+    return _log_columns(rows, *keep, F.floor(place / population).cast("int").alias("icycle"), (place % population).cast("int").alias("iparticle"))
+
+
+#: The store's questions as SQL over the views batch and dat, with named parameters.
+STATEMENTS = {
+    "average_by_cycle": "SELECT icycle, avg(fitness) AS avg_fitness FROM dat WHERE batch_id = :batch GROUP BY icycle",
+    "best_by_run": "SELECT irun, max(fitness) AS max_fitness FROM dat WHERE batch_id = :batch AND icycle = :cycle GROUP BY irun",
+    "best_by_corpus": """SELECT d.batch_id, max(b.ncorpus) AS ncorpus, max_by(d.irun, struct(d.fitness, d.irun)) AS irun, max(d.fitness) AS max_fitness
+        FROM dat d LEFT JOIN batch b ON d.batch_id = b.batch_id WHERE array_contains(:batches, d.batch_id) AND d.icycle = :cycle GROUP BY d.batch_id ORDER BY ncorpus""",
+    "places_in_cycle": "SELECT iparticle, pos1, pos2, pos3, pos4, pos5, pos6 FROM dat WHERE batch_id = :batch AND irun = :run AND icycle = :cycle",
+    "path_of_particle": "SELECT icycle, pos1, pos2, pos3, pos4, pos5, pos6 FROM dat WHERE batch_id = :batch AND irun = :run AND iparticle = :particle",
+    "places_in_run": "SELECT icycle, iparticle, pos1, pos2, pos3, pos4, pos5, pos6 FROM dat WHERE batch_id = :batch AND irun = :run",
+    "front_of_cycle": "SELECT `precision`, recall FROM dat WHERE batch_id = :batch AND icycle = :cycle",
+    "shares": """SELECT floor(fitness / :width) * :width + :width / 2 AS bin, count(*) / any_value(total) AS share
+        FROM (SELECT fitness, count(*) OVER (PARTITION BY batch_id) AS total FROM dat WHERE batch_id = :batch AND icycle = :cycle) GROUP BY 1""",
+}
+
+
+def open_store(spark: SparkSession, dat: DataFrame, batch: DataFrame | None = None) -> None:
+    """Makes a store's tables the views dat and batch of the session, for any SQL and for ask()."""
+    dat.createOrReplaceTempView("dat")
+    (batches(spark) if batch is None else batch).createOrReplaceTempView("batch")
+
+
+def close_store(spark: SparkSession) -> None:
+    """Takes the views away again; answers that were asked for stay valid."""
+    spark.catalog.dropTempView("dat")
+    spark.catalog.dropTempView("batch")
+
+
+def ask(spark: SparkSession, statement: str, **parameters) -> DataFrame:
+    """The answer to one of STATEMENTS, by name, or to any SQL over the views, with named parameters; a list becomes an array."""
+    bound = {k: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else v for k, v in parameters.items()}
+    return spark.sql(STATEMENTS.get(statement, statement), args=bound)
 
 
 def avg_by_cycle(dat: DataFrame) -> DataFrame:
@@ -138,7 +187,7 @@ def max_by_run(dat: DataFrame, cycle: int) -> DataFrame:
 
 def best_by_batch(dat: DataFrame, batch: DataFrame, ids: list[int], cycle: int) -> DataFrame:
     """batch_id, ncorpus, irun of the best row (the last run of equals), max_fitness, in order of corpus size."""
-    rows = dat.where(F.col("batch_id").isin(ids) & (F.col("icycle") == cycle)).join(F.broadcast(batch), "batch_id", "left")
+    rows = dat.where(F.col("batch_id").isin(ids) & (F.col("icycle") == cycle)).join(batch, "batch_id", "left")
     best = rows.groupBy("batch_id").agg(F.max("ncorpus").alias("ncorpus"), F.max(F.struct("fitness", "irun")).alias("b"))
     return best.select("batch_id", "ncorpus", F.col("b.irun").alias("irun"), F.col("b.fitness").alias("max_fitness")).orderBy("ncorpus")
 
