@@ -247,3 +247,73 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.pack(spark, kept, sf).toPandas()
     assert set(packed.doc_id) == {r["doc_id"] for r in kept.collect()} and (packed.groupby("sequence_id").length.sum() <= 1024).all()
     assert packed.sequence_id.nunique() <= 1.02 * packed.length.sum() / packing.Limits().tokens + 2
+
+
+def test_pipeline_odd_rows(spark, data):
+    """Rows without an id are judged like others, texts under one id apart; other columns pass through."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good = [r["text"] for r in docs.where("length(text) between 1500 and 3000").orderBy("doc_id").limit(60).collect()]
+    junk = "$$ ## && || " * 100
+    rows = [(None, good[0]), (None, good[1]), (None, good[1]), (None, junk), (None, None), (10**6, good[2]), (10**6, good[3] + " " + good[4]), (10**6 + 1, good[5] + " one more"), (10**6 + 2, " ".join(good[:50]) * 12), (10**6 + 3, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    extra = {"n": F.lit(1), "sig": F.lit("z"), "key": F.lit(2.5), "kept": F.lit("no"), "component_id": F.lit(7), "lang_pred": F.lit("z"), "score": F.lit(None).cast("string")}
+    all_rows = docs.unionByName(odd).withColumns(extra)
+    kept, before = all_rows, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, corpus_pipeline.materialize(stage(spark, kept, data), name)
+        assert kept.columns == all_rows.columns and kept.dtypes == all_rows.dtypes
+        if name == "quality_rules":
+            texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+            assert (None, junk) not in texts and (None, None) not in texts and sum(t == good[1] and i is None for i, t in texts) == 2
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in before.collect()})
+    groups = brute([(i, r[2]) for i, r in enumerate(rows)], corpus_pipeline.SIMILARITY, corpus_pipeline.SHINGLE)
+    sizes = {}
+    for i, _, c in groups:
+        sizes.setdefault(c, set()).add(rows[i])
+    assert len(left) == len(sizes) and len(set(left)) == len(left)
+    for members in sizes.values():  # one of each group stays, of those with the smallest id
+        least = min(m[:2] for m in members)
+        assert sum((t in {m[2] for m in members if m[:2] == least}) and (i is None, i or 0) == least for i, t in left) == 1
+    assert not any(i is None and t in good for i, t in left)  # each has a copy with an id
+    packed = corpus_pipeline.pack(spark, kept, data)
+    assert packed.agg(F.count_if(F.col("piece") == 0)).first()[0] == len(left)
+
+
+def test_pipeline_of_an_empty_table(spark, data):
+    kept = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.materialize(stage(spark, kept, data), name)
+        assert kept.count() == 0
+
+
+def test_language_sample_sends_no_text_by_language(spark, monkeypatch):
+    from textloom.llm import langid
+
+    seen = []
+    frame = type(spark.range(1))
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(self._jdf.queryExecution().optimizedPlan().toString() + self._sc._jvm.PythonSQLUtils.explainString(self._jdf.queryExecution(), "simple")) or plain(self))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        langid.train(spark.createDataFrame([(i, "some words here", "en") for i in range(20)], "doc_id long, text string, lang string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("BroadcastHashJoin" in s for s in seen) and not any("SortMergeJoin" in s for s in seen)
+
+
+def test_neighbours_recall_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in neighbours.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    table = rows.toPandas()
+    x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[i]
+        score[i] = -9
+        best = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        hits, total = hits + len(best & got[ids[i]]), total + 5
+    assert hits / total >= 0.9

@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, remainder, slices, table
+from .common import as_bytes, lean, materialize, remainder, slices, table
 
 DIMENSIONS = 8192
 BATCH_BYTES = 2_000_000
 BATCH_ROWS = 512
 SAMPLE_BYTES = 32_000_000
+BROADCAST_LANGUAGES = 100_000  # shares of more languages are joined by a shuffle
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -121,6 +122,8 @@ def training_rows(docs: DataFrame, training: Column, per_language: int) -> tuple
     total = counts.agg(F.sum("bytes").alias("all_bytes"), F.sum(F.col("bytes") * F.least(F.lit(1.0), per_language / F.col("n"))).alias("taken")).first()
     fewer = min(1.0, SAMPLE_BYTES / total["taken"]) if total["taken"] else 1.0
     shares = counts.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), per_language / F.col("n")) * fewer * float(1 << 30)).alias("share"))
+    shares = materialize(shares, "shares")  # a row for each language
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     rows = usable.join(shares, F.col("lang") == F.col("l")).where(place < F.col("share")).select("doc_id", "lang", "text").distinct()
     found = sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
