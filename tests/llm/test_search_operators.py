@@ -1,6 +1,7 @@
 import html
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -187,6 +188,41 @@ def test_wrapper_drops_what_pages_share(spark):
     assert html_extract.extract(rows.limit(0), ["page_id"]).count() == 0
 
 
+def test_all_pages_of_a_layout_vote(spark):
+    one = lambda k: f"<div class='x'>Read more here</div><div class='y'>{'<p>On sale</p>' * (k % 2)}<p>Story {k} of {k * 7}</p></div><div class='z'>All rights</div>"
+    two = lambda k: f"<table><tr><td>Contents</td><td>Imprint</td></tr></table><section><ul><li>item {k}</li><li>item {k * k}</li></ul></section><h4>Legal text</h4>"
+    pages = [(k, "https://h.example/a", one(k)) for k in range(40)] + [(k, "https://h.example/b", two(k)) for k in range(100, 125)]
+    pages += [(k, "https://h.example/c", one(3)) for k in range(200, 230)]  # copies, which have one vote between them
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows, ["page_id"]).collect()}
+    assert all(got[k] == ("On sale " if k % 2 else "") + f"Story {k} of {k * 7}" for k in range(40))
+    assert all(got[k] == f"item {k} item {k * k}" for k in range(100, 125)) and all(got[k] == got[3] for k in range(200, 230))
+
+
+def test_extraction_is_as_brute_force_on_each_host(spark, data, monkeypatch):
+    monkeypatch.setattr(html_extract, "REFERENCES", 10**6)
+    rng = random.Random(2)
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    for host in range(6):
+        template = ["".join(rng.choice(("<div class='a'>", "<div>", "<section>")) + f"fixed {host} {i}</div>") for i in range(4)]
+        for k in range(rng.randrange(2, 12)):
+            parts = [*template, *(f"<div class='b'>own {rng.randrange(9)}</div>" for _ in range(rng.randrange(4)))]
+            given.append((1000 + 20 * host + k, f"http://host{host}.example/{k}", "".join(p for p in parts if rng.random() < 0.9)))
+    rows = spark.createDataFrame(given, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows, ["page_id"]).collect()}
+    hosts = {}
+    for i, url, source in given:
+        hosts.setdefault(url.split("/")[2].lower(), []).append((i, source))
+    dropped = 0
+    for pages in hosts.values():
+        sources = sorted({s for _, s in pages}, key=lambda s: (zlib.crc32(s.encode()), s))
+        wrapper = html_extract.induce(sources)
+        for i, source in pages:
+            assert got[i] == html_extract.main_text(source, wrapper)
+            dropped += got[i] != html_extract.main_text(source)
+    assert dropped > 10
+
+
 def test_articles_keep_shared_paragraphs(spark):
     pages = [(k, "http://h.example/", PAGE.format(n=k, main=f"<article><p>Same &eacute;</p><p>own {k}</p></article>")) for k in range(6)]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string")

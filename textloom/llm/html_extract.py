@@ -1,21 +1,23 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are aligned by simple tree matching: two nodes match if their labels (tag and first class) agree, and their children are
-matched in order by dynamic programming for the largest number of matching nodes, at every size and depth. A host's wrapper is the tree of the
-reference page that matches the others best, where a node is constant if the nodes that it matches have the same text in two
-thirds of the other reference pages, and in two at least; all else is slots.
-Each page is then aligned with its host's wrapper: blocks at constant nodes belong to the template, blocks in slots are content.
+matched in order by dynamic programming for the largest number of matching nodes, at every size and depth. A host's wrapper has the trees
+of its layouts, taken from at most REFERENCES of its pages (those with the smallest hashes): the page most like the others, and each that is
+unlike all layouts so far. Every page of the host is then aligned with the layout that it matches best, and votes for the text that it has at
+each node; pages with the same main text have one vote between them. A text that two thirds of a layout's pages have at a node,
+and three at least, is constant there and belongs to the template. All else is slots, and blocks in slots are content.
 
 Elements that can't be content whatever they hold (menus, footers, forms, scripts, comments and so on) are left out by tag, role
 and class. Where a page marks its article or main part, content is what stands there; paragraphs, headings and lists of it count as
 content even if other pages repeat them.
 
-A wrapper comes from at most REFERENCES pages of the host, those with the smallest hashes, and every page is aligned with it. A hot
-host gathers no more than that; wrappers are joined to pages by broadcast if they are small, else by a join that splits hot keys.
+Votes are summed in each task by (host, layout, node, text) before they are shuffled, so a hot host gathers no more than the texts of its
+nodes. Layouts and wrappers are joined to pages by broadcast if they are small, else by a join that splits hot keys.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -28,9 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, table
+from .common import as_bytes, lean, materialize, table
 
 REFERENCES = 5
+LIKE = 0.6  # of the nodes of two pages, that a page of a layout matches
+LEAST_VOTES, OF_VOTES = 3, (2, 3)
+FLUSH = 200_000
 CELLS = 20_000  # cells of a table of children that are held at once; larger ones are split, with the same best matching
 BROADCAST_BYTES = 16_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -302,33 +307,93 @@ def aligned(a, b):
         todo += zip(x[2], y[2], strict=True) if x[3] == y[3] else in_order(x[2], y[2])
 
 
+_CLEARED = [0]
+
+
 def _fresh() -> None:
     if len(_SHAPES) > 200_000 or len(_SIZES) > 1_000_000:
+        _CLEARED[0] += 1
         _SHAPES.clear()
         _NODES.clear()
         _SIZES.clear()
 
 
-def induce(sources: list[str]) -> list | None:
-    """The wrapper of some pages of a host: a tree of [label, constant text or null, children]; null with fewer than three pages,
-    as two that agree may be copies."""
+def layouts(sources: list[str]) -> list[list]:
+    """Flat trees of the layouts of some pages, that of the page most like the others first; none of fewer than three pages, as two
+    that agree may be copies."""
     if len(sources) < 3:
-        return None
+        return []
     _fresh()
     trees = [Page(s).signature() for s in sources]
     for t in trees:
         shape(t)
-    closeness = [sum(matching(t, o) for o in trees) - 2 * matching(t, t) for t in trees]  # the page most like the others
-    first = trees[max(range(len(trees)), key=lambda i: (closeness[i], -i))]
-    others = [t for t in trees if t is not first]
-    enough = max(2, -(-2 * len(others) // 3))
-    agree: dict[int, int] = {}
-    for other in others:
-        for x, y in aligned(first, other):
-            if x[1] is not None and x[1] == y[1]:
-                agree[id(x)] = agree.get(id(x), 0) + 1
+    closeness = [sum(matching(t, o) for o in trees) - 2 * matching(t, t) for t in trees]
+    chosen: list = []
+    for i in sorted(range(len(trees)), key=lambda i: (-closeness[i], i)):
+        if all(_like(trees[i], c) < LIKE for c in chosen):
+            chosen.append(trees[i])
+    return [[[x[0], None, len(x[2])] for x in nodes(t)] for t in chosen]
+
 
-    return unflatten([[x[0], x[1] if agree.get(id(x), 0) >= enough else None, len(x[2])] for x in nodes(first)])
+def _like(a, b) -> float:
+    return 2 * matching(a, b) / (_NODES[a[3]] + _NODES[b[3]])
+
+
+class Wrapper:
+    """Layouts of a host, as flat trees, and by layout and node (its place in the tree) the hashes of the texts that are constant there."""
+
+    def __init__(self, flat: list[list], constant: list[tuple[int, int, int]] = ()):
+        self.flat, self.made, self.constant = flat, None, {}
+        for layout, node, text in constant:
+            self.constant.setdefault((layout, node), set()).add(text)
+
+    def trees(self) -> list[tuple[list, dict[int, int]]]:
+        """The trees with their shapes, which hold until the tables of shapes are cleared, and the places of their nodes."""
+        if self.made is None or self.made[0] != _CLEARED[0]:
+            trees = [unflatten(f) for f in self.flat]
+            for t in trees:
+                shape(t)
+            self.made = _CLEARED[0], [(t, {id(x): i for i, x in enumerate(nodes(t))}) for t in trees]
+        return self.made[1]
+
+    def align(self, page: Page) -> tuple[int, list[tuple[int, int, int]]]:
+        """The layout that a page matches best, and (node of the layout, node of the page, hash of its text) of aligned nodes with text."""
+        _fresh()
+        own = page.signature()
+        shape(own)
+        trees = self.trees()
+        best = max(range(len(trees)), key=lambda j: (_like(trees[j][0], own), -j)) if len(trees) > 1 else 0
+        numbers, todo = {}, [(own, 0)]
+        while todo:
+            t, node = todo.pop()
+            numbers[id(t)] = node
+            todo += zip(t[2], page.children[node], strict=False)
+        tree, places = trees[best]
+        return best, [(places[id(x)], numbers[id(y)], y[1]) for x, y in aligned(tree, own) if y[1] is not None]
+
+    def constant_nodes(self, page: Page) -> set[int]:
+        """The page's nodes whose text belongs to the template."""
+        if not self.constant:
+            return set()
+        layout, found = self.align(page)
+        return {own for node, own, text in found if text in self.constant.get((layout, node), ())}
+
+
+def induce(sources: list[str]) -> Wrapper | None:
+    """The wrapper of some distinct pages of a host, by the votes of these pages alone; null with fewer than three."""
+    flat = layouts(sources)
+    if not flat:
+        return None
+    bare = Wrapper(flat)
+    pages = {content(p): p for p in map(Page, sources)}
+    votes: dict[tuple, int] = {}
+    voters = [0] * len(flat)
+    for page in pages.values():
+        layout, found = bare.align(page)
+        voters[layout] += 1
+        for node, _, text in found:
+            votes[layout, node, text] = votes.get((layout, node, text), 0) + 1
+    return Wrapper(flat, [key for key, n in votes.items() if n >= max(LEAST_VOTES, -(-OF_VOTES[0] * voters[key[0]] // OF_VOTES[1]))])
 
 
 def nodes(tree):
@@ -340,11 +405,6 @@ def nodes(tree):
         todo += reversed(node[2])
 
 
-def flatten(tree) -> list:
-    """[label, text, number of children] of each node in document order, for JSON of any depth."""
-    return [[x[0], x[1], len(x[2])] for x in nodes(tree)]
-
-
 def unflatten(flat: list) -> list:
     """A tree of its own, without shape numbers, which hold only until the tables are cleared."""
     top: list = []
@@ -358,22 +418,9 @@ def unflatten(flat: list) -> list:
     return top[0]
 
 
-def main_text(source: str, wrapper: list | None = None) -> str:
+def content(page: Page, constant: set[int] = frozenset()) -> str:
     """The article's blocks in page order, joined by one space; white space within a block counts as one space."""
-    page = Page(source)
     within = "article" if "article" in page.marked else "main" if "main" in page.marked else None
-    constant: set[int] = set()
-    if wrapper is not None:
-        _fresh()
-        own = page.signature()
-        shape(own)
-        shape(wrapper)
-        numbers, todo = {}, [(own, 0)]
-        while todo:
-            t, node = todo.pop()
-            numbers[id(t)] = node
-            todo += zip(t[2], page.children[node], strict=False)
-        constant = {numbers[id(y)] for x, y in aligned(wrapper, own) if x[1] is not None and x[1] == y[1]}
     if within:
         part = [False] * len(page.label)
         for node in range(len(page.label)):
@@ -393,46 +440,113 @@ def main_text(source: str, wrapper: list | None = None) -> str:
     return " ".join(kept)
 
 
+def main_text(source: str, wrapper: Wrapper | None = None) -> str:
+    """The content of a page, less what its host's wrapper has as template."""
+    page = Page(source)
+    return content(page, wrapper.constant_nodes(page) if wrapper else frozenset())
+
+
 # ----------------------------------------------------------------------------------------------------------------- Spark
 def _decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _induce(group: pa.Table) -> pa.Table:
+def _layouts(group: pa.Table) -> pa.Table:
     sources = sorted({_decode(x) for x in as_bytes(group.column("html"))}, key=lambda s: (zlib.crc32(s.encode()), s))
-    wrapper = induce(sources)
-    useful = wrapper is not None and any(x[1] is not None for x in nodes(wrapper))
-    host = group.column("host").slice(0, 1 if useful else 0)
-    return pa.table({"host": host.cast(pa.string()), "wrapper": pa.array([json.dumps(flatten(wrapper), separators=(",", ":"))] if useful else [], pa.string())})
+    flat = layouts(sources)
+    host = group.column("host").slice(0, 1 if flat else 0)
+    return pa.table({"host": host.cast(pa.string()), "layouts": pa.array([json.dumps(flat, separators=(",", ":"))] if flat else [], pa.string())})
+
+
+class _Known(dict):
+    """Wrappers by their JSON; the last ones are kept."""
+
+    def __missing__(self, text: str) -> Wrapper:
+        if len(self) > 500:
+            self.clear()
+        found = json.loads(text)
+        self[text] = made = Wrapper(found["layouts"], [(c["layout"], c["node"], c["text"]) for c in found.get("constant", ())])
+        return made
+
+
+@lean
+def _vote(batches):
+    """Rows (host, html, layouts): what each page has at the nodes of its layout, as pairs of 32-bit numbers, and a hash of its main text."""
+    known = _Known()
+    for batch in batches:
+        layout, main, votes = [], [], []
+        for raw, text in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            page = Page(_decode(raw))
+            best, found = known['{"layouts":' + text + "}"].align(page)
+            layout.append(best)
+            main.append(int.from_bytes(hashlib.blake2b(content(page).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+            votes.append(np.array([(node, text) for node, _, text in found], "<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(layout, pa.int32()), pa.array(main, pa.int64()), pa.array(votes, pa.binary())], ["host", "layout", "main", "votes"])
+
+
+@lean
+def _add_votes(batches):
+    """Sums of votes (host, layout, votes) by host, layout, node and text, as far as a task sees them."""
+    sums: dict[tuple, int] = {}
+
+    def rows():
+        columns = zip(*[(*key, n) for key, n in sums.items()], strict=True)
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "layout", "node", "text", "n"])
+
+    for batch in batches:
+        for host, layout, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+            for node, text in np.frombuffer(raw, "<u4").reshape(-1, 2).tolist():
+                key = host, layout, node, text
+                sums[key] = sums.get(key, 0) + 1
+            if len(sums) > FLUSH:
+                yield rows()
+                sums.clear()
+    if sums:
+        yield rows()
+
+
+def _small(rows: DataFrame, column: str) -> DataFrame:
+    """rows (host and a column of text), to broadcast if its bytes, which are counted, are few."""
+    weight = rows.agg(F.sum(F.length("host") + F.octet_length(column))).first()[0] or 0
+    return F.broadcast(rows) if weight <= BROADCAST_BYTES else rows
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of the hosts of rows (host, html) that have a constant node."""
+    digest = F.xxhash64("html").alias("digest")
+    order = F.row_number().over(Window.partitionBy("host").orderBy("digest"))
+    chosen = rows.select("host", digest).distinct().withColumn("r", order).where(F.col("r") <= REFERENCES).select("host", "digest")
+    chosen = materialize(chosen, "references")
+    references = rows.select("host", "html", digest).join(chosen, ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
+    found = materialize(references.select("host", "html").groupBy("host").applyInArrow(_layouts, "host string, layouts string"), "layouts")
+    voting = rows.join(_small(found, "layouts"), "host").select("host", "html", "layouts")
+    votes = voting.mapInArrow(_vote, "host string, layout int, main long, votes binary").groupBy("host", "layout", "main").agg(F.min("votes").alias("votes"))
+    votes = materialize(votes, "votes")
+    voters = votes.groupBy("host", "layout").agg(F.count("*").alias("voters"))
+    sums = votes.select("host", "layout", "votes").mapInArrow(_add_votes, "host string, layout int, node long, text long, n long")
+    sums = sums.groupBy("host", "layout", "node", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_VOTES)
+    constant = sums.join(voters, ["host", "layout"]).where(OF_VOTES[1] * F.col("n") >= OF_VOTES[0] * F.col("voters"))
+    constant = constant.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("layout", "node", "text")))).alias("constant"))  # as many as a host's layouts have nodes
+    whole = F.concat(F.lit('{"layouts":'), "layouts", F.lit(',"constant":'), "constant", F.lit("}"))
+    return materialize(found.join(constant, "host").select("host", whole.alias("wrapper")), "wrappers")
 
 
 def _extract(batches, names: list[str]):
-    known: dict[str, list] = {}
+    known = _Known()
     for batch in batches:
         texts = []
         for raw, wrapper in zip(as_bytes(batch.column(len(names))), batch.column(len(names) + 1).to_pylist(), strict=True):
-            if wrapper is not None and wrapper not in known:
-                if len(known) > 500:
-                    known.clear()
-                known[wrapper] = json.loads(wrapper)
-            tree = known.get(wrapper) if wrapper is not None else None
-            texts.append(main_text(_decode(raw), None if tree is None else unflatten(tree)))
+            texts.append(main_text(_decode(raw), None if wrapper is None else known[wrapper]))
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", source: str = "html") -> DataFrame:
     """The columns `keep` with text (empty if there is none) and n_chars, one row for each row of pages. A null page counts as
-    empty; pages without a host share one."""
+    empty; pages without a host share one. Copies of a page, and pages with the same main text, vote once."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("html"))
-    digest = F.xxhash64("html").alias("digest")
-    order = F.row_number().over(Window.partitionBy("host").orderBy("digest"))
-    chosen = rows.select("host", digest).distinct().withColumn("r", order).where(F.col("r") <= REFERENCES).select("host", "digest")
-    chosen = materialize(chosen, "references")
-    references = rows.select("host", "html", digest).join(chosen, ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
-    wrappers = materialize(references.select("host", "html").groupBy("host").applyInArrow(_induce, "host string, wrapper string"), "wrappers")
-    weight = wrappers.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    small = F.broadcast(wrappers) if weight <= BROADCAST_BYTES else wrappers
+    small = _small(wrappers(rows.select("host", "html")), "wrapper")
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*[T.StructField(n, pages.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     found = rows.join(small, "host", "left").select(*names, "html", "wrapper").mapInArrow(partial(_extract, names=names), schema)
