@@ -95,6 +95,38 @@ def test_skipping_loses_nothing():
     assert got == want
 
 
+def test_derived_answers_hold():
+    rng = random.Random(4)
+    decided = 0
+    for _ in range(3000):
+        pivot = set(rng.sample(range(60), rng.randrange(20, 40)))
+        near = lambda drop, more: (pivot - set(rng.sample(sorted(pivot), rng.randrange(drop)))) | set(rng.sample(range(60, 120), rng.randrange(more)))  # noqa: E731, B023
+        a, b = near(6, 8), near(6, 8)
+        may, does = jaccard_join.derived(len(a), len(b), len(a & pivot), len(b & pivot), len(pivot), 85)
+        links = 100 * len(a & b) >= 85 * len(a | b)
+        assert (may or not links) and (links or not does)
+        decided += does or not may
+    assert decided > 500
+
+
+def test_hot_list_of_sets_that_link_in_chains(spark):
+    """One shingle stands in all texts, which drift so far that the pivot links with few of them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for k in range(i // 20, i // 20 + 3):
+            words[8 + 4 * k % 60] = f"x{rng.randrange(4)}"
+        if rng.random() < 0.5:
+            words += [f"t{rng.randrange(30)}"] * rng.randrange(1, 3)
+        rows.append((i, " ".join(words)))
+    rows += [(1000, "long " + " ".join(f"v{i % 5000}" for i in range(200_000))), (1001, "longer " + " ".join(f"v{i % 5000}" for i in range(200_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs, ["doc_id"]).collect())
+    assert got == brute(rows, 85) and len({c for _, _, c in got}) > 2
+
+
 # --------------------------------------------------------------------------------------------------------------- neighbours
 def test_neighbours_recall_and_scores(spark):
     rng = np.random.default_rng(0)

@@ -12,8 +12,9 @@ can't leave the overlap that the threshold needs.
 
 Answer-level skipping. Each list is first answered for one set, its pivot: the others of the list are verified against it, and
 those that link have its answers. Only members of a list that are still in different components are then paired among each
-other, as a set's links to its pivot's links change no component. The result is exact: classes end in one component exactly if a
-chain of links joins them.
+other, as a set's links to its pivot's links change no component. Answers of such a pair are derived from the pivot's: what both share
+with the pivot bounds what they share with each other from both sides, so a pair links, or doesn't, without its sets being read where the
+bounds decide (derived()). The result is exact: classes end in one component exactly if a chain of links joins them.
 
 Parities. Each class has a bit string of fixed size in which each member of the set flips one bit. Two sets differ in at least as many
 members as their strings differ in bits, so most pairs that don't link are dropped without their sets, and dropping them is exact.
@@ -209,30 +210,46 @@ def list_pairs(sig, n, pos, component, bits, percent: int):
             yield np.full(len(j), sig[i]), sig[j]
 
 
+def derived(na, nb, pa_, pb, n_pivot, percent: int):
+    """(may link, does link) of pairs of sets of sizes na and nb that share pa_ and pb members with a pivot of n_pivot members: two sets
+    share at most the lesser of what they share with it and of what they don't, and at least what they must both share with it."""
+    need = needed(na, nb, percent)
+    return np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need, pa_ + pb - n_pivot >= need
+
+
 @lean
 def _join_lists(batches, percent: int):
-    """Entries (shingle, n, pos, sig, component, bits) sorted by shingle, n, pos, sig: pairs within each list. A list may span
-    batches."""
+    """Entries (shingle, n, pos, sig, component, shared, n_pivot, bits) sorted by shingle, n, pos, sig: pairs within each list, and whether
+    they are known to link. shared: with the list's pivot, -1 if that isn't known. A list may span batches."""
     held: list[np.ndarray] = []
 
+    def out(a, b, sure):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, sure)], ["a", "b", "sure"])
+
     def run(columns):
-        a, b, size = [], [], 0
+        a, b, sure, size = [], [], [], 0
         starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
         for lo, hi in zip(starts, [*starts[1:], len(columns[0])], strict=True):
-            n, pos, sig, component, bits = (c[lo:hi] for c in columns[1:])
-            for x, y in list_pairs(sig, n.astype(np.int64), pos.astype(np.int64), component, bits, percent):
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
+            n, pos, sig, component, shared, n_pivot, bits = (c[lo:hi] for c in columns[1:])
+            n, shared = n.astype(np.int64), shared.astype(np.int64)
+            for x, y in list_pairs(np.arange(len(sig)), n, pos.astype(np.int64), component, bits, percent):
+                known = (shared[x] >= 0) & (shared[y] >= 0)
+                may, does = derived(n[x], n[y], shared[x], shared[y], int(n_pivot[0]), percent)
+                keep = ~known | may
+                x, y, does = x[keep], y[keep], (does & known)[keep]
+                a.append(np.minimum(sig[x], sig[y]))
+                b.append(np.maximum(sig[x], sig[y]))
+                sure.append(does)
                 size += len(x)
                 if size > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b, size = [], [], 0
+                    yield out(a, b, sure)
+                    a, b, sure, size = [], [], [], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield out(a, b, sure)
 
     for batch in batches:
-        bits = np.frombuffer(b"".join(as_bytes(batch.column(5))), np.uint64).reshape(-1, PARITY_BITS // 64)
-        now = [*[batch.column(i).to_numpy() for i in range(5)], bits]
+        bits = np.frombuffer(b"".join(as_bytes(batch.column(7))), np.uint64).reshape(-1, PARITY_BITS // 64)
+        now = [*[batch.column(i).to_numpy() for i in range(7)], bits]
         if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = np.searchsorted(now[0], now[0][-1], "left")
@@ -273,12 +290,13 @@ def _sets(batches, k: int):
 def _verify(batches, percent: int):
     for batch in batches:
         a, b = as_bytes(batch.column(2)), as_bytes(batch.column(3))
-        keep = []
+        keep, shared = [], []
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
+            shared.append(both)
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(keep, pa.bool_())], ["a", "b", "shared", "linked"])
 
 
 def components(edges: DataFrame, steps: int = 60) -> DataFrame:
@@ -362,8 +380,8 @@ class Join:
         both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
         return both.mapInArrow(partial(_may_link, percent=self.percent), "a long, b long")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link, by their whole sets."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of classes with how many members they share and whether they link, by their whole sets."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         owners = materialize(self.classes().join(small(wanted), "sig", "left_semi").select("sig", "key"), "owners")
         keys, sigs = small(owners.select("key").distinct()), small(owners.select("sig"))
@@ -375,8 +393,7 @@ class Join:
             return sets.join(small(pairs.select(F.col(name).alias("sig")).distinct()), "sig", "left_semi").select(F.col("sig").alias(name), F.col("members").alias(members))
 
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-        checked = both.mapInArrow(partial(_verify, percent=self.percent), "a long, b long, linked boolean")
-        return materialize(checked.where("linked").select("a", "b").distinct(), "linked")
+        return materialize(both.mapInArrow(partial(_verify, percent=self.percent), "a long, b long, shared int, linked boolean"), "verified")
 
     def may_link(self, a: str, b: str):
         """Size and position conditions on two entries of one list, as columns."""
@@ -392,17 +409,26 @@ class Join:
         pivots = lists.groupBy("shingle").agg(F.min(F.struct("pos", "sig", "n")).alias("u"))
         star = lists.withColumn("v", F.struct("pos", "sig", "n")).join(pivots, "shingle").where((F.col("v.sig") != F.col("u.sig")) & self.may_link("u", "v"))
         star = materialize(star.select(F.least("u.sig", "v.sig").alias("a"), F.greatest("u.sig", "v.sig").alias("b")).distinct(), "star")
-        found = self.linked(materialize(self.possible(star), "possible"))
+        checked = self.verified(materialize(self.possible(star), "possible"))
+        found = checked.where("linked").select("a", "b")
         labels = components(found)
         named = lists.join(small(labels.withColumnRenamed("node", "sig")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         named = materialize(named, "named")
         apart = named.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
-        entries = named.join(apart, "shingle", "left_semi").join(self.classes().select("sig", "bits"), "sig").select("shingle", "n", "pos", "sig", "component", "bits")
+        entries = named.join(apart, "shingle", "left_semi").join(pivots.select("shingle", F.col("u.sig").alias("p"), F.col("u.n").alias("n_pivot")), "shingle")
+        near = checked.select("a", "b", "shared")
+        entries = entries.withColumns({"a": F.least("p", "sig"), "b": F.greatest("p", "sig")}).join(near, ["a", "b"], "left")
+        entries = entries.withColumn("shared", F.when(F.col("p") == F.col("sig"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))))
+        entries = entries.join(self.classes().select("sig", "bits"), "sig").select("shingle", "n", "pos", "sig", "component", "shared", "n_pivot", "bits")
         entries = entries.repartition(self._parts(), "shingle").sortWithinPartitions("shingle", "n", "pos", "sig")
-        rest = entries.mapInArrow(partial(_join_lists, percent=self.percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+        rest = entries.mapInArrow(partial(_join_lists, percent=self.percent), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).join(star, ["a", "b"], "left_anti")
         rest = materialize(rest, "rest")
-        more = None if rest.isEmpty() else self.linked(rest)
-        if more is None or more.isEmpty():
+        if rest.isEmpty():
+            return found, labels
+        more, open_ = rest.where("sure").select("a", "b"), rest.where("not sure").select("a", "b")
+        if not open_.isEmpty():
+            more = more.union(self.verified(open_).where("linked").select("a", "b"))
+        if more.isEmpty():
             return found, labels
         every = materialize(found.union(more), "links")
         return every, components(every)
