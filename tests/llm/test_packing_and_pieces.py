@@ -168,7 +168,7 @@ def test_query_follows_from_whole_documents(spark, tmp_path):
     assert pieces.encode(docs.limit(0), MODEL, ["doc_id"], round_trip=True).count() == 0
 
 
-def test_head_finds_words_of_equal_hash_and_forgets_chunks(monkeypatch):
+def test_head_finds_words_of_equal_hash_and_forgets_chunks(monkeypatch, tmp_path):
     words = [b"a", b"bb", b"", b"ccc", "é".encode()]
     table = pa.table({"word": pa.array([w.decode() for w in words]), "ids": pa.array([bytes([i, 0]) * (i + 1) for i in range(len(words))], pa.binary())})
     expected = [bytes([i, 0]) * (i + 1) for i in range(len(words))]
@@ -176,8 +176,12 @@ def test_head_finds_words_of_equal_hash_and_forgets_chunks(monkeypatch):
         monkeypatch.setattr(pieces.xxhash, "xxh3_64_intdigest", lambda w, m=modulus: sum(w) % m)
         head = pieces.Head(table)
         assert head.find(words + [b"zz", b"b"]) == expected + [None, None]
+        path = tmp_path / str(modulus)
+        path.write_bytes(b"".join(head.written()))
+        assert pieces.Head.mapped(str(path)).find(words + [b"zz", b"b"]) == expected + [None, None]
     monkeypatch.undo()
-    assert pieces.Head(table.slice(0, 0)).find([b"a"]) == [None]
+    (tmp_path / "none").write_bytes(b"".join(pieces.Head(table.slice(0, 0)).written()))
+    assert pieces.Head(table.slice(0, 0)).find([b"a"]) == pieces.Head.mapped(str(tmp_path / "none")).find([b"a"]) == [None]
     texts = ["a bb ccc x", "bb\nbb  a", "", "é x ccc bb", "a", "x"] * 3
     ids = pa.array([b"\x07\x00"] * 4, pa.binary())
     head = pieces.Head(pa.table({"word": pa.array(["▁a", "▁bb", "bb", "▁"]), "ids": ids}))

@@ -17,6 +17,7 @@ scores come from the model file, whatever kind of model wrote it.
 from __future__ import annotations
 
 import hashlib
+import mmap
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,18 +26,20 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkContext
-from pyspark.core.broadcast import Broadcast
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, let, materialize, slices, table, trim
+from textloom.session import scratch
+
+from .common import as_bytes, lean, let, materialize, parts, slices, table, trim
 from .language_model import least_of_head
 
 META = "▁"
 HEAD = 4_000_000  # words
 HEAD_BYTES = 160_000_000  # of words, ids and what finds them, at most
+WRITTEN = 4 << 20  # bytes of a head that are written at once
 HEAD_WORD = 10_000  # characters; longer words aren't in the head
 FLUSH = 300_000
 CHUNKS = 100_000  # chunks that a task remembers
@@ -300,6 +303,29 @@ class Head:
         ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(order) + 1]
         return values.buffers()[2].to_pybytes()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.uint32)
 
+    def written(self) -> Iterator[bytes]:
+        """The head as bytes for a file: five lengths, then its parts, each from a multiple of eight on."""
+        whole = [memoryview(np.ascontiguousarray(x)).cast("B") if isinstance(x, np.ndarray) else memoryview(x) for x in (self.hashes, self.word_ends, self.id_ends, self.words, self.ids)]
+        yield np.array([len(x) for x in whole], "<i8").tobytes()
+        for part in whole:
+            for a in range(0, len(part), WRITTEN):
+                yield bytes(part[a : a + WRITTEN])
+            yield b"\0" * (-len(part) % 8)
+
+    @classmethod
+    def mapped(cls, path: str) -> Head:
+        """A head in a file, mapped into memory, so that the workers of a machine share it."""
+        with open(path, "rb") as file:
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        sizes = np.frombuffer(held, "<i8", 5).tolist()
+        at = [40]
+        for size in sizes:
+            at.append(at[-1] + size + -size % 8)
+        head = cls.__new__(cls)
+        head.hashes, head.word_ends, head.id_ends = (np.frombuffer(held, kind, size // np.dtype(kind).itemsize, begin) for kind, size, begin in zip(("<u8", "<u4", "<u4"), sizes, at, strict=False))
+        head.words, head.ids = (_Bytes(held, begin, size) for size, begin in zip(sizes[3:], at[3:], strict=False))
+        return head
+
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids (little-endian, 16 bits each) of each word, None of a word that isn't there."""
         out: list[bytes | None] = [None] * len(words)
@@ -324,6 +350,16 @@ class Head:
         return out
 
 
+class _Bytes:
+    """A part of a mapped file; slices are bytes."""
+
+    def __init__(self, held: mmap.mmap, begin: int, size: int):
+        self.held, self.begin, self.size = held, begin, size
+
+    def __getitem__(self, at: slice) -> bytes:
+        return self.held[self.begin + at.start : self.begin + at.stop]
+
+
 class Encoder:
     """Ids of texts, by chunks that are remembered."""
 
@@ -375,19 +411,18 @@ def _finished(batch: pa.RecordBatch, n: int, ids: list[bytes], texts: list[bytes
 
 
 @lean
-def _encode(batches, head: Broadcast, beside: set[str], names: list[str], spelled: pa.Array | None, gaps: bool):
+def _encode(batches, head: str, beside: set[str], names: list[str], spelled: pa.Array | None, gaps: bool):
     """Documents with ids; with `gaps` as bytes with GAPs, and the words that belong there."""
-    encoder = Encoder(head.value, beside)
+    encoder = Encoder(Head.mapped(SparkFiles.get(head)), beside)
     for batch in batches:
-        raws = as_bytes(batch.column(len(names)))
-        for a, b in slices([len(r) for r in raws], 2 * AT_ONCE):
-            part = batch.slice(a, b - a)
-            found = encoder.read([_read(r) for r in raws[a:b]])
+        for part in parts(batch, len(names), 2 * AT_ONCE):  # texts as objects only some at a time
+            raws = as_bytes(part.column(len(names)))
+            found = encoder.read([_read(r) for r in raws])
             if gaps:
-                arrays = [*[part.column(i) for i in range(len(names))], pa.array([_mark(r) for r in raws[a:b]], pa.binary()), pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
+                arrays = [*part.columns[: len(names)], pa.array([_mark(r) for r in raws], pa.binary()), pa.array([ids for ids, _ in found], pa.binary()), pa.array([rest for _, rest in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "mark", "own", "rest"])
             else:
-                yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws[a:b] if spelled is not None else None, spelled), [*names, "ids", *["round_trip"] * (spelled is not None)])
+                yield pa.RecordBatch.from_arrays(_finished(part, len(names), [ids for ids, _ in found], raws if spelled is not None else None, spelled), [*names, "ids", *["round_trip"] * (spelled is not None)])
 
 
 @lean
@@ -410,19 +445,18 @@ def _packed(ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8)), 2, "0"))), ""))
 
 
-_SHARED: list[tuple[Broadcast, SparkContext]] = []
-
-
-def _share(spark: SparkSession, head: Head) -> Broadcast:
-    """A broadcast of the head, which within a function's closure a worker would hold twice. The one before leaves the executors; a query
-    that still reads it fetches it again."""
-    while _SHARED:
-        before, context = _SHARED.pop()
-        if context is spark.sparkContext:
-            before.unpersist()
-    shared = spark.sparkContext.broadcast(head)
-    _SHARED.append((shared, spark.sparkContext))
-    return shared
+def _share(spark: SparkSession, head: Head) -> str:
+    """The name of a file with the head, which Spark brings to each executor once, also to one that joins later, and which all its workers
+    map. It is written to the shared folder, for forget() to delete."""
+    path = scratch(spark, "head")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(hadoop, True)
+    for piece in head.written():
+        out.write(bytearray(piece))
+    out.close()
+    spark.sparkContext.addFile(store.makeQualified(hadoop).toString())
+    return path.rpartition("/")[2]
 
 
 def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, round_trip: bool = False) -> DataFrame:
