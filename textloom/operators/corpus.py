@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as text_functions
 from textloom.functions.unicode import unicode_sentences
 
-from .ordered import first_rows
+from .ordered import first_rows, ranked
 
 SENTENCE = ("doc_id", "spos")
 BY_WORD = ("postings", "vocab")
@@ -49,16 +49,11 @@ def doc_freq(posts: DataFrame) -> DataFrame:
 def vocabulary(toks: DataFrame) -> DataFrame:
     """word_id (dense, from 0, by first appearance in document, sentence, position order), word, and that first place.
 
-    Numbers come from counts of first places by document, summed over documents, so no task sorts all words.
+    Numbers are ranks of the first places in ranges of their order, so no task sorts all words.
     """
     first = toks.groupBy("word").agg(F.min(F.struct(*SENTENCE, "pos")).alias("first"))
     first = first.select("word", F.col("first.doc_id").alias("doc_id"), F.col("first.spos").alias("spos"), F.col("first.pos").alias("pos"))
-    block = F.floor(F.col("doc_id") / 1000)
-    inside = F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "spos", "pos"))
-    ranked = first.withColumn("block", block).withColumn("inside", inside)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for 1000 documents
-    starts = first.groupBy(block.alias("block")).agg(F.count("*").alias("n")).select(F.col("block").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return ranked.join(starts, F.col("block").eqNullSafe(F.col("of"))).select((F.col("start") + F.col("inside") - 1).alias("word_id"), "word", "doc_id", "spos", "pos")
+    return ranked(first, [*SENTENCE, "pos"]).select((F.col("rank") - 1).alias("word_id"), "word", "doc_id", "spos", "pos")
 
 
 def decode(toks: DataFrame) -> DataFrame:

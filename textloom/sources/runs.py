@@ -201,9 +201,8 @@ def histogram(dat: DataFrame, column: str = "fitness", width: float = 0.05) -> D
 
 def winner(dat: DataFrame) -> DataFrame:
     """By run: the best particle of the last cycle, with its position, fitness, precision and recall."""
-    last = Window.partitionBy("irun")
-    rows = dat.withColumn("last", F.max("icycle").over(last)).where("icycle = last")
-    best = rows.groupBy("irun").agg(F.max_by(F.struct("iparticle", *POSITIONS, "fitness", "precision", "recall"), F.struct("fitness", "iparticle")).alias("b"))
+    place = F.struct("icycle", "fitness", "iparticle")  # the largest is in the last cycle
+    best = dat.groupBy("irun").agg(F.max_by(F.struct("iparticle", *POSITIONS, "fitness", "precision", "recall"), place).alias("b"))
     return best.select("irun", "b.*")
 
 
