@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, materialize, remainder, slices, table
+from .common import as_bytes, held, lean, materialize, remainder, slices, table
 
 DIMENSIONS = 8192
 BATCH_BYTES = 2_000_000
@@ -132,6 +132,7 @@ def training_rows(docs: DataFrame, training: Column, per_language: int) -> tuple
 
 @lean
 def _predict(batches, model: Model | None, names: list[str]):
+    held("kernel", lambda: None)  # what a worker kept for another operator goes
     for batch in batches:
         texts = as_bytes(batch.column(len(names)))
         for a, b in slices([len(t) for t in texts], BATCH_BYTES, BATCH_ROWS):
