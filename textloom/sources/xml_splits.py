@@ -1,6 +1,6 @@
 """The text of an element of large XML files, read in byte ranges.
 
-A Python data source deals a file out in ranges. A range owns the elements whose start tag begins in it: its reader goes from the first
+A Python data source deals a file out in ranges, of which a task reads as many as TASK bytes hold. A range owns the elements whose start tag begins in it: its reader goes from the first
 `<` that it owns to the range's end, and beyond that for as long as its last element needs. Tags hold no `<`, so a range that begins
 inside a tag finds the next one by itself; only a comment, a CDATA section or a processing instruction that reaches over the border
 could hide one. A first pass over the ranges therefore tells for each where the last piece of markup that begins in it ends, and how
@@ -23,9 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.arrow import slices
+
 SPLIT = 64 << 20
 STEP = 1 << 20
 OUT = 8 << 20
+TASK = 16 << 20  # bytes of the ranges that one task reads in turn
+TASKS = 64  # into which smaller folders are dealt
 BROADCAST_RANGES = 200_000
 TAG = re.compile(rb"""<(/?)([^\s/>"'<]+)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>""")
 LOOSE_TAG = re.compile(rb"<(/?)([^\s/><]+)([^<>]*)>")  # where quotes don't pair
@@ -129,7 +133,7 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     begin: int
@@ -137,13 +141,20 @@ class Range(InputPartition):
     entry: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, a range after the other."""
+
+    ranges: list[Range]
+
+
 class SplitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.tag, self.split, self.scan = options["path"], options["tag"].encode(), int(options["split"]), options["mode"] == "scan"
         self.entries = json.loads(options.get("entries", "{}"))  # where ranges are entered that aren't entered at their beginning
         self.only = json.loads(options["only"]) if "only" in options else None
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, path = file_system(self.path)
         files = [f for f in store.get_file_info(pa.fs.FileSelector(path, recursive=False)) if f.type == pa.fs.FileType.File and f.base_name[0] not in "._"]
         found = []
@@ -152,12 +163,16 @@ class SplitReader(DataSourceReader):
                 key = f"{f.base_name}:{begin}"
                 if self.only is None or key in self.only:
                     found.append(Range(f.base_name, f.size, begin, min(begin + self.split, f.size), self.entries.get(key, begin)))
-        return found or [Range("", 0, 0, 0, 0)]
+        self.entries, self.only = {}, None  # the ranges have them; tasks needn't carry those of all others
+        most = min(TASK, max(self.split, sum(r.end - r.begin for r in found) // TASKS))
+        return [Ranges(found[a:b]) for a, b in slices([r.end - r.begin for r in found], most)] or [Ranges([])]
 
-    def read(self, part: Range):
-        if not part.size:
-            return
+    def read(self, task: Ranges):
         store, folder = file_system(self.path)
+        for part in task.ranges:
+            yield from self._read(store, folder, part)
+
+    def _read(self, store: pa.fs.FileSystem, folder: str, part: Range):
         with store.open_input_file(f"{folder.rstrip('/')}/{part.path}") as file:
             # a scan looks for the first `<` of the range itself too, which may lie before its entry
             source = Bytes(file, part.size, part.begin, part.end)
