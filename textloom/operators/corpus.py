@@ -15,19 +15,38 @@ from pyspark.sql import functions as F
 from textloom.functions import text as text_functions
 from textloom.functions.unicode import unicode_sentences
 
+from textloom.session import materialize
+
 from .ordered import first_rows, ranked
 
 SENTENCE = ("doc_id", "spos")
+ALONE = "alone"
+LONG = 512  # words of a sentence that are counted in its own row
+BROADCAST_IDS = 500_000
 BY_WORD = ("postings", "vocab")
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with `alone`: whether no other row has the same doc_id; a row without one isn't alone. Of such documents each sentence is
+    one row, so what is asked of a sentence can be answered in its row. Only ids are shuffled, unless very many are repeated."""
+    again = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    n, known = again.count(), F.col("doc_id").isNotNull()
+    if not n:
+        return docs.withColumn(ALONE, known)
+    again = again.select(F.col("doc_id").alias("__again"))
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    found = docs.join(again, F.col("doc_id") == F.col("__again"), "left")
+    return found.withColumn(ALONE, known & F.col("__again").isNull()).drop("__again")
+
+
 def sentences(docs: DataFrame, text: str = "text", preprocessor: str | None = None, profile: str = "portable") -> DataFrame:
     """doc_id, spos (from 0), sent and words; with the unicode profile also start, the code points before it. A null text has no
-    sentence."""
+    sentence. `alone` is kept where docs have it (see marked)."""
     body = text_functions.preprocess(F.col(text), preprocessor)
     if profile == "unicode":
         return docs.select("doc_id", F.posexplode(unicode_sentences(body)).alias("spos", "s")).select("doc_id", "spos", "s.start", "s.sent", "s.words")
-    cut = docs.select("doc_id", F.posexplode(text_functions.sentences(body)).alias("spos", "sent"))
+    kept = [c for c in (ALONE,) if c in docs.columns]
+    cut = docs.select("doc_id", *kept, F.posexplode(text_functions.sentences(body)).alias("spos", "sent"))
     return cut.withColumn("words", text_functions.words(F.col("sent")))
 
 
@@ -41,6 +60,23 @@ def postings(toks: DataFrame) -> DataFrame:
     return toks.groupBy(*SENTENCE, "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
+def apart(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentences that are one row each and not very long, and all others. Those of documents that weren't marked are all in the second."""
+    if ALONE not in sents.columns:
+        return sents.where(F.lit(False)), sents
+    here = F.col(ALONE) & (F.size("words") <= LONG)
+    return sents.where(here), sents.where(~here)
+
+
+def sentence_postings(sents: DataFrame) -> DataFrame:
+    """As postings(tokens(sents)), without a shuffle for sentences that are one row each (see apart)."""
+    here, rest = apart(sents)
+    rows = here.select(*SENTENCE, "words", F.explode(F.array_distinct("words")).alias("word"))
+    tf = (F.size("words") - F.size(F.array_remove("words", F.col("word")))).cast("long")
+    rows = rows.select(*SENTENCE, "word", tf.alias("tf"), (F.array_position("words", F.col("word")) - 1).cast("int").alias("first_pos"))
+    return rows.unionByName(postings(tokens(rest)))
+
+
 def doc_freq(posts: DataFrame) -> DataFrame:
     """In how many sentences each word is."""
     return posts.groupBy("word").agg(F.count("*").alias("df"))

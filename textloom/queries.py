@@ -47,8 +47,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sents(spark, d):
-    """Sentences of a folder, cut and written once in an application; all queries plan on these, as on a stored index."""
-    return once(spark, "sentences", f"{d}/documents.parquet", lambda: corpus.sentences(_table(spark, d, "documents").select("doc_id", "text")))
+    """The words of a folder's sentences, cut and written once in an application; all queries plan on these, as on a stored index."""
+    return once(spark, "sentences", f"{d}/documents.parquet", lambda: corpus.sentences(corpus.marked(_table(spark, d, "documents").select("doc_id", "text"))).drop("sent"))
 
 
 def _toks(spark, d):
@@ -56,7 +56,8 @@ def _toks(spark, d):
 
 
 def _posts(spark, d):
-    return once(spark, "postings", f"{d}/documents.parquet", lambda: corpus.postings(_toks(spark, d)))
+    """Postings are counted in the rows of the stored sentences whenever they are read; they take more room than these."""
+    return corpus.sentence_postings(_sents(spark, d))
 
 
 def _df(spark, d):
@@ -90,7 +91,7 @@ def _list(words) -> str:
 
 @query("doc_sentences", BASE + "SELECT doc_id, spos::BIGINT AS spos, sent FROM s")
 def doc_sentences(spark, d):
-    return _sents(spark, d).select("doc_id", F.col("spos").cast("long").alias("spos"), "sent")
+    return corpus.sentences(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("spos").cast("long").alias("spos"), "sent")
 
 
 @query("doc_tokens", BASE + "SELECT doc_id, spos::BIGINT AS spos, pos::BIGINT AS pos, word FROM t")
@@ -121,7 +122,7 @@ def doc_freq(spark, d):
 @query("corpus_counts", BASE + "SELECT (SELECT count(*) FROM s) AS n_sentences, count(DISTINCT word) AS n_words, count(*) AS n_postings FROM p")
 def corpus_counts(spark, d):
     sents = _sents(spark, d)
-    return corpus.corpus_counts(sents, corpus.postings(corpus.tokens(sents)))
+    return corpus.corpus_counts(sents, corpus.sentence_postings(sents))
 
 
 @query("sentence_decode", BASE + "SELECT doc_id, spos::BIGINT AS spos, string_agg(word, ' ' ORDER BY pos) AS sentence FROM t GROUP BY ALL")
