@@ -15,6 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import materialize
+
+from . import corpus, lookup
+
 KEY = ["doc_id", "spos"]
 
 
@@ -57,17 +61,42 @@ def cooccurrences_for_word(posts: DataFrame, word: str) -> DataFrame:
     return posts.join(here, KEY, "left_semi").groupBy("word").agg(F.sum("tf").alias("n"))
 
 
-def cooccurrence(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    """word, k, n for every word that shares a sentence with a source (column word; repeats and unknown words drop out)."""
-    wanted = sources.select("word").distinct()
-    there = posts.select(*KEY, "word").join(wanted, "word", "left_semi").groupBy(*KEY).agg(F.collect_list("word").alias("sources"))
-    met = posts.select(*KEY, "word", "tf").join(there, KEY).select("word", F.col("tf").alias("n"), F.explode("sources").alias("source"))
+def _met(posts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """word, n, source: a row for each posting and source of its sentence."""
+    there = lookup.found(posts.select(*KEY, F.col("word").alias("source")), wanted, "source", n)
+    there = there.groupBy(*KEY).agg(F.collect_list("id").alias("sources"))
+    return posts.select(*KEY, "word", "tf").join(there, KEY).select("word", F.col("tf").alias("n"), F.explode("sources").alias("source"))
+
+
+def _met_within(sents: DataFrame, wanted: DataFrame, n: int, most: int = lookup.MOST) -> DataFrame:
+    """As _met, of sentences that are one row each; a row for each token and source. A sentence's words go with its sources, so nothing is
+    shuffled unless the sources are too many to broadcast; then sentences meet their sources by their key."""
+    own = F.explode(F.array_distinct("words")).alias("source")
+    if n <= most:
+        rows = lookup.found(sents.select("words", own), wanted, "source", n, most=most).select(F.col("id").alias("source"), "words")
+    else:
+        there = lookup.found(sents.select(*KEY, own), wanted, "source", n, most=most)
+        there = there.groupBy(*KEY).agg(F.collect_list("id").alias("sources"))
+        rows = sents.select(*KEY, "words").join(there, KEY).select(F.explode("sources").alias("source"), "words")
+    return rows.select(F.explode("words").alias("word"), F.lit(1).cast("long").alias("n"), "source")
+
+
+def cooccurrence(rows: DataFrame, sources: DataFrame, most: int = lookup.MOST) -> DataFrame:
+    """word, k, n for every word that shares a sentence with a source (column word; repeats and unknown words drop out). rows are
+    postings or, with their words, sentences."""
+    wanted = materialize(sources.select(F.col("word").alias("source")).distinct().withColumn("id", F.monotonically_increasing_id()), "sources")
+    many = wanted.count()
+    if "words" in rows.columns:
+        here, rest = corpus.apart(rows)
+        met = _met_within(here, wanted, many, most).unionByName(_met(corpus.postings(corpus.tokens(rest)), wanted, many))
+    else:
+        met = _met(rows, wanted, many)
     pairs = met.groupBy("word", "source").agg(F.sum("n").alias("n"))
     return pairs.groupBy("word").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
 
 
 def hop(posts: DataFrame, df: DataFrame, sources: DataFrame, a: float, b: float, g: float) -> DataFrame:
-    """word, df, k, n, fitness of one hop."""
+    """word, df, k, n, fitness of one hop; posts are postings or sentences, as for cooccurrence()."""
     found = cooccurrence(posts, sources).join(df, "word")
     return found.select("word", "df", "k", "n", (F.col("df") * F.lit(g) + F.col("k") * F.lit(a) + F.col("n") * F.lit(b)).alias("fitness"))
 
@@ -77,7 +106,8 @@ def survivors(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def expand_concept(posts: DataFrame, seeds: DataFrame, params: ExpansionParams, df: DataFrame | None = None) -> DataFrame:
-    """The surviving words of the second hop with their features and fitness."""
-    df = posts.groupBy("word").agg(F.count("*").alias("df")) if df is None else df
+    """The surviving words of the second hop with their features and fitness; posts are postings or sentences, as for cooccurrence()."""
+    if df is None:
+        df = corpus.doc_freq(corpus.sentence_postings(posts) if "words" in posts.columns else posts)
     first = survivors(hop(posts, df, seeds, params.a1, params.b1, params.g1), params.t1)
     return survivors(hop(posts, df, first.select("word"), params.a2, params.b2, params.g2), params.t2)

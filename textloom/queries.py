@@ -134,7 +134,7 @@ def sentence_decode(spark, d):
 def soundness_antijoin(spark, d):
     toks = _toks(spark, d)
     vocab = toks.select("word").distinct()
-    bad = corpus.unsound(vocab, corpus.postings(toks)).agg(F.count("*").alias("n_unsound")).withColumn("k", F.lit(1))
+    bad = corpus.unsound(vocab, _posts(spark, d)).agg(F.count("*").alias("n_unsound")).withColumn("k", F.lit(1))
     return vocab.agg(F.count("*").alias("n_vocab")).withColumn("k", F.lit(1)).join(bad, "k").drop("k")
 
 
@@ -219,7 +219,7 @@ def cooc_word(spark, d):
 
 @query("expand_hop1", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1"))
 def expand_hop1(spark, d):
-    return expansion.hop(_posts(spark, d), _df(spark, d), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
+    return expansion.hop(_sents(spark, d), _df(spark, d), _words(spark, SEEDS), DEMO.a1, DEMO.b1, DEMO.g1)
 
 
 @query("expand_hop1_survivors", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h1 WHERE fitness >= 0"))
@@ -228,12 +228,12 @@ def expand_hop1_survivors(spark, d):
 
 
 def _expand(spark, d, m: ExpansionParams, seeds=SEEDS) -> DataFrame:
-    return expansion.expand_concept(_posts(spark, d), _words(spark, seeds), m, _df(spark, d))
+    return expansion.expand_concept(_sents(spark, d), _words(spark, seeds), m, _df(spark, d))
 
 
 @query("expand_hop2", _expand_sql(DEMO, "SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2"))
 def expand_hop2(spark, d):
-    return expansion.hop(_posts(spark, d), _df(spark, d), expand_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
+    return expansion.hop(_sents(spark, d), _df(spark, d), expand_hop1_survivors(spark, d).select("word"), DEMO.a2, DEMO.b2, DEMO.g2)
 
 
 @query("expand_result", _expand_sql(DEMO, f"SELECT word, df, k, n, fitness::DOUBLE AS fitness FROM h2 WHERE fitness >= {DEMO.t2}"))
@@ -291,11 +291,15 @@ fs AS (SELECT w1, w2, count(DISTINCT infix) AS patterns, (10 * count(DISTINCT in
 
 
 def _found(spark, d):
-    return relations.pair_sentences(_toks(spark, d), relations.seed_pairs(spark, list(PAIRS)))
+    return relations.sentences_of_pairs(_sents(spark, d), relations.seed_pairs(spark, list(PAIRS)))
+
+
+def _patterns(spark, d):
+    return relations.patterns_of_pairs(_sents(spark, d), relations.seed_pairs(spark, list(PAIRS)))
 
 
 def _scored(spark, d):
-    return relations.score_patterns(relations.patterns(_sents(spark, d), _found(spark, d)))
+    return relations.score_patterns(_patterns(spark, d))
 
 
 def _matches(spark, d):
