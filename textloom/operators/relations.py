@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.channel import Channel, Counted
 from textloom.session import materialize
 
-from . import ordered
+from . import corpus, lookup, ordered
 
 KEY = ["doc_id", "spos"]
 #: Scores and thresholds of patterns and pairs.
@@ -38,15 +38,38 @@ def check_known(posts: DataFrame, pairs: DataFrame) -> None:
 def pair_sentences(toks: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_idx, w1, w2, doc_id, spos with the last position of each word, for sentences that hold both."""
     words = pairs.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
-    last = toks.join(words, "word", "left_semi").groupBy(*KEY, "word").agg(F.max("pos").alias("last"))
-    left = last.select(*KEY, F.col("word").alias("w1"), F.col("last").alias("p1")).join(pairs, "w1")
+    last = toks.join(F.broadcast(words), "word", "left_semi").groupBy(*KEY, "word").agg(F.max("pos").alias("last"))  # few
+    left = last.select(*KEY, F.col("word").alias("w1"), F.col("last").alias("p1")).join(F.broadcast(pairs), "w1")
     right = last.select(*KEY, F.col("word").alias("w2"), F.col("last").alias("p2"))
     return left.join(right, [*KEY, "w2"]).select("pair_idx", "w1", "w2", *KEY, "p1", "p2")
 
 
+def _pairs_in_rows(sents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As pair_sentences, with the words, of sentences that are one row each: without a shuffle."""
+    last = lambda w: (F.size("words") - F.array_position(F.reverse("words"), F.col(w))).cast("int")
+    rows = sents.select(*KEY, "words", F.explode(F.array_distinct("words")).alias("w1")).join(F.broadcast(pairs), "w1")  # few
+    rows = rows.where(F.array_contains("words", F.col("w2")))
+    return rows.select("pair_idx", "w1", "w2", *KEY, last("w1").alias("p1"), last("w2").alias("p2"), "words")
+
+
+def sentences_of_pairs(sents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As pair_sentences(tokens(sents), pairs), without a shuffle for sentences that are one row each (see corpus.apart)."""
+    here, rest = corpus.apart(sents)
+    return _pairs_in_rows(here, pairs).drop("words").unionByName(pair_sentences(corpus.tokens(rest), pairs))
+
+
+def patterns_of_pairs(sents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As patterns(sents, pair_sentences(tokens(sents), pairs)), without a shuffle for sentences that are one row each."""
+    here, rest = corpus.apart(sents)
+    return _cut(_pairs_in_rows(here, pairs)).unionByName(patterns(rest, pair_sentences(corpus.tokens(rest), pairs)))
+
+
 def patterns(sents: DataFrame, found: DataFrame) -> DataFrame:
     """One pattern for each pair and sentence: the tokens around and between the last places of its words."""
-    rows = found.join(sents.select(*KEY, "words"), KEY)
+    return _cut(found.join(sents.select(*KEY, "words"), KEY))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
     low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
     return rows.select(
         "pair_idx",
@@ -61,7 +84,8 @@ def patterns(sents: DataFrame, found: DataFrame) -> DataFrame:
 def score_patterns(found: DataFrame) -> DataFrame:
     """By infix: k (pairs), n (matches), fitness, prefix and suffix where all matches agree, and the direction of the first match in
     the order of pair, document and sentence."""
-    agreed = lambda c: F.when(F.countDistinct(F.coalesce(F.col(c), F.lit("\0"))) == 1, F.min(c)).alias(c)
+    filled = lambda c: F.coalesce(F.col(c), F.lit("\0"))
+    agreed = lambda c: F.when(F.min(filled(c)) == F.max(filled(c)), F.min(c)).alias(c)
     grouped = found.groupBy("infix").agg(
         F.countDistinct("pair_idx").alias("k"),
         F.count("*").alias("n"),
@@ -98,8 +122,10 @@ def pattern_matches(sents: DataFrame, found: DataFrame, article: str = ARTICLE)
     right = lambda n: F.when(after(n) == article, after(n + 1)).otherwise(after(n))
     run = lambda n: F.struct(F.slice("words", F.col("at") + 1, n).alias("infix"), right(n).alias("right"))
     runs = F.array(*[F.when(F.size("words") >= F.col("at") + n, run(n)) for n in lengths]) if lengths else F.array().cast("array<struct<infix:array<string>,right:string>>")
-    rows = places.join(begins, "word", "left_semi").select(*KEY, F.get("words", F.col("at") - 1).alias("left"), F.explode(runs).alias("run")).where("left is not null and run.right is not null")
-    rows = rows.select(*KEY, "left", "run.infix", "run.right").join(found, "infix")
+    many = found.count()
+    begins = materialize(begins, "begins")
+    rows = lookup.found(places, begins, "word", begins.count(), "left_semi").select(*KEY, F.get("words", F.col("at") - 1).alias("left"), F.explode(runs).alias("run")).where("left is not null and run.right is not null")
+    rows = lookup.found(rows.select(*KEY, "left", "run.infix", "run.right"), found, "infix", many)
     return rows.select("infix", *KEY, F.when(F.col("forward"), F.col("left")).otherwise(F.col("right")).alias("w1"), F.when(F.col("forward"), F.col("right")).otherwise(F.col("left")).alias("w2"))
 
 
@@ -125,7 +151,7 @@ def relate(sents: DataFrame, toks: DataFrame, posts: DataFrame, pairs: DataFrame
     """All stages once: surviving pairs with fitness. Each stage's counters go to the channel as they are observed."""
     channel = channel or Channel()
     df = posts.groupBy("word").agg(F.count("*").alias("df"))
-    found = Counted(patterns(sents, pair_sentences(toks, pairs)), "patterns of pairs", F.count("*").alias("pattern_count"))
+    found = Counted(patterns_of_pairs(sents, pairs) if corpus.ALONE in sents.columns else patterns(sents, pair_sentences(toks, pairs)), "patterns of pairs", F.count("*").alias("pattern_count"))
     scored = Counted(score_patterns(found.rows), "patterns", F.count("*").alias("distinct"), F.count_if(F.col("fitness") >= PATTERN_THRESHOLD).alias("survivors"))
     good = materialize(pattern_survivors(scored.rows), "patterns")
     found.report(channel)

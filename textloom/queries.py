@@ -322,7 +322,7 @@ def relation_pair_sentences(spark, d):
 
 @query("relation_patterns", RELATIONS + "SELECT pair_idx, doc_id, spos::BIGINT AS spos, prefix, array_to_string(infix, ' ') AS infix, suffix, forward FROM px")
 def relation_patterns(spark, d):
-    return _flat(relations.patterns(_sents(spark, d), _found(spark, d))).withColumn("spos", F.col("spos").cast("long"))
+    return _flat(_patterns(spark, d)).withColumn("spos", F.col("spos").cast("long"))
 
 
 @query("relation_pattern_scores", RELATIONS + "SELECT array_to_string(infix, ' ') AS infix, k, n, prefix, suffix, forward, fitness FROM pf")
@@ -401,7 +401,7 @@ def relation_progress(spark, d):
 @query("relation_counters", RELATIONS + "SELECT (SELECT count(*) FROM px) AS pattern_count, (SELECT count(*) FROM fp) AS wpair_count")
 def relation_counters(spark, d):
     one = F.lit(1).alias("k")
-    a = relations.patterns(_sents(spark, d), _found(spark, d)).agg(F.count("*").alias("pattern_count")).select("*", one)
+    a = _patterns(spark, d).agg(F.count("*").alias("pattern_count")).select("*", one)
     return a.join(_matches(spark, d).agg(F.count("*").alias("wpair_count")).select("*", one), "k").drop("k")
 
 
