@@ -3,9 +3,9 @@
 Sentences are dealt into blocks by a hash of document and stretch of sentences, so a block has about as many tokens as another, however
 long a document or frequent a word is. Within a block each token has a number; the numbers of neighbours differ by one, and one number
 is left out between sentences. A word's posting in a block is the ascending list of its numbers, in chunks of CHUNK differences of
-variable length behind the first numbers of the chunks. Lookups go from the rarest word of a phrase to the most frequent one; of each
-further word only the chunks are unpacked that the places still in question fall into. The numbers give document, sentence and
-position back by the block's own table, so no sentence is read again.
+variable length behind the first numbers of the chunks. A lookup unpacks the postings of the words of phrases that the block can hold, and
+takes all phrases of a length together: places are led along the phrases, sentences are bits of a row for each word. The numbers give
+document, sentence and position back by the block's own table, so no sentence is read again.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from textloom.session import materialize
 CHUNK = 128
 TOKENS = 500_000  # of a block, about
 STRETCH = 32  # sentences of a document that stay together
-MOST_PHRASES = 20_000  # looked up in one pass
+MOST_PHRASES = 500_000  # looked up in one pass
+CELLS = 1 << 20  # words of 64 bits that are compared at once
 SCHEMA = "block long, word string, n long, spots binary, docs binary, sposs binary, starts binary"
 
 
@@ -62,6 +64,26 @@ def pack(values: np.ndarray) -> bytes:
     return np.array([len(chunks)], "<u4").tobytes() + heads.tobytes() + ends.tobytes() + b"".join(bodies)
 
 
+def pack_all(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """pack() of each of many lists that stand one behind another, their differences made at once."""
+    if not len(values):
+        return []
+    begins = np.cumsum(counts) - counts
+    steps = np.diff(values, prepend=0)
+    first = (np.arange(len(values)) - np.repeat(begins, counts)) % CHUNK == 0
+    body = pack_small(steps[~first])
+    upto = np.r_[0, np.flatnonzero(np.frombuffer(body, np.uint8) < 128) + 1]  # where each difference ends
+    upto = upto[np.cumsum(~first)]
+    chunks = -(-counts // CHUNK)
+    last = np.cumsum(chunks)
+    base = np.where(begins > 0, upto[begins - 1], 0)
+    ends = upto[np.r_[np.flatnonzero(first)[1:] - 1, len(values) - 1]] - np.repeat(base, chunks)
+    heads, ends, number = values[first].astype("<i8").tobytes(), ends.astype("<u4").tobytes(), chunks.astype("<u4").tobytes()
+    stops = upto[begins + counts - 1]
+    rows = zip((last - chunks).tolist(), last.tolist(), base.tolist(), stops.tolist(), strict=True)
+    return [number[4 * i : 4 * i + 4] + heads[8 * a : 8 * b] + ends[4 * a : 4 * b] + body[c:d] for i, (a, b, c, d) in enumerate(rows)]
+
+
 class Posting:
     """A packed list, of which chunks are unpacked when they are needed."""
 
@@ -80,6 +102,8 @@ class Posting:
         return self.open[i]
 
     def all(self) -> np.ndarray:
+        if self.n == 1:
+            return self.heads
         return np.concatenate([self.chunk(i) for i in range(len(self.heads))])
 
     def has(self, wanted: np.ndarray) -> np.ndarray:
@@ -108,7 +132,7 @@ def _build(block: pa.Table) -> pa.Table:
     numbers = np.repeat(starts, lengths) + np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     by_word = np.argsort(codes, kind="stable")
     counts = np.bincount(codes, minlength=len(flat.dictionary))
-    lists = np.split(numbers[by_word], np.cumsum(counts)[:-1]) if len(counts) else []
+    lists = pack_all(numbers[by_word], counts)
     number = block.column("block")[0].as_py()
     raw = lambda a: np.ascontiguousarray(a, "<i8").tobytes()
     k = len(lists)
@@ -116,7 +140,7 @@ def _build(block: pa.Table) -> pa.Table:
         "block": pa.array([number] * (k + 1), pa.int64()),
         "word": pa.array([*flat.dictionary.to_pylist(), None], pa.string()),
         "n": pa.array([*counts.tolist(), len(order)], pa.int64()),
-        "spots": pa.array([*map(pack, lists), None], pa.binary()),
+        "spots": pa.array([*lists, None], pa.binary()),
         "docs": pa.array([None] * k + [raw(docs[order])], pa.binary()),
         "sposs": pa.array([None] * k + [raw(sposs[order])], pa.binary()),
         "starts": pa.array([None] * k + [raw(starts)], pa.binary()),
@@ -152,10 +176,10 @@ class PositionalIndex:
         found = []
         for i in range(passes):
             some = sets if passes == 1 else sets.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
-            wanted = [(r["id"], r["words"]) for r in some.collect()]  # about MOST_PHRASES at most
+            wanted = Wanted.of(some.toArrow())  # about MOST_PHRASES at most
             words = F.broadcast(some.select(F.explode("words").alias("word")).distinct())
             needed = self.blocks.join(words, "word", "left_semi").unionByName(self.blocks.where("word is null"))
-            found.append(needed.groupBy("block").applyInArrow(_in_block(wanted, find), f"id long, doc_id long, spos long{columns}"))
+            found.append(needed.groupBy("block").applyInArrow(_in_block(wanted, find), columns))
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
@@ -164,70 +188,133 @@ class PositionalIndex:
     def phrases(self, phrases: DataFrame) -> DataFrame:
         """id, doc_id, spos, pos: all places at which the words of phrases (id long, words array<string>) stand one behind another in a
         sentence. A phrase without words stands nowhere; words are compared as they are."""
-        return self._look_up(phrases, _phrase, ", pos long")
+        return self._look_up(phrases, _phrases, "id long, doc_id long, spos long, pos long")
 
     def sentences(self, sets: DataFrame) -> DataFrame:
         """id, doc_id, spos of the sentences that hold all words of sets (id long, words array<string>), in any order."""
-        return self._look_up(sets, _all_words, "")
+        return self._look_up(sets, _all_words, "id long, doc_id long, spos long")
 
+    def sentence_counts(self, sets: DataFrame) -> DataFrame:
+        """id, n: how many sentences sentences() would give, if any; a row for each block and set is what is shuffled."""
+        return self._look_up(sets, _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
-def _in_block(sets: list[tuple[int, list[str]]], find: Callable):
-    return lambda block: _find_in_block(block, sets, find)
 
+@dataclass
+class Wanted:
+    """Sets of words as arrays: words are known by their number in vocab, and those of set i are codes[ends[i] : ends[i + 1]]."""
 
-def _find_in_block(block: pa.Table, sets: list[tuple[int, list[str]]], find: Callable) -> pa.Table:
-    postings: dict[str, Posting] = {}
+    ids: np.ndarray
+    vocab: pa.Array
+    codes: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, sets: pa.Table) -> Wanted:
+        words = sets.column("words").combine_chunks()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        flat = words.flatten().dictionary_encode("encode")
+        ends = np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+        return cls(sets.column("id").to_numpy(), flat.dictionary, flat.indices.to_numpy(), ends)
+
+    def within(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By length: ids of the sets all of whose words are among some, and their words' places in these, a row a set."""
+        place = pc.index_in(self.vocab, words, skip_nulls=True).fill_null(-1).to_numpy().astype(np.int64)
+        codes = place[self.codes] if len(place) else self.codes.astype(np.int64)
+        sizes = np.diff(self.ends)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            table = codes[self.ends[rows][:, None] + np.arange(size)]
+            there = (table >= 0).all(axis=1)
+            if there.any():
+                yield self.ids[rows[there]], table[there]
+
+
+def _in_block(wanted: Wanted, find: Callable):
+    return lambda block: _find_in_block(block, wanted, find)
+
+
+def _find_in_block(block: pa.Table, wanted: Wanted, find: Callable) -> pa.Table:
     docs = sposs = starts = np.zeros(0, np.int64)
+    words, packed, counts = [], [], []
     for word, n, spots, *tables in zip(*[block.column(c).to_pylist() for c in ("word", "n", "spots", "docs", "sposs", "starts")], strict=True):
         if word is None:
             docs, sposs, starts = (np.frombuffer(t, "<i8") for t in tables)
         else:
-            postings[word] = Posting(spots, n)
-    ids, rows, places = [], [], []
-    for i, words in sets:
-        lists = [postings.get(w) for w in words]
-        if None not in lists:
-            for sentence, pos in find(lists, starts):
-                ids.append(np.full(len(sentence), i, np.int64))
-                rows.append(sentence)
-                places.append(pos)
-    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    at = joined(rows)
-    out = {"id": joined(ids), "doc_id": docs[at], "spos": sposs[at]}
-    return pa.table(out if find is _all_words else out | {"pos": joined(places)})
-
-
-def _phrase(lists: list[Posting], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    order = sorted(range(len(lists)), key=lambda i: lists[i].n)
-    begin = lists[order[0]].all() - order[0]
-    for i in order[1:]:
-        if not len(begin):
-            return
-        begin = begin[lists[i].has(begin + i)]
+            words.append(word), packed.append(spots), counts.append(n)
+    sets = list(wanted.within(pa.array(words, pa.string())))
+    used = np.zeros(len(words), bool)
+    for _, table in sets:
+        used[table.ravel()] = True
+    numbers = [Posting(packed[i], counts[i]).all() for i in np.flatnonzero(used)]
+    codes = np.repeat(np.flatnonzero(used), [len(x) for x in numbers])
+    numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+    found = [x for ids, table in sets for x in find(ids, table, codes, numbers, starts)]
+    joined = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)
+    if find is _counts:
+        return pa.table({"id": joined(0), "n": joined(1)})
+    at = joined(1)
+    out = {"id": joined(0), "doc_id": docs[at], "spos": sposs[at]}
+    return pa.table(out if find is _all_words else out | {"pos": joined(2)})
+
+
+def _places(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in an ascending array, and which are there."""
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
+
+
+def _phrases(ids: np.ndarray, table: np.ndarray, codes: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, sentence, position) of phrases of one length: all places of words at once are led along the phrases, a word at a time."""
+    order = np.argsort(numbers, kind="stable")
+    numbers, codes, width = numbers[order], codes[order], int(codes.max(initial=0)) + 1
+    at, key, own = np.arange(len(numbers)), np.zeros(len(numbers), np.int64), np.zeros(len(table), np.int64)
+    for k in range(table.shape[1]):
+        own = own * width + table[:, k]
+        heads, own = np.unique(own, return_inverse=True)
+        goes = at + k < len(numbers)
+        at, key = at[goes], key[goes]
+        goes = numbers[at + k] == numbers[at] + k
+        at, key = at[goes], key[goes]
+        key, goes = _places(key * width + codes[at + k], heads)
+        at, key = at[goes], key[goes]
+    by = np.argsort(own, kind="stable")
+    begins, ends = np.searchsorted(own[by], key, "left"), np.searchsorted(own[by], key, "right")
+    several = ends - begins  # sets of the same words
+    which = np.repeat(begins - np.cumsum(several) + several, several) + np.arange(several.sum())
+    begin = np.repeat(numbers[at], several)
     sentence = np.searchsorted(starts, begin, side="right") - 1
-    yield sentence, begin - starts[sentence]
-
-
-def _all_words(lists: list[Posting], starts: np.ndarray) -> Iterator[tuple[np.ndarray, None]]:
-    """Sentences are stretches of numbers, so a word is in one if its first number from the stretch's start on is before the next's."""
-    order = sorted(set(lists), key=lambda p: p.n)
-    found = np.unique(np.searchsorted(starts, order[0].all(), side="right") - 1)
-    for posting in order[1:]:
-        if not len(found):
-            return
-        found = found[_reaches(posting, starts[found], np.append(starts[1:], np.iinfo(np.int64).max)[found])]
-    yield found, None
-
-
-def _reaches(posting: Posting, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether the list has a number in [begin, end), for ascending stretches."""
-    at = np.maximum(np.searchsorted(posting.heads, begins, side="right") - 1, 0)
-    found = np.zeros(len(begins), bool)
-    firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    for a, b in zip(firsts, np.append(firsts[1:], len(at)), strict=True):
-        values = posting.chunk(int(at[a]))
-        after = posting.heads[at[a] + 1] if at[a] + 1 < len(posting.heads) else np.iinfo(np.int64).max
-        place = np.searchsorted(values, begins[a:b])
-        first = np.append(values, after)[place]
-        found[a:b] = first < ends[a:b]
-    return found
+    yield ids[by[which]], sentence, begin - starts[sentence]
+
+
+def _held(ids: np.ndarray, table: np.ndarray, codes: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, bits) of sets of one length in slices: a bit for each sentence of the block that holds all words of a set. A word's bits
+    are those of the sentences that hold it."""
+    words, table = np.unique(table, return_inverse=True)
+    table = table.reshape(len(ids), -1)
+    row, goes = _places(codes, words)
+    sentence = np.searchsorted(starts, numbers[goes], side="right") - 1
+    bits = np.zeros((len(words), -(-len(starts) // 64) * 8), np.uint8)
+    np.bitwise_or.at(bits, (row[goes], sentence >> 3), (128 >> (sentence & 7)).astype(np.uint8))
+    bits = bits.view(np.uint64)
+    step = max(1, CELLS // max(1, bits.shape[1]))
+    for a in range(0, len(ids), step):
+        some = bits[table[a : a + step, 0]]
+        for k in range(1, table.shape[1]):
+            some &= bits[table[a : a + step, k]]
+        yield ids[a : a + step], some
+
+
+def _all_words(ids: np.ndarray, table: np.ndarray, *block: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, sentence) of sets of one length."""
+    for some, bits in _held(ids, table, *block):
+        row = np.flatnonzero(bits.any(axis=1))
+        for i in row:
+            sentence = np.flatnonzero(np.unpackbits(bits[i].view(np.uint8)))
+            yield np.full(len(sentence), some[i], np.int64), sentence
+
+
+def _counts(ids: np.ndarray, table: np.ndarray, *block: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, sentences) of sets of one length that are in a sentence."""
+    for some, bits in _held(ids, table, *block):
+        n = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        yield some[n > 0], n[n > 0]

@@ -16,7 +16,7 @@ from textloom.operators import corpus, expansion, metrics, pareto, relations
 from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.operators.positional import PositionalIndex
 from textloom.plans import swarm, training
-from textloom.session import once, scratch, ship
+from textloom.session import materialize, once, scratch, ship
 from textloom.sources import inputs, runs
 from textloom.sources.xml_splits import read_xml_splits
 
@@ -342,7 +342,7 @@ def relation_pattern_matches(spark, d):
 
 def _numbered_patterns(spark, d):
     good = relations.pattern_survivors(_scored(spark, d)).where(F.size("infix") > 1)
-    return good.select(F.xxhash64(F.array_join("infix", " ")).alias("id"), F.col("infix").alias("words"))
+    return materialize(good.select(F.monotonically_increasing_id().alias("id"), F.col("infix").alias("words")), "numbered")
 
 
 def _positional(spark, d):
@@ -363,7 +363,7 @@ SELECT array_to_string(infix, ' ') AS phrase, count(*) AS n FROM w3p WHERE c = l
 def pattern_sentences(spark, d):
     """How many sentences hold all words of each surviving pattern of two words or more."""
     patterns = _numbered_patterns(spark, d)
-    counts = _positional(spark, d).sentences(patterns).groupBy("id").agg(F.count("*").alias("n"))
+    counts = _positional(spark, d).sentence_counts(patterns)
     return counts.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "n")
 
 
