@@ -70,3 +70,15 @@ def test_pairs_and_patterns(spark, sents):
     same(relations.sentences_of_pairs(sents, pairs), relations.pair_sentences(toks, pairs))
     same(relations.patterns_of_pairs(sents, pairs), relations.patterns(sents, relations.pair_sentences(toks, pairs)))
     assert shuffles(relations._pairs_in_rows(corpus.apart(sents)[0], pairs)) == 0
+
+
+def test_long_sentences_are_answered_in_their_rows(spark):
+    long = spark.createDataFrame([(1, "the b " + LONG_TEXT + " of it"), (2, "the a of b")], "doc_id long, text string")
+    here, rest = corpus.apart(corpus.sentences(corpus.marked(long)), None)
+    assert here.where(f"size(words) > {corpus.LONG}").count() == 1 and rest.isEmpty()
+    pairs = relations.seed_pairs(spark, [("the", "of"), ("of", "the"), ("w3", "w699"), ("the", "none")])
+    for found, want in ((relations.sentences_of_pairs(here, pairs), relations.pair_sentences(corpus.tokens(here), pairs)), (relations.patterns_of_pairs(here, pairs), relations.patterns(here, relations.pair_sentences(corpus.tokens(here), pairs)))):
+        same(found, want)
+    from_rows = relations.patterns_of_pairs(corpus.sentences(corpus.marked(long)), pairs)
+    plan = from_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "> 512" in plan and "<= 512" not in plan  # long ones are unfolded in place, none go the way of tokens

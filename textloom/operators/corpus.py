@@ -60,11 +60,12 @@ def postings(toks: DataFrame) -> DataFrame:
     return toks.groupBy(*SENTENCE, "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def apart(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sentences that are one row each and not very long, and all others. Those of documents that weren't marked are all in the second."""
+def apart(sents: DataFrame, most: int | None = LONG) -> tuple[DataFrame, DataFrame]:
+    """Sentences that are one row each and not very long (any length, if most is None), and all others. Those of documents that weren't
+    marked are all in the second."""
     if ALONE not in sents.columns:
         return sents.where(F.lit(False)), sents
-    here = F.col(ALONE) & (F.size("words") <= LONG)
+    here = F.col(ALONE) if most is None else F.col(ALONE) & (F.size("words") <= most)
     return sents.where(here), sents.where(~here)
 
 

@@ -45,22 +45,26 @@ def pair_sentences(toks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _pairs_in_rows(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As pair_sentences, with the words, of sentences that are one row each: without a shuffle."""
+    """As pair_sentences, with the words, of sentences that are one row each: without a shuffle. A long sentence is unfolded for
+    words of pairs alone, as each row that it gives has all its words."""
     last = lambda w: (F.size("words") - F.array_position(F.reverse("words"), F.col(w))).cast("int")
-    rows = sents.select(*KEY, "words", F.explode(F.array_distinct("words")).alias("w1")).join(F.broadcast(pairs), "w1")  # few
+    firsts = F.broadcast(pairs.agg(F.collect_set("w1").alias("firsts")))  # one row
+    own = F.when(F.size("words") > corpus.LONG, F.array_intersect("words", "firsts")).otherwise(F.array_distinct("words"))
+    rows = sents.crossJoin(firsts).select(*KEY, "words", F.explode(own).alias("w1")).join(F.broadcast(pairs), "w1")  # few
     rows = rows.where(F.array_contains("words", F.col("w2")))
     return rows.select("pair_idx", "w1", "w2", *KEY, last("w1").alias("p1"), last("w2").alias("p2"), "words")
 
 
 def sentences_of_pairs(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As pair_sentences(tokens(sents), pairs), without a shuffle for sentences that are one row each (see corpus.apart)."""
-    here, rest = corpus.apart(sents)
+    """As pair_sentences(tokens(sents), pairs), without a shuffle for sentences that are one row each, however long."""
+    here, rest = corpus.apart(sents, None)
     return _pairs_in_rows(here, pairs).drop("words").unionByName(pair_sentences(corpus.tokens(rest), pairs))
 
 
 def patterns_of_pairs(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As patterns(sents, pair_sentences(tokens(sents), pairs)), without a shuffle for sentences that are one row each."""
-    here, rest = corpus.apart(sents)
+    """As patterns(sents, pair_sentences(tokens(sents), pairs)), without a shuffle for sentences that are one row each, however
+    long."""
+    here, rest = corpus.apart(sents, None)
     return _cut(_pairs_in_rows(here, pairs)).unionByName(patterns(rest, pair_sentences(corpus.tokens(rest), pairs)))
 
 
