@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import corpus, expansion
-from textloom.plans import optimise, swarm, training
+from textloom.operators import corpus, expansion, lookup
+from textloom.plans import edges, optimise, swarm, training
 from textloom.sources import runs
 
 
@@ -95,3 +96,46 @@ def test_training(spark, tmp_path):
     back = runs.read_swarm_log(spark, str(tmp_path / "swarm.tsv"), 6).orderBy("icycle", "iparticle").toPandas()
     assert len(runs.full_log(out.log, spark).columns) == 24 and np.allclose(back[runs.POSITIONS], out.log[runs.POSITIONS]) and back.icycle.tolist() == out.log.icycle.tolist()
     assert np.allclose(back.fitness, out.log.fitness.fillna(0))
+
+
+@pytest.mark.parametrize("most", [500_000, 60])
+def test_edges_of_odd_sentences(spark, monkeypatch, most):
+    """Lists of sources in place of rows of pairs: as a count by hand, from sentences and from postings, cut small at every step."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{k}" for k in rng.zipf(1.4, n) % 300)
+    rows = [(i, ". ".join(text(9) for _ in range(5))) for i in range(40)] + [(40, text(900)), (7, text(30)), (7, "w1 w2 w2"), (None, "w1 lost"), (None, "w1 lost"), (41, None), (42, "")]
+    sents = corpus.sentences(corpus.marked(spark.createDataFrame(rows, "doc_id long, text string"))).persist()
+    posts = corpus.postings(corpus.tokens(sents)).persist()
+    monkeypatch.setattr(edges, "TOKENS", 200), monkeypatch.setattr(edges, "PAIRS", 1000), monkeypatch.setattr(lookup, "MOST", most)
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    for chunk, given in ((65_536, sents), (5, posts)):
+        monkeypatch.setattr(training, "CHUNK", chunk)
+        fitness = training.ExpansionFitness(given, words("w1", "w33"), words("w2", "none"))
+        first = {r["id"]: r["word"] for r in expansion.cooccurrence(posts, words("w1", "w33")).join(corpus.doc_freq(posts), "word").orderBy(F.desc("df"), "word").select("word").rdd.zipWithIndex().map(lambda x: {"id": x[1], "word": x[0][0]}).collect()}
+        names, want, here = set(first.values()), {}, {}
+        for r in posts.where("doc_id is not null").collect():
+            here.setdefault((r["doc_id"], r["spos"]), []).append((r["word"], r["tf"]))
+        for s in here.values():
+            for w, tf in s:
+                for v, _ in s:
+                    if v in names:
+                        want[w, v] = want.get((w, v), 0) + tf
+        rows = fitness.edges.collect()
+        got = [((r["word"], first[i]), n) for r in rows for i, n in zip(r["sources"], r["n"], strict=True)]
+        assert len(got) == len(want) and dict(got) == want
+        assert all(len(r["sources"]) <= chunk for r in rows) and {r["word"] for r in rows if r["right"]} == {"w2"}
+        df = dict(map(tuple, corpus.doc_freq(posts).collect()))
+        assert all(r["df"] == df[r["word"]] for r in rows)
+        times = [r["word"] for r in rows]
+        assert all((r["parts"] > 1) or times.count(r["word"]) == 1 for r in rows)
+        assert most == 60 or chunk == 5 or len(rows) == len({w for w, _ in want})
+
+
+def test_pairs_are_never_rows():
+    """A slice gives a row for each word, however many sources it meets, in about a byte or two for each."""
+    n = 300
+    tokens = pa.record_batch({"pos": pa.array(list(range(n)) * 3, pa.int32()), "word": [f"w{i}" for i in range(n)] * 3, "tf": [1] * 3 * n, "source": [i if i % 2 else None for i in range(n)] * 3})
+    out = pa.Table.from_batches(list(edges._lists([tokens], n, 1000, 1 << 20)))
+    assert out.num_rows == n and set(map(len, out.column("sources").to_pylist())) == {n // 2}
+    with pytest.raises(ValueError, match="one behind another"):
+        list(edges._lists([tokens.take(pa.array([0, 2, 1]))], n, 1000, 1 << 20))

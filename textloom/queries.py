@@ -533,13 +533,13 @@ def mopso_personal_best(spark, d):
 
 @query("pso_train_smoke")
 def pso_train_smoke(spark, d):
-    out = training.train_pso(spark, _posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    out = training.train_pso(spark, _sents(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
     return runs.from_log(out.log, spark, 0, 0)
 
 
 @query("mopso_train_smoke")
 def mopso_train_smoke(spark, d):
-    out = training.train_mopso(spark, _posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
+    out = training.train_mopso(spark, _sents(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE), training.TrainingOptions(particles=4, iterations=2))
     return runs.from_log(out.log, spark, 0, 0)
 
 
@@ -558,7 +558,7 @@ def seed_sample(spark, d):
 @query("pso_scores", BASE + _hop_sql("h1", _list(SEEDS[:2]), 50.0, 0.0, -1.0) + _hop_sql("h2", "(SELECT word FROM h1 WHERE fitness >= 0)", 10.0, 1.0, -2.0) + _PR + " SELECT 0::BIGINT AS particle, precision, recall FROM q")
 def pso_scores(spark, d):
     """What training measures for one particle, as expand_concept and precision_recall do."""
-    fitness = training.ExpansionFitness(_posts(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE))
+    fitness = training.ExpansionFitness(_sents(spark, d), _words(spark, SEEDS[:2]), _words(spark, REFERENCE))
     particles = spark.createDataFrame([(0, DEMO.to_vector())], "particle long, pos array<double>")
     return fitness(particles).select("particle", "precision", "recall")
 
