@@ -180,3 +180,23 @@ def test_front_and_crowding(spark):
     assert [got[i]["rank"] for i in range(4)] == [3, 1, 2, 4] and got[3]["weight"] == pytest.approx(0.4)
     single = pareto.crowding_distance(front.where("id = 1"), ["x", "y"], [(0, 10), (0, 10)], "id").first()
     assert single["distance"] == 1.7976931348623157e308
+
+
+def test_first_places_are_hashed(spark):
+    """Ids at both ends and null: as the least of a struct gives them, without a sort of all tokens."""
+    ids = [None, -(1 << 63), -5, 0, 7, (1 << 63) - 1]
+    rows = [(i, s, p, w) for i in ids for s in (0, 3, (1 << 31) - 1) for p, w in ((0, f"own{i}"), ((1 << 31) - 1, "a"), (2, "b" if i else "c"), (1, f"at{s}"))]
+    toks = spark.createDataFrame(rows, "doc_id long, spos int, pos int, word string")
+    want = toks.groupBy("word").agg(F.min(F.struct("doc_id", "spos", "pos")).alias("first")).select("word", "first.*")
+    got = corpus.first_places(toks)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    named = corpus.first_places(toks.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert dict(named.dtypes)["doc_id"] == "string" and named.count() == want.count()
+
+
+def test_buckets_grow_with_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "BUCKET_ROWS", 3)
+    corpus.build(spark.createDataFrame([(1, "one two three four. five six seven. one two three four five six seven eight nine")], "doc_id long, text string")).save(f"{tmp_path}/i")
+    assert spark.read.parquet(f"{tmp_path}/i/layout").first()["buckets"] == 6
+    assert corpus.Corpus.load(spark, f"{tmp_path}/i").df.where("word = 'two' and df = 2").count() == 1

@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as text_functions
 from textloom.functions.unicode import unicode_sentences
@@ -23,6 +24,7 @@ SENTENCE = ("doc_id", "spos")
 ALONE = "alone"
 LONG = 512  # words of a sentence that are counted in its own row
 BROADCAST_IDS = 500_000
+BUCKET_ROWS = 1_000_000  # of a saved table, about, so that a task sorts its bucket in memory
 BY_WORD = ("postings", "vocab")
 
 
@@ -83,13 +85,35 @@ def doc_freq(posts: DataFrame) -> DataFrame:
     return posts.groupBy("word").agg(F.count("*").alias("df"))
 
 
+def first_places(toks: DataFrame) -> DataFrame:
+    """word with its first doc_id (null before all), spos and pos. Where doc_id is a whole number the place is one number of 126 bits, so
+    that it is aggregated by hash; the least of a struct would have all tokens sorted."""
+    if not isinstance(toks.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        first = toks.groupBy("word").agg(F.min(F.struct(*SENTENCE, "pos")).alias("first"))
+        return first.select("word", F.col("first.doc_id").alias("doc_id"), F.col("first.spos").alias("spos"), F.col("first.pos").alias("pos"))
+    whole = lambda c: c.cast("decimal(38,0)")
+    high, low = F.lit(1 << 62).cast("decimal(19,0)"), F.shiftleft(F.col("spos").cast("long"), 31).bitwiseOR(F.col("pos").cast("long"))
+    shift = F.lit(str((1 << 63) + 1)).cast("decimal(20,0)")
+    doc = F.coalesce(F.col("doc_id").cast("long").cast("decimal(20,0)") + shift, F.lit(0).cast("decimal(20,0)"))
+    first = toks.groupBy("word").agg(F.min(whole(doc * high) + low.cast("decimal(19,0)")).alias("at"))
+    first = first.withColumn("low", F.col("at") % high)
+    doc = whole(whole(F.col("at") - F.col("low")) / high)
+    place = F.col("low").cast("long")
+    kind = lambda c: toks.schema[c].dataType
+    return first.select(
+        "word",
+        F.when(doc > 0, (doc - shift).cast(kind("doc_id"))).alias("doc_id"),
+        F.shiftright(place, 31).cast(kind("spos")).alias("spos"),
+        place.bitwiseAND(F.lit((1 << 31) - 1)).cast(kind("pos")).alias("pos"),
+    )
+
+
 def vocabulary(toks: DataFrame) -> DataFrame:
     """word_id (dense, from 0, by first appearance in document, sentence, position order), word, and that first place.
 
     Numbers are ranks of the first places in ranges of their order, so no task sorts all words.
     """
-    first = toks.groupBy("word").agg(F.min(F.struct(*SENTENCE, "pos")).alias("first"))
-    first = first.select("word", F.col("first.doc_id").alias("doc_id"), F.col("first.spos").alias("spos"), F.col("first.pos").alias("pos"))
+    first = first_places(toks)
     return ranked(first, [*SENTENCE, "pos"]).select((F.col("rank") - 1).alias("word_id"), "word", "doc_id", "spos", "pos")
 
 
@@ -134,6 +158,11 @@ def parse_limit(text: str | None) -> int | None:
         return None
 
 
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """Of a saved table of so many rows: as many as shuffles have partitions, or more if a bucket had more than BUCKET_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
 def _table_name(path: str, table: str) -> str:
     return f"textloom_{hashlib.md5(path.encode(), usedforsecurity=False).hexdigest()[:16]}_{table}"
 
@@ -158,10 +187,11 @@ class Corpus:
         if not path:
             raise ValueError("an output folder is needed")
         path, spark = path.rstrip("/"), self.sentences.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets
         for f in fields(self):
             rows = getattr(self, f.name)
             if f.name in BY_WORD:
+                n = n or buckets_for(spark, spark.read.parquet(f"{path}/tokens").count())  # postings aren't more
                 name = _table_name(path, f.name)
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
                 write = rows.repartition(n, "word").write.mode("overwrite").format("parquet").option("path", f"{path}/{f.name}")

@@ -163,7 +163,7 @@ def saved_index_words(spark, d):
     """Dictionary and frequencies from an index saved in buckets by word; neither the count nor the join shuffles."""
     folder = scratch(spark, "index")
     sents = _sents(spark, d)
-    corpus.Corpus(sents.limit(0), corpus.tokens(sents.limit(0)), _posts(spark, d), corpus.vocabulary(_toks(spark, d))).save(folder)
+    corpus.Corpus(sents.limit(0), corpus.tokens(sents.limit(0)), _posts(spark, d), corpus.vocabulary(_toks(spark, d))).save(folder, corpus.buckets_for(spark, sents.agg(F.sum(F.size("words"))).first()[0] or 0))
     saved = corpus.Corpus.load(spark, folder)
     return saved.vocab.join(saved.df, "word").select(F.col("word_id").cast("long").alias("word_id"), "word", "df")
 
