@@ -73,6 +73,38 @@ def test_language_model_learns_every_document_whole(spark):
     assert language_model.train_on(net, [np.zeros(2000, np.int32)], 0.01) == 2000 and net.n == 1
 
 
+def test_language_model_texts_become_symbols_once(spark, monkeypatch):
+    docs = odd(spark)
+    vocab = language_model.vocabulary(language_model.count_words(docs.select("text")))
+    rows = language_model.coded(docs, vocab, F.col("doc_id") > 2, ["text"], "text", "doc_id").collect()
+    encoder = language_model.Encoder(vocab)
+    assert len(rows) == len(ODD) and all(np.array_equal(np.frombuffer(r["symbols"], "<i2"), encoder.encode((r["k0"] or "").encode())[0]) for r in rows)
+    assert sum(r["learn"] for r in rows) == docs.where("doc_id > 2").count()  # a null counts as not in training
+    table, made = language_model.materialize, []
+    monkeypatch.setattr(language_model, "materialize", lambda df, label: made.append(label) or table(df, label))
+    language_model.score_documents(docs, F.lit(True), ["doc_id"])
+    assert made == ["counts", "coded", "weights", "weights", "scored"]
+
+
+@pytest.mark.parametrize("scale", [1, 500])
+def test_network_scores_are_those_of_a_plain_softmax(scale):
+    net, rng = language_model.Network(language_model.WORDS), np.random.default_rng(5)
+    net.p["member"] *= scale  # large logits too
+    assert net.bounded() == (scale == 1)
+    states, target = rng.uniform(-1, 1, (5000, language_model.HIDDEN)).astype(np.float32), rng.integers(0, language_model.END + 33, 5000)
+    got, _ = net.output(states, target)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def plain(logits):
+        logits = logits - logits.max(axis=1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    cls, member = target // language_model.MEMBERS, target % language_model.MEMBERS
+    first = plain(states @ p["class"] + p["class_bias"] + net.class_mask)[np.arange(5000), cls]
+    second = plain(np.einsum("nh,nhm->nm", states, p["member"][cls]) + p["member_bias"][cls] + net.member_mask[cls])[np.arange(5000), member]
+    assert got == pytest.approx(first + second, rel=1e-4, abs=1e-3)
+
+
 def test_layout_keeps_every_document_in_order():
     rng = np.random.default_rng(2)
     docs = [np.append(rng.integers(0, 50, n), language_model.END).astype(np.int32) for n in (0, 1, 700, 3, 64, 63, 5000, 20, 20, 20)]

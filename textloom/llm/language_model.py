@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 from itertools import repeat
@@ -43,11 +44,13 @@ SYMBOLS = MEMBERS * CLASSES
 HIDDEN = 24
 WINDOW = 64
 SLOTS = 256
+OUTPUT_BLOCK = 2_048  # targets whose classes are scored at once, so that their logits stay in a core's cache
 UPDATE_TOKENS = 4_096  # at least, between two updates of the weights
 ROUNDS = 2
 WARM_DOCUMENTS = 1_000
 WARM_TOKENS = 1_600_000
-GROUP_BYTES = 40_000_000
+WARM_PLACES = 1 << 30
+GROUP_BYTES = 12_000_000  # of texts or symbols that a task takes at once
 FLUSH = 400_000
 SHARDS = 16  # of the weights, when those of all tasks are summed
 
@@ -152,6 +155,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 # ------------------------------------------------------------------------------------------------------------- the model
+def columns(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The columns of a matrix at places that are in it."""
+    return np.take(values, at, axis=1, mode="clip")
+
+
 class Network:
     """Gated recurrent unit with class-factored output, in float32."""
 
@@ -189,108 +197,158 @@ class Network:
         """What each symbol adds to the gates."""
         return self.p["embed"] @ self.p["input"] + self.p["bias"]
 
-    def read(self, x: np.ndarray, keep: np.ndarray, state: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States behind each step of a window of input gates (T x B x 3H); keep is 0 where a document begins."""
+        out, after = self.steps(lambda t: np.ascontiguousarray(x[t].T), keep, np.ascontiguousarray(state.T))
+        return out.transpose(1, 2, 0), after.T
+
+    def steps(self, inputs: Callable[[int], np.ndarray], keep: np.ndarray, state: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As read(), with the slots last (input gates of a step: 3H x B, state: H x B, states: H x T x B), so that each operation runs
+        over whole rows of slots."""
         H = HIDDEN
-        out, U = np.empty((*keep.shape, H), np.float32), self.p["state"]
+        out, U = np.empty((H, *keep.shape), np.float32), np.ascontiguousarray(self.p["state"].T)
         for t in range(len(keep)):
-            before = state * keep[t][:, None]
-            g = before @ U
-            gates = x[t, :, : 2 * H] + g[:, : 2 * H]
+            before = state * keep[t]
+            g, x = U @ before, inputs(t)
+            gates = x[: 2 * H]
+            gates += g[: 2 * H]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            z, r = gates[:, :H], gates[:, H:]
-            c = r * g[:, 2 * H :]
-            c += x[t, :, 2 * H :]
+            z, r = gates[:H], gates[H:]
+            c = r * g[2 * H :]
+            c += x[2 * H :]
             np.tanh(c, out=c)
-            state = c + z * (before - c)
-            out[t] = state
+            state = before - c
+            state *= z
+            state += c
+            out[:, t] = state
             if tape is not None:
-                tape.append((before, g[:, 2 * H :], z, r, c))
+                tape.append((before, g[2 * H :], z, r, c))
         return out, state
 
     def output(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target symbol after its state (n x H); with grads also the gradient of the states."""
-        cls, member = target // MEMBERS, target % MEMBERS
-        logits = states @ self.p["class"] + (self.p["class_bias"] + self.class_mask)
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        logp = logits[rows, cls] - np.log(total[:, 0])
-        back = None
+        logp, back = self.scored(np.ascontiguousarray(states.T), target, grads)
+        return logp, None if back is None else back.T
+
+    def bounded(self) -> bool:
+        """Whether no logit, of states between -1 and 1, can be beyond what float32 can exponentiate."""
+        classes = np.abs(self.p["class"]).sum(axis=0) + np.abs(self.p["class_bias"])
+        members = np.abs(self.p["member"]).sum(axis=1) + np.abs(self.p["member_bias"])
+        return max(classes.max(), members.max()) < 60
+
+    def scored(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """As output(), of states with the targets last (H x n). Targets are taken in the order of their classes."""
+        order = np.argsort((target // MEMBERS).astype(np.int16), kind="stable")
+        states, target = columns(states, order), target[order]
+        cls, member, rows = target // MEMBERS, target % MEMBERS, np.arange(len(target))
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+
+        safe = self.bounded()
+
+        def softmax(weights: np.ndarray, bias: np.ndarray, states: np.ndarray, hit: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log probability of the row `hit` in each column, and with grads the gradient of the logits."""
+            e = weights.T @ states
+            e += bias[:, None]
+            if not safe:
+                e -= e.max(axis=0)
+            logp = e[hit, i]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            logp -= np.log(total)
+            if grads is not None:
+                e /= total
+                e[hit, i] -= 1
+            return logp, e
+
+        logp, back = np.empty(len(target), np.float32), None
         if grads is not None:
-            d = e / total
-            d[rows, cls] -= 1
-            grads["class"] = states.T @ d
-            grads["class_bias"] = d.sum(axis=0)
-            back = d @ self.p["class"].T
-            grads["member"], grads["member_bias"] = np.zeros_like(self.p["member"]), np.zeros_like(self.p["member_bias"])
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[ends[k] : ends[k + 1]]
-            if not len(at):
+            back = np.empty_like(states)
+            grads |= {k: np.zeros_like(self.p[k]) for k in ("class", "class_bias", "member", "member_bias")}
+        for a in range(0, len(target), OUTPUT_BLOCK):
+            b = min(a + OUTPUT_BLOCK, len(target))
+            logp[a:b], d = softmax(self.p["class"], self.p["class_bias"] + self.class_mask, states[:, a:b], cls[a:b], rows[: b - a])
+            if grads is not None:
+                grads["class"] += states[:, a:b] @ d.T
+                grads["class_bias"] += d.sum(axis=1)
+                back[:, a:b] = self.p["class"] @ d
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if a == b:
                 continue
-            h, m = states[at], member[at]
-            logits = h @ self.p["member"][k] + (self.p["member_bias"][k] + self.member_mask[k])
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1, keepdims=True)
-            i = np.arange(len(at))
-            logp[at] += logits[i, m] - np.log(total[:, 0])
+            inner, d = softmax(self.p["member"][k], self.p["member_bias"][k] + self.member_mask[k], states[:, a:b], member[a:b], rows[: b - a])
+            logp[a:b] += inner
             if grads is not None:
-                d = e / total
-                d[i, m] -= 1
-                grads["member"][k] = h.T @ d
-                grads["member_bias"][k] = d.sum(axis=0)
-                back[at] += d @ self.p["member"][k].T
-        return logp, back
+                grads["member"][k], grads["member_bias"][k] = states[:, a:b] @ d.T, d.sum(axis=1)
+                back[:, a:b] += self.p["member"][k] @ d
+        place = np.empty(len(order), np.int64)
+        place[order] = rows
+        return logp[place], None if back is None else columns(back, place)
 
     def learn(self, ids: np.ndarray, keep: np.ndarray, target: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
         """Truncated backpropagation over a window; targets under 0 are padding. Weights change once UPDATE_TOKENS have been read, or by
         update(). Gives the state behind the window."""
         tape: list = []
-        states, after = self.read(self.inputs()[ids] if ids.size > SYMBOLS else self.p["embed"][ids] @ self.p["input"] + self.p["bias"], keep, state, tape)
-        live = target >= 0
-        n = int(live.sum())
+        if ids.size > SYMBOLS:
+            table_ = np.ascontiguousarray(self.inputs().T)
+            inputs = lambda t: columns(table_, ids[t])
+        else:
+            inputs = lambda t: np.ascontiguousarray((self.p["embed"][ids[t]] @ self.p["input"] + self.p["bias"]).T)
+        states, after = self.steps(inputs, keep, np.ascontiguousarray(state.T), tape)
+        live = np.flatnonzero(target.ravel() >= 0)
+        n = len(live)
         if not n:
-            return after
-        grads: dict[str, np.ndarray] = {}
-        _, part = self.output(states[live], target[live], grads)
-        back = np.zeros_like(states)
-        back[live] = part
+            return after.T
         H, U = HIDDEN, self.p["state"]
-        gates, dx = np.empty((*ids.shape, 3 * H), np.float32), np.empty((*ids.shape, 3 * H), np.float32)
-        dh = np.zeros_like(state)
+        grads: dict[str, np.ndarray] = {}
+        flat = states.reshape(H, -1)
+        if n == target.size:
+            back = self.scored(flat, target.ravel(), grads)[1]
+        else:
+            back = np.zeros_like(flat)
+            back[:, live] = self.scored(columns(flat, live), target.ravel()[live], grads)[1]
+        back = back.reshape(states.shape)
+        dx, befores, inner = np.empty((3 * H, *ids.shape), np.float32), np.empty_like(states), np.empty_like(states)  # inner: the candidate's part of the state's gates
+        gates, dh = np.empty((3 * H, ids.shape[1]), np.float32), np.zeros((H, ids.shape[1]), np.float32)
+        dz, dr, dg = gates[:H], gates[H : 2 * H], gates[2 * H :]
         for t in range(len(ids) - 1, -1, -1):
             before, gc, z, r, c = tape[t]
-            dh += back[t]
-            dc = dh * (1 - z)
-            dc *= 1 - c * c
-            dz = dh * (before - c)
-            dz *= z * (1 - z)
-            dr = dc * gc
-            dr *= r * (1 - r)
-            dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, dc
-            gates[t, :, : 2 * H] = dx[t, :, : 2 * H]
-            np.multiply(dc, r, out=gates[t, :, 2 * H :])
+            befores[:, t] = before
+            dh += back[:, t]
+            open_ = 1 - z
+            dc = dh * open_
+            np.subtract(before, c, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= open_
+            c *= c
+            np.subtract(1, c, out=c)
+            dc *= c
+            np.multiply(dc, r, out=dg)
+            np.multiply(dg, gc, out=dr)
+            dr *= 1 - r
+            dx[: 2 * H, t], dx[2 * H :, t], inner[:, t] = gates[: 2 * H], dc, dg
             dh *= z
-            dh += gates[t] @ U.T
-            dh *= keep[t][:, None]
-        flat, symbols = dx.reshape(-1, 3 * H), ids.reshape(-1)
-        grads["state"], grads["bias"] = np.concatenate([x[0] for x in tape]).T @ gates.reshape(-1, 3 * H), flat.sum(axis=0)
-        grads["input"] = self.p["embed"][symbols].T @ flat
+            dh += U @ gates
+            dh *= keep[t]
+        dx, befores = dx.reshape(3 * H, -1), befores.reshape(H, -1)
+        grads["state"] = np.concatenate([befores @ dx[: 2 * H].T, befores @ inner.reshape(H, -1).T], axis=1)
+        symbols = ids.ravel().astype(np.int16)
+        order = np.argsort(symbols, kind="stable")
+        symbols = symbols[order]
+        starts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        seen = symbols[starts]
+        by_symbol = np.add.reduceat(columns(dx, order), starts, axis=1)  # 3H x symbols that were read
+        grads["input"], grads["bias"] = self.p["embed"][seen].T @ by_symbol.T, by_symbol.sum(axis=1)
         grads["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(grads["embed"], symbols, flat @ self.p["input"].T)
+        grads["embed"][seen] = by_symbol.T @ self.p["input"].T
         for k, g in grads.items():
             self.pending[k] = self.pending[k] + g if k in self.pending else g
         self.waiting += n
         if self.waiting >= UPDATE_TOKENS:
             self.update(rate)
-        return after
+        return after.T
 
     def update(self, rate: float) -> None:
         """One step of Adam by the mean gradient of the tokens read since the last."""
@@ -364,17 +422,24 @@ def train_on(net: Network, docs: list[np.ndarray], rate: float, slots: int = SLO
 def log_likelihoods(net: Network, docs: list[np.ndarray], slots: int = 2 * SLOTS) -> np.ndarray:
     """Natural log probability of the symbols of each document, whole."""
     laid = lay_out(docs, slots)
-    state, total = np.zeros((len(laid.sizes), HIDDEN), np.float32), np.zeros(len(docs))
-    inputs = net.inputs()
+    state, total = np.zeros((HIDDEN, len(laid.sizes)), np.float32), np.zeros(len(docs))
+    inputs = np.ascontiguousarray(net.inputs().T)
     for ids, keep, here, owner in windows(laid):
-        states, state = net.read(inputs[ids], keep, state[: ids.shape[1]])
-        live = here >= 0
-        logp, _ = net.output(states[live], here[live])
-        total += np.bincount(owner[live], logp, len(docs))
+        states, state = net.steps(lambda t, ids=ids: columns(inputs, ids[t]), keep, state[:, : ids.shape[1]])
+        states, live = states.reshape(HIDDEN, -1), np.flatnonzero(here.ravel() >= 0)
+        logp, _ = net.scored(states if len(live) == here.size else columns(states, live), here.ravel()[live])
+        total += np.bincount(owner.ravel()[live], logp, len(docs))
     return total
 
 
 # ----------------------------------------------------------------------------------------------------------- data to symbols
+#: Of a document: its symbols (16 bits each), and its score apart from the network's part and from the words that the head lacks.
+CODED = {
+    "n_tokens": T.LongType(), "n_known": T.LongType(), "base_score": T.DoubleType(), "inner": T.DoubleType(),
+    "tail": T.ArrayType(T.BinaryType()), "counts": T.ArrayType(T.IntegerType()), "symbols": T.BinaryType(),
+}
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.get = vocab, vocab.index().get
@@ -402,32 +467,76 @@ def _encoder(blob: bytes) -> Encoder:
 
 
 @lean
-def _train_round(batches, vocab: bytes, weights: dict, known: int, rate: float):
-    """Learns the texts of a task; at the end its weights by the number of tokens, in SHARDS rows."""
-    encoder, net, tokens = _encoder(vocab), Network(known), 0
-    net.p = {k: v.copy() for k, v in weights.items()}
+def _symbols(batches, vocab: bytes, names: list[str]):
+    """Documents with the symbols of their texts and what their scores need besides the network."""
+    encoder = _encoder(vocab)
+    v = encoder.vocab
+    norm = np.log10(v.total + 0.1 * (v.types + 1))
+    end_logc = np.log10(v.ends + 0.1)
+    log_mass = np.log10(v.bucket_mass)
     for batch in batches:
-        texts = as_bytes(batch.column(0))
+        texts = as_bytes(batch.column(len(names)))
         for a, b in slices([len(t) for t in texts], GROUP_BYTES):
-            tokens += train_on(net, [encoder.encode(t)[0] for t in texts[a:b]], rate)
+            docs, base, inner, n_tokens, n_known, keys, counts = [], [], [], [], [], [], []
+            for text in texts[a:b]:
+                symbols, at, others = encoder.encode(text)
+                tail = Counter(others)
+                docs.append(symbols.astype("<i2").tobytes())
+                n_tokens.append(len(symbols))
+                n_known.append(len(at) - len(others) + (v.ends > 0))
+                base.append(encoder.logc[at].sum() + end_logc - len(symbols) * norm)
+                inner.append(encoder.inner[at].sum() - sum(n * log_mass[bucket(w)] for w, n in tail.items()))
+                keys.append(list(tail))
+                counts.append(list(tail.values()))
+            sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array([w for ws in keys for w in ws], pa.binary())), pa.ListArray.from_arrays(pa.array(sizes), pa.array([n for ns in counts for n in ns], pa.int32()))]
+            kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.array(base, float)), pa.array(np.array(inner, float)), *lists, pa.array(docs, pa.binary())], [*names, *CODED])
+
+
+def coded(docs: DataFrame, vocab: Vocabulary, in_training: Column, keep: list[str], text: str, doc_id: str, rounds: int = ROUNDS) -> DataFrame:
+    """k0, k1, … (the columns `keep`), learn (whether in_training), warm and round (pseudo-random numbers under WARM_PLACES and `rounds`),
+    row (a number) and CODED of each document, written once: the rounds of training and the scoring read symbols, not texts."""
+    names = [f"k{i}" for i in range(len(keep))]
+    dealt = lambda label, n: F.pmod(F.xxhash64(f"`{doc_id}`", f"`{text}`", F.lit(label)), F.lit(n)).alias(label)
+    marks = [F.coalesce(in_training, F.lit(False)).alias("learn"), dealt("warm", WARM_PLACES), dealt("round", rounds)]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], *marks, F.col(f"`{text}`").alias("body"))
+    fields = [*source.schema.fields[:-1], *[T.StructField(n, t) for n, t in CODED.items()]]
+    run = partial(_symbols, vocab=pickle.dumps(vocab), names=source.columns[:-1])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    return materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def _groups(batches, column: int):
+    """Rows of a batch with their documents' symbols, GROUP_BYTES of these at a time."""
+    for batch in batches:
+        raw = as_bytes(batch.column(column))
+        for a, b in slices([len(r) for r in raw], GROUP_BYTES):
+            yield batch.slice(a, b - a), [np.frombuffer(r, "<i2") for r in raw[a:b]]
+
+
+@lean
+def _train_round(batches, weights: dict, known: int, rate: float):
+    """Learns the documents of a task; at the end its weights by the number of tokens, in SHARDS rows."""
+    net, tokens = Network(known), 0
+    net.p = {k: v.copy() for k, v in weights.items()}
+    for _, docs in _groups(batches, 0):
+        tokens += train_on(net, docs, rate)
     if tokens:
         parts = np.array_split(net.flat() * tokens, SHARDS)
         yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([tokens] * SHARDS, pa.int64())], ["shard", "weights", "tokens"])
 
 
 @lean
-def _warm_up(batches, vocab: bytes, weights: dict, known: int):
+def _warm_up(batches, weights: dict, known: int):
     """Learns a sample, some documents at a time; few tokens are read several times."""
-    encoder, net, tokens = _encoder(vocab), Network(known), 0
+    net, tokens = Network(known), 0
     net.p = {k: v.copy() for k, v in weights.items()}
-    for batch in batches:
-        texts = as_bytes(batch.column(0))
-        for a, b in slices([len(t) for t in texts], GROUP_BYTES):
-            docs = [encoder.encode(t)[0] for t in texts[a:b]]
-            size = sum(map(len, docs))
-            for rate in (0.02, 0.01, 0.005, 0.002)[: max(1, min(4, WARM_TOKENS // size))]:
-                train_on(net, docs, rate, SLOTS // 2)
-            tokens += size
+    for _, docs in _groups(batches, 0):
+        size = sum(map(len, docs))
+        for rate in (0.02, 0.01, 0.005, 0.002)[: max(1, min(4, WARM_TOKENS // size))]:
+            train_on(net, docs, rate, SLOTS // 2)
+        tokens += size
     if tokens:
         yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 
@@ -446,7 +555,12 @@ def _add(batches):
 
 
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Trains on the single text column `text` of `training`, which also has doc_id: first on about WARM_DOCUMENTS texts in one
+    """Trains on the texts (column `text`) of `training`, which also has doc_id."""
+    return learnt(coded(training, vocab, F.lit(True), [], "text", "doc_id", rounds), vocab, rounds)
+
+
+def learnt(documents: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Trains on the rows of coded() that are to be learnt: first on about WARM_DOCUMENTS of them in one
     task (WARM_TOKENS tokens at most, by expectation), then in parallel on all of them, each in one of the rounds; `seen` counts the
     tokens of these. A round's weights are the means over its tasks, summed by shard."""
     encoder, known = Encoder(vocab), len(vocab.words)
@@ -456,16 +570,15 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Netwo
     frequency[END + 1 : END + 1 + BUCKETS] += np.maximum(vocab.bucket_mass - np.bincount(encoder.symbols[:-1][WORDS:] - END - 1, vocab.counts[WORDS:], BUCKETS), 0)
     net.start_from(frequency)
     net.seen = 0
-    blob = pickle.dumps(vocab)
     share = min(1.0, WARM_DOCUMENTS / max(vocab.ends, 1), WARM_TOKENS / max(vocab.total, 1))
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("warm")), F.lit(1 << 30))
-    warm = training.where(place < int(share * (1 << 30))).select("text").repartition(1)  # a bounded sample in one task
-    for r in warm.mapInArrow(partial(_warm_up, vocab=blob, weights=net.p, known=known), "weights binary, tokens long").collect():
+    documents = documents.where("learn")
+    warm = documents.where(F.col("warm") < int(share * WARM_PLACES)).select("symbols").repartition(1)  # a bounded sample in one task
+    for r in warm.mapInArrow(partial(_warm_up, weights=net.p, known=known), "weights binary, tokens long").collect():
         net.load(np.frombuffer(r["weights"], np.float64))
     schema = "shard int, weights binary, tokens long"
     for k in range(rounds):
-        part = training.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == k).select("text")
-        run = partial(_train_round, vocab=blob, weights=net.p, known=known, rate=0.008 / (k + 1))
+        part = documents.where(F.col("round") == k).select("symbols")
+        run = partial(_train_round, weights=net.p, known=known, rate=0.008 / (k + 1))
         sums = materialize(part.mapInArrow(run, schema), "weights")
         merged = sums.mapInArrow(_add, schema).repartition(SHARDS, "shard").mapInArrow(_add, schema).collect()  # a row for each shard
         if merged:
@@ -477,55 +590,34 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Netwo
 
 # --------------------------------------------------------------------------------------------------------------- scoring
 @lean
-def _score(batches, vocab: bytes, weights: dict, known: int, names: list[str]):
-    encoder, net = _encoder(vocab), Network(known)
+def _score(batches, weights: dict, known: int):
+    """Scores in the place of inner scores and symbols, a batch's last columns."""
+    net = Network(known)
     net.p = weights
-    v = encoder.vocab
-    norm = np.log10(v.total + 0.1 * (v.types + 1))
-    end_logc = np.log10(v.ends + 0.1)
-    log_mass = np.log10(v.bucket_mass)
     for batch in batches:
-        texts = as_bytes(batch.column(len(names)))
-        for a, b in slices([len(t) for t in texts], GROUP_BYTES):
-            docs, base, inner, n_tokens, n_known, keys, counts = [], [], [], [], [], [], []
-            for text in texts[a:b]:
-                symbols, at, others = encoder.encode(text)
-                tail = Counter(others)
-                docs.append(symbols)
-                n_tokens.append(len(symbols))
-                n_known.append(len(at) - len(others) + (v.ends > 0))
-                base.append(encoder.logc[at].sum() + end_logc - len(symbols) * norm)
-                inner.append(encoder.inner[at].sum() - sum(n * log_mass[bucket(w)] for w, n in tail.items()))
-                keys.append(list(tail))
-                counts.append(list(tail.values()))
-            score = log_likelihoods(net, docs) / np.log(10) + np.array(inner)
-            sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array([w for ws in keys for w in ws], pa.binary())), pa.ListArray.from_arrays(pa.array(sizes), pa.array([n for ns in counts for n in ns], pa.int32()))]
-            kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.array(base, float)), pa.array(score), *lists], [*names, "n_tokens", "n_known", "base_score", "score", "tail", "counts"])
+        names = [*batch.schema.names[:-2], "score"]
+        for part, docs in _groups([batch], len(names)):
+            score = log_likelihoods(net, docs) / np.log(10) + part.column(len(names) - 1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(score)], names)
 
 
 def score_documents(docs: DataFrame, in_training: Column, keep: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns `keep` with n_tokens, n_known, train_tokens, base_score and score of each whole text (null: empty), learning
     from the rows where `in_training` holds. An empty text is its end alone. Rows with the same id are scored apart."""
-    training = docs.where(in_training).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = count_words(training.select("text"))
+    counts = count_words(docs.where(in_training).select(F.col(f"`{text}`")))
     vocab = vocabulary(counts)
-    net = train(training, vocab)
+    documents = coded(docs, vocab, in_training, keep, text, doc_id)
+    net = learnt(documents, vocab)
     names = [f"k{i}" for i in range(len(keep))]
-    schema = T.StructType(
-        [*[T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-        + [T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    )
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col(f"`{text}`").alias("body"))
-    run = partial(_score, vocab=pickle.dumps(vocab), weights=net.p, known=len(vocab.words), names=names)
-    rows = materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    source = documents.select(*names, "row", "n_tokens", "n_known", "base_score", "inner", "symbols")
+    schema = T.StructType([*source.schema.fields[:-2], T.StructField("score", T.DoubleType())])
+    rows = materialize(source.mapInArrow(partial(_score, weights=net.p, known=len(vocab.words)), schema), "scored")
     least = int(vocab.counts[-1]) if len(vocab.counts) else None
     rare = counts.where(F.length("word") > 0)  # words that the head lacks are no more frequent than its last
     rare = (rare.where(F.col("n") <= least) if least is not None else rare).select("word", "n")
-    tails = rows.select("row", F.explode(F.arrays_zip("tail", "counts")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.counts").alias("tf"))
+    tails = documents.select("row", F.explode(F.arrays_zip("tail", "counts")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.counts").alias("tf"))
     found = tails.join(rare, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = rows.drop("tail", "counts").join(found, "row", "left")
+    out = rows.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
