@@ -189,3 +189,13 @@ def test_head_finds_words_of_equal_hash_and_forgets_chunks(monkeypatch, tmp_path
     monkeypatch.setattr(pieces, "CHUNKS", 1)
     small = pieces.Encoder(head, set())
     assert [x for t in texts for x in small.read([t])] == whole
+
+
+def test_words_go_through_the_lattice_once(spark):
+    words = ["▁" + "ab" * 300, "漢", "▁a\U0001f600b", "x" * 256, "y" * 257]
+    rows = spark.createDataFrame(list(enumerate(words)), "wid long, word string")
+    carried = pieces.lattice(rows, MODEL, 2).where("word is not null").collect()
+    assert sorted((r["wid"], r["word"], r["s"], r["e"]) for r in carried) == [(i, w, 0, 1) for i, w in enumerate(words)]
+    found = pieces.encode_words(rows, MODEL)
+    assert {r["word"] for r in found.collect()} == set(words)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the pieces; not with the words again

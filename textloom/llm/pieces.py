@@ -228,15 +228,18 @@ def _best_path(edges: Column, longest: int) -> Column:
 
 
 def lattice(words: DataFrame, model: Model, parts: int) -> DataFrame:
-    """wid, s, e, piece: all substrings, up to the longest piece, of words (wid long, word), spread over `parts` by wid. A long word is
-    taken in blocks, and no row but the first carries it."""
+    """wid, s, e, piece, word: all substrings, up to the longest piece, of words (wid long, word), spread over `parts` by wid. A long word is
+    taken in blocks, and no row but its first character's carries it."""
     rows = words.select("wid", "word").repartition(parts, "wid")
     blocks = rows.select("wid", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(TEXT_BLOCK))).alias("b"))
-    blocks = blocks.select("wid", "b", F.least(F.length("word") - F.col("b"), F.lit(TEXT_BLOCK)).alias("n"), F.substring("word", F.col("b") + 1, F.lit(TEXT_BLOCK + model.longest)).alias("part"))
-    places = blocks.select("wid", "b", "part", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    tails = places.select("wid", (F.col("b") + F.col("i") - 1).alias("s"), F.substring("part", F.col("i"), F.lit(model.longest)).alias("tail"))
-    sized = tails.select("wid", "s", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
-    return sized.select("wid", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("tail", F.lit(1), F.col("l")).alias("piece"))
+    first = F.when(F.col("b") == 0, F.col("word")).alias("word")
+    blocks = blocks.select("wid", first, "b", F.least(F.length("word") - F.col("b"), F.lit(TEXT_BLOCK)).alias("n"), F.substring("word", F.col("b") + 1, F.lit(TEXT_BLOCK + model.longest)).alias("part"))
+    places = blocks.select("wid", "word", "b", "part", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    first = F.when(F.col("i") == 1, F.col("word")).alias("word")
+    tails = places.select("wid", first, (F.col("b") + F.col("i") - 1).alias("s"), F.substring("part", F.col("i"), F.lit(model.longest)).alias("tail"))
+    sized = tails.select("wid", "word", "s", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
+    first = F.when(F.col("l") == 1, F.col("word")).alias("word")
+    return sized.select("wid", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("tail", F.lit(1), F.col("l")).alias("piece"), first)
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
@@ -247,7 +250,8 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     edges = lattice(words, model, parts).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     unknown = UNKNOWN + F.ascii("piece")  # a character that isn't a piece, by its code point
     edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", unknown).alias("code"))
-    path = edges.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("wid", _best_path(F.col("edges"), model.longest).alias("path"))
+    path = edges.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("word", True).alias("word"))
+    path = path.select("word", _best_path(F.col("edges"), model.longest).alias("path"))
     table_ = F.array(*[F.lit(model.bytes[b]) for b in range(256)]) if len(model.bytes) == 256 else F.array(*[F.lit(0)] * 256)
 
     def bytes_of(code: Column) -> Column:
@@ -260,7 +264,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
     known = F.col("path")
     ids = F.when(F.exists(known, lambda i: i >= UNKNOWN), F.flatten(F.transform(known, lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(bytes_of(i))))).otherwise(known)
-    return path.select("wid", ids.alias("ids")).join(words.select("wid", "word"), "wid").select("word", "ids")
+    return path.select("word", ids.alias("ids"))
 
 
 def decode(ids: Column, model: Model) -> Column:
