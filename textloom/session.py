@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parent.parent)
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _KEPT: dict[tuple[str, str], DataFrame] = {}
@@ -63,10 +64,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors. The shuffles that the write
+    needed are deleted at its end, not when the driver next collects its garbage."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
