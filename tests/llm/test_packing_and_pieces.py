@@ -1,4 +1,6 @@
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
 from textloom.llm import packing, pieces
+from textloom.session import shared_dir
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(BPE)
@@ -199,3 +202,18 @@ def test_words_go_through_the_lattice_once(spark):
     found = pieces.encode_words(rows, MODEL)
     assert {r["word"] for r in found.collect()} == set(words)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the pieces; not with the words again
+
+
+def test_words_are_counted_where_they_are_read_and_the_head_has_one_copy(spark, monkeypatch):
+    texts = [*TEXTS, "x\ny\u2581\u00e9\U0001f600 \u5b57\u5b57  ,.", "The and, and\n\nthe."]
+    expected = [pieces.cut(t or "", MODEL.beside) for t in texts]
+    written = [pieces.META + t.replace(" ", pieces.META) if t else "" for t in texts]
+    for at_once in (1, 3, 1 << 20):  # blocks end anywhere
+        monkeypatch.setattr(pieces, "AT_ONCE", at_once)
+        assert pieces.Cutter(MODEL.beside).cut(written) == expected
+    monkeypatch.undo()
+    rows = [r for b in pieces._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["body"])]), MODEL.beside) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in rows} == Counter(w for ws in expected for w in ws) and len(rows) == len({r["word"] for r in rows})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(docs, MODEL, ["doc_id"]).collect()} == {i: whole(t) for i, t in enumerate(texts)}
+    assert not list(Path(shared_dir(spark).removeprefix("file:"), "textloom").glob("head-*"))  # executors get it from the driver

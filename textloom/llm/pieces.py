@@ -17,23 +17,20 @@ scores come from the model file, whatever kind of model wrote it.
 from __future__ import annotations
 
 import hashlib
-import mmap
-import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import scratch
-
-from .common import as_bytes, lean, let, materialize, parts, slices, table, trim
+from .common import as_bytes, lean, let, materialize, parts, table, trim
 from .language_model import least_of_head
 
 META = "▁"
@@ -41,15 +38,14 @@ HEAD = 4_000_000  # words
 HEAD_BYTES = 160_000_000  # of words, ids and what finds them, at most
 WRITTEN = 4 << 20  # bytes of a head that are written at once
 HEAD_WORD = 10_000  # characters; longer words aren't in the head
-FLUSH = 300_000
-CHUNKS = 100_000  # chunks that a task remembers
-AT_ONCE = 500_000  # characters of chunks that are cut at once
+READ = 4 << 20  # bytes of texts that are read at once
+CHUNKS = 4_000_000  # words that are looked up at once
+AT_ONCE = 500_000  # characters that are cut at once
 WORDS_PER_PART = 40_000
 TEXT_BLOCK = 256  # characters of a long word that are taken at once
 LIST_BLOCK = 64
 UNKNOWN = 1 << 22  # and more: code points of characters that aren't pieces
 GAP = 0xFFFF  # stands for a word that the head lacks; ids have 16 bits where they are bytes
-RUN = re.compile(f"{META}+[^{META}\n]*|\n|[^{META}\n]+")
 GAP_BYTES = GAP.to_bytes(2, "little")
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
@@ -87,57 +83,56 @@ class Model:
 
 
 class Cutter:
-    """Cuts texts into words, many at a time: characters that pieces hold are numbered, and pairs looked up in one table."""
+    """Cuts texts into words, many at a time: characters that pieces hold are numbered, and a bit for each pair of them tells whether they stand
+    side by side in a piece."""
 
     def __init__(self, beside: set[str]):
         letters = sorted({c for pair in beside for c in pair})
         self.number = np.zeros(0x110000, np.int32)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
-        place = {c: i for i, c in enumerate(letters, 1)}
-        self.joined = np.sort(np.array([place[p[0]] * self.width + place[p[1]] for p in beside], np.int64))
+        joined = np.array([self.number[ord(a)] * self.width + self.number[ord(b)] for a, b in beside], np.int64)
+        self.joined = np.zeros(self.width**2 // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.joined, joined >> 3, (1 << (joined & 7)).astype(np.uint8))
+
+    def opens(self, text: str) -> np.ndarray:
+        """Whether a word begins at each character."""
+        out = np.ones(len(text), bool)
+        for a in range(0, len(text), AT_ONCE):
+            part = text[max(a - 1, 0) : a + AT_ONCE]
+            codes = self.number[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            pairs = codes[:-1].astype(np.int64) * self.width + codes[1:]
+            out[max(a, 1) : a + AT_ONCE] = (self.joined[pairs >> 3] >> (pairs & 7).astype(np.uint8) & 1) == 0
+        return out
 
-    def cut(self, texts: list[str]) -> list[list[str]]:
-        """Words of each text, which joined give the text; none of an empty one."""
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts in order, as bytes, and how many there are up to the end of each text."""
         whole = "".join(texts)
-        if not whole:
-            return [[] for _ in texts]
-        codes = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        pairs = codes[:-1] * self.width + codes[1:]
-        at = np.searchsorted(self.joined, pairs)
-        beside = (at < len(self.joined)) & (self.joined[np.minimum(at, len(self.joined) - 1)] == pairs) if len(self.joined) else np.zeros(len(pairs), bool)
-        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
-        opens = np.ones(len(codes), bool)
-        opens[1:] = ~beside
-        opens[ends[:-1][ends[:-1] < len(codes)]] = True  # each text opens a word
+        opens, ends = self.opens(whole), np.cumsum([len(t) for t in texts], dtype=np.int64)
+        opens[ends[ends < len(whole)]] = True  # each text opens a word
         starts = np.flatnonzero(opens)
-        counts = np.searchsorted(starts, ends, "left")
-        words = [whole[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(whole)], strict=True)]
-        return [words[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
-
-
-def chunks_of(text: str) -> list[str]:
-    """A text written with meta symbols in pieces that end at some of its cuts: runs that begin with a meta symbol or a line feed's end,
-    and line feeds. Joined they give the text."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or META in text:
-        return RUN.findall(META + text.replace(" ", META))
-    first, *lines = text.split("\n")
-    out = [META + c for c in first.split(" ")]
-    for line in lines:
-        out.append("\n")
-        if line:
-            head, *rest = line.split(" ")
-            if head:
-                out.append(head)
-            out += [META + c for c in rest]
-    return out
+        upto = np.searchsorted(starts, ends)
+        raw = whole.encode("utf-8", "surrogatepass")
+        if len(raw) > len(whole):
+            starts = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[starts]
+        offsets = np.append(starts, len(raw))
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), upto
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """Words of each text, which joined give the text; none of an empty one."""
+        words, upto = self.words(texts)
+        words = [w.decode("utf-8", "surrogatepass") for w in words.to_pylist()]
+        return [words[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)] if texts else []
+
+
+def meta(text: str) -> str:
+    """A text with meta symbols for spaces and one before it; an empty text stays empty."""
+    return META + text.replace(" ", META) if text else ""
 
 
 def cut(text: str, beside: set[str]) -> list[str]:
     """Words of a text, which joined give the text with meta symbols for spaces and one before it; none of an empty text."""
-    return [w for ws in Cutter(beside).cut(chunks_of(text)) for w in ws]
+    return Cutter(beside).cut([meta(text)])[0]
 
 
 def _read(raw: bytes) -> str:
@@ -145,37 +140,17 @@ def _read(raw: bytes) -> str:
 
 
 @lean
-def _count(batches):
-    counts: Counter = Counter()
-
-    def rows():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["chunk", "n"])
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for raw in as_bytes(batch.column(0)):
-            counts.update(chunks_of(_read(raw)))
-            if len(counts) > FLUSH:
-                yield rows()
-    if counts:
-        yield rows()
-
-
-@lean
-def _cut(batches, beside: set[str]):
+def _count(batches, beside: set[str]):
     cutter = Cutter(beside)
     for batch in batches:
-        chunks, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for a, b in slices([len(c) for c in chunks], AT_ONCE):
-            found = cutter.cut(chunks[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([w for ws in found for w in ws], pa.string()), pa.array(np.repeat(n[a:b], [len(ws) for ws in found]))], ["word", "n"])
+        for part in parts(batch, 0, READ):
+            found = cutter.words([meta(_read(r)) for r in as_bytes(part.column(0))])[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
 
 
 def count_words(texts: DataFrame, model: Model) -> DataFrame:
-    """wid, word, n over the single column of texts. Each distinct chunk is cut once."""
-    chunks = texts.mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    found = chunks.mapInArrow(partial(_cut, beside=model.beside), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """wid, word, n over the single column of texts."""
+    found = texts.mapInArrow(partial(_count, beside=model.beside), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return materialize(found.withColumn("wid", F.monotonically_increasing_id()), "words")
 
 
@@ -289,27 +264,14 @@ class Head:
 
     def __init__(self, found: pa.Table):
         words = found["word"].combine_chunks().cast(pa.binary())
-        hashes = np.empty(len(words), np.uint64)
-        for a in range(0, len(words), 100_000):  # as objects only some at a time
-            part = as_bytes(words.slice(a, 100_000))
-            hashes[a : a + len(part)] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
+        hashes = np.concatenate([np.zeros(0, np.uint32), *(_hashes(words.slice(a, 100_000)) for a in range(0, len(words), 100_000))])  # as objects only some at a time
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.words, self.word_ends = self._joined(words, order)
-        self.ids, self.id_ends = self._joined(found["ids"].combine_chunks(), order)
-
-    @staticmethod
-    def _joined(values: pa.Array, order: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The values in this order in one piece, and where each begins."""
-        if not len(order):
-            return b"", np.zeros(1, np.uint32)
-        values = values.take(pa.array(order))
-        ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(order) + 1]
-        return values.buffers()[2].to_pybytes()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.uint32)
+        self.words, self.ids = words.take(pa.array(order)), found["ids"].combine_chunks().cast(pa.binary()).take(pa.array(order))
 
     def written(self) -> Iterator[bytes]:
         """The head as bytes for a file: five lengths, then its parts, each from a multiple of eight on."""
-        whole = [memoryview(np.ascontiguousarray(x)).cast("B") if isinstance(x, np.ndarray) else memoryview(x) for x in (self.hashes, self.word_ends, self.id_ends, self.words, self.ids)]
+        whole = [memoryview(np.ascontiguousarray(x)).cast("B") for x in (self.hashes, *(_offsets(x).astype(np.int32) for x in (self.words, self.ids)), *(_joined(x) for x in (self.words, self.ids)))]
         yield np.array([len(x) for x in whole], "<i8").tobytes()
         for part in whole:
             for a in range(0, len(part), WRITTEN):
@@ -319,84 +281,81 @@ class Head:
     @classmethod
     def mapped(cls, path: str) -> Head:
         """A head in a file, mapped into memory, so that the workers of a machine share it."""
-        with open(path, "rb") as file:
-            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = np.frombuffer(held, "<i8", 5).tolist()
-        at = [40]
-        for size in sizes:
-            at.append(at[-1] + size + -size % 8)
+        with pa.memory_map(path) as file:
+            held = file.read_buffer()
+        at, own = 40, []
+        for size in np.frombuffer(held, "<i8", 5).tolist():
+            own.append(held.slice(at, size))
+            at += size + -size % 8
         head = cls.__new__(cls)
-        head.hashes, head.word_ends, head.id_ends = (np.frombuffer(held, kind, size // np.dtype(kind).itemsize, begin) for kind, size, begin in zip(("<u8", "<u4", "<u4"), sizes, at, strict=False))
-        head.words, head.ids = (_Bytes(held, begin, size) for size, begin in zip(sizes[3:], at[3:], strict=False))
+        head.hashes = np.frombuffer(own[0], "<u4")
+        head.words, head.ids = (pa.Array.from_buffers(pa.binary(), len(head.hashes), [None, own[k], own[k + 2]]) for k in (1, 2))
         return head
 
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """The ids (little-endian, 16 bits each) of each word, None of a word that isn't there."""
-        out: list[bytes | None] = [None] * len(words)
-        if not len(self.hashes):
-            return out
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        at = np.searchsorted(self.hashes, hashes)
-        last = len(self.hashes) - 1
-        todo = np.flatnonzero(self.hashes[np.minimum(at, last)] == hashes)
-        at = at[todo]
+    def ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids (little-endian, 16 bits each) of each word (binary), null of a word that isn't there."""
+        place = np.full(len(words), -1)
+        hashes, last = _hashes(words), len(self.hashes) - 1
+        todo = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[todo])
         while len(todo):  # words of equal hash stand side by side
-            places = [self.word_ends[at], self.word_ends[at + 1], self.id_ends[at], self.id_ends[at + 1]]
-            other = []
-            for i, (k, a, b, c, d) in enumerate(zip(todo.tolist(), *(x.tolist() for x in places), strict=True)):
-                if self.words[a:b] == words[k]:
-                    out[k] = self.ids[c:d]
-                else:
-                    other.append(i)
-            todo, at = todo[other], at[other] + 1
-            more = (at <= last) & (self.hashes[np.minimum(at, last)] == hashes[todo])
+            more = at <= last
+            more[more] = self.hashes[at[more]] == hashes[todo[more]]
             todo, at = todo[more], at[more]
-        return out
+            same = pc.equal(self.words.take(pa.array(at)), words.take(pa.array(todo))).to_numpy(zero_copy_only=False).astype(bool)
+            place[todo[same]] = at[same]
+            todo, at = todo[~same], at[~same] + 1
+        return self.ids.take(pa.array(place, mask=place < 0))
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """As ids_of()."""
+        return self.ids_of(pa.array(words, pa.binary())).to_pylist()
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, as_bytes(words)), np.uint64, len(words)).astype(np.uint32)
 
 
-class _Bytes:
-    """A part of a mapped file; slices are bytes."""
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where each value of a binary array begins in _joined(), and the end."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    ends = np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + len(values) + 1]
+    return ends - ends[0]
 
-    def __init__(self, held: mmap.mmap, begin: int, size: int):
-        self.held, self.begin, self.size = held, begin, size
 
-    def __getitem__(self, at: slice) -> bytes:
-        return self.held[self.begin + at.start : self.begin + at.stop]
+def _joined(values: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary array, joined."""
+    if not len(values) or values.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    ends = np.frombuffer(values.buffers()[1], kind)
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[values.offset] : ends[values.offset + len(values)]]
 
 
 class Encoder:
-    """Ids of texts, by chunks that are remembered."""
+    """Ids of texts: each distinct word of some texts is looked up once."""
 
     def __init__(self, head: Head, beside: set[str]):
         self.head, self.cutter = head, Cutter(beside)
-        self.known: dict[str, bytes] = {}  # ids of a chunk, GAP for a word that the head lacks
-        self.older: dict[str, bytes] = {}  # those known before the last CHUNKS; what is met again is known anew
-        self.gaps: dict[str, list[str]] = {}  # those words of a chunk
 
     def read(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
         """Ids of each text, with GAPs, and the words that belong there."""
-        cut = [chunks_of(t) for t in texts]
-        if len(self.known) > CHUNKS:
-            self.known, self.older = {}, self.known
-            self.gaps = {c: self.gaps[c] for c in self.gaps.keys() & self.older.keys()}
-        lacking = set().union(*cut).difference(self.known)
-        again = lacking.intersection(self.older)
-        self.known.update((c, self.older[c]) for c in again)
-        fresh = list(lacking.difference(again))
-        for a, b in slices([len(c) for c in fresh], AT_ONCE):
-            words = self.cutter.cut(fresh[a:b])
-            distinct = list({w for ws in words for w in ws})
-            found = dict(zip(distinct, self.head.find([w.encode("utf-8", "surrogatepass") for w in distinct]), strict=True))
-            for chunk, ws in zip(fresh[a:b], words, strict=True):
-                if len(ws) == 1 and found[ws[0]] is not None:
-                    self.known[chunk] = found[ws[0]]
-                    continue
-                lacking = [w for w in ws if found[w] is None]
-                if lacking:
-                    self.gaps[chunk] = lacking
-                self.known[chunk] = b"".join([found[w] if found[w] is not None else GAP_BYTES for w in ws])
-        get = self.known.__getitem__
-        return [(b"".join(map(get, chunks)), [w for c in chunks if c in self.gaps for w in self.gaps[c]] if self.gaps else []) for chunks in cut]
+        words, upto = self.cutter.words([meta(t) for t in texts])
+        own, sizes, lacking = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), CHUNKS):
+            coded = words.slice(a, CHUNKS).dictionary_encode()
+            found = self.head.ids_of(coded.dictionary.cast(pa.binary()))
+            ids = found.fill_null(GAP_BYTES).cast(pa.large_binary()).take(coded.indices)
+            own.append(_joined(ids).tobytes())
+            sizes.append(np.diff(_offsets(ids)))
+            if found.null_count:
+                lacking.append(a + np.flatnonzero(found.is_null().take(coded.indices).to_numpy(zero_copy_only=False)))
+        whole, places, gaps = b"".join(own), np.cumsum(np.concatenate(sizes)), np.concatenate(lacking)
+        rest = [w.decode("utf-8", "surrogatepass") for w in words.take(pa.array(gaps)).to_pylist()]
+        ends, rests = [0, *places[upto].tolist()], [0, *np.searchsorted(gaps, upto).tolist()]
+        return [(whole[a:b], rest[c:d]) for a, b, c, d in zip(ends, ends[1:], rests, rests[1:], strict=False)]
 
 
 def _mark(text: bytes) -> bytes:
@@ -419,7 +378,7 @@ def _encode(batches, head: str, beside: set[str], names: list[str], spelled: pa.
     """Documents with ids; with `gaps` as bytes with GAPs, and the words that belong there."""
     encoder = Encoder(Head.mapped(SparkFiles.get(head)), beside)
     for batch in batches:
-        for part in parts(batch, len(names), 2 * AT_ONCE):  # texts as objects only some at a time
+        for part in parts(batch, len(names), READ):  # texts as objects only some at a time
             raws = as_bytes(part.column(len(names)))
             found = encoder.read([_read(r) for r in raws])
             if gaps:
@@ -451,16 +410,13 @@ def _packed(ids: Column) -> Column:
 
 def _share(spark: SparkSession, head: Head) -> str:
     """The name of a file with the head, which Spark brings to each executor once, also to one that joins later, and which all its workers
-    map. It is written to the shared folder, for forget() to delete."""
-    path = scratch(spark, "head")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = store.create(hadoop, True)
-    for piece in head.written():
-        out.write(bytearray(piece))
-    out.close()
-    spark.sparkContext.addFile(store.makeQualified(hadoop).toString())
-    return path.rpartition("/")[2]
+    map. It is written where the driver keeps the files that it serves, so that there is no second copy, and goes with the application."""
+    name = f"head-{uuid.uuid4().hex}"
+    path = f"{SparkFiles.getRootDirectory()}/{name}"
+    with open(path, "wb") as out:
+        out.writelines(head.written())
+    spark.sparkContext.addFile(path)
+    return name
 
 
 def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, round_trip: bool = False) -> DataFrame:
@@ -503,6 +459,8 @@ def frequent(encoded: DataFrame, words: DataFrame, head: int) -> pa.Table:
     least = least_of_head(short, min(head, int(size[0] * share)))
     if least is None:
         return encoded.limit(0).toArrow()
+    if least <= 1:  # all words
+        return encoded.where(F.length("word") <= HEAD_WORD).toArrow()
     return encoded.join(short.where(F.col("n") >= least).select("word"), "word", "left_semi").toArrow()
 
 
