@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,30 @@ def test_language_model_texts_become_symbols_once(spark, monkeypatch):
     assert made == ["counts", "coded", "weights", "weights", "scored"]
 
 
+def plain_bucket(word):
+    tail = word[-1]
+    mark = 1 if tail == 0x2E else 2 if tail == 0x2C else 3 if not (0x61 <= tail <= 0x7A or tail > 0x7F) else 0
+    core = word.rstrip(b".,!?;:\"')*#$%&|")[-2:]
+    return mark * 8 + (0 if word.isascii() else 4) + (sum(core) & 3)
+
+
+def test_language_model_words_are_taken_in_arrays(monkeypatch):
+    texts = ["", "The the.\x0bTHE\tA", " ", "end", "next \u00c9t\u00e9, \u6f22\u5b57! ...", "x'", ".", "a\x1cb a\u00a0b"]
+    expected = [t.encode().lower().split() for t in texts]
+    for some in (texts, ["."], [""], texts[::-1]):  # a lone mark has no letter before it
+        words, upto = language_model.words_of("".join(some).encode(), np.cumsum([len(t.encode()) for t in some]))
+        assert [words.to_pylist()[a:b] for a, b in zip([0, *upto], upto)] == [t.encode().lower().split() for t in some]
+        assert language_model.buckets(words).tolist() == [plain_bucket(w) for w in words.to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None], pa.string())], ["body"])
+    for read in (1, 1 << 20):
+        monkeypatch.setattr(language_model, "READ", read)
+        counts = Counter()
+        for r in [r for b in language_model._count(iter([batch])) for r in b.to_pylist()]:
+            counts[r["word"]] += r["n"]
+        assert counts == Counter([w for ws in expected for w in ws] + [b""] * 9)
+    assert len(list(language_model._count(iter([batch])))) == 1  # one batch of rows for all texts
+
+
 @pytest.mark.parametrize("scale", [1, 500])
 def test_network_scores_are_those_of_a_plain_softmax(scale):
     net, rng = language_model.Network(language_model.WORDS), np.random.default_rng(5)

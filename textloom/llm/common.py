@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, a null as b''."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    values = column.cast(kind).to_pylist()
-    return [v or b"" for v in values] if column.null_count else values
+    if not len(column):
+        return []
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = memoryview(column.buffers()[2] or b"")
+    values = [whole[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            values[i] = b""
+    return values
 
 
 def parts(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Scores of whole documents under a gated recurrent language model.
 
-Counting. Each task counts its words and the sums are merged by word, so what is gathered grows with the corpus. The most frequent
+Counting. Each task counts its words, some megabytes of text at a time in arrays, and the sums are merged by word, so what is gathered grows with the corpus. The most frequent
 words (at most HEAD) go to every task; counts of all other words reach a document through a join, so no table that grows with the
 corpus is broadcast.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -50,49 +49,73 @@ ROUNDS = 2
 WARM_DOCUMENTS = 1_000
 WARM_TOKENS = 1_600_000
 WARM_PLACES = 1 << 30
-GROUP_BYTES = 12_000_000  # of texts or symbols that a task takes at once
-FLUSH = 400_000
+READ = 4 << 20  # bytes of texts that a task takes at once
+GROUP_BYTES = 12_000_000  # of symbols
 SHARDS = 16  # of the weights, when those of all tasks are summed
+CLOSING = np.isin(np.arange(256), list(b".,!?;:\"')*#$%&|"))  # marks that end a word
+
+
+def words_of(raw: bytes, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of [^\\x20\\x09-\\x0D]+ with A-Z in lower case, of texts that are joined in `raw` and end at `ends`; and how many words there are
+    up to the end of each text."""
+    low = np.frombuffer(raw.lower(), np.uint8)
+    solid = (low != 0x20) & ((low < 0x09) | (low > 0x0D))
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    inner = ends[ends < len(low)]
+    opens[inner] = solid[inner]  # each text opens a word
+    starts = np.flatnonzero(opens)
+    letters = low[solid]
+    offsets = np.append(np.cumsum(solid, dtype=np.int64)[starts] - 1, len(letters))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), np.searchsorted(starts, ends)
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """A bucket for the spelling of each word (binary): how it ends, whether it is ASCII, and its last letters; -1 of an empty word."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if not len(letters):
+        return np.full(len(words), -1, np.int32)
+    starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+    last = letters[ends - 1].astype(np.int32)
+    mark = np.select([last == 0x2E, last == 0x2C, (last >= 0x61) & (last <= 0x7A) | (last > 0x7F)], [1, 2, 0], 3)
+    beyond = np.append(0, np.cumsum(letters > 0x7F))
+    solid = np.maximum.accumulate(np.where(CLOSING[letters], -1, np.arange(len(letters))))[ends - 1]  # the last letter that doesn't close a word, of this word or before
+    core = sum(np.where(solid - k >= starts, letters[np.maximum(solid - k, 0)], 0).astype(np.int32) for k in (0, 1))
+    return np.where(starts == ends, -1, mark * 8 + np.where(beyond[ends] > beyond[starts], 4, 0) + (core & 3)).astype(np.int32)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of [^\\x20\\x09-\\x0D]+ with A-Z in lower case."""
-    return text.lower().split()
-
-
-def bucket(word: bytes) -> int:
-    """A bucket for the spelling of a word: how it ends, whether it is ASCII, and its last letters."""
-    tail = word[-1]
-    mark = 1 if tail == 0x2E else 2 if tail == 0x2C else 3 if not (0x61 <= tail <= 0x7A or tail > 0x7F) else 0
-    core = word.rstrip(b".,!?;:\"')*#$%&|")[-2:]
-    return mark * 8 + (0 if word.isascii() else 4) + (sum(core) & 3)
+# -------------------------------------------------------------------------------------------------------------- counting
+def _joined(batch: pa.RecordBatch, column: int):
+    """Texts of a batch, READ bytes at a time: which rows they are, the texts joined, and where each ends."""
+    texts = as_bytes(batch.column(column))
+    sizes = [len(t) for t in texts]
+    for a, b in slices(sizes, READ):
+        yield a, b, b"".join(texts[a:b]), np.cumsum(sizes[a:b], dtype=np.int64)
 
 
-# -------------------------------------------------------------------------------------------------------------- counting
 @lean
 def _count(batches):
-    names, counts = ["word", "bucket", "n"], Counter()
+    for batch in batches:
+        for a, b, raw, ends in _joined(batch, 0):
+            found = words_of(raw, ends)[0].value_counts()
+            words, counts = found.field("values").cast(pa.binary()), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([b""], pa.binary())]), pa.concat_arrays([counts, pa.array([b - a], pa.int64())])], ["word", "n"])  # one end a text
 
-    def rows():
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([bucket(w) if w else -1 for w in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names)
 
+@lean
+def _bucketed(batches):
     for batch in batches:
-        texts = as_bytes(batch.column(0))
-        counts[b""] += len(texts)  # one end a text
-        for text in texts:
-            counts.update(words_of(text))
-            if len(counts) > FLUSH:
-                yield rows()
-                counts.clear()
-    if counts:
-        yield rows()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets(batch.column(0))), batch.column(1)], ["word", "bucket", "n"])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """word (binary, empty for the end), bucket and n, over the single column of `texts`."""
-    found = texts.mapInArrow(_count, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
-    return materialize(found, "counts")
+    found = texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(found.mapInArrow(_bucketed, "word binary, bucket int, n long"), "counts")
 
 
 def least_of_head(counts: DataFrame, most: int) -> int | None:
@@ -135,7 +158,7 @@ class Vocabulary:
     def symbols(self) -> np.ndarray:
         """Symbol of each word of the head."""
         own = np.arange(len(self.words), dtype=np.int32)
-        own[WORDS:] = [END + 1 + bucket(w) for w in self.words[WORDS:]]
+        own[WORDS:] = END + 1 + buckets(pa.array(self.words[WORDS:], pa.binary()))
         return own
 
 
@@ -149,8 +172,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             ends = r["n"]
         else:
             mass[r["bucket"]] += r["n"] + 0.1 * r["v"]
-    for w, c in zip(words[:WORDS], n[:WORDS], strict=True):
-        mass[bucket(w)] -= c + 0.1
+    np.subtract.at(mass, buckets(pa.array(words[:WORDS], pa.binary())), n[:WORDS] + 0.1)
     return Vocabulary(words, n, total, types if ends else 0, ends, np.maximum(mass, 0.1))
 
 
@@ -450,16 +472,20 @@ class Encoder:
         inner[WORDS:] = np.log10(share[WORDS:] / vocab.bucket_mass[self.symbols[:-1][WORDS:] - END - 1]) if len(share) > WORDS else 0
         self.inner = np.append(inner, 0.0)
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols with the end, places in the head (-1: not there) and the words that aren't in the head."""
-        words = words_of(text)
-        at = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
-        symbols = np.append(self.symbols[at], END).astype(np.int32)
-        rest = np.flatnonzero(at < 0)
-        others = [words[i] for i in rest]
-        if others:
-            symbols[rest] = [END + 1 + bucket(w) for w in others]
-        return symbols, at, others
+    def encode(self, raw: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of texts that are joined in `raw` (ends: where each ends; one text by default): all symbols, each text's with its end; how many words
+        there are up to the end of each text; each word's place among the distinct ones; these; and their places in the head (-1: not there)."""
+        ends = np.array([len(raw)]) if ends is None else ends
+        words, upto = words_of(raw, ends)
+        coded = words.dictionary_encode()
+        at = np.fromiter(map(self.get, as_bytes(coded.dictionary), repeat(-1)), np.int32, len(coded.dictionary))
+        own = np.where(at < 0, END + 1 + buckets(coded.dictionary), self.symbols[at])
+        codes = coded.indices.to_numpy()
+        symbols = np.full(len(codes) + len(ends), END, np.int32)
+        within = np.ones(len(symbols), bool)
+        within[upto + np.arange(len(ends))] = False
+        symbols[within] = own[codes]
+        return symbols, upto, codes, coded.dictionary, at
 
 
 def _encoder(blob: bytes) -> Encoder:
@@ -475,23 +501,23 @@ def _symbols(batches, vocab: bytes, names: list[str]):
     end_logc = np.log10(v.ends + 0.1)
     log_mass = np.log10(v.bucket_mass)
     for batch in batches:
-        texts = as_bytes(batch.column(len(names)))
-        for a, b in slices([len(t) for t in texts], GROUP_BYTES):
-            docs, base, inner, n_tokens, n_known, keys, counts = [], [], [], [], [], [], []
-            for text in texts[a:b]:
-                symbols, at, others = encoder.encode(text)
-                tail = Counter(others)
-                docs.append(symbols.astype("<i2").tobytes())
-                n_tokens.append(len(symbols))
-                n_known.append(len(at) - len(others) + (v.ends > 0))
-                base.append(encoder.logc[at].sum() + end_logc - len(symbols) * norm)
-                inner.append(encoder.inner[at].sum() - sum(n * log_mass[bucket(w)] for w, n in tail.items()))
-                keys.append(list(tail))
-                counts.append(list(tail.values()))
-            sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array([w for ws in keys for w in ws], pa.binary())), pa.ListArray.from_arrays(pa.array(sizes), pa.array([n for ns in counts for n in ns], pa.int32()))]
-            kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.array(base, float)), pa.array(np.array(inner, float)), *lists, pa.array(docs, pa.binary())], [*names, *CODED])
+        for a, b, raw, ends in _joined(batch, len(names)):
+            symbols, upto, codes, distinct, at = encoder.encode(raw, ends)
+            docs = b - a
+            n_words = np.diff(upto, prepend=0)
+            owner = np.repeat(np.arange(docs), n_words)
+            inner = np.where(at < 0, -log_mass[buckets(distinct)], encoder.inner[at])
+            lacking = np.flatnonzero((at < 0)[codes])
+            tails, counts = np.unique(owner[lacking] * len(distinct) + codes[lacking], return_counts=True)
+            sizes = pa.array(np.searchsorted(tails, np.arange(docs + 1) * len(distinct)).astype(np.int32))
+            tail = distinct.take(pa.array(tails % max(len(distinct), 1))).cast(pa.binary())
+            n_known = n_words - np.bincount(owner[lacking], minlength=docs) + (v.ends > 0)
+            base = np.bincount(owner, encoder.logc[at][codes], docs) + end_logc - (n_words + 1) * norm
+            places = np.append(0, 2 * (upto + np.arange(1, docs + 1))).astype(np.int32)
+            shown = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(places), pa.py_buffer(symbols.astype("<i2"))])
+            lists = [pa.ListArray.from_arrays(sizes, tail), pa.ListArray.from_arrays(sizes, pa.array(counts.astype(np.int32)))]
+            kept = [batch.column(i).slice(a, docs) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(np.bincount(owner, inner[codes], docs).astype(float)), *lists, shown], [*names, *CODED])
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, in_training: Column, keep: list[str], text: str, doc_id: str, rounds: int = ROUNDS) -> DataFrame:
