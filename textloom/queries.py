@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.channel import Channel
 from textloom.functions.text import MARKUP_LITERALS, MARKUP_PATTERNS, preprocess, strip_markup
 from textloom.functions.unicode import unicode_sentences as cut_unicode
-from textloom.operators import corpus, expansion, metrics, pareto, relations
+from textloom.operators import corpus, expansion, metrics, pareto, relations, scans
 from textloom.operators.expansion import SHIPPED, ExpansionParams
 from textloom.operators.positional import PositionalIndex
 from textloom.plans import swarm, training
@@ -361,9 +361,10 @@ def pattern_places(spark, d):
 @query("pattern_sentences", RELATIONS + """, w2p AS (SELECT infix, unnest(list_distinct(infix)) AS word FROM pg WHERE len(infix) > 1), w3p AS (SELECT infix, doc_id, spos, count(*) AS c FROM w2p JOIN p USING (word) GROUP BY ALL)
 SELECT array_to_string(infix, ' ') AS phrase, count(*) AS n FROM w3p WHERE c = len(list_distinct(infix)) GROUP BY infix""")
 def pattern_sentences(spark, d):
-    """How many sentences hold all words of each surviving pattern of two words or more."""
+    """How many sentences hold all words of each surviving pattern of two words or more, from the positional index or, where they are many, in one scan."""
     patterns = _numbered_patterns(spark, d)
-    counts = _positional(spark, d).sentence_counts(patterns)
+    many = patterns.count() > scans.FEW
+    counts = scans.sentence_counts(_sents(spark, d), patterns) if many else _positional(spark, d).sentence_counts(patterns)
     return counts.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "n")
 
 
