@@ -352,8 +352,10 @@ def _positional(spark, d):
 @query("pattern_places", RELATIONS + """, w1p AS (SELECT pg.infix, t.doc_id, t.spos, t.pos FROM pg JOIN t ON t.word = pg.infix[1] WHERE len(pg.infix) > 1)
 SELECT array_to_string(infix, ' ') AS phrase, w1p.doc_id, w1p.spos::BIGINT AS spos, w1p.pos::BIGINT AS pos FROM w1p JOIN w0 ON w0.doc_id = w1p.doc_id AND w0.spos = w1p.spos WHERE words[pos + 1 : pos + len(infix)] = infix""")
 def pattern_places(spark, d):
-    """All places of the surviving patterns of two words or more, from the positional index."""
+    """All places of the surviving patterns of two words or more, from the positional index or, where they are many, in one scan."""
     patterns = _numbered_patterns(spark, d)
+    if patterns.count() > scans.FEW:
+        return scans.phrase_places(_sents(spark, d), patterns)
     found = _positional(spark, d).phrases(patterns)
     return found.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "doc_id", "spos", "pos")
 
@@ -361,7 +363,7 @@ def pattern_places(spark, d):
 @query("pattern_sentences", RELATIONS + """, w2p AS (SELECT infix, unnest(list_distinct(infix)) AS word FROM pg WHERE len(infix) > 1), w3p AS (SELECT infix, doc_id, spos, count(*) AS c FROM w2p JOIN p USING (word) GROUP BY ALL)
 SELECT array_to_string(infix, ' ') AS phrase, count(*) AS n FROM w3p WHERE c = len(list_distinct(infix)) GROUP BY infix""")
 def pattern_sentences(spark, d):
-    """How many sentences hold all words of each surviving pattern of two words or more, from the positional index or, where they are many, in one scan."""
+    """How many sentences hold all words of each surviving pattern of two words or more, as for pattern_places."""
     patterns = _numbered_patterns(spark, d)
     many = patterns.count() > scans.FEW
     counts = scans.sentence_counts(_sents(spark, d), patterns) if many else _positional(spark, d).sentence_counts(patterns)
