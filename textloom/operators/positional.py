@@ -33,15 +33,24 @@ SCHEMA = "block long, word string, n long, spots binary, docs binary, sposs bina
 def pack_small(values: np.ndarray) -> bytes:
     """Whole numbers from 0 up, seven bits a byte, the last byte of each below 128."""
     values = values.astype(np.uint64)
-    sizes = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        sizes += values >= np.uint64(1) << np.uint64(7 * k)
-    at = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
-    for k in range(int(sizes.max(initial=0))):
-        some = sizes > k
+    most = int(values.max(initial=0))
+    if most < 128:
+        return values.astype(np.uint8).tobytes()
+    long = np.flatnonzero(values >= 128)  # the others are a byte each
+    rest = values[long]
+    sizes = np.ones(len(long), np.int64)
+    for k in range(1, -(-most.bit_length() // 7)):
+        sizes += rest >= np.uint64(1) << np.uint64(7 * k)
+    ends = np.cumsum(sizes - 1)
+    out = np.empty(len(values) + int(ends[-1]), np.uint8)
+    short = np.ones(len(out), bool)
+    begins = long + ends - sizes + 1
+    for k in range(int(sizes.max())):
+        some = np.flatnonzero(sizes > k)
         more = np.where(sizes[some] > k + 1, 128, 0).astype(np.uint64)
-        out[at[some] + k] = ((values[some] >> np.uint64(7 * k)) & np.uint64(127)) | more
+        out[begins[some] + k] = ((rest[some] >> np.uint64(7 * k)) & np.uint64(127)) | more
+        short[begins[some] + k] = False
+    out[short] = values[values < 128]
     return out.tobytes()
 
 

@@ -1,6 +1,6 @@
 """What training scores: for each word the first-hop words that it shares a sentence with, and how often.
 
-A pair of a word and a source never is a row. A task reads tokens sentence by sentence, with the numbers of those that are sources, and gives
+A pair of a word and a source never is a row. A task reads sentences' words, or tokens sentence by sentence, with the numbers of those that are sources, and gives
 for each slice of pairs a row for each word: its sources' numbers as packed differences, and how often each was met. Numbers go by falling
 frequency, so most take one byte; a word that met each source once has no list of times. These rows are shuffled by word and sorted in their partitions, and merged there as a stream.
 """
@@ -11,11 +11,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.arrow import lean, slices
-from textloom.operators import corpus
+from textloom.operators import corpus, scans
 from textloom.operators.positional import pack_small, unpack_small
 
 TOKENS = 800_000  # read before they are paired
@@ -35,15 +36,30 @@ def _packed(values: np.ndarray, begins: np.ndarray) -> pa.Array:
 def _pair(tokens: pa.Table, n_sources: int, most: int):
     """Lists of whole sentences' tokens (pos, word, tf, source)."""
     words = tokens.column("word").combine_chunks().dictionary_encode()
-    code = words.indices.to_numpy()
     source = tokens.column("source").fill_null(-1).to_numpy()
     tf = tokens.column("tf").to_numpy()
     sentence = np.cumsum(tokens.column("pos").to_numpy() == 0) - 1
+    yield from _paired(words, source, tf, sentence, n_sources, most)
+
+
+@lean
+def _lists_of_words(batches, sources: pa.Array, tokens: int, most: int):
+    """Of rows (words), a sentence each, and the sources by number: rows of LISTS."""
+    for _, sizes, flat in scans.taken(batches, tokens):
+        words = flat.dictionary_encode()
+        source = pc.index_in(words.dictionary, sources).fill_null(-1).to_numpy().astype(np.int64)[words.indices.to_numpy()]
+        yield from _paired(words, source, None, np.repeat(np.arange(len(sizes)), sizes), len(sources), most)
+
+
+def _paired(words: pa.DictionaryArray, source: np.ndarray, tf: np.ndarray | None, sentence: np.ndarray, n_sources: int, most: int):
+    """Lists of tokens, by ascending sentence; each is there once, or tf times."""
+    code = words.indices.to_numpy()
     own = np.flatnonzero(source >= 0)
-    met = np.unique(sentence[own] * n_sources + source[own])  # each source of a sentence once
+    met = np.sort(sentence[own] * n_sources + source[own])
+    met = met[np.r_[True, met[1:] != met[:-1]]] if len(met) else met  # each source of a sentence once
     ends = np.searchsorted(met, np.arange(sentence[-1] + 2) * n_sources)
     met %= n_sources
-    if tf.max() > 1:
+    if tf is not None and tf.max() > 1:
         code, sentence = np.repeat(code, tf), np.repeat(sentence, tf)
     size = np.diff(ends)[sentence]
     upto = np.cumsum(size)
@@ -167,14 +183,18 @@ def _merge(batches, n_sources: int, base: int, chunk: int, more: int, most: int)
         yield _edges([kept[0]], np.array([kept[1]]), np.array([kept[2]]), np.zeros(len(kept[3]), np.int64), kept[3], kept[4], base, chunk, more)
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """pos, word, tf of postings or sentences, those of a sentence one behind another. Rows of one key are one sentence."""
-    here, posts = corpus.apart(rows, None) if "words" in rows.columns else (None, rows)
-    if here is not None:
-        posts = corpus.postings(corpus.tokens(posts))
+def _tokens(posts: DataFrame) -> DataFrame:
+    """pos, word, tf of postings, those of a sentence one behind another. Rows of one key are one sentence."""
     whole = posts.dropna(subset=list(corpus.SENTENCE)).groupBy(*corpus.SENTENCE).agg(F.collect_list(F.struct("word", "tf")).alias("posts"))
-    out = whole.select(F.posexplode("posts").alias("pos", "p")).select("pos", "p.word", "p.tf")
-    return out if here is None else here.select(F.posexplode("words").alias("pos", "word"), F.lit(1).cast("long").alias("tf")).unionByName(out)
+    return whole.select(F.posexplode("posts").alias("pos", "p")).select("pos", "p.word", "p.tf")
+
+
+def _in_order(block: DataFrame, size: int) -> pa.Array:
+    """The words of sources 0 to size - 1."""
+    table = block.toArrow()  # lookup.MOST rows at most
+    place = np.empty(size, np.int64)
+    place[table.column("source").to_numpy()] = np.arange(size)
+    return table.column("word").combine_chunks().take(pa.array(place))
 
 
 def edges(rows: DataFrame, sources: DataFrame, df: DataFrame, right: DataFrame, n: int, chunk: int, most: int) -> DataFrame:
@@ -182,12 +202,17 @@ def edges(rows: DataFrame, sources: DataFrame, df: DataFrame, right: DataFrame,
     at most, and how often; parts is 1 where all of a word stands in one row. Up to `most` sources are broadcast at once; each block of
     as many is a pass over the rows."""
     known = df.join(right.select("word", F.lit(True).alias("hit")), "word", "left").select("word", "df", "hit", *[F.lit(None).cast("binary").alias(c) for c in ("sources", "times")])
+    here, posts = corpus.apart(rows, None) if "words" in rows.columns else (None, rows)
+    if here is not None:
+        posts = corpus.postings(corpus.tokens(posts))
     found, blocks = None, range(0, n, most)
     for base in blocks:
         size = min(most, n - base)
         block = sources.where(F.col("id").between(base, base + size - 1)).select("word", (F.col("id") - base).alias("source"))
-        met = _tokens(rows).join(F.broadcast(block), "word", "left").select("pos", "word", "tf", "source")
+        met = _tokens(posts).join(F.broadcast(block), "word", "left").select("pos", "word", "tf", "source")
         lists = met.mapInArrow(partial(_lists, n_sources=size, tokens=TOKENS, most=PAIRS), LISTS).unionByName(known)
+        if here is not None:
+            lists = here.select("words").mapInArrow(partial(_lists_of_words, sources=_in_order(block, size), tokens=TOKENS, most=PAIRS), LISTS).unionByName(lists)
         merged = lists.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_merge, n_sources=size, base=base, chunk=chunk, more=len(blocks) - 1, most=PAIRS), EDGES)
         found = merged if found is None else found.unionByName(merged)
     return found if found is not None else rows.sparkSession.createDataFrame([], EDGES)

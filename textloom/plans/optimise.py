@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,12 @@ class Result:
     position: list[float] | None
     log: pd.DataFrame
     archive: pd.DataFrame | None = None
-    replay: DataFrame | None = field(default=None, repr=False)
+    expand: Callable[[], DataFrame] | None = field(default=None, repr=False)
+
+    @cached_property
+    def replay(self) -> DataFrame | None:
+        """The words that the winner expands to, made when they are asked for."""
+        return self.expand and self.expand()
 
 
 def _frame(spark: SparkSession, pos: np.ndarray) -> DataFrame:

@@ -86,7 +86,7 @@ class ExpansionFitness:
         self.threshold, self.spark = threshold, posts.sparkSession
         right = reference.select("word").distinct()
         self.n_ref = right.count()
-        df = materialize(corpus.doc_freq(corpus.sentence_postings(posts) if "words" in posts.columns else posts), "df")
+        self.df = df = materialize(corpus.doc_freq(corpus.sentence_postings(posts) if "words" in posts.columns else posts), "df")
         first = expansion.cooccurrence(posts, seeds).join(df, "word")
         first = materialize(ordered.ranked(first, [F.desc("df"), "word"]).select("word", "df", "k", "n", (F.col("rank") - 1).alias("id")), "first")
         n = first.count()
@@ -136,7 +136,7 @@ def train_pso(spark: SparkSession, posts: DataFrame, seeds: DataFrame, reference
     store a run that was stopped goes on there."""
     fitness = ExpansionFitness(posts, seeds, reference, options.threshold)
     out = pso(spark, fitness, BOUNDS, options.particles, options.iterations, Coefficients(), FITNESS_BOUNDS[0], options.random_seed, ("precision", "recall"), callback, store)
-    out.replay = expansion.expand_concept(posts, seeds, expansion.ExpansionParams.from_vector(out.position, options.threshold))
+    out.expand = lambda: expansion.expand_concept(posts, seeds, expansion.ExpansionParams.from_vector(out.position, options.threshold), fitness.df)
     return out
 
 
