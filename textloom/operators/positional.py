@@ -59,9 +59,16 @@ def unpack_small(packed: bytes) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, np.int64)
     ends = np.flatnonzero(raw < 128)
+    if len(ends) == len(raw):
+        return raw.astype(np.int64)
     begins = np.append(0, ends[:-1] + 1)
-    place = np.arange(len(raw)) - np.repeat(begins, ends - begins + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), begins)
+    out = (raw[begins] & 127).astype(np.int64)
+    some, k = np.flatnonzero(ends > begins), 0
+    while len(some):  # those of more than k + 1 bytes
+        k += 1
+        out[some] |= (raw[begins[some] + k] & 127).astype(np.int64) << (7 * k)
+        some = some[ends[some] > begins[some] + k]
+    return out
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -145,16 +145,10 @@ def _merge(batches, n_sources: int, base: int, chunk: int, more: int, most: int)
         sizes = np.diff(np.frombuffer(batch.column("sources").buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column("sources").offset))
         for a, b in slices(sizes.tolist(), most):
             rows = batch.slice(a, b - a)
-            words, runs = [], np.empty(b - a, np.int64)
-            for i, w in enumerate(rows.column("word").to_pylist()):
-                if not words and kept and kept[0] == w or words and words[-1] == w:
-                    if not words:
-                        words.append(w)
-                else:
-                    if not words and kept:
-                        words.append(kept[0])
-                    words.append(w)
-                runs[i] = len(words) - 1
+            names = rows.column("word")
+            new = np.r_[not kept or names[0].as_py() != kept[0], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)].astype(bool)
+            words = ([kept[0]] if kept else []) + names.filter(pa.array(new)).to_pylist()
+            runs = np.cumsum(new) - (not kept)
             df, hit = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
             np.maximum.at(df, runs, rows.column("df").fill_null(0).to_numpy())
             np.logical_or.at(hit, runs, rows.column("hit").fill_null(False).to_numpy(zero_copy_only=False))
