@@ -345,6 +345,11 @@ def _numbered_patterns(spark, d):
     return materialize(good.select(F.monotonically_increasing_id().alias("id"), F.col("infix").alias("words")), "numbered")
 
 
+def _for_index(spark, d, patterns):
+    """Whether the index answers: few patterns, and documents that are one row each, as it takes each row's sentences for others."""
+    return patterns.count() <= scans.FEW and _sents(spark, d).where(~F.col(corpus.ALONE)).isEmpty()
+
+
 def _positional(spark, d):
     return PositionalIndex(once(spark, "positional", f"{d}/documents.parquet", lambda: PositionalIndex.build(_sents(spark, d)).blocks))
 
@@ -354,7 +359,7 @@ SELECT array_to_string(infix, ' ') AS phrase, w1p.doc_id, w1p.spos::BIGINT AS sp
 def pattern_places(spark, d):
     """All places of the surviving patterns of two words or more, from the positional index or, where they are many, in one scan."""
     patterns = _numbered_patterns(spark, d)
-    if patterns.count() > scans.FEW:
+    if not _for_index(spark, d, patterns):
         return scans.phrase_places(_sents(spark, d), patterns)
     found = _positional(spark, d).phrases(patterns)
     return found.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "doc_id", "spos", "pos")
@@ -365,8 +370,7 @@ SELECT array_to_string(infix, ' ') AS phrase, count(*) AS n FROM w3p WHERE c = l
 def pattern_sentences(spark, d):
     """How many sentences hold all words of each surviving pattern of two words or more, as for pattern_places."""
     patterns = _numbered_patterns(spark, d)
-    many = patterns.count() > scans.FEW
-    counts = scans.sentence_counts(_sents(spark, d), patterns) if many else _positional(spark, d).sentence_counts(patterns)
+    counts = _positional(spark, d).sentence_counts(patterns) if _for_index(spark, d, patterns) else scans.sentence_counts(_sents(spark, d), patterns)
     return counts.join(patterns, "id").select(F.array_join("words", " ").alias("phrase"), "n")
 
 
